@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from editlake.llm.chat import TURN, format_chats
 from editlake.llm.common import table
 from editlake.llm.exact_dedup import exact_dedup
 from editlake.llm.mixing import curriculum_mix
 from editlake.llm.sharding import interleaved_shards
+from editlake.llm.substring_dedup import substring_dedup
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,7 +34,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op4_exact_dedup, op9_sharding, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op9_sharding, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op2_chat_formatting": """
