@@ -1,0 +1,26 @@
+"""Connected components of a graph given as a DataFrame of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from editlake.llm.common import checkpointed
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """links (a, b) -> (node, label): the smallest node that each linked node reaches.
+
+    Each round every node takes the smallest label among its own and its neighbours' and then the label of that
+    label, so paths halve; rounds end when nothing changes. Labels stay distributed and each round is checkpointed;
+    minima are taken before the shuffle, so a node with very many links costs no task more.
+    """
+    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("near")).agg(F.min("label").alias("least"))
+        lower = labels.join(near, labels.node == near.near, "left").select("node", F.col("label").alias("old"), F.least("label", "least").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("further"))
+        labels = checkpointed(lower.join(jump, "mid", "left").select("node", "old", F.least("mid", "further").alias("label")))
+        if labels.where("label != old").isEmpty():
+            return labels.select("node", "label")

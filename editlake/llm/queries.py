@@ -10,6 +10,7 @@ from editlake.llm.common import table
 from editlake.llm.exact_dedup import exact_dedup
 from editlake.llm.mixing import curriculum_mix
 from editlake.llm.sharding import interleaved_shards
+from editlake.llm.simhash import simhash_groups
 from editlake.llm.substring_dedup import substring_dedup
 
 
@@ -26,6 +27,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op9_sharding, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op6_simhash_near_dedup, op9_sharding, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op2_chat_formatting": """

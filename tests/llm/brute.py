@@ -22,3 +22,33 @@ def substring(rows, window=20):
         left = [x for x, g in zip(w, gone, strict=True) if not g]
         out[doc] = (len(w), sum(gone), hashlib.sha256(" ".join(left).encode()).hexdigest())
     return out
+
+
+def simhash(text):
+    import xxhash
+
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(text)]
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def simhash_components(rows, radius=3):
+    """(doc_id, text) -> {doc_id: (fingerprint, component_id)}."""
+    fp = {d: simhash(t) for d, t in rows}
+    root = {f: f for f in fp.values()}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    points = list(root)
+    for i, a in enumerate(points):
+        for b in points[:i]:
+            if (a ^ b).bit_count() <= radius:
+                root[find(a)] = find(b)
+    least = {}
+    for d in sorted(fp):
+        least.setdefault(find(fp[d]), d)
+    return {d: (f"{f:016x}", least[find(f)]) for d, f in fp.items()}
