@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from editlake.llm.chat import TURN, format_chats
 from editlake.llm.common import table
+from editlake.llm.decontaminate import contaminated
 from editlake.llm.exact_dedup import exact_dedup
+from editlake.llm.line_dedup import line_dedup
 from editlake.llm.mixing import curriculum_mix
 from editlake.llm.sharding import interleaved_shards
 from editlake.llm.simhash import simhash_groups
 from editlake.llm.substring_dedup import substring_dedup
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
@@ -31,6 +38,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -39,9 +50,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op6_simhash_near_dedup, op9_sharding, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op6_simhash_near_dedup, op8_benchmark_decontamination, op9_sharding, op10_source_mixing)}
 
 ORACLE_SQL = {
+    "op1_line_dedup": """
+with d as (select doc_id, case when coalesce(text, '') = '' then [] else string_split(text, chr(10)) end ls from documents),
+l as (select doc_id, unnest(range(0, len(ls))) i, unnest(ls) line from d),
+w as (
+  select doc_id, i, row_number() over (partition by line, b, c order by doc_id, i) r
+  from (select *, lead(line) over p b, lead(line, 2) over p c from l window p as (partition by doc_id order by i))
+  where c is not null),
+gone as (select distinct doc_id, i + unnest([0, 1, 2]) i from w where r > 1),
+k as (
+  select l.doc_id, count(*) n_lines, count(g.i) n_removed, string_agg(l.line, chr(10) order by l.i) filter (where g.i is null) kept
+  from l left join gone g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256
+from d left join k on d.doc_id = k.doc_id""",
     "op2_chat_formatting": """
 with convs as (
   select conv_id, count(*) n,
@@ -61,6 +85,17 @@ g as (
   select doc_id, h, first_value(doc_id) over w keep_id, count(*) over (partition by h) group_size, row_number() over w r
   from d window w as (partition by h order by n desc, doc_id nulls first))
 select doc_id, keep_id, group_size, r = 1 kept, h text_sha256 from g""",
+    "op8_benchmark_decontamination": r"""
+with w as (
+  select 'd' side, doc_id id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') ws from documents
+  union all select 'b', item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') from benchmark),
+s as (
+  select distinct side, id, array_to_string(ws[i + 1:i + 5], ' ') g
+  from (select *, unnest(range(0, greatest(len(ws) - 4, 1))) i from w where len(ws) > 0)),
+n as (select id, count(*) n from s where side = 'b' group by id),
+h as (select d.id doc_id, b.id item_id, count(*) shared from s d join s b on d.g = b.g where d.side = 'd' and b.side = 'b' group by all)
+select doc_id, item_id, n n_item_shingles, shared n_shared, round(shared / n, 6) containment
+from h join n on item_id = id where shared >= ceil(n * 0.8 - 1e-9)""",
     "op10_source_mixing": r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
