@@ -11,6 +11,7 @@ from editlake.llm.decontaminate import contaminated
 from editlake.llm.exact_dedup import exact_dedup
 from editlake.llm.line_dedup import line_dedup
 from editlake.llm.mixing import curriculum_mix
+from editlake.llm.quality import quality_scores
 from editlake.llm.sharding import interleaved_shards
 from editlake.llm.simhash import simhash_groups
 from editlake.llm.substring_dedup import substring_dedup
@@ -34,6 +35,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op6_simhash_near_dedup, op8_benchmark_decontamination, op9_sharding, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op5_quality_classifier, op6_simhash_near_dedup, op8_benchmark_decontamination, op9_sharding, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op1_line_dedup": """
