@@ -6,6 +6,8 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH", "")
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
