@@ -1,30 +1,64 @@
-"""The corpus pipeline: stages over documents, each reading what the one before it kept."""
+"""The corpus pipeline: stages over documents, each reading what the one before it kept.
+
+A stage is called with (spark, docs, sf_dir) and its result is written as Parquet and read again for the next one.
+All but the last return the columns of documents. Nulls, empty texts, repeated rows and empty tables behave as each
+operator says; labels and benchmark are read beside documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from editlake.llm.common import table
+from editlake.llm.common import checkpointed, table
+from editlake.llm.decontaminate import contaminated, decontaminated
 from editlake.llm.mixing import curriculum_mix, mixed_documents
+from editlake.llm.quality import quality_scores
 from editlake.llm.sharding import interleaved_shards
+from editlake.llm.simhash import near_duplicates_removed, simhash_groups
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    rejected = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group."""
+    return near_duplicates_removed(docs, simhash_groups(docs))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminated(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix uses them."""
     return mixed_documents(docs, curriculum_mix(docs))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of each use of a document."""
     return interleaved_shards(docs)
 
 
-STAGES = [("mixing", mixing), ("sharding", sharding)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("sharding", sharding),
+]
 
-#: Models and near-duplicate groups can't be stated in SQL.
+#: The classifier is a trained model, which SQL can't express; the stages are tested against plain re-statements.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage returns is written to the shared checkpoint folder before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

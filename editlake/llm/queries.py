@@ -9,6 +9,7 @@ from editlake.llm.chat import TURN, format_chats
 from editlake.llm.common import table
 from editlake.llm.decontaminate import contaminated
 from editlake.llm.exact_dedup import exact_dedup
+from editlake.llm.html_main import extract_main_text
 from editlake.llm.line_dedup import line_dedup
 from editlake.llm.mixing import curriculum_mix
 from editlake.llm.quality import quality_scores
@@ -43,6 +44,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +60,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op5_quality_classifier, op6_simhash_near_dedup, op8_benchmark_decontamination, op9_sharding, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op5_quality_classifier, op6_simhash_near_dedup, op7_html_extraction, op8_benchmark_decontamination, op9_sharding, op10_source_mixing)}
 
 ORACLE_SQL = {
     "op1_line_dedup": """

@@ -70,8 +70,13 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n)), self.n)
 
-    def hashes(self) -> np.ndarray:
-        return rolled(self.buffer.astype(np.uint64), self.start, self.end, BYTES)
+    def hashes(self, step: int = 1 << 14) -> np.ndarray:
+        """A hash of each word; computed for `step` words at a time, as eight bytes are needed for each byte of text."""
+        out = np.empty(len(self.start), np.uint64)
+        for i in range(0, len(out), step):
+            start, end = self.start[i : i + step], self.end[i : i + step]
+            out[i : i + step] = rolled(self.buffer[start[0] : end[-1]].astype(np.uint64), start - start[0], end - start[0], BYTES)
+        return out
 
 
 def chunks(rows: Iterator, size_of, most: int = 2 << 20) -> Iterator[list]:

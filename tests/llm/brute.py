@@ -52,3 +52,34 @@ def simhash_components(rows, radius=3):
     for d in sorted(fp):
         least.setdefault(find(fp[d]), d)
     return {d: (f"{f:016x}", least[find(f)]) for d, f in fp.items()}
+
+
+def shingles(text, k=5):
+    w = words((text or "").lower())
+    return {" ".join(w[i : i + k]) for i in range(max(len(w) - k + 1, min(len(w), 1)))}
+
+
+def leaks(docs, items, threshold=0.8):
+    """(doc_id, text), (item_id, text) -> {(doc_id, item_id): (n, shared)}."""
+    out = {}
+    wanted = {i: shingles(t) for i, t in items}
+    for d, t in docs:
+        mine = shingles(t)
+        for i, s in wanted.items():
+            if s and len(mine & s) >= threshold * len(s) - 1e-9:
+                out[d, i] = (len(s), len(mine & s))
+    return out
+
+
+def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    """{source: size} -> {source: target} by resharing what is above a limit until nothing is."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    cut = set()
+    while True:
+        left = share * sum(sizes.values()) - sum(most * sizes[s] for s in cut)
+        total = sum(weight[s] for s in order if s not in cut)
+        over = {s for s in order if s not in cut and left * weight[s] / total > most * sizes[s] + 1e-9}
+        if not over:
+            return {s: most * sizes[s] if s in cut else left * weight[s] / total for s in order}
+        cut |= over
