@@ -73,12 +73,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
         .select("id", "k", "n_doc", F.explode(F.filter("hashes", lambda h: h <= F.col("cut"))).alias("hash"))
     )
     found = probes.join(sketch, "hash").where(F.col("n_doc") >= F.col("need")).select("id", "k", "item").distinct()
-    asked = found.groupBy("id", "k").agg(F.collect_list("item").alias("items")).select(F.col("id").alias("__id"), F.col("k").alias("__k"), "items")
+    asked = found.groupBy("id", "k").agg(F.collect_list(F.struct("item")).alias("items")).select(F.col("id").alias("__id"), F.col("k").alias("__k"), "items")
     held = (
         given.join(asked, (F.col("k") == F.col("__k")) & F.col("id").eqNullSafe(F.col("__id")))
         .select("id", "items", _words(F.col("text")).alias("words"))
         .select("id", "items", _strings(F.col("words"), shingle).alias("mine"))
-        .select("id", "mine", F.explode("items").alias("item"))
+        .select("id", "mine", F.explode("items").alias("one"))
+        .select("id", "mine", "one.item")
         .join(items.select(F.col("item").alias("__item"), "strings", "n", "need"), F.col("item").eqNullSafe(F.col("__item")))
         .select("id", "item", "n", "need", F.size(F.array_intersect("mine", "strings")).alias("shared"))
         .where("shared >= need")
