@@ -15,11 +15,13 @@ from editlake.llm.wordbatch import WINDOWS, Words, chunks, mixed, rolled
 
 WINDOW = 20
 #: Words of a minimiser.
-MINIMISER = 2
+MINIMISER = 1
 #: A minimiser with at least this share of all positions is taken only where a window has no rarer one. At most 1 / share can have it.
 FREQUENT = 1 / 2000
 #: Bytes of packed strings that one bucket group is to hold.
 GROUP_BYTES = 8 << 20
+#: Bytes of text whose packed strings a task sends together: more make larger blocks for a group, which compress better.
+CHUNK, LEVEL = 8 << 20, 5
 #: Packed strings that a task remembers, to send repeats of its own no further.
 REMEMBERED = 100_000
 NO_ID = -(1 << 63)
@@ -83,7 +85,7 @@ def _pack(rows: list[tuple]) -> bytes:
     ids, ks, starts, strings = zip(*rows, strict=True)
     parts = [np.array(ids, np.int64), np.array(ks, np.int32), np.array(starts, np.int32), np.array([len(s) for s in strings], np.int32)]
     raw = b"".join([np.array([len(rows)], np.int64).tobytes(), *(p.tobytes() for p in parts), *strings])
-    return np.array([len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    return np.array([len(raw)], np.int64).tobytes() + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def _unpack(block: bytes) -> list[tuple]:
@@ -113,7 +115,7 @@ _ROW = "group long, block binary, id long, k int, begin int, end int"
 def _send(window: int, size: int, frequent: np.ndarray, groups: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
-        for rows in chunks(_rows(batches), lambda r: len(r[2]), 4 << 20):
+        for rows in chunks(_rows(batches), lambda r: len(r[2]), CHUNK):
             words = Words([r[2] for r in rows])
             text, begin, n, low = _super_kmers(words, window, size, frequent)
             held: dict[int, list] = {}
