@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_queries() -> tuple[dict, dict]:
     """All registered queries and their SQL."""
-    from editlake.plans import pairs, registry, relational, splits  # noqa: F401
+    from editlake.plans import aggregates, pairs, registry, relational, sequences, splits, statistics  # noqa: F401
 
     return dict(registry.QUERIES), dict(registry.ORACLE_SQL)
