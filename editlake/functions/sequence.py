@@ -67,7 +67,7 @@ def extract_edit(a: Column, b: Column, context: int = 10) -> Column:
     """
     m, la, lb = mismatches(a, b), F.length(a), F.length(b)
     at = F.coalesce(F.get(m, F.lit(0)), F.least(la, lb))
-    last = F.element_at(m, -1)
+    last = F.try_element_at(m, F.lit(-1))
     kind = F.when(a == b, "none").when(la < lb, "insertion").when(la > lb, "deletion").when(F.size(m) == 1, "SNV").otherwise("complex")
     span = F.when(la == lb, F.coalesce(last - at + 1, F.lit(0)))
     before = F.when(la == lb, a.substr(at + 1, span)).when(la > lb, a.substr(at + 1, la - lb)).otherwise("")

@@ -236,3 +236,10 @@ def reference_kd_ddg(t: Tables):
 def significance_summary(t: Tables):
     q = "l_quantity"
     return t("lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), _r(F.avg(q), "mean"), _r(F.stddev_samp(q), "std"), F.min(q).alias("min"), F.max(q).alias("max"), F.count_if(F.col("l_tax") < 0.05).alias("n_significant"), _r(F.avg((F.col("l_partkey") % 2 == 0).cast("double")), "share_even"))
+
+
+@query(f"select edit, property_name, count(*) n, round(avg(delta), 6) mean_delta from {_VALUED} group by 1, 2 order by n desc, edit, property_name limit 50")
+def edit_effects(t: Tables):
+    """Which edits were seen most often, and by how much they change a property."""
+    effects = _valued(t).groupBy("edit", "property_name").agg(F.count("*").alias("n"), _r(F.avg("delta"), "mean_delta"))
+    return top_by(effects, 50, F.col("n").desc(), F.col("edit"), F.col("property_name"))
