@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from editlake.functions import sequence as Q
 from editlake.plans.registry import Tables, query
 
-S = F.col("seq")
+
+def _s() -> Column:
+    return F.col("seq")
 
 
 def _seqs(t: Tables):
@@ -23,18 +26,18 @@ def seq_validate(t: Tables):
 
 @query("select doc_id, replace(seq, 'U', 'T') dna, replace(replace(lower(seq), 'u', 't'), 't', 'u') lower_rna, upper(replace(replace(lower(seq), 'u', 't'), 't', 'u')) rna from seqs")
 def dna_rna_convert(t: Tables):
-    low = F.lower(S)
-    return _seqs(t).select("doc_id", Q.to_dna(S).alias("dna"), low.alias("lower_rna"), Q.to_rna(F.translate(low, "u", "t")).alias("rna"))
+    low = F.lower(_s())
+    return _seqs(t).select("doc_id", Q.to_dna(_s()).alias("dna"), low.alias("lower_rna"), Q.to_rna(F.translate(low, "u", "t")).alias("rna"))
 
 
 @query("select doc_id, reverse(translate(seq, 'ACGU', 'UGCA')) rc, reverse(translate(regexp_replace(upper(substr(seq, 1, 4) || 'xn'), '[^ACGU]', 'N', 'g'), 'ACGU', 'UGCA')) rc_unknown from seqs")
 def reverse_complement(t: Tables):
-    return _seqs(t).select("doc_id", Q.reverse_complement(S).alias("rc"), Q.reverse_complement(F.concat(F.substring(S, 1, 4), F.lit("xn"))).alias("rc_unknown"))
+    return _seqs(t).select("doc_id", Q.reverse_complement(_s()).alias("rc"), Q.reverse_complement(F.concat(F.substring(_s(), 1, 4), F.lit("xn"))).alias("rc_unknown"))
 
 
 @query("select doc_id, round(length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq)::double, 6) gc from seqs")
 def gc_content(t: Tables):
-    return _seqs(t).select("doc_id", F.round(Q.gc_content(S), 6).alias("gc"))
+    return _seqs(t).select("doc_id", F.round(Q.gc_content(_s()), 6).alias("gc"))
 
 
 @query("select pair_id, levenshtein(seq_a, seq_b)::bigint distance from seq_pairs")
@@ -92,34 +95,34 @@ def _kozak_sql(s: str) -> str:
 
 @query(f"select doc_id, round({_kozak_sql('seq')}, 6) kozak from seqs")
 def kozak_score(t: Tables):
-    return _seqs(t).select("doc_id", F.round(Q.kozak_score(S), 6).alias("kozak"))
+    return _seqs(t).select("doc_id", F.round(Q.kozak_score(_s()), 6).alias("kozak"))
 
 
 @query("select doc_id, regexp_matches(seq, '[AG]..AUGG') kozak, len(list_filter(range(1, 49), lambda i: substr(seq, i, 3) = 'AUG')) > 1 uaug, regexp_matches(seq, 'AUG(?:[ACGU]{3})*?(?:UAA|UAG|UGA)') uorf, regexp_matches(seq, 'AUUUA') au_rich, regexp_matches(seq, '[GC]{6,}') gc_rich from seqs")
 def motif_flags(t: Tables):
-    return _seqs(t).select("doc_id", Q.motif_flags(S).alias("m")).select("doc_id", "m.*")
+    return _seqs(t).select("doc_id", Q.motif_flags(_s()).alias("m")).select("doc_id", "m.*")
 
 
 @query("select doc_id, i - 1 \"position\" from (select doc_id, unnest(list_filter(range(1, 49), lambda i: substr(seq, i, 3) = 'AUG')) i from seqs)")
 def find_uaugs(t: Tables):
-    return _seqs(t).select("doc_id", F.explode(Q.find_all(S, "AUG")).alias("position"))
+    return _seqs(t).select("doc_id", F.explode(Q.find_all(_s(), "AUG")).alias("position"))
 
 
 @query("with a as (select doc_id, seq, unnest(list_filter(range(1, 49), lambda i: substr(seq, i, 3) = 'AUG')) i from seqs), o as (select doc_id, i - 1 start, list_filter(range(i + 3, 49, 3), lambda j: substr(seq, j, 3) in ('UAA', 'UAG', 'UGA'))[1] + 2 \"end\" from a) select doc_id, start, \"end\", \"end\" - start \"length\" from o where \"end\" - start >= 9")
 def find_uorfs(t: Tables):
-    return _seqs(t).select("doc_id", F.explode(Q.find_uorfs(S)).alias("o")).select("doc_id", "o.*")
+    return _seqs(t).select("doc_id", F.explode(Q.find_uorfs(_s())).alias("o")).select("doc_id", "o.*")
 
 
 @query("select doc_id, len(regexp_extract_all(seq, 'AUUUA')) n_i, len(regexp_extract_all(seq, 'UUAUUUA[AU][AU]')) n_ii, len(regexp_extract_all(seq, 'U{5,}')) n_iii, case when regexp_matches(seq, 'AUUUA') then strpos(seq, 'AUUUA') - 1 end first_i from seqs")
 def find_are_motifs(t: Tables):
-    found = _seqs(t).select("doc_id", Q.find_are_motifs(S).alias("m"))
+    found = _seqs(t).select("doc_id", Q.find_are_motifs(_s()).alias("m"))
     n = lambda k: F.size(F.filter("m", lambda x: x.kind == k))
     return found.select("doc_id", n("class_I").alias("n_i"), n("class_II").alias("n_ii"), n("class_III").alias("n_iii"), F.array_min(F.transform(F.filter("m", lambda x: x.kind == "class_I"), lambda x: x.position)).alias("first_i"))
 
 
 @query("with h as (select doc_id, substr(seq, 1, 30) h from seqs), m as (select doc_id, h, list_transform(range(1, 28), lambda i: substr(h, i, 4)) m from h) select doc_id, round(greatest(0, least(1, 1 - (0.5::double * (length(regexp_replace(h, '[^GC]', '', 'g')) / 30.0::double) + 0.5::double * (len(list_filter(m, lambda x: contains(h, reverse(translate(x, 'ACGU', 'UGCA'))))) / 27.0::double)))), 6) access from m")
 def cap_accessibility(t: Tables):
-    return _seqs(t).select("doc_id", F.round(Q.cap_accessibility(S), 6).alias("access"))
+    return _seqs(t).select("doc_id", F.round(Q.cap_accessibility(_s()), 6).alias("access"))
 
 
 _CODON = "case substr({0}, i, 3) " + " ".join(f"when '{a}{b}{c}' then '{Q.AMINO[16 * i + 4 * j + k]}'" for i, a in enumerate(Q.BASES) for j, b in enumerate(Q.BASES) for k, c in enumerate(Q.BASES)) + " else 'X' end"
@@ -131,7 +134,7 @@ def _translated(s: str) -> str:
 
 @query(f"select doc_id, {_translated('seq')} protein from seqs")
 def translate_codons(t: Tables):
-    return _seqs(t).select("doc_id", Q.translate_codons(S).alias("protein"))
+    return _seqs(t).select("doc_id", Q.translate_codons(_s()).alias("protein"))
 
 
 @query(f"select pair_id, {_translated('seq_a')} = {_translated('seq_b')} synonymous from seq_pairs")
@@ -260,7 +263,7 @@ def structure_id_from_name(t: Tables):
 @query(" union all ".join(f"select doc_id, kmer, round(count(*) / {50 - k + 1}.0::double, 6) share from (select doc_id, substr(seq, i, {k}) kmer from (select doc_id, seq, unnest(range(1, {52 - k})) i from seqs)) group by 1, 2" for k in (3, 4)))
 def kmer_features(t: Tables):
     def shares(k: int):
-        mers = F.transform(Q.places(F.length(S) - (k - 1)), lambda i: S.substr(i + 1, F.lit(k)))
+        mers = F.transform(Q.places(F.length(_s()) - (k - 1)), lambda i: _s().substr(i + 1, F.lit(k)))
         counts = _seqs(t).select("doc_id", F.explode(mers).alias("kmer")).where(F.col("kmer").rlike("^[ACGU]+$")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
         return counts.select("doc_id", "kmer", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")), 6).alias("share"))
 
@@ -269,25 +272,25 @@ def kmer_features(t: Tables):
 
 @query("with c as (select doc_id, seq, length(regexp_replace(seq, '[^A]', '', 'g')) a, length(regexp_replace(seq, '[^C]', '', 'g')) c, length(regexp_replace(seq, '[^G]', '', 'g')) g, length(regexp_replace(seq, '[^U]', '', 'g')) u from seqs) select doc_id, round((g + c) / 50.0::double, 6) gc, round((a + u) / 50.0::double, 6) au, round(ln(50.0::double) / 10, 6) log_length, round(least(5, (a + g) / greatest(c + u, 1)::double), 6) purine_ratio, round(list_max(list_transform(regexp_extract_all(seq, '(A+|C+|G+|U+)'), lambda x: length(x))) / 20.0::double, 6) longest_run, len(regexp_extract_all(seq, 'CG')) cpg, len(regexp_extract_all(seq, 'UA')) upa, round(length(regexp_replace(substr(seq, 1, 10), '[^A]', '', 'g')) / 10.0::double, 6) a_head from c")
 def composition_features(t: Tables):
-    n = lambda p, s=S: F.regexp_count(s, F.lit(p))
-    runs = F.transform(F.regexp_extract_all(S, F.lit("(A+|C+|G+|U+)"), F.lit(1)), F.length)
+    n = lambda p, s=_s(): F.regexp_count(s, F.lit(p))
+    runs = F.transform(F.regexp_extract_all(_s(), F.lit("(A+|C+|G+|U+)"), F.lit(1)), F.length)
     r = lambda c: F.round(c, 6)
     return _seqs(t).select(
         "doc_id",
-        r(Q.gc_content(S)).alias("gc"),
-        r(n("[AU]") / F.length(S)).alias("au"),
-        r(F.ln(F.length(S)) / 10).alias("log_length"),
+        r(Q.gc_content(_s())).alias("gc"),
+        r(n("[AU]") / F.length(_s())).alias("au"),
+        r(F.ln(F.length(_s())) / 10).alias("log_length"),
         r(F.least(F.lit(5.0), n("[AG]") / F.greatest(n("[CU]"), F.lit(1)))).alias("purine_ratio"),
-        r(F.array_max(runs) / F.least(F.length(S), F.lit(20))).alias("longest_run"),
+        r(F.array_max(runs) / F.least(F.length(_s()), F.lit(20))).alias("longest_run"),
         n("CG").alias("cpg"),
         n("UA").alias("upa"),
-        r(n("A", F.substring(S, 1, 10)) / 10).alias("a_head"),
+        r(n("A", F.substring(_s(), 1, 10)) / 10).alias("a_head"),
     )
 
 
 @query("select doc_id, bin, ch, round(n / 5.0::double, 6) share from (select doc_id, (i - 1) * 10 // 50 bin, substr(seq, i, 1) ch, count(*) n from (select doc_id, seq, unnest(range(1, 51)) i from seqs) group by 1, 2, 3)")
 def positional_bins(t: Tables):
-    rows = _seqs(t).select("doc_id", F.length(S).alias("len"), F.posexplode(F.split(S, "")).alias("i", "ch")).where("ch <> ''")
+    rows = _seqs(t).select("doc_id", F.length(_s()).alias("len"), F.posexplode(F.split(_s(), "")).alias("i", "ch")).where("ch <> ''")
     counts = rows.groupBy("doc_id", F.expr("i * 10 div len").alias("bin"), "ch").agg(F.count("*").alias("n"))
     return counts.select("doc_id", "bin", "ch", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id", "bin")), 6).alias("share"))
 
@@ -296,9 +299,9 @@ def positional_bins(t: Tables):
 def site_sequence_features(t: Tables):
     cols = []
     for w in (5, 10, 20):
-        window = F.substring(S, max(1, 26 - w), 2 * w + 1 - max(0, w - 25))
+        window = F.substring(_s(), max(1, 26 - w), 2 * w + 1 - max(0, w - 25))
         cols += [F.round(F.regexp_count(window, F.lit(b)) / F.length(window), 6).alias(f"{b.lower()}_{w}") for b in "ACGU"]
-    return _seqs(t).select("doc_id", *cols, F.substring(S, 25, 1).alias("left_base"), F.substring(S, 27, 1).alias("right_base"), *(F.size(Q.find_all(S, d)).alias(f"n_{d.lower()}") for d in ("AA", "AC", "CG", "UA")))
+    return _seqs(t).select("doc_id", *cols, F.substring(_s(), 25, 1).alias("left_base"), F.substring(_s(), 27, 1).alias("right_base"), *(F.size(Q.find_all(_s(), d)).alias(f"n_{d.lower()}") for d in ("AA", "AC", "CG", "UA")))
 
 
 @query("with b as (select doc_id, structure s, list_filter(range(1, 51), lambda i: substr(structure, i, 1) <> '.') p from brackets) select doc_id, substr(s, 26, 1) <> '.' center_paired, round(len(p) / 50.0::double, 6) paired_share, round(len(list_filter(p, lambda i: i between 21 and 31)) / 11.0::double, 6) paired_5, length(regexp_extract(substr(s, 1, 26), '([()]*)$', 1)) + length(regexp_extract(substr(s, 27), '^([()]*)', 1)) stem, list_min(list_transform(p, lambda i: abs(i - 26))) nearest from b")
@@ -311,13 +314,13 @@ def site_structure_features(t: Tables):
 
 @query("select site_id, round(ln(1 + coverage), 6) log_coverage, round(coalesce(length(regexp_replace(seq, '[^GC]', '', 'g')) / 50.0::double, 0), 6) gc, coalesce(value, 0) \"value\" from sites left join seqs on site_id = doc_id")
 def design_matrix(t: Tables):
-    seqs = t("seqs").select(F.col("doc_id").alias("site_id"), Q.gc_content(S).alias("gc"), "value")
+    seqs = t("seqs").select(F.col("doc_id").alias("site_id"), Q.gc_content(_s()).alias("gc"), "value")
     return t("sites").join(seqs, "site_id", "left").na.fill(0.0, ["gc", "value"]).select("site_id", F.round(F.log1p("coverage"), 6).alias("log_coverage"), F.round("gc", 6).alias("gc"), "value")
 
 
 @query("select doc_id, substr(seq, 25, 1) || 'A' || substr(seq, 27, 1) context from seqs")
 def context_triplet(t: Tables):
-    return _seqs(t).select("doc_id", F.concat(F.substring(S, 25, 1), F.lit("A"), F.substring(S, 27, 1)).alias("context"))
+    return _seqs(t).select("doc_id", F.concat(F.substring(_s(), 25, 1), F.lit("A"), F.substring(_s(), 27, 1)).alias("context"))
 
 
 def _gc_sql(s: str) -> str:
