@@ -21,9 +21,9 @@ FREQUENT = 1 / 2000
 #: Bytes of packed strings that one bucket group is to hold.
 GROUP_BYTES = 8 << 20
 #: Bytes of text whose packed strings a task sends together: more make larger blocks for a group, which compress better.
-CHUNK, LEVEL = 8 << 20, 5
+CHUNK, LEVEL = 6 << 20, 5
 #: Packed strings that a task remembers, to send repeats of its own no further.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 NO_ID = -(1 << 63)
 
 
@@ -38,11 +38,17 @@ def _minimisers(words: Words, size: int) -> np.ndarray:
     return mixed(out)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[list]:
+    """The columns of a few rows at a time, as lists; the last column, a text, as bytes."""
     for batch in batches:
-        columns = [batch.column(i) for i in range(batch.num_columns)]
-        columns[-1] = columns[-1].cast(pa.binary())
-        yield from zip(*(c.to_pylist() for c in columns), strict=True)
+        for i in range(0, batch.num_rows, rows):
+            some = batch.slice(i, rows)
+            yield [*(c.to_pylist() for c in some.columns[:-1]), some.columns[-1].cast(pa.binary()).to_pylist()]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for columns in _slices(batches):
+        yield from zip(*columns, strict=True)
 
 
 def _count_minimisers(size: int):
@@ -106,7 +112,7 @@ def _emit(groups: np.ndarray, blocks: list, spans: list[tuple]) -> Iterator[pa.R
     ids, ks, begin, end = ([x[i] for x in spans] for i in range(4))
     n, m = len(blocks), len(spans)
     if n or m:
-        yield pa.RecordBatch.from_arrays([pa.array([*groups, *begin], pa.int64()), pa.array([*blocks, *[None] * m], pa.binary()), pa.array([*[None] * n, *ids], pa.int64()), pa.array([*[None] * n, *ks], pa.int32()), pa.array([*[None] * n, *begin], pa.int32()), pa.array([*[None] * n, *end], pa.int32())], ["group", "block", "id", "k", "begin", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array([*groups, *((hash((i, b)) >> 3) for i, b in zip(ids, begin, strict=True))], pa.int64()), pa.array([*blocks, *[None] * m], pa.binary()), pa.array([*[None] * n, *ids], pa.int64()), pa.array([*[None] * n, *ks], pa.int32()), pa.array([*[None] * n, *begin], pa.int32()), pa.array([*[None] * n, *end], pa.int32())], ["group", "block", "id", "k", "begin", "end"])
 
 
 _ROW = "group long, block binary, id long, k int, begin int, end int"
@@ -209,8 +215,7 @@ def _count(window: int):
 
 def _keep(window: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, copies, spans, texts = (c.to_pylist() for c in (*batch.columns[:3], batch.column(3).cast(pa.binary())))
+        for ids, copies, spans, texts in _slices(batches):
             counts, removed, kept = [], [], []
             for copy, found, text in zip(copies, spans, texts, strict=True):
                 words = text.split()
