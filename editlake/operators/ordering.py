@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from editlake.operators.shared import checkpointed
+
 
 def md5_key(seed: str, *columns: str) -> Column:
     """A pseudo-random order: md5 of the seed and the key columns joined by '|'."""
@@ -31,9 +33,46 @@ def exact_rank(df: DataFrame, key: Column, ties: list[str], name: str = "rank",
     return ranked.withColumn(name, F.col("__offset") + F.col("__row") - 1).select(*df.columns, name, f"{name}_of")
 
 
+def value_positions(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Distinct (keys, values) with `__n` rows and `__before`, the rows of the same keys that come before them.
+
+    Values are counted, range-sorted and numbered by partition and place; the numbers are written down before they are
+    used twice. Counts per partition give the offsets, so neither all rows nor those of a key meet in one task. Rows
+    with null keys are left out.
+    """
+    counts = df.dropna(subset=keys).groupBy(*keys, *values).agg(F.count("*").alias("__n")) if keys else df.groupBy(*values).agg(F.count("*").alias("__n"))
+    order = [*keys, *values]
+    placed = checkpointed(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__part").agg(F.sum("__n").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
+    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("__local", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(F.broadcast(offsets), "__part")
+    summed = summed.withColumn("__all", F.col("__offset") + F.col("__local"))
+    if not keys:
+        return summed.select(*values, "__n", F.col("__all").alias("__before"))
+    starts = summed.groupBy(*keys).agg(F.min("__all").alias("__start"))
+    return summed.join(starts, keys).select(*keys, *values, "__n", (F.col("__all") - F.col("__start")).alias("__before"))
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Quantiles of a column by linear interpolation, each under its name; one row, or one for each of `keys`."""
+    known = value_positions(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")), list(keys), ["__v"])
+    counts = known.groupBy(*keys).agg(F.sum("__n").alias("__count"))
+    sized = known.join(counts, list(keys)) if keys else known.crossJoin(F.broadcast(counts))
+    columns = []
+    for name, share in shares.items():
+        at = (F.col("__count") - 1) * F.lit(share)
+        low, high = F.floor(at), F.ceil(at)
+        holds = lambda p: (F.col("__before") <= p) & (p < F.col("__before") + F.col("__n"))
+        a, b = F.max(F.when(holds(low), F.col("__v"))), F.max(F.when(holds(high), F.col("__v")))
+        columns.append((a + (b - a) * F.max(at - low)).alias(name))
+    return sized.groupBy(*keys).agg(*columns)
+
+
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """One row: the inner edges of `bins` quantile bins."""
-    return df.agg(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("__edges"))
+    names = {f"__e{i}": i / bins for i in range(1, bins)}
+    return exact_quantiles(df, value, names).select(F.array(*names).alias("__edges"))
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin", over: DataFrame | None = None) -> DataFrame:

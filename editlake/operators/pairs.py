@@ -6,17 +6,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from editlake.functions.sequence import char, hamming_distance, places
-from editlake.operators.ordering import md5_key
+from editlake.operators.ordering import exact_rank, md5_key
 from editlake.operators.relational import first_per_key
 
 
 def capped_cores(fragments: DataFrame, cap: int, seed: str = "cap") -> DataFrame:
     """At most `cap` members of each core, in seeded order: the guard against skew of the pair join."""
-    order = Window.partitionBy("core").orderBy(md5_key(seed, "mol_id"), "mol_id")
-    return fragments.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= cap).drop("__r")
+    ranked = exact_rank(fragments, md5_key(seed, "mol_id"), ["mol_id"], "__r", ("core",))
+    return ranked.where(F.col("__r") < cap).select(*fragments.columns)
 
 
 def mmp_pairs(fragments: DataFrame, molecules: DataFrame, max_mw_delta: float = 200, min_mols: int = 10, cap: int | None = 1000) -> DataFrame:

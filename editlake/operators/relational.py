@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from editlake.operators.ordering import value_positions
+
 
 def with_activity(molecules: DataFrame, activity: DataFrame, key: str, condition: Column) -> DataFrame:
     """Molecules for which an activity exists that meets `condition`."""
@@ -57,11 +59,7 @@ def dictionary(values: DataFrame, column: str, known: DataFrame | None = None) -
     if known is not None:
         distinct = distinct.join(known, "value", "left_anti")
         start = F.lit(known.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0])
-    ranged = distinct.repartitionByRange("value").sortWithinPartitions("value").withColumn("__at", F.monotonically_increasing_id())
-    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    counts = ranged.groupBy(part.alias("__part")).count()
-    offsets = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    new = ranged.withColumn("__part", part).join(F.broadcast(offsets), "__part").select("value", (start + F.col("__before") + within).cast("long").alias("id"))
+    new = value_positions(distinct, [], ["value"]).select("value", (start + F.col("__before")).cast("long").alias("id"))
     return known.select("value", "id").unionByName(new) if known is not None else new
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editlake.operators.ordering import exact_rank, md5_key, quantile_edges
+from editlake.operators.ordering import exact_quantiles, exact_rank, md5_key, quantile_edges
 
 
 def sample_count(df: DataFrame, key: list[str], n: int | Column, seed: str = "sample", strata: tuple[str, ...] = ()) -> DataFrame:
@@ -56,7 +56,7 @@ def within_positive_range(df: DataFrame, label: str, value: str) -> DataFrame:
 
 def hard_negatives(df: DataFrame, label: str, value: str, key: list[str], n: int, condition: Column, seed: str = "sample") -> DataFrame:
     """Negatives with at least the positives' median value that meet a condition, n at most."""
-    median = df.where(F.col(label) == 1).agg(F.percentile(value, 0.5).alias("__median"))
+    median = exact_quantiles(df.where(F.col(label) == 1), value, {"__median": 0.5})
     good = df.where((F.col(label) != 1) & condition).crossJoin(F.broadcast(median)).where(F.col(value) >= F.col("__median")).drop("__median")
     return sample_count(good, key, n, seed)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from editlake.operators.ordering import exact_rank, md5_key, quantile_bins
+from editlake.operators.ordering import exact_rank, md5_key, quantile_bins, value_positions
 
 FRACTIONS = (70, 15)
 
@@ -65,13 +65,12 @@ def holdout_split(df: DataFrame, test: Column, key: list[str], seed: str = "spli
 
 
 def ordered_split(df: DataFrame, by: str, key: list[str], fractions: tuple[int, int] = FRACTIONS) -> DataFrame:
-    """Rows in the order of a time column, cut at counts; ranks are offsets per range of the order."""
-    ranged = df.repartitionByRange(by, *key).sortWithinPartitions(by, *key).withColumn("__at", F.monotonically_increasing_id())
-    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    counts = ranged.groupBy(part.alias("__part")).count()
-    offsets = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("count").over(Window.partitionBy()).alias("__n"))
-    ranked = ranged.withColumn("__part", part).withColumn("__row", row).join(F.broadcast(offsets), "__part").withColumn("__rank", F.col("__before") + F.col("__row"))
-    return ranked.withColumn("split", _cut("__rank", "__n", fractions)).select(*df.columns, "split")
+    """Rows in the order of a time column, then of the key, cut at counts."""
+    order = list(dict.fromkeys([by, *key, *df.columns]))
+    placed = value_positions(df, [], order)
+    ranked = placed.crossJoin(F.broadcast(placed.agg(F.sum("__n").alias("__of"))))
+    each = ranked.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).withColumn("__rank", F.col("__before") + F.col("__i") - 1)
+    return each.withColumn("split", _cut("__rank", "__of", fractions)).select(*df.columns, "split")
 
 
 def few_shot_split(df: DataFrame, group: str, key: list[str], shots: int, percent: int = 30, seed: str = "split", fractions: tuple[int, int] = FRACTIONS) -> DataFrame:

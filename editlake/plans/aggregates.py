@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from editlake.operators import aggregates as A
-from editlake.operators.ordering import equal_width_bins
+from editlake.operators.ordering import equal_width_bins, exact_quantiles
 from editlake.operators.relational import top_by, top_per_group
 from editlake.plans.pairs import _VALUED, _valued
 from editlake.plans.registry import Tables, query
@@ -205,7 +205,9 @@ def pair_table_verify(t: Tables):
 
 @query("select is_edited, count(*) n, round(avg(coverage), 6) mean_coverage, median(coverage) median_coverage, round(avg(ln(1 + coverage)), 6) mean_log, round(avg(case when ref_base = 'A' then 1.0 else 0 end), 6) share_a from sites group by 1")
 def dataset_bias_report(t: Tables):
-    return t("sites").groupBy("is_edited").agg(F.count("*").alias("n"), _r(F.avg("coverage"), "mean_coverage"), F.percentile("coverage", 0.5).alias("median_coverage"), _r(F.avg(F.log1p("coverage")), "mean_log"), _r(F.avg((F.col("ref_base") == "A").cast("double")), "share_a"))
+    sites = t("sites")
+    stats = sites.groupBy("is_edited").agg(F.count("*").alias("n"), _r(F.avg("coverage"), "mean_coverage"), _r(F.avg(F.log1p("coverage")), "mean_log"), _r(F.avg((F.col("ref_base") == "A").cast("double")), "share_a"))
+    return stats.join(exact_quantiles(sites, "coverage", {"median_coverage": 0.5}, ("is_edited",)), "is_edited")
 
 
 @query("select lang, min(length(text)) shortest, max(length(text)) longest, round(avg(length(text)), 6) mean, round(stddev_samp(length(text)), 4) std, count(distinct length(text)) n_lengths from documents group by 1")

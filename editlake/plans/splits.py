@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from editlake.operators import sampling as P
 from editlake.operators import splits as S
+from editlake.operators.ordering import exact_quantiles
 from editlake.plans.registry import Tables, query
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -145,7 +146,7 @@ def split_experimental_context(t: Tables):
 @query(_holdout("select *, abs(value_b - value_a) > (select quantile_cont(abs(value_b - value_a), 0.75) from seq_pairs) big from seq_pairs", ["pair_id"], "big"))
 def split_effect_magnitude(t: Tables):
     pairs = t("seq_pairs").withColumn("effect", F.abs(F.col("value_b") - F.col("value_a")))
-    marked = pairs.crossJoin(F.broadcast(pairs.agg(F.percentile("effect", 0.75).alias("edge"))))
+    marked = pairs.crossJoin(F.broadcast(exact_quantiles(pairs, "effect", {"edge": 0.75})))
     return S.holdout_split(marked.select("pair_id", "effect", "edge"), F.col("effect") > F.col("edge"), ["pair_id"]).select("pair_id", "split")
 
 
@@ -195,7 +196,7 @@ def split_bin_label_stratified(t: Tables):
 @query(_random("select *, least(coverage, (select quantile_cont(coverage, 0.99) from sites)) clipped from sites", ["site_id"], strata="is_edited, clipped >= 2000", least=3))
 def split_bin_label_clipped(t: Tables):
     sites = t("sites").select("site_id", "coverage", "is_edited")
-    clipped = sites.crossJoin(F.broadcast(sites.agg(F.percentile("coverage", 0.99).alias("p99")))).withColumn("high", F.least("coverage", "p99") >= 2000)
+    clipped = sites.crossJoin(F.broadcast(exact_quantiles(sites, "coverage", {"p99": 0.99}))).withColumn("high", F.least("coverage", "p99") >= 2000)
     return S.random_split(clipped, ["site_id"], strata=("is_edited", "high"), least=3).select("site_id", "split")
 
 
@@ -242,7 +243,7 @@ def split_replicates(t: Tables):
 @query(_holdout("select *, coverage between (select quantile_cont(coverage, 0.4) from sites) and (select quantile_cont(coverage, 0.6) from sites) band from sites", ["site_id"], "band"))
 def split_coverage_holdout(t: Tables):
     sites = t("sites").select("site_id", "coverage")
-    ends = sites.agg(F.percentile("coverage", 0.4).alias("lo"), F.percentile("coverage", 0.6).alias("hi"))
+    ends = exact_quantiles(sites, "coverage", {"lo": 0.4, "hi": 0.6})
     return S.holdout_split(sites.crossJoin(F.broadcast(ends)), F.col("coverage").between(F.col("lo"), F.col("hi")), ["site_id"]).select("site_id", "split")
 
 
@@ -251,7 +252,7 @@ def split_rate_extrapolation(t: Tables):
     from editlake.operators.ordering import exact_rank, md5_key
 
     sites = t("sites").select("site_id", "coverage", "is_edited")
-    edge = sites.where("is_edited = 1").agg(F.percentile("coverage", 0.75).alias("edge"))
+    edge = exact_quantiles(sites.where("is_edited = 1"), "coverage", {"edge": 0.75})
     positives = sites.where("is_edited = 1").crossJoin(F.broadcast(edge)).select("site_id", (F.col("coverage") > F.col("edge")).alias("held"))
     negatives = exact_rank(sites.where("is_edited <> 1"), md5_key("neg", "site_id"), ["site_id"], "r").select("site_id", F.expr("r < r_of * 25 div 100").alias("held"))
     return S.holdout_split(positives.unionByName(negatives), F.col("held"), ["site_id"]).drop("held")
