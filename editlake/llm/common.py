@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from editlake.operators.shared import checkpointed  # noqa: F401  for the operators of this folder
+
 #: A word, in Java, RE2 and Python syntax alike: anything but space and the control white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -17,17 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, written to the shared checkpoint folder and read back, so that a lost executor costs nothing already done.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def text_of(column: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -38,6 +27,19 @@ def shuffle_key(id_column: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
 
 
+def bounded_sample(df: DataFrame, id_column: str, seed: str, most: int) -> DataFrame:
+    """At most `most` rows, the first in a seeded order of ids; for fitting only.
+
+    A threshold on the order's leading digits leaves about a third more rows than asked for before they are sorted, so
+    that what tasks send for the sort does not grow with their number.
+    """
+    key, total = shuffle_key(id_column, seed), df.count()
+    if total > 2 * most:
+        share = (1.3 * most + 100) / total
+        df = df.where(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < F.lit(int(share * 16**8)))
+    return df.withColumn("__key", key).orderBy("__key", id_column).limit(most).drop("__key")
+
+
 def hex_digits(rows: int, per_bucket: int = 20_000) -> int:
     """How many leading hex digits of a shuffle key make buckets of about `per_bucket` rows; two at least."""
     digits = 2

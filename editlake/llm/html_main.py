@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlake.llm import bilstm
-from editlake.llm.common import shuffle_key
+from editlake.llm.common import bounded_sample
 from editlake.llm.html_blocks import FEATURES, PATH, WORD, Blocks, features
 from editlake.llm.wordbatch import chunks
 
@@ -104,8 +104,9 @@ def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES, id_col:
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     known = pages.where(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.length(html_col) <= LONGEST))
-    sample = known.select(F.col(html_col).alias("html"), shuffle_key(id_col, "pages").alias("key")).orderBy("key", "html").limit(train_pages).collect()
-    net = train([r["html"] for r in sample])
+    chosen = bounded_sample(known.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "id", "pages", train_pages)
+    sample = known.join(F.broadcast(chosen), F.col(id_col) == F.col("id")).select("id", F.col(html_col).alias("html")).limit(2 * train_pages).collect()
+    net = train([r["html"] for r in sorted(sample)[:train_pages]])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
