@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editlake.llm.common import checkpointed, text_of
-from editlake.llm.components import connected_components
+from editlake.llm.common import bounded_sample, checkpointed, text_of
 from editlake.llm.wordbatch import Words, chunks
+from editlake.operators.clustering import components
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: Two fingerprints within 3 bits are within 1 bit in one of their halves; each half has a vantage-point tree of its own.
+HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
 #: Fingerprints for a leaf of the distributed tree, and the most that its vantage points are chosen from.
 LEAF, SAMPLE = 50_000, 1 << 14
 #: Points at which the tree inside a leaf compares all, and links held before they are thinned to a forest.
@@ -115,13 +117,14 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def leaf_components(fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
+def leaf_components(fps: np.ndarray, home: np.ndarray, radius: int, mask: int = HALVES[0] | HALVES[1], reach: int | None = None) -> np.ndarray:
     """Labels of the components among the rows of a leaf, links being those between home rows and any row.
 
-    A vantage-point tree over the home rows is searched by all rows at once: a branch is left where the triangle
-    bound shows that it holds nothing within `radius`.
+    A vantage-point tree over the masked bits of the home rows is searched by all rows at once: a branch is left where
+    the triangle bound shows that it holds nothing within `reach` of those bits. What is left is compared in full.
     """
     n, a, b, held = len(fps), [], [], 0
+    part, reach = fps & np.uint64(mask), radius if reach is None else reach
 
     def link(q: np.ndarray, p: np.ndarray) -> None:
         nonlocal a, b, held
@@ -137,7 +140,7 @@ def leaf_components(fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarra
         points, queries = stack.pop()
         if not len(points) or not len(queries):
             continue
-        d = _distance(fps[points], fps[points[0]])
+        d = _distance(part[points], part[points[0]])
         mid = int(np.median(d))
         if len(points) <= FEW or not (d > mid).any():
             for i in range(0, len(points), FEW):
@@ -149,39 +152,41 @@ def leaf_components(fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarra
                     if apart.any():
                         link(asked[q][apart], some[p][apart])
             continue
-        dq = _distance(fps[queries], fps[points[0]])
-        stack.append((points[d <= mid], queries[dq - radius <= mid]))
-        stack.append((points[d > mid], queries[dq + radius > mid]))
+        dq = _distance(part[queries], part[points[0]])
+        stack.append((points[d <= mid], queries[dq - reach <= mid]))
+        stack.append((points[d > mid], queries[dq + reach > mid]))
     return _forest(n, np.concatenate(a), np.concatenate(b)) if a else np.arange(n)
 
 
 def near_links(points: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that connect exactly what lies within `radius` bits, a forest for each leaf.
 
-    The top of the vantage-point tree is built from at most SAMPLE fingerprints, with leaves of about `leaf`
+    Each half of the fingerprint has a vantage-point tree, searched with half the radius: a ball of one bit crosses far
+    fewer borders than one of three. Its top is built from at most SAMPLE fingerprints, with leaves of about `leaf`
     fingerprints. Every fingerprint goes to its own leaf and, as a query, to each leaf that its ball reaches; there
     it meets all fingerprints within the radius.
     """
-    leaves = max(1, -(-points.count() // leaf))
-    sample = np.array([r[0] for r in points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = build_tree(sample, leaves)
+    leaves, reach = max(1, -(-points.count() // leaf)), radius // len(HALVES)
+    sample = np.array([r[0] for r in bounded_sample(points.select("fp"), "fp", "tree", SAMPLE).collect()], np.int64).view(np.uint64)
+    trees = [build_tree(sample & np.uint64(mask), leaves) for mask in HALVES]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            row, at, home = shards_of(tree, fps, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(fps[row].view(np.int64)), pa.array(home)], ["leaf", "fp", "home"])
+            for half, (tree, mask) in enumerate(zip(trees, HALVES, strict=True)):
+                row, at, home = shards_of(tree, fps & np.uint64(mask), reach)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), half, np.int32)), pa.array(at.astype(np.int64)), pa.array(fps[row].view(np.int64)), pa.array(home)], ["half", "leaf", "fp", "home"])
 
-    def search(group):
+    def search(key, group):
         import pandas as pd
 
         group = group.sort_values("fp", ignore_index=True)
-        label = leaf_components(group["fp"].to_numpy(np.int64).view(np.uint64), group["home"].to_numpy(bool), radius)
-        tied = np.flatnonzero(label != np.arange(len(label)))
         fp = group["fp"].to_numpy(np.int64)
+        label = leaf_components(fp.view(np.uint64), group["home"].to_numpy(bool), radius, HALVES[int(key[0])], reach)
+        tied = np.flatnonzero(label != np.arange(len(label)))
         return pd.DataFrame({"a": fp[tied], "b": fp[label[tied]]})
 
-    return points.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean").groupBy("leaf").applyInPandas(search, "a long, b long")
+    return points.select("fp").mapInArrow(deal, "half int, leaf long, fp long, home boolean").groupBy("half", "leaf").applyInPandas(search, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
@@ -197,8 +202,8 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     """
     marked = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     points = checkpointed(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    labels = connected_components(near_links(points, radius, leaf))
-    placed = points.join(labels, points.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    labels = components(near_links(points, radius, leaf), "a", "b")
+    placed = points.join(labels, points.fp == labels.id, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     where = placed.join(named, "label").select("fp", "component_id")
     return marked.join(where, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

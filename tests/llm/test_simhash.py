@@ -3,7 +3,6 @@ import random
 import numpy as np
 from brute import simhash_components
 
-from editlake.llm.components import connected_components
 from editlake.llm.queries import op6_simhash_near_dedup
 from editlake.llm.simhash import near_duplicates_removed, near_links, simhash_groups
 
@@ -53,8 +52,3 @@ def test_odd_rows(spark):
     assert got == sorted([(5, 3), (3, 3), (4, 3), (None, 8), (9, 8), (8, 8), (8, 8), (1, 1), (2, 1), (7, 7)], key=str)
     assert sorted(r.doc_id for r in near_duplicates_removed(df, groups).collect()) == [1, 3, 7, 8]
     assert simhash_groups(df.limit(0)).collect() == []
-
-
-def test_components_of_a_path(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    assert {r.node: r.label for r in connected_components(links).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
