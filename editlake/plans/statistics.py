@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from editlake.functions import metrics as M
+from editlake.functions.sequence import places
 from editlake.operators import clustering as C
 from editlake.operators import models as L
 from editlake.operators.aggregates import frequency
@@ -13,7 +14,10 @@ from editlake.operators.ordering import equal_width_bins, quantile_bins
 from editlake.operators.pairs import set_similarity_join
 from editlake.operators.relational import top_per_group
 from editlake.operators.shared import checkpointed, scratch_path
+from editlake.operators.splits import group_split, member_split
+from editlake.plans.pairs import _genes
 from editlake.plans.registry import Tables, query
+from editlake.plans.splits import _grouped
 from editlake.sources import tables as IO
 from editlake.streaming import incremental as I
 
@@ -188,8 +192,6 @@ def butina_clusters(t: Tables):
 @query()
 def kmer_leader_clusters(t: Tables):
     """Leaders by first sequence; k-mer Jaccard of 0.7 and more."""
-    from editlake.functions.sequence import places
-
     s = F.col("seq")
     sets = t("seqs").groupBy("seq").agg(F.min("doc_id").alias("id")).select("id", F.array_distinct(F.transform(places(F.length(s) - 2), lambda i: s.substr(i + 1, F.lit(3)))).alias("kmers"), F.length("seq").alias("n"))
     links = set_similarity_join(sets, "id", "kmers", 0.7)
@@ -340,3 +342,48 @@ def incremental_pileup_totals(t: Tables):
 def incremental_pair_build(t: Tables):
     fragments = t("fragments").select("mol_id", "core")
     return I.incremental_pairs(t.spark, _files(t, fragments, "fragments"), fragments.schema, scratch_path(t.spark, "pairs"), scratch_path(t.spark, "pairs-state"))
+
+
+# Splits by clusters
+
+
+@query()
+def split_by_cluster(t: Tables):
+    """Whole fingerprint clusters go to one split."""
+    return group_split(butina_clusters(t), ["leader"]).select(F.col("id").alias("vec_id"), "split")
+
+
+def _sequence_clusters(t: Tables, sequences):
+    """seq -> leader over all distinct sequences, longest first."""
+    s = F.col("seq")
+    sets = checkpointed(sequences.distinct().select("seq", F.xxhash64("seq").alias("id"), F.length("seq").alias("n"), F.array_distinct(F.transform(places(F.length(s) - 2), lambda i: s.substr(i + 1, F.lit(3)))).alias("kmers")))
+    links = set_similarity_join(sets, "id", "kmers", 0.7)
+    leaders = C.leader_clusters(sets.select("id", (-F.col("n")).alias("order")), links, "id_a", "id_b")
+    return sets.select("seq", "id").join(leaders, "id").select("seq", "leader")
+
+
+@query()
+def split_by_sequence_similarity(t: Tables):
+    """Clusters over the sequences of both sides; a pair follows its first sequence."""
+    p = t("seq_pairs").select("pair_id", "seq_a", "seq_b")
+    clusters = _sequence_clusters(t, p.select(F.explode(F.array("seq_a", "seq_b")).alias("seq")))
+    followed = p.join(clusters, F.col("seq_a") == F.col("seq")).select("pair_id", "leader")
+    return group_split(followed, ["leader"]).select("pair_id", "split")
+
+
+@query()
+def split_pairs_by_cluster_priority(t: Tables):
+    """Clusters are allotted; a pair trains if either sequence does, else validates if either does, else tests."""
+    p = t("seq_pairs").select("pair_id", "seq_a", "seq_b")
+    clusters = _sequence_clusters(t, p.select(F.explode(F.array("seq_a", "seq_b")).alias("seq")))
+    members = group_split(clusters, ["leader"]).select("seq", "split")
+    return member_split(p, members, "seq_a", "seq_b", "seq").select("pair_id", "split")
+
+
+_GENE = "select s.site_id, coalesce(g.gene, 'intergenic_' || s.chrom || '_' || (s.pos // 10000)) gene from sites s left join (select site_id, arg_min(gene_id, tx_id) gene from (select s.*, i.tx_id, i.gene_id, i.strand tx_strand from sites s join intervals i on s.chrom = i.chrom and s.pos between i.lo and i.hi) where strand = tx_strand group by 1) g using (site_id)"
+
+
+@query(_grouped(_GENE, "site_id", "gene"))
+def split_by_gene(t: Tables):
+    """Whole genes go to one split."""
+    return group_split(_genes(t), ["gene"]).select("site_id", "split")

@@ -253,3 +253,15 @@ def test_plans_stay_native(spark):
     for name in ("extract_edit", "kmer_features", "translate_codons", "apply_mutations", "kozak_score", "tanimoto_join", "mmp_pairs_by_core", "hamming_neighbors"):
         text = plan(queries[name](spark, "/root/testdata/sf0.001"))
         assert not any(n in text for n in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")), name
+
+
+def test_cluster_splits_share_no_cluster(spark):
+    from editlake.plans import all_queries
+
+    run = lambda n: all_queries()[0][n](spark, "/root/testdata/sf0.001")
+    both = run("split_by_cluster").join(run("butina_clusters").withColumnRenamed("id", "vec_id"), "vec_id")
+    assert both.groupBy("leader").agg(F.countDistinct("split").alias("n")).where("n > 1").isEmpty()
+    pairs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    for name in ("split_by_sequence_similarity", "split_pairs_by_cluster_priority"):
+        got = run(name).collect()
+        assert 0 < len(got) <= pairs and len({r.pair_id for r in got}) == len(got) and {r.split for r in got} <= {"train", "val", "test"}

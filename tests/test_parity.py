@@ -12,7 +12,7 @@ from editlake.plans.fixtures import TABLES
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES, SQL = all_queries()
-NO_SQL = {"butina_clusters", "kmer_leader_clusters", "kmeans_edit_clusters", "ridge_delta_model", "pca_projection"}
+NO_SQL = {"butina_clusters", "kmer_leader_clusters", "kmeans_edit_clusters", "ridge_delta_model", "pca_projection", "split_by_cluster", "split_by_sequence_similarity", "split_pairs_by_cluster_priority"}
 
 
 def plain(v):
