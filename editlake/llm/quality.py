@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editlake.llm.common import checkpointed, shuffle_key, text_of
+from editlake.llm.common import bounded_sample, checkpointed, text_of
 from editlake.llm.wordbatch import Words, chunks, mixed
 
 #: Words are hashed to WORDS rows; each has DIM coordinates. Index vectors have NONZERO signs; contexts reach REACH words to either side.
@@ -164,7 +164,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     kind = docs.schema[id_col].dataType.simpleString()
     vectors = word_vectors(docs, text_col)
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("most")).where("y = most and id is not null")
-    sample = checkpointed(known.where(fold != 0).select("id", F.col("y").cast("int").alias("y")).orderBy(shuffle_key("id", "quality"), "id").limit(train_rows))
+    sample = checkpointed(bounded_sample(known.where(fold != 0).select("id", F.col("y").cast("int").alias("y")), "id", "quality", train_rows))
     taught = given.join(F.broadcast(sample), "id").select("id", "y", "text").mapInArrow(_pool_with(vectors, None), f"id {kind}, y int, made binary").toArrow()
     rows = sorted(zip(taught["id"].to_pylist(), taught["made"].to_pylist(), taught["y"].to_pylist(), strict=True))
     x = np.array([np.frombuffer(r[1], np.float32) for r in rows], float).reshape(len(rows), 3 * DIM)
