@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlake.llm.common import checkpointed, table
+from editlake.llm.common import table
 from editlake.llm.decontaminate import contaminated, decontaminated
 from editlake.llm.mixing import curriculum_mix, mixed_documents
 from editlake.llm.quality import quality_scores
 from editlake.llm.sharding import interleaved_shards
 from editlake.llm.simhash import near_duplicates_removed, simhash_groups
+from editlake.operators.shared import scratch_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what a stage returns is written to the shared checkpoint folder before the next one reads it."""
+    """All stages; what a stage returns is written as Parquet in the shared folder and read again by the next one."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        path = scratch_path(spark, f"stage{k}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
