@@ -10,6 +10,7 @@ from editlake.llm.common import checkpointed, text_of
 
 #: Lines that a repeated run must have to be deleted.
 MIN_LINES = 3
+NO_ID = -(1 << 63)
 
 
 def _ranked(suffixes: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,33 +42,51 @@ def repeated_runs(lines: DataFrame, least: int) -> DataFrame:
     return ranked
 
 
+def maximal_runs(suffixes: DataFrame, least: int) -> DataFrame:
+    """Ranked suffixes -> (id, k, start, n_lines, first_id, first_k, first_start): the later copies of repeated runs.
+
+    Each suffix but the first of its interval points to the first. Neighbouring suffixes whose firsts are neighbours too
+    are one run; with its last suffix's `least` lines it is as long as the common prefix goes. Islands are found
+    inside one document and one pair of places, never across an interval.
+    """
+    firsts = suffixes.groupBy("rank").agg(F.min(F.struct("id", "k", "no")).alias("first"))
+    later = suffixes.join(firsts, "rank").where(F.struct("id", "k", "no") > F.col("first"))
+    pointed = later.select("id", "k", "no", F.col("first.id").alias("first_id"), F.col("first.k").alias("first_k"), (F.col("no") - F.col("first.no")).alias("shift"))
+    pair = ["id", "k", "first_id", "first_k", "shift"]
+    islands = pointed.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy(*pair).orderBy("no")))
+    runs = islands.groupBy(*pair, "island").agg(F.min("no").alias("start"), (F.count("*") + (least - 1)).cast("int").alias("n_lines"))
+    return runs.select("id", "k", "start", "n_lines", "first_id", "first_k", (F.col("start") - F.col("shift")).alias("first_start"))
+
+
+def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents as (id, k, text), k a hash of the text, and their lines as (id, k, no, a, b)."""
+    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
+    split = given.where("text != ''").select("id", "k", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return given, split.select("id", "k", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("b"), "line").alias("b"))
+
+
 def line_dedup(docs: DataFrame, least: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deletes later copies of every run of `least` or more lines that occurs more than once.
 
-    A maximal repeated run is the union of the repeated runs of exactly `least` lines inside it; each of those but the
-    first (smallest id, then line) of its suffix-array interval is deleted, so of a maximal run the first copy stays.
-    Lines are what stands between line feeds, compared as they are; empty lines count.
+    Of a maximal repeated run the first copy stays (smallest id, then line). Lines are what stands between line feeds,
+    compared as they are; empty lines count.
 
     Returns id, n_lines, n_removed, kept_text (kept lines joined by line feeds). Null and empty texts have no lines.
     Null ids sort before others; rows with one id but different texts are documents of their own; of wholly equal rows
     all but one count as copies, and lose all lines if they have `least`. No rows in, none out; other columns are
     ignored.
     """
-    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
-    line = F.col("line")
-    lines = checkpointed(given.where("text != ''").select("id", "k", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("id", "k", "no", F.xxhash64(line).alias("a"), F.xxhash64(F.lit("b"), line).alias("b")))
-    runs = repeated_runs(lines, least)
-    firsts = runs.groupBy("rank").agg(F.min(F.struct("id", "k", "no")).alias("first"))
-    later = runs.join(firsts, "rank").where(F.struct("id", "k", "no") > F.col("first"))
-    gone = later.groupBy("id", "k").agg(F.collect_set("no").alias("starts"))
+    given, lines = line_ids(docs, id_col, text_col)
+    runs = maximal_runs(repeated_runs(checkpointed(lines), least), least)
+    gone = runs.groupBy("id", "k").agg(F.collect_list(F.struct("start", "n_lines")).alias("runs"))
     copies = given.withColumn("copy", F.row_number().over(Window.partitionBy("id", "k").orderBy("k")))
     split = copies.join(gone, ["id", "k"], "left").withColumn("lines", F.when(F.col("text") != "", F.split("text", "\n")).otherwise(F.array().cast("array<string>")))
     n = F.size("lines")
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    removed = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (least - 1))))
-    left = F.when((F.col("copy") > 1) & (n >= least), F.array().cast("array<int>")).when(F.col("starts").isNull(), every).otherwise(F.array_except(every, removed))
+    removed = F.flatten(F.transform("runs", lambda r: F.sequence(r.start, r.start + r.n_lines - 1)))
+    left = F.when((F.col("copy") > 1) & (n >= least), F.array().cast("array<int>")).when(F.col("runs").isNull(), every).otherwise(F.array_except(every, removed))
     return split.withColumn("left", left).select(
-        F.when(F.col("id") != -(1 << 63), F.col("id")).alias(id_col),
+        F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
         n.cast("long").alias("n_lines"),
         (n - F.size("left")).cast("long").alias("n_removed"),
         F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n").alias("kept_text"),

@@ -11,7 +11,7 @@ from brute import leaks, targets, words
 from editlake.llm.chat import format_chats
 from editlake.llm.decontaminate import contaminated, decontaminated
 from editlake.llm.exact_dedup import exact_dedup
-from editlake.llm.line_dedup import line_dedup
+from editlake.llm.line_dedup import line_dedup, line_ids, maximal_runs, repeated_runs
 from editlake.llm.mixing import curriculum_mix, mixed_documents
 from editlake.llm.queries import op8_benchmark_decontamination, op9_sharding, op10_source_mixing
 from editlake.llm.sharding import interleaved_shards
@@ -61,6 +61,12 @@ def test_line_dedup(spark, least):
     assert got == lines_left(rows, least)
 
 
+def test_maximal_runs(spark):
+    docs = frame(spark, [(1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\nd\ny\na\nb\nc\nd\ne"), (3, "c\nd"), (4, "z\nz\nz\nz\nz")])
+    runs = maximal_runs(repeated_runs(line_ids(docs)[1], 3), 3).collect()
+    assert {(r.id, r.start, r.n_lines, r.first_id, r.first_start) for r in runs} == {(2, 1, 3, 1, 1), (2, 5, 5, 1, 0), (4, 1, 3, 4, 0), (4, 2, 3, 4, 0)}
+
+
 def test_line_dedup_odd_rows(spark):
     text = "a\nb\nc\nd"
     got = Counter((r.doc_id, r.n_removed, r.kept_text) for r in line_dedup(frame(spark, [(None, text), (1, text), (1, text), (2, "a\nb"), (2, "x\n" + text)])).collect())
