@@ -21,7 +21,7 @@ FREQUENT = 1 / 2000
 #: Bytes of packed strings that one bucket group is to hold.
 GROUP_BYTES = 8 << 20
 #: Bytes of text whose packed strings a task sends together: more make larger blocks for a group, which compress better.
-CHUNK, LEVEL = 6 << 20, 5
+CHUNK, LEVEL = 4 << 20, 6
 #: Packed strings that a task remembers, to send repeats of its own no further.
 REMEMBERED = 50_000
 NO_ID = -(1 << 63)
