@@ -11,6 +11,9 @@ from editlake.functions.sequence import char, hamming_distance, places
 from editlake.operators.ordering import exact_rank, md5_key
 from editlake.operators.relational import first_per_key
 
+#: Members of a core that one join key holds on its left side.
+CORE_PART = 1000
+
 
 def capped_cores(fragments: DataFrame, cap: int, seed: str = "cap") -> DataFrame:
     """At most `cap` members of each core, in seeded order: the guard against skew of the pair join."""
@@ -22,19 +25,20 @@ def mmp_pairs(fragments: DataFrame, molecules: DataFrame, max_mw_delta: float =
     """Unordered pairs of molecules with a common core and nearly the same mass.
 
     Cores with fewer than `min_mols` members are left out, larger ones than `cap` sampled down. The join is on the core
-    and a mass band: bins of the band's width make neighbours meet in one bin or the next, so a large core is spread
-    over many join keys.
+    and a mass band: bins of the band's width make neighbours meet in one bin or the next. Where the band is wide, a large
+    core is spread over join keys by parts of about CORE_PART members, each of which meets all members.
     """
     members = fragments.join(molecules.where("mw is not null").select("mol_id", "mw"), "mol_id")
-    sized = members.join(fragments.groupBy("core").count().where(F.col("count") >= min_mols).select("core"), "core", "left_semi")
+    counts = fragments.groupBy("core").count().where(F.col("count") >= min_mols)
+    sized = members.join(counts.select("core", F.ceil(F.col("count") / CORE_PART).cast("int").alias("parts")), "core")
     if cap:
         sized = capped_cores(sized, cap)
     binned = sized.withColumn("bin", F.floor(F.col("mw") / max_mw_delta))
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("mol_id", "chain", "mw")]
-    left = binned.select("core", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), *side("a"))
-    right = binned.select("core", "bin", *side("b"))
+    left = binned.select("core", F.pmod(F.xxhash64("mol_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), *side("a"))
+    right = binned.select("core", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "bin", *side("b"))
     close = (F.col("mol_id_a") < F.col("mol_id_b")) & (F.abs(F.col("mw_a") - F.col("mw_b")) <= max_mw_delta)
-    return left.join(right, ["core", "bin"]).where(close).select("core", F.col("mol_id_a").alias("mol_a"), F.col("mol_id_b").alias("mol_b"), "chain_a", "chain_b")
+    return left.join(right, ["core", "part", "bin"]).where(close).select("core", F.col("mol_id_a").alias("mol_a"), F.col("mol_id_b").alias("mol_b"), "chain_a", "chain_b")
 
 
 def smallest_core(pairs: DataFrame) -> DataFrame:

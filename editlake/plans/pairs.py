@@ -12,7 +12,8 @@ from editlake.plans.registry import Tables, query
 
 
 def _core_pairs(t: Tables):
-    return P.mmp_pairs(t("fragments"), t("molecules"), max_mw_delta=1, min_mols=5, cap=None)
+    """PAIR1 with the stated default band and no cap."""
+    return P.mmp_pairs(t("fragments"), t("molecules"), max_mw_delta=200, min_mols=5, cap=None)
 
 
 def _pairs(t: Tables):
