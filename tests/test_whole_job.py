@@ -1,12 +1,16 @@
 """Registered queries read the whole of their tables, against plain loops."""
 
 import itertools
+import random
 from collections import defaultdict
 
+import pytest
+
+from editlake.functions import metrics as M
 from editlake.operators import pairs as P
 from editlake.plans import all_queries
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES, _ = all_queries()
 
 
@@ -29,3 +33,30 @@ def test_parts_of_a_large_core_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(P, "CORE_PART", 4)
     got = sorted(tuple(r) for r in QUERIES["mmp_pairs_by_core"](spark, SMALL).select("core", "mol_a", "mol_b").collect())
     assert got == core_pairs(spark, 5)
+
+
+def tau(rows):
+    sign = lambda a, b: (a > b) - (a < b)
+    two = [(sign(a[0], b[0]), sign(a[1], b[1])) for a, b in itertools.combinations(rows, 2)]
+    scale = (sum(x != 0 for x, _ in two) * sum(x != 0 for _, x in two)) ** 0.5
+    return sum(a * b for a, b in two) / scale if scale else None
+
+
+@pytest.mark.parametrize("bucket", [4, 1 << 14])
+def test_kendall_of_all_groups(spark, monkeypatch, bucket):
+    monkeypatch.setattr(M, "BUCKET", bucket, raising=False)
+    draw = random.Random(3)
+    groups = {"large": [(draw.randint(0, 40), draw.randint(0, 90) / 4) for _ in range(400)], "binary": [(i % 2, draw.random()) for i in range(60)], None: [(1, 2), (2, 1), (3, 3)], "same": [(1, 2), (1, 3)], "one": [(1, 1)]}
+    df = spark.createDataFrame([(g, float(a), float(b)) for g, rows in groups.items() for a, b in rows] + [("large", None, 1.0)], "g string, y_true double, y_pred double")
+    got = {r.g: (r.n, r.kendall) for r in M.kendall_tau(df, ["g"]).collect()}
+    assert got == {g: (len(rows), None if (t := tau(rows)) is None else pytest.approx(t, abs=1e-6)) for g, rows in groups.items()}
+
+
+def test_kendall_has_every_supplier(spark):
+    lines = defaultdict(list)
+    for r in spark.read.parquet(f"{MIDDLE}/lineitem.parquet").collect():
+        lines[r.l_suppkey].append((r.l_quantity, r.l_quantity * (1 - r.l_discount) + 10 * r.l_tax))
+    got = {r.l_suppkey: r for r in QUERIES["kendall_tau"](spark, MIDDLE).collect()}
+    assert {s: r.n for s, r in got.items()} == {s: len(rows) for s, rows in lines.items()}
+    for s in (max(lines), min(lines)):
+        assert got[s].kendall == pytest.approx(tau(lines[s]), abs=2e-6)
