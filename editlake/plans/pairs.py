@@ -221,7 +221,7 @@ def variant_apply_strand(t: Tables):
 
 @query("select l_partkey variant_id, 'tax' cell_type, round(l_tax, 6) skew, coalesce(l_quantity, 0) ref_value from lineitem where nullif(l_tax, 0) is not null and l_orderkey < 500 union all select l_partkey, 'discount', round(l_discount, 6), coalesce(l_quantity, 0) from lineitem where nullif(l_discount, 0) is not null and l_orderkey < 500", name="unpivot_cell_lines")
 def unpivot_cell_lines(t: Tables):
-    wide = t("lineitem").where("l_orderkey < 500")
+    wide = t("lineitem")
     groups = F.array(*(F.struct(F.lit(n).alias("cell_type"), F.round(F.nullif(F.col(c), F.lit(0.0)), 6).alias("skew"), F.coalesce("l_quantity", F.lit(0.0)).alias("ref_value")) for n, c in (("tax", "l_tax"), ("discount", "l_discount"))))
     return wide.select(F.col("l_partkey").alias("variant_id"), F.explode(groups).alias("g")).select("variant_id", "g.*").where("skew is not null")
 

@@ -1,10 +1,12 @@
 """Registered queries read the whole of their tables, against plain loops."""
 
 import itertools
+import math
 import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from editlake.functions import metrics as M
 from editlake.operators import pairs as P
@@ -60,3 +62,19 @@ def test_kendall_has_every_supplier(spark):
     assert {s: r.n for s, r in got.items()} == {s: len(rows) for s, rows in lines.items()}
     for s in (max(lines), min(lines)):
         assert got[s].kendall == pytest.approx(tau(lines[s]), abs=2e-6)
+
+
+def test_no_id_ranges(spark, tmp_path):
+    line = spark.read.parquet(f"{MIDDLE}/lineitem.parquet").withColumn("l_suppkey", F.col("l_suppkey") + 1000).withColumn("l_orderkey", F.col("l_orderkey") + 1000)
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.read.parquet(f"{MIDDLE}/part.parquet").write.parquet(str(tmp_path / "part.parquet"))
+    rows = line.collect()
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(run("unpivot_cell_lines")) == sum(bool(r[c]) for r in rows for c in ("l_tax", "l_discount"))
+    assert [r.mol_id for r in run("molecules_distinct_join")] == sorted({r.l_partkey for r in rows})[:500]
+    prices = defaultdict(list)
+    for r in rows:
+        if r.l_returnflag == "A":
+            prices[r.l_suppkey].append(r.l_extendedprice)
+    want = sorted(0.001987 * 298 * math.log(r.l_extendedprice / (sum(p) / len(p) if (p := prices.get(r.l_suppkey)) else 100)) for r in rows if r.l_returnflag != "A")
+    assert sorted(r.ddg for r in run("reference_kd_ddg")) == pytest.approx(want, abs=2e-6)
