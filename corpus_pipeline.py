@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from editlake.llm.common import table
+from editlake.llm.common import table, with_row_key
 from editlake.llm.decontaminate import contaminated, decontaminated
 from editlake.llm.mixing import curriculum_mix, mixed_documents
 from editlake.llm.quality import quality_scores
@@ -21,18 +21,21 @@ from editlake.operators.shared import scratch_path
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    rejected = quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    rows = with_row_key(docs)
+    rejected = quality_scores(rows, table(spark, sf_dir, "labels"), key_col="__row").where("predicted = 0").select("__row").distinct()
+    return rows.join(rejected, "__row", "left_anti").select(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    return near_duplicates_removed(docs, simhash_groups(docs))
+    """The document with the smallest id, then row key, of each near-duplicate group."""
+    rows = with_row_key(docs)
+    return near_duplicates_removed(rows, simhash_groups(rows, id_col="__row"), "__row").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminated(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    rows = with_row_key(docs)
+    return decontaminated(rows, contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="__row"), "__row").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def with_row_key(docs: DataFrame, id_col: str = "doc_id", name: str = "__row") -> DataFrame:
+    """Adds a key that tells apart rows of one id or of none: the id, null ids last, and a 128-bit hash of the row.
+
+    Only wholly equal rows share a key. Its order is that of ids, so the smallest key of a group has its smallest id.
+    """
+    row = [F.col(c) for c in docs.columns]
+    return docs.withColumn(name, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*row, *(c.isNull() for c in row)).alias("a"), F.xxhash64(F.lit("b"), *row, *(c.isNull() for c in row)).alias("b")))
+
+
 def shuffle_key(id_column: str, seed: str) -> Column:
     """A seeded pseudo-random order as 32 hex digits, the same in every engine; a null id counts as empty."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))

@@ -95,6 +95,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
 
 
 def decontaminated(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that are in no pair."""
+    """The rows of `docs` that are in no pair; where ids are null or shared, `id_col` has to be a key of rows (`with_row_key`)."""
     hit = pairs.select(F.col(id_col).alias("__id")).distinct()
     return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")

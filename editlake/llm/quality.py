@@ -146,7 +146,7 @@ def _pool_with(vectors: np.ndarray, net: dict | None):
     return pool
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", key_col: str | None = None) -> DataFrame:
     """Scores every text with the probability that its quality label is 1.
 
     A word's vector is the sum of the sparse random index vectors of the words around it, over all texts. A text is
@@ -157,7 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     each input row. Null and empty texts have no words and get a score like any text. Null ids count as empty text for
     held_out. Ids with labels that contradict each other, null labels and labels without a document teach nothing;
     with fewer than 20 usable labels or one class all scores are the smoothed share of label 1. No documents, no
-    rows; other columns are ignored.
+    rows; other columns are ignored, but `key_col`, if given, is returned after the id.
     """
     fold = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5
     given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -169,5 +169,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     rows = sorted(zip(taught["id"].to_pylist(), taught["made"].to_pylist(), taught["y"].to_pylist(), strict=True))
     x = np.array([np.frombuffer(r[1], np.float32) for r in rows], float).reshape(len(rows), 3 * DIM)
     net = fit(x, np.array([r[2] for r in rows], int))
-    made = given.mapInArrow(_pool_with(vectors, net), f"id {kind}, made double")
-    return made.select(F.col("id").alias(id_col), (fold == 0).alias("held_out"), F.col("made").alias("score"), (F.col("made") >= threshold).cast("int").alias("predicted"))
+    keys = [key_col] if key_col else []
+    kinds = "".join(f", {k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    texts = docs.select(F.col(id_col).alias("id"), *keys, text_of(text_col).alias("text"))
+    made = texts.mapInArrow(_pool_with(vectors, net), f"id {kind}{kinds}, made double")
+    return made.select(F.col("id").alias(id_col), *keys, (fold == 0).alias("held_out"), F.col("made").alias("score"), (F.col("made") >= threshold).cast("int").alias("predicted"))

@@ -210,6 +210,9 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
 
 
 def near_duplicates_removed(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group."""
+    """The rows of `docs` whose id is the smallest of its group, one row for each id.
+
+    Where ids are null or shared by different texts, `id_col` has to be a key of rows (`with_row_key`).
+    """
     firsts = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
     return docs.join(firsts, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
