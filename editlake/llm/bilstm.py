@@ -81,14 +81,29 @@ def predict(net: dict, pages: list[np.ndarray], rows: int = 128, cells: int = 1
     return out
 
 
-def fit(net: dict, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, rows: int = 48, rate: float = 0.01, seed: int = 11) -> dict:
+def _batches(lengths: list[int], rows: int, cells: int, draw: np.random.Generator) -> list[np.ndarray]:
+    """Random batches of sequences; long ones are put together with few others, so that a batch has `cells` items or one sequence."""
+    order, out = draw.permutation(len(lengths)), []
+    few = np.array([n * rows > cells for n in lengths])[order]
+    for part in (order[~few], sorted(order[few], key=lambda k: lengths[k])):
+        held: list[int] = []
+        for k in part:
+            if held and (len(held) == rows or max(lengths[k], *(lengths[j] for j in held)) * (len(held) + 1) > cells):
+                out.append(np.array(held))
+                held = []
+            held.append(k)
+        if held:
+            out.append(np.array(held))
+    return [out[i] for i in draw.permutation(len(out))]
+
+
+def fit(net: dict, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, rows: int = 48, rate: float = 0.01, seed: int = 11, cells: int = 1 << 14) -> dict:
     """Trained by Adam on whole sequences."""
     draw, t = np.random.default_rng(seed), 0
     m, s = {k: np.zeros_like(v) for k, v in net.items()}, {k: np.zeros_like(v) for k, v in net.items()}
     for epoch in range(epochs):
-        order = draw.permutation(len(pages))
-        for i in range(0, len(order), rows):
-            some, t = order[i : i + rows], t + 1
+        for some in _batches([len(p) for p in pages], rows, cells, draw):
+            t += 1
             x, n = padded([pages[k] for k in some])
             y, w = np.zeros(x.shape[:2]), np.zeros(x.shape[:2])
             for j, k in enumerate(some):

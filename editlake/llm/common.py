@@ -31,9 +31,18 @@ def with_row_key(docs: DataFrame, id_col: str = "doc_id", name: str = "__row") -
     return docs.withColumn(name, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*row, *(c.isNull() for c in row)).alias("a"), F.xxhash64(F.lit("b"), *row, *(c.isNull() for c in row)).alias("b")))
 
 
-def shuffle_key(id_column: str, seed: str) -> Column:
-    """A seeded pseudo-random order as 32 hex digits, the same in every engine; a null id counts as empty."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
+def shuffle_key(id_column: str, seed: str, *more: Column) -> Column:
+    """A seeded pseudo-random order as 32 hex digits, the same in every engine; a null id counts as empty.
+
+    `more` (such as a digest of the text) tells apart rows of one id or of none, which would share a place otherwise.
+    """
+    parts = [F.coalesce(F.col(id_column).cast("string"), F.lit("")), *more]
+    return F.md5(F.concat_ws("|", F.lit(seed), *parts))
+
+
+def text_digest(column: str = "text") -> Column:
+    """MD5 of a text, null as empty."""
+    return F.md5(text_of(column))
 
 
 def bounded_sample(df: DataFrame, id_column: str, seed: str, most: int) -> DataFrame:

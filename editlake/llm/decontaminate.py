@@ -9,8 +9,8 @@ from editlake.llm.common import WORD, checkpointed, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Sketch rows up to which they are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of a benchmark's sketches (16 bytes), or its shingles (some 40), up to which they are broadcast, and documents with candidates (16); more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_DOCS = 500_000, 2_000_000
 
 
 def _words(text: Column) -> Column:
@@ -30,6 +30,11 @@ def _strings(words: Column, shingle: int) -> Column:
     return F.array_distinct(F.transform(_places(words, shingle), lambda i: F.array_join(F.slice(words, i + 1, shingle), " ")))
 
 
+def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """Marked for broadcast where its counted rows are at most `most`."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item of whose distinct word shingles it holds `threshold` or more.
 
@@ -38,8 +43,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     smallest hashes. A document with containment `threshold` lacks fewer than that many, hence holds at least one of
     them: the search loses nothing. Items are partitioned by size (powers of two). A partition has the largest sketch
     hash of its items as cut-off and the smallest number of shingles that its items ask for; a document probes with
-    its hashes up to the largest cut-off among the partitions that it is long enough for. Candidates are then verified
-    by comparing the shingles themselves.
+    its hashes up to the largest cut-off among the partitions that it is long enough for. Documents with candidates are
+    read again and their shingles compared with those of the items as strings; their ids are broadcast if they are
+    counted to be few, so that no text is shuffled, else joined by a shuffle.
 
     Returns id, item_id, n_item_shingles, n_shared, containment; distinct. Words are lower-cased. A text of fewer words
     than a shingle is one shingle, found only in a document of the same words. Null and empty texts hold nothing and
@@ -61,9 +67,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
         cut = F.lit(None).cast("long")
     else:
         cut = F.greatest(*(F.when(F.col("n_doc") >= k["need"], F.lit(k["cut"])) for k in kinds), F.lit(None).cast("long"))
-    sketch = items.select("item", "need", F.explode("sketch").alias("hash"))
-    if sketch.count() <= BROADCAST_ROWS:
-        sketch = F.broadcast(sketch)
+    sizes = items.agg(F.sum(F.size("sketch")).alias("sketch"), F.sum("n").alias("shingles")).first()
+    sketch = _small(items.select("item", "need", F.explode("sketch").alias("hash")), sizes["sketch"] or 0, BROADCAST_ROWS)
+    index = _small(items.select("item", "n", "need", F.explode("strings").alias("string")), sizes["shingles"] or 0, BROADCAST_ROWS)
     given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
     probes = (
         given.select("id", "k", _words(F.col("text")).alias("words"))
@@ -72,16 +78,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
         .withColumn("cut", cut)
         .select("id", "k", "n_doc", F.explode(F.filter("hashes", lambda h: h <= F.col("cut"))).alias("hash"))
     )
-    found = probes.join(sketch, "hash").where(F.col("n_doc") >= F.col("need")).select("id", "k", "item").distinct()
-    asked = found.groupBy("id", "k").agg(F.collect_list(F.struct("item")).alias("items")).select(F.col("id").alias("__id"), F.col("k").alias("__k"), "items")
+    found = checkpointed(probes.join(sketch, "hash").where(F.col("n_doc") >= F.col("need")).select(F.col("id").alias("__id"), F.col("k").alias("__k")).distinct())
+    asked = _small(found, found.count(), BROADCAST_DOCS)
     held = (
-        given.join(asked, (F.col("k") == F.col("__k")) & F.col("id").eqNullSafe(F.col("__id")))
-        .select("id", "items", _words(F.col("text")).alias("words"))
-        .select("id", "items", _strings(F.col("words"), shingle).alias("mine"))
-        .select("id", "mine", F.explode("items").alias("one"))
-        .select("id", "mine", "one.item")
-        .join(items.select(F.col("item").alias("__item"), "strings", "n", "need"), F.col("item").eqNullSafe(F.col("__item")))
-        .select("id", "item", "n", "need", F.size(F.array_intersect("mine", "strings")).alias("shared"))
+        given.join(asked, (F.col("k") == F.col("__k")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+        .select("id", "k", _words(F.col("text")).alias("words"))
+        .select("id", "k", F.explode(_strings(F.col("words"), shingle)).alias("string"))
+        .join(index, "string")
+        .groupBy("id", "k", "item", "n", "need")
+        .agg(F.countDistinct("string").alias("shared"))
         .where("shared >= need")
     )
     best = held.groupBy("id", "item", "n").agg(F.max("shared").alias("shared"))

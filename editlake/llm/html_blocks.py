@@ -14,6 +14,8 @@ from editlake.llm.wordbatch import Words, mixed
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template title".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: What a head may hold: any other element ends it, whether `</head>` stands there or not.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: An open paragraph ends where one of these begins.
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -45,7 +47,13 @@ class Blocks(HTMLParser):
             self.links -= tag == "a"
         del self.open[upto:]
 
+    def end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.pop(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in VOID:
             self.text.append(" ")
             return
@@ -77,6 +85,8 @@ class Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if not self.hidden:
             self.text.append(data)
             self.linked += len(data) if self.links else 0
@@ -111,7 +121,7 @@ def features(blocks: list[tuple]) -> np.ndarray:
     words = Words([t.encode("utf-8", "surrogatepass") for _, t, _ in blocks], lower=True)
     vectors = _TABLE[(words.hashes() >> np.uint64(50)).astype(np.int64) % len(_TABLE)]
     full = np.flatnonzero(words.n)
-    x[full, PATH : PATH + WORD] = np.add.reduceat(vectors, words.first[full]) / np.sqrt(words.n[full, None])
+    x[full, PATH : PATH + WORD] = np.clip(np.add.reduceat(vectors, words.first[full]) / np.sqrt(words.n[full, None]), -2, 2)
     x[:, PATH + WORD] = np.log1p(words.n) / 4
     x[:, PATH + WORD + 1] = [linked for _, _, linked in blocks]
     x[:, PATH + WORD + 2] = [t[-1] in ".!?…:;\"'”»)" for _, t, _ in blocks]

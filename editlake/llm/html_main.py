@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from editlake.llm import bilstm
-from editlake.llm.common import bounded_sample
+from editlake.llm.common import bounded_sample, checkpointed
 from editlake.llm.html_blocks import FEATURES, PATH, WORD, Blocks, features
 from editlake.llm.wordbatch import chunks
 
-#: Pages that the labeller is fitted on, the longest page among them, and made-up layouts for each.
-TRAIN_PAGES, LONGEST, LAYOUTS, MOST_BLOCKS = 300, 1 << 18, 6, 40
+#: Pages that the labeller is fitted on, characters of the longest page among them, and made-up layouts for each. These
+#: are the only bounds on what is learnt from; pages are read whole.
+TRAIN_PAGES, LONGEST, LAYOUTS = 300, 1 << 16, 6
+#: Words of a block that counts as running text where no author marks any.
+RUNNING = 8
 
 # Names that page authors give to the parts of a page.
 MAIN = (["article"], ["main"], ["main", "article"], ["div", ".content"], ["div", ".main", ".content"], ["div", ".post", ".body"], ["section", ".entry"], ["div", ".story"], ["div", ".article", ".text"], ["article", ".post"], ["div", ".page", "main"], ["div", ".container", "article"])
@@ -61,13 +64,18 @@ def _layout(draw: random.Random, texts: list[tuple], boiler: list[tuple]) -> tup
 
 
 def train(pages: list[str], layouts: int = LAYOUTS) -> dict:
-    """A labeller fitted on pages whose authors name their parts, and on their texts in other layouts."""
+    """A labeller fitted on pages whose authors name their parts, and on their texts in other layouts.
+
+    Where no author names any part, it is fitted on layouts made of the pages' running texts and their short blocks.
+    """
     draw = random.Random(23)
     parsed = [b for b in (Blocks(h).found for h in pages) if b]
-    boiler = [(t, linked) for b in parsed for p, t, linked in b if not _said(p)] or [("Menu", 1.0), ("All rights reserved.", 0.0)]
-    sets = [(b[:MOST_BLOCKS], [_said(p) for p, _, _ in b][:MOST_BLOCKS]) for b in parsed]
+    named = any(_said(p) for b in parsed for p, _, _ in b)
+    is_text = (lambda p, t, linked: _said(p)) if named else (lambda p, t, linked: len(t.split()) >= RUNNING and linked < 0.5)
+    boiler = [(t, linked) for b in parsed for p, t, linked in b if not is_text(p, t, linked)] or [("Menu", 1.0), ("All rights reserved.", 0.0)]
+    sets = [(b, [_said(p) for p, _, _ in b]) for b in parsed] if named else []
     for b in parsed:
-        texts = [(t, linked) for p, t, linked in b if _said(p)][: MOST_BLOCKS // 2]
+        texts = [(t, linked) for p, t, linked in b if is_text(p, t, linked)]
         sets += [_layout(draw, texts, boiler) for _ in range(layouts)] if texts else []
     x = [features(b) for b, _ in sets]
     for rows in x:  # words tell less than places do: every other page is read without them
@@ -95,18 +103,21 @@ def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES, id_col:
     A block is the text between block-level tags, white space turned into one space, character references decoded;
     scripts, styles and the head are no blocks. The LSTM reads, for the whole page, the hashed tag path (tags, class,
     id and role words), hashed words, length and linked share of each block. It is fitted on at most `train_pages`
-    pages (in a seeded random order of ids) whose authors mark the article, also with their texts put into other
-    layouts, so that it learns part names that these pages lack. Every page is read whole.
+    pages of at most LONGEST characters (in a seeded random order of ids, one page an id) whose authors mark the
+    article, or on any pages if none does, also with their texts put into other layouts, so that it learns part names
+    that these pages lack. Every page is read whole.
 
     Returns id, url, text, n_chars (code points), n_blocks, n_kept, a row for each input row. Null and empty pages
     and pages without content give an empty text; null ids and urls and repeated rows are kept. No rows in, none out;
     other columns are ignored.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    known = pages.where(F.col(html_col).rlike("(?i)<(article|main)[ >]") & (F.length(html_col) <= LONGEST))
-    chosen = bounded_sample(known.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "id", "pages", train_pages)
-    sample = known.join(F.broadcast(chosen), F.col(id_col) == F.col("id")).select("id", F.col(html_col).alias("html")).limit(2 * train_pages).collect()
-    net = train([r["html"] for r in sorted(sample)[:train_pages]])
+    short = pages.where(F.col(id_col).isNotNull() & (F.length(html_col) <= LONGEST)).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    ids = checkpointed(short.groupBy("id").agg(F.max(F.col("html").rlike("(?i)<(article|main)[ >]")).alias("named")))
+    named = ids.where("named")
+    chosen = bounded_sample((ids if named.isEmpty() else named).select("id"), "id", "pages", train_pages)
+    sample = short.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("html").alias("html")).collect()
+    net = train([r["html"] for r in sorted(sample)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

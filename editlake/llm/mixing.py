@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from editlake.llm.common import WORD, checkpointed, hex_digits, running_sum, shuffle_key, text_of
+from editlake.llm.common import WORD, checkpointed, hex_digits, running_sum, shuffle_key, text_digest, text_of
 
 SEED = "mix"
 WEIGHTS = (3, 1, 2)
@@ -39,51 +39,61 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 
 def curriculum_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, slopes: tuple = SLOPES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How many words of each document a weighted mix takes, and when in training it first comes.
+    """How many words of each document a weighted mix takes, and when in training each of its uses comes.
 
-    The documents of a source make one stream in a seeded random order; the mix reads that stream, again from its
-    start where the target is larger than the source, up to the target in words: the last document may be used in part.
-    The weight of a source changes in time; its integral D(t) is the words asked of the source up to time t, and a
-    document in the middle of whose words the stream stands at c gets the position t with D(t) = c. Rows come
-    range-sorted by position. Streams are running sums over buckets of the order: no task holds a whole source.
+    The documents of a source make one stream in a seeded random order of id and text; the mix reads that stream, again
+    from its start where the target is larger than the source, up to the target in words: the last document may be
+    used in part. The weight of a source changes in time; its integral D(t) is the words asked of the source up to
+    time t, and a use in the middle of whose words the stream stands at c gets the position t with D(t) = c. Rows come
+    range-sorted by the position of their first use. Equal rows are one entry with a count until they have their
+    places; streams are running sums over buckets of the order: no task holds a whole source or the copies of a row.
 
-    Returns id, size (words), source_size, target, taken, position (0 to 1, null where nothing is taken). Null and
-    empty texts have size 0 and are never taken; null sources are a source, the last; repeated rows count as rows of
-    their own. An empty table gives no rows.
+    Returns id, size (words), source_size, target, taken, uses (array of position, 0 to 1, and words taken, in order) and
+    position (of the first use, null where nothing is taken). Null and empty texts have size 0 and are never taken;
+    null sources are a source, the last; repeated rows count as rows of their own. An empty table gives no rows.
     """
-    rows = checkpointed(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-            shuffle_key(id_col, seed).alias("key"),
-        )
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
+        shuffle_key(id_col, seed, text_digest(text_col)).alias("key"),
     )
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    digits = hex_digits(rows.count())
-    streams = running_sum(rows.withColumn("bucket", F.substring("key", 1, digits)), ["source"], "bucket", [F.col("key"), F.col("id"), F.col("size")], F.col("size"), "start")
-    whole = F.col("asked") - F.col("asked") % F.col("source_size")
-    passes, rest = (whole / F.col("source_size")).cast("long"), F.col("asked") % F.col("source_size")
-    y = F.least(F.lit(1.0), (F.col("start") + F.col("size") / 2) / F.col("target"))
+    entries = checkpointed(rows.groupBy("id", "source", "size", "key").agg(F.count("*").alias("copies")))
+    targets = source_targets(entries.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, share, most)
+    digits = hex_digits(entries.count())
+    streams = running_sum(entries.withColumn("bucket", F.substring("key", 1, digits)), ["source"], "bucket", [F.col("key"), F.col("id"), F.col("size")], F.col("size") * F.col("copies"), "first")
+    rest = F.col("asked") % F.col("source_size")
     a = F.col("slope")
-    time = F.when(a == 0, y).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * y) - (1 - a)) / (2 * a))
-    part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("start")))
+
+    def at(before: Column, words: Column) -> Column:
+        y = F.least(F.lit(1.0), (before + words / 2) / F.col("target"))
+        time = F.when(a == 0, y).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * y) - (1 - a)) / (2 * a))
+        return F.struct(F.round(time, 9).alias("position"), words.cast("long").alias("words"))
+
+    none = F.array().cast("array<struct<position:double,words:bigint>>")
+    full = F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda p: at(p * F.col("source_size") + F.col("start"), F.col("size")))
+    whole = F.when((F.col("passes") > 0) & (F.col("size") > 0), full).otherwise(none)
+    last = F.when(F.col("part") > 0, F.array(at(F.col("passes") * F.col("source_size") + F.col("start"), F.col("part")))).otherwise(none)
     return (
         streams.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")))
         .withColumn("asked", F.floor("target").cast("long"))
         .withColumn("slope", F.element_at(F.array(*map(F.lit, slopes)), (F.col("place") % len(slopes) + 1).cast("int")))
-        .withColumn("taken", F.when(F.col("source_size") > 0, passes * F.col("size") + part).otherwise(0).cast("long"))
-        .withColumn("position", F.when(F.col("taken") > 0, F.round(time, 9)))
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "position")
+        .withColumn("passes", F.when(F.col("source_size") > 0, F.expr("asked div source_size")).otherwise(0).cast("long"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("start", F.col("first") + F.col("copy") * F.col("size"))
+        .withColumn("part", F.when(F.col("source_size") > 0, F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("start")))).otherwise(0).cast("long"))
+        .withColumn("uses", F.concat(whole, last))
+        .select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), F.get("uses", F.lit(0))["position"].alias("position"), "uses")
         .orderBy(F.col("position").asc_nulls_last(), id_col)
     )
 
 
 def mixed_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents as the mix uses them: one row per use; a last use in part counts from one half on.
+    """The documents as the mix uses them: a row for each use, range-sorted by position; a use in part counts from one half on.
 
-    Rows repeated with one id share the larger count. Columns are those of `docs`.
+    Rows that share `id_col` have to be equal (`with_row_key`): one of them stands for all of their uses. Columns are
+    those of `docs`.
     """
-    uses = mix.where("taken > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max(F.expr("(2 * taken + size) div (2 * size)")).cast("int").alias("__uses"))
-    used = docs.join(uses.where("__uses > 0"), F.col(id_col).eqNullSafe(F.col("__id")))
-    return used.withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(*docs.columns)
+    uses = mix.select(F.col(id_col).alias("__id"), "size", F.explode("uses").alias("use")).where("2 * use.words >= size").select("__id", F.col("use.position").alias("__position"))
+    once = docs.dropDuplicates([id_col])
+    return once.join(uses, F.col(id_col).eqNullSafe(F.col("__id"))).orderBy("__position", id_col).select(*docs.columns)

@@ -156,6 +156,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     Returns id, held_out (that remainder is 0), score (0 to 1), predicted (1 if score >= threshold, else 0), a row for
     each input row. Null and empty texts have no words and get a score like any text. Null ids count as empty text for
     held_out. Ids with labels that contradict each other, null labels and labels without a document teach nothing;
+    of rows that share an id one teaches (that of the smallest pooled vector), so at most `train_rows` come to the driver;
     with fewer than 20 usable labels or one class all scores are the smoothed share of label 1. No documents, no
     rows; other columns are ignored, but `key_col`, if given, is returned after the id.
     """
@@ -165,7 +166,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     vectors = word_vectors(docs, text_col)
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("most")).where("y = most and id is not null")
     sample = checkpointed(bounded_sample(known.where(fold != 0).select("id", F.col("y").cast("int").alias("y")), "id", "quality", train_rows))
-    taught = given.join(F.broadcast(sample), "id").select("id", "y", "text").mapInArrow(_pool_with(vectors, None), f"id {kind}, y int, made binary").toArrow()
+    pooled_rows = given.join(F.broadcast(sample), "id").select("id", "y", "text").mapInArrow(_pool_with(vectors, None), f"id {kind}, y int, made binary")
+    taught = pooled_rows.groupBy("id", "y").agg(F.min("made").alias("made")).toArrow()
     rows = sorted(zip(taught["id"].to_pylist(), taught["made"].to_pylist(), taught["y"].to_pylist(), strict=True))
     x = np.array([np.frombuffer(r[1], np.float32) for r in rows], float).reshape(len(rows), 3 * DIM)
     net = fit(x, np.array([r[2] for r in rows], int))

@@ -57,7 +57,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum_mix(table(spark, sf_dir, "documents"))
+    mix = curriculum_mix(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "position", F.col("uses.position").alias("positions"))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op5_quality_classifier, op6_simhash_near_dedup, op7_html_extraction, op8_benchmark_decontamination, op9_sharding, op10_source_mixing)}
@@ -106,10 +107,28 @@ n as (select id, count(*) n from s where side = 'b' group by id),
 h as (select d.id doc_id, b.id item_id, count(*) shared from s d join s b on d.g = b.g where d.side = 'd' and b.side = 'b' group by all)
 select doc_id, item_id, n n_item_shingles, shared n_shared, round(shared / n, 6) containment
 from h join n on item_id = id where shared >= ceil(n * 0.8 - 1e-9)""",
+    "op9_sharding": r"""
+with t as (
+  select list_transform(range(0, 256), lambda i: list_reduce([i] || list_transform(range(0, 8), lambda z: 0::bigint),
+           lambda c, z: case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end)) tab),
+x as (select doc_id, source, coalesce(text, '') x from documents),
+b as (
+  select doc_id, source, octet_length(encode(x)) + 16 size, md5('shard|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(x)) k,
+         list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::bigint) bytes from x),
+d as (
+  select doc_id, source, size, k, xor(4294967295::bigint,
+           list_reduce([4294967295::bigint] || bytes, lambda c, y: xor(tab[(xor(c, y) & 255) + 1], c >> 8))) crc from b, t),
+r as (
+  select *, row_number() over (partition by source order by k, doc_id nulls first) - 1 r, count(*) over (partition by source) n from d),
+p as (
+  select *, (r + ('0x' || substr(md5('shard|' || coalesce(source, '')), 1, 8))::bigint / 4294967296.0::double) / n::double place from r),
+o as (select *, row_number() over (order by place, k, doc_id nulls first, source nulls first) - 1 o, count(*) over () total from p),
+s as (select *, o * 40 // total shard from o)
+select doc_id, size, crc text_crc32, 'rows' law, shard::int shard, (o - (shard * total + 39) // 40)::bigint slot, null::int grown_shard from s""",
     "op10_source_mixing": r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
-         md5('mix|' || coalesce(cast(doc_id as varchar), '')) k from documents),
+         md5('mix|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) k from documents),
 s as (select source, sum(size) source_size from d group by source),
 p as (select *, row_number() over (order by source nulls last) - 1 place from s),
 w as (select *, [3, 1, 2][place % 3 + 1] weight, [0.5, 0.0, -0.5][place % 3 + 1]::double slope, 2.0::double * source_size cap from p),
@@ -119,16 +138,18 @@ f as (
          row_number() over (order by source_size / weight, place) rk
   from w window b as (order by source_size / weight, place rows between unbounded preceding and 1 preceding)),
 lv as (select min_by(left_size / left_weight, rk) lvl from f where cap * left_weight > left_size * weight),
-t as (select source, source_size, slope, least(cap, coalesce(lvl * weight, cap))::double target from f, lv),
+t as (select source, source_size::bigint source_size, slope a, least(cap, coalesce(lvl * weight, cap))::double target from f, lv),
 c as (
-  select d.*, coalesce(sum(size) over (partition by source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0) start from d),
+  select d.*, coalesce(sum(size) over (partition by source order by k, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint start from d),
 m as (
-  select doc_id, size, source_size, target, slope a, floor(target)::bigint asked, start,
-         least(1.0::double, (start + size / 2) / target) y
+  select doc_id, size, source_size, target, a, start, case when source_size > 0 then floor(target)::bigint // source_size else 0 end passes,
+         case when source_size > 0 then least(size, greatest(0, floor(target)::bigint % source_size - start)) else 0 end part
   from c join t on c.source is not distinct from t.source),
 u as (
-  select *, case when source_size > 0 then (asked // source_size) * size + least(size, greatest(0, asked % source_size - start)) else 0 end taken from m)
-select doc_id, size, source_size::bigint source_size, target, taken::bigint taken,
-       case when taken > 0 then round(case when a = 0 then y else (sqrt((1 - a) * (1 - a) + 4 * a * y) - (1 - a)) / (2 * a) end, 9) end "position"
-from u""",
+  select *, case when size > 0 then list_transform(range(0, passes), lambda p: (p * source_size + start + size / 2.0::double) / target) else [] end
+         || case when part > 0 then [(passes * source_size + start + part / 2.0::double) / target] else [] end ys from m),
+v as (
+  select *, list_transform(ys, lambda y: round(case when a = 0 then least(1.0::double, y)
+         else (sqrt((1 - a) * (1 - a) + 4 * a * least(1.0::double, y)) - (1 - a)) / (2 * a) end, 9)) positions from u)
+select doc_id, size, source_size, target, (passes * size + part)::bigint taken, positions[1] "position", positions from v""",
 }

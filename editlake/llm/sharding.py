@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from editlake.llm.common import checkpointed, hex_digits, running_sum, shuffle_key, text_of
+from editlake.llm.common import checkpointed, hex_digits, running_sum, shuffle_key, text_digest, text_of
 
 SHARDS = 40
 SEED = "shard"
@@ -16,10 +16,12 @@ OVERHEAD = 16
 def interleaved_shards(docs: DataFrame, shards: int = SHARDS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Deals rows into shards that all hold the mixture of the whole.
 
-    Rows of a source are ranked in a seeded random order; the fractional rank (2 rank + 1) / (2 rows of the source)
-    spreads each source evenly over 0 to 1. All rows are ordered by it and cut into `shards` pieces, so that shard
-    counts are at most one apart (law `rows`) and each source is in each shard within a row or two of its share.
-    Both rankings are running sums over buckets of the order: no task holds a whole source, and no text is shuffled.
+    Rows of a source are ranked in a seeded random order of id and text; the fractional rank (rank + offset) / (rows of
+    the source), with an offset of 0 to 1 drawn for each source, spreads each source evenly over 0 to 1, and sources of
+    one row too. All rows are ordered by it and cut into `shards` pieces, so that shard counts are at most one apart
+    (law `rows`) and each of a few sources is in each shard within a row or two of its share; many tiny sources are
+    spread at random. Equal rows are ranked as one entry with a count. Both rankings are running sums over buckets of the order: no task holds a whole source or the
+    copies of a row, and no text is shuffled.
 
     Returns id, size (UTF-8 bytes and 16), text_crc32, law, shard, slot (from 0 without gaps in each shard),
     grown_shard (null: this law does not fix where rows go when a shard is added). Null texts have no bytes and
@@ -32,22 +34,23 @@ def interleaved_shards(docs: DataFrame, shards: int = SHARDS, seed: str = SEED,
         F.col(source_col).alias("source"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("crc"),
-        shuffle_key(id_col, seed).alias("key"),
+        shuffle_key(id_col, seed, text_digest(text_col)).alias("key"),
     )
-    rows = checkpointed(rows)
-    total = rows.count()
+    entries = checkpointed(rows.groupBy("id", "source", "size", "crc", "key").agg(F.count("*").alias("copies")))
+    total = entries.agg(F.sum("copies")).first()[0] or 0
     digits = hex_digits(total)
-    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
     order = [F.col("key"), F.col("id"), F.col("crc"), F.col("size")]
-    ranked = running_sum(rows, ["source"], "bucket", order, F.lit(1), "rank")
-    counts = rows.groupBy(F.col("source").alias("__source")).agg(F.count("*").alias("n"))
+    ranked = running_sum(entries.withColumn("bucket", F.substring("key", 1, digits)), ["source"], "bucket", order, F.col("copies"), "rank")
+    drawn = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("__source", F.lit(""))))
+    counts = entries.groupBy(F.col("source").alias("__source")).agg(F.sum("copies").alias("n")).withColumn("offset", F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double") / 2**32)
     spread = (
         ranked.join(counts, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("at", (2 * F.col("rank") + 1) / (2 * F.col("n")))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("at", (F.col("rank") + F.col("copy") + F.col("offset")) / F.col("n"))
         .withColumn("slice", F.floor(F.col("at") * 16**digits).cast("long"))
-        .select("id", "source", "size", "crc", "key", "at", "slice")
+        .select("id", "source", "size", "crc", "key", "copy", "at", "slice")
     )
-    placed = running_sum(spread, [], "slice", [F.col("at"), F.col("source"), *order], F.lit(1), "position")
+    placed = running_sum(spread, [], "slice", [F.col("at"), *order, F.col("source"), F.col("copy")], F.lit(1), "position")
     shard = F.expr(f"position * {shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return placed.withColumn("shard", shard.cast("long")).select(

@@ -18,8 +18,9 @@ SEED = 42
 RADIUS = 3
 #: Two fingerprints within 3 bits are within 1 bit in one of their halves; each half has a vantage-point tree of its own.
 HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
-#: Fingerprints for a leaf of the distributed tree, and the most that its vantage points are chosen from.
-LEAF, SAMPLE = 50_000, 1 << 14
+#: Fingerprints for a leaf of the distributed tree; the vantage points are chosen from a sample of SAMPLE fingerprints, or PER_LEAF
+#: for each leaf where these are more: 8 bytes for each LEAF / PER_LEAF = 3125 distinct fingerprints.
+LEAF, SAMPLE, PER_LEAF = 50_000, 1 << 14, 16
 #: Points at which the tree inside a leaf compares all, and links held before they are thinned to a forest.
 FEW, LINKS = 64, 1 << 20
 
@@ -162,12 +163,12 @@ def near_links(points: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> Dat
     """Distinct fingerprints (fp) -> links (a, b) that connect exactly what lies within `radius` bits, a forest for each leaf.
 
     Each half of the fingerprint has a vantage-point tree, searched with half the radius: a ball of one bit crosses far
-    fewer borders than one of three. Its top is built from at most SAMPLE fingerprints, with leaves of about `leaf`
-    fingerprints. Every fingerprint goes to its own leaf and, as a query, to each leaf that its ball reaches; there
+    fewer borders than one of three. Its top is built from a sample in proportion to the leaves, which hold about `leaf`
+    fingerprints at any size of the input. Every fingerprint goes to its own leaf and, as a query, to each leaf that its ball reaches; there
     it meets all fingerprints within the radius.
     """
     leaves, reach = max(1, -(-points.count() // leaf)), radius // len(HALVES)
-    sample = np.array([r[0] for r in bounded_sample(points.select("fp"), "fp", "tree", SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in bounded_sample(points.select("fp"), "fp", "tree", max(SAMPLE, PER_LEAF * leaves)).collect()], np.int64).view(np.uint64)
     trees = [build_tree(sample & np.uint64(mask), leaves) for mask in HALVES]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

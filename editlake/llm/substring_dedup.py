@@ -14,12 +14,12 @@ from editlake.llm.common import checkpointed, text_of
 from editlake.llm.wordbatch import WINDOWS, Words, chunks, mixed, rolled
 
 WINDOW = 20
-#: Words of a minimiser.
-MINIMISER = 1
+#: Words of a minimiser; where the bucket of a word just below FREQUENT would exceed LARGE bytes, LONG words, which make buckets so much smaller.
+MINIMISER, LONG, LARGE = 1, 6, 128 << 20
 #: A minimiser with at least this share of all positions is taken only where a window has no rarer one. At most 1 / share can have it.
 FREQUENT = 1 / 2000
-#: Bytes of packed strings that one bucket group is to hold.
-GROUP_BYTES = 8 << 20
+#: Bytes of packed strings that one bucket group is to hold, and a task that reads such groups; packed strings have about PACKED times the bytes of the texts.
+GROUP_BYTES, TASK_BYTES, PACKED = 8 << 20, 64 << 20, 3
 #: Bytes of text whose packed strings a task sends together: more make larger blocks for a group, which compress better.
 CHUNK, LEVEL = 4 << 20, 6
 #: Packed strings that a task remembers, to send repeats of its own no further.
@@ -63,24 +63,39 @@ def _count_minimisers(size: int):
     return count
 
 
+def _lowest(rank: np.ndarray, span: int) -> np.ndarray:
+    """The smallest of each `span` neighbours, by smallest ones of ever wider spans."""
+    lowest, width = rank, 1
+    while width < span:
+        step = min(width, span - width)
+        lowest, width = np.minimum(lowest[: len(lowest) - step], lowest[step:]), width + step
+    return lowest
+
+
 def _super_kmers(words: Words, window: int, size: int, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Text, first word and number of windows of each maximal run of windows with one minimiser, and the minimiser."""
+    """Text, first word and number of windows of each maximal run of windows with one bucket key, and the key.
+
+    The key is the smallest minimiser. Windows that hold frequent ones only would all meet in few buckets: their key is
+    the smallest minimiser together with the smallest one of LONG words, which equal windows share as well.
+    """
     none = np.zeros(0, np.int64)
     if len(words.start) < window:
         return none, none, none, none.view(np.uint64)
     rank = _minimisers(words, size)
     often = frequent[np.minimum(np.searchsorted(frequent, rank), len(frequent) - 1)] == rank if len(frequent) else np.zeros(len(rank), bool)
     rank = np.where(often, rank | np.uint64(1 << 63), rank >> np.uint64(1))
-    lowest, span = rank, 1
-    while span < window - size + 1:  # the smallest of ever wider spans
-        step = min(span, window - size + 1 - span)
-        lowest, span = np.minimum(lowest[: len(lowest) - step], lowest[step:]), span + step
+    lowest = _lowest(rank, window - size + 1)
     text = words.text_of_word()
     whole = text[: len(text) - window + 1] == text[window - 1 :]
     at = np.flatnonzero(whole)
     if not len(at):
         return none, none, none, none.view(np.uint64)
     low = lowest[at]
+    hot = low >> np.uint64(63) == 1
+    if hot.any():
+        long = min(LONG, window)
+        second = _lowest(_minimisers(words, long), window - long + 1)[at]
+        low = np.where(hot, mixed(low ^ mixed(second)), low)
     opens = np.concatenate([[True], (np.diff(at) != 1) | (low[1:] != low[:-1]) | (np.diff(text[at]) != 0)])
     begin = np.flatnonzero(opens)
     return text[at[begin]], at[begin], np.diff(np.append(begin, len(at))), low[begin]
@@ -89,7 +104,7 @@ def _super_kmers(words: Words, window: int, size: int, frequent: np.ndarray) ->
 def _pack(rows: list[tuple]) -> bytes:
     """Rows (id, hash, start, packed string) as one compressed block."""
     ids, ks, starts, strings = zip(*rows, strict=True)
-    parts = [np.array(ids, np.int64), np.array(ks, np.int32), np.array(starts, np.int32), np.array([len(s) for s in strings], np.int32)]
+    parts = [np.array(ids, np.int64), np.array(ks, np.int64), np.array(starts, np.int32), np.array([len(s) for s in strings], np.int32)]
     raw = b"".join([np.array([len(rows)], np.int64).tobytes(), *(p.tobytes() for p in parts), *strings])
     return np.array([len(raw)], np.int64).tobytes() + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
@@ -98,7 +113,7 @@ def _unpack(block: bytes) -> list[tuple]:
     raw = pa.decompress(block[8:], decompressed_size=int(np.frombuffer(block[:8], np.int64)[0]), codec="zstd", asbytes=True)
     n = int(np.frombuffer(raw[:8], np.int64)[0])
     at, out = 8, []
-    for kind in (np.int64, np.int32, np.int32, np.int32):
+    for kind in (np.int64, np.int64, np.int32, np.int32):
         width = np.dtype(kind).itemsize * n
         out.append(np.frombuffer(raw[at : at + width], kind))
         at += width
@@ -112,10 +127,10 @@ def _emit(groups: np.ndarray, blocks: list, spans: list[tuple]) -> Iterator[pa.R
     ids, ks, begin, end = ([x[i] for x in spans] for i in range(4))
     n, m = len(blocks), len(spans)
     if n or m:
-        yield pa.RecordBatch.from_arrays([pa.array([*groups, *((hash((i, b)) >> 3) for i, b in zip(ids, begin, strict=True))], pa.int64()), pa.array([*blocks, *[None] * m], pa.binary()), pa.array([*[None] * n, *ids], pa.int64()), pa.array([*[None] * n, *ks], pa.int32()), pa.array([*[None] * n, *begin], pa.int32()), pa.array([*[None] * n, *end], pa.int32())], ["group", "block", "id", "k", "begin", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array([*groups, *((hash((i, b)) >> 3) for i, b in zip(ids, begin, strict=True))], pa.int64()), pa.array([*blocks, *[None] * m], pa.binary()), pa.array([*[None] * n, *ids], pa.int64()), pa.array([*[None] * n, *ks], pa.int64()), pa.array([*[None] * n, *begin], pa.int32()), pa.array([*[None] * n, *end], pa.int32())], ["group", "block", "id", "k", "begin", "end"])
 
 
-_ROW = "group long, block binary, id long, k int, begin int, end int"
+_ROW = "group long, block binary, id long, k long, begin int, end int"
 
 
 def _send(window: int, size: int, frequent: np.ndarray, groups: int):
@@ -234,29 +249,37 @@ def _keep(window: int):
     return keep
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes each word under a window of `window` words whose word sequence starts earlier (smaller id, or same text, earlier).
 
     Windows are ordered into buckets by their minimiser, the smallest hash of `minimiser` words in them; a maximal run of
     windows with one minimiser travels as one packed string. A first pass counts minimisers: those with FREQUENT of all
     positions (at most 1 / FREQUENT) rank last, so that a common phrase does not draw every window around it into its
-    bucket. A task sends a packed string that it has sent before no further: all windows of a later one start earlier
-    elsewhere. In its bucket group the windows of the packed strings are sorted by hash and compared as strings, so
-    results are exact; spans to be removed then go back to their documents.
+    bucket, and windows with no other are dealt by a second, longer minimiser too. Minimisers get longer where the bytes
+    of all texts would make buckets too large (`minimiser` None), and the number of tasks follows from the bytes. A task
+    sends a packed string that it has sent before no further: all windows of a later one start earlier elsewhere. In
+    its bucket group the windows of the packed strings are sorted by hash and compared as strings, so results are
+    exact; spans to be removed then go back to their documents.
 
     Returns id, n_words, n_removed, kept_text (kept words joined by one space). Null and empty texts have no words; texts
-    shorter than a window stay. Null ids sort before others; rows with one id but different texts are documents of
-    their own, ordered by a 32-bit hash of the text; of wholly equal rows all but one count as repeats. No rows in, none
-    out; other columns are ignored.
+    shorter than a window stay. Ids are read as whole numbers, others as null. Null ids sort before others; rows with
+    one id but different texts are documents of their own, ordered by a 64-bit hash of the text; of wholly equal rows
+    all but one count as repeats. No rows in, none out; other columns are ignored.
     """
-    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
-    counted = checkpointed(given.select("text").mapInArrow(_count_minimisers(minimiser), "minimiser long, n long, words long, bytes long").groupBy("minimiser").agg(*(F.sum(c).alias(c) for c in ("n", "words", "bytes"))))
+    given = docs.select(F.coalesce(F.col(id_col).try_cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
+    size = minimiser or min(MINIMISER, window)
+    counted = checkpointed(given.select("text").mapInArrow(_count_minimisers(size), "minimiser long, n long, words long, bytes long").groupBy("minimiser").agg(*(F.sum(c).alias(c) for c in ("n", "words", "bytes"))))
     total = counted.agg(F.sum("words").alias("words"), F.sum("bytes").alias("bytes")).first()
-    often = counted.where(F.col("n") >= F.lit(max(8.0, (total["words"] or 0) * FREQUENT))).select("minimiser").collect()
-    frequent = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
-    groups = max(256, 3 * (total["bytes"] or 0) // GROUP_BYTES)
-    sent = given.mapInArrow(_send(window, minimiser, frequent, groups), _ROW)
-    spans = sent.repartition("group").sortWithinPartitions("group").mapInArrow(_count(window), _ROW)
+    packed = PACKED * (total["bytes"] or 0)
+    frequent = np.zeros(0, np.uint64)
+    if minimiser is None and packed * FREQUENT > LARGE:
+        size = min(LONG, window)
+    else:
+        often = counted.where(F.col("n") >= F.lit(max(8.0, (total["words"] or 0) * FREQUENT))).select("minimiser").collect()
+        frequent = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
+    groups, tasks = max(256, packed // GROUP_BYTES), max(docs.sparkSession.sparkContext.defaultParallelism, packed // TASK_BYTES)
+    sent = given.mapInArrow(_send(window, size, frequent, groups), _ROW)
+    spans = sent.repartition(int(tasks), "group").sortWithinPartitions("group").mapInArrow(_count(window), _ROW)
     spans = spans.groupBy("id", "k").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     copies = given.withColumn("copy", F.row_number().over(Window.partitionBy("id", "k").orderBy("k")))
     kept = copies.join(spans, ["id", "k"], "left").select("id", "copy", "spans", "text").mapInArrow(_keep(window), "id long, n_words long, n_removed long, kept_text string")

@@ -25,6 +25,27 @@ def test_query_against_patterns(spark, data):
         assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, article(pages[r.page_id].html), len(r.text))
 
 
+def test_held_out_pages(spark, data):
+    """Fitted on half of the pages, the labeller gets the articles of the others."""
+    pages = spark.read.parquet(f"{data}/pages.parquet").orderBy("page_id").collect()
+    net = train([r.html for r in pages if r.page_id % 2])
+    held = [r for r in pages if r.page_id % 2 == 0]
+    assert [t for t, _, _ in main_text(net, [r.html for r in held])] == [article(r.html) for r in held]
+
+
+def test_pages_that_name_no_part(spark):
+    """Without <article> or <main> anywhere the labeller learns from running texts in other layouts."""
+    words = ["river", "stone", "old", "walls", "stand", "near", "the", "harbour", "of", "town"]
+    draw = np.random.default_rng(5)
+    line = lambda: " ".join(draw.choice(words, 14)).capitalize() + "."
+    rows = []
+    for i in range(40):
+        parts = [line() for _ in range(4)]
+        rows.append((i, "u", "<div class=menu><a href=/>Home</a></div><div class=content>" + "".join(f"<p>{p}</p>" for p in parts) + "</div><div class=footer>Imprint</div>", " ".join(parts)))
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert sum(got[r[0]] == r[3] for r in rows) >= 38
+
+
 @pytest.fixture(scope="module")
 def net(spark, data):
     return train([r.html for r in spark.read.parquet(f"{data}/pages.parquet").orderBy("page_id").limit(300).collect()])
@@ -55,6 +76,12 @@ def test_blocks():
     assert Blocks("").found == Blocks("<<>").found[:0] == []
 
 
+def test_head_ends_without_its_tag():
+    assert [t for _, t, _ in Blocks("<html><head><title>no</title><meta charset=x><body><article><p>yes</p>").found] == ["yes"]
+    assert [t for _, t, _ in Blocks("<head><title>no</title><style>p{}</style><p>yes<script>no</script>").found] == ["yes"]
+    assert [t for _, t, _ in Blocks("<head><title>no</title></head>yes").found] == ["yes"]
+
+
 def test_labeller_reads_both_neighbours():
     draw = np.random.default_rng(1)
     pages = [draw.normal(size=(draw.integers(1, 12), 4)) for _ in range(600)]
@@ -67,7 +94,7 @@ def test_labeller_reads_both_neighbours():
 
 def test_odd_rows(spark):
     page = "<article><p>Some words stand here, for once.</p></article><footer>c</footer>"
-    rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "v", page, "x"), (3, "w", page, "x"), (3, "w", page, "x"), (4, "z", "<p>" + "very long " * 50_000, "x")]
+    rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "v", page, "x"), (3, "w", page, "x"), (3, "w", page, "x"), (4, "z", "<p>" + "very long " * 50_000, "x"), (4, "z", "<p>" + "many blocks <p>" * 20_000, "x")]
     got = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
-    assert len(got) == 6 and {(r.page_id, r.text) for r in got if r.page_id in (1, 2)} == {(1, ""), (2, "")}
+    assert len(got) == 7 and {(r.page_id, r.text) for r in got if r.page_id in (1, 2)} == {(1, ""), (2, "")}
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []

@@ -10,7 +10,7 @@ from brute import leaks, targets, words
 
 from editlake.llm.chat import format_chats
 from editlake.llm.decontaminate import contaminated, decontaminated
-from editlake.llm.exact_dedup import exact_dedup
+from editlake.llm.exact_dedup import exact_dedup, merged, run_tree
 from editlake.llm.line_dedup import line_dedup, line_ids, maximal_runs, repeated_runs
 from editlake.llm.mixing import curriculum_mix, mixed_documents
 from editlake.llm.queries import op8_benchmark_decontamination, op9_sharding, op10_source_mixing
@@ -42,6 +42,29 @@ def test_exact_dedup_odd_rows(spark):
     assert exact_dedup(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("runs", [1, 2, 3, 11])
+def test_run_tree_merges_pairwise(spark, monkeypatch, runs):
+    import editlake.llm.exact_dedup as module
+
+    rounds = []
+    monkeypatch.setattr(module, "merged", lambda level, tasks, bits: rounds.append(bits) or merged(level, tasks, bits))
+    entries = [(r, hashlib.sha256(str(k).encode()).digest(), k, 5, (-k, 100 * r + k, 100 * r + k), r + 1) for r in range(runs) for k in range(r % 4, 40)]
+    df = spark.createDataFrame(entries, "run long, digest binary, second long, n_normal int, best struct<shorter:int,id:long,row:long>, group_size long")
+    got = {r.second: (r.best.id, r.group_size) for r in run_tree(df, runs).collect()}
+    assert got == {k: (min(100 * r + k for r in range(runs) if k >= r % 4), sum(r + 1 for r in range(runs) if k >= r % 4)) for k in range(40) if any(k >= r % 4 for r in range(runs))}
+    assert len(rounds) == (runs - 1).bit_length()
+
+
+def test_exact_dedup_over_many_partitions(spark):
+    rows = [(i, f"text {i % 7}" if i % 3 else "hot  text" + " " * (i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(df).collect()}
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[t.replace(" ", "")].append((-len(t), d))
+    assert got == {d: (min(g)[1], len(g)) for g in groups.values() for _, d in g}
+
+
 def lines_left(rows, least=3):
     seen, out = {}, {}
     for d, t in rows:
@@ -132,6 +155,50 @@ def test_sharding_odd_rows(spark):
     assert interleaved_shards(frame(spark, [])).collect() == []
 
 
+def test_null_ids_and_copies_spread_over_buckets(spark):
+    """Ten thousand rows without an id and a copied row: keys differ with the text, copies are one entry with a count."""
+    from pyspark.sql import functions as F
+
+    from editlake.llm.common import shuffle_key, text_digest
+
+    many = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.format_string("text %d", "id").alias("text"), F.lit("s").alias("source"))
+    assert many.select(F.substring(shuffle_key("doc_id", "shard", text_digest()), 1, 2).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] < 100
+    copies = spark.range(6_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same words").alias("text"), F.lit("t").alias("source"))
+    alone = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.format_string("one %d", "id").alias("source"))
+    every = many.unionByName(copies).unionByName(alone)
+    rows = [(r.doc_id, r.text, r.source) for r in every.collect()]
+    got = interleaved_shards(every, 40).collect()
+    check_shards(rows, got, 40)
+    hot = Counter(r.shard for r in got if r.doc_id == 1 and r.size == 26)
+    assert max(hot.values()) - min(hot.values()) <= 15  # the shards' borders move with the 400 single rows drawn to random places
+    one = Counter(r.shard for r in got if r.size == 17)
+    assert max(one.values()) < 40 and len(one) == 40
+    mix = curriculum_mix(every.where("source <> 't' or doc_id is not null")).where("source_size = 12000").collect()
+    assert len(mix) == 6_000 and {r.taken for r in mix} <= {2, 4} and abs(sum(r.taken for r in mix) - mix[0].target) < 2
+
+
+def test_every_use_has_a_position(spark):
+    """Uses lie where the integral of the source's weight asks for them; the mix is their order."""
+    rows = [(i, "w " * (1 + i % 5), "abc"[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = curriculum_mix(df).collect()
+    slope = {"a": 0.5, "b": 0.0, "c": -0.5}
+    streams = defaultdict(list)
+    for r in got:
+        assert sum(u.words for u in r.uses) == r.taken and all(u.words == r.size for u in r.uses[:-1])
+        assert [u.position for u in r.uses] == sorted(u.position for u in r.uses)
+        streams["abc"[r.doc_id % 3], r.target] += [(u.position, u.words) for u in r.uses]
+    for (source, target), uses in streams.items():
+        at, a = 0, slope[source]
+        for position, n in sorted(uses):
+            y = (at + n / 2) / target
+            assert abs((1 - a) * position + a * position**2 - y) < 1e-6
+            at += n
+    mixed = [r.doc_id for r in mixed_documents(df, curriculum_mix(df)).collect()]
+    order = sorted((u.position, r.doc_id) for r in got for u in r.uses if 2 * u.words >= r.size)
+    assert mixed == [d for _, d in order] and max(Counter(mixed).values()) == 2
+
+
 def check_mix(rows, got):
     assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(words(t))) for d, t, _ in rows)
     sizes = defaultdict(int)

@@ -43,6 +43,25 @@ def test_odd_rows(spark):
     assert repeated == [0, 30, 30]
 
 
+@pytest.mark.parametrize("window", [3, 20])
+def test_long_minimisers(spark, monkeypatch, window):
+    """Where all texts are large minimisers have more words; results stay the same."""
+    import editlake.llm.substring_dedup as module
+
+    monkeypatch.setattr(module, "LARGE", 0)
+    draw = random.Random(window)
+    rows = [(i, " ".join(draw.choice("abcd") for _ in range(draw.randint(0, 90)))) for i in range(50)] + [(90 + i, " ".join("ab" * 40)) for i in range(3)]
+    got = run(spark, rows, window=window)
+    assert {d: (n, m) for d, n, m, _ in got} == {d: x[:2] for d, x in substring(rows, window).items()}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(25)) for c in "abcdefgh"]
+    rows = [(d, t) for d in (None, 4) for t in texts]
+    got = run(spark, rows)
+    assert sorted((d is None, m) for d, _, m, _ in got) == [(False, 25)] * 8 + [(True, 0)] * 8
+
+
 def test_no_rows(spark):
     assert run(spark, []) == []
 
