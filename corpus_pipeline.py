@@ -39,8 +39,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix uses them."""
-    return mixed_documents(docs, curriculum_mix(docs))
+    """A row for each use of a document, in the order of training."""
+    rows = with_row_key(docs)
+    return mixed_documents(rows, curriculum_mix(rows, id_col="__row"), "__row").select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
