@@ -22,6 +22,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """Marked for broadcast where its counted rows are at most `most`; else joined by a shuffle."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def with_row_key(docs: DataFrame, id_col: str = "doc_id", name: str = "__row") -> DataFrame:
     """Adds a key that tells apart rows of one id or of none: the id, null ids last, and a 128-bit hash of the row.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from editlake.llm.common import WORD, checkpointed, text_of
+from editlake.llm.common import WORD, checkpointed, small, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -30,11 +30,6 @@ def _strings(words: Column, shingle: int) -> Column:
     return F.array_distinct(F.transform(_places(words, shingle), lambda i: F.array_join(F.slice(words, i + 1, shingle), " ")))
 
 
-def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """Marked for broadcast where its counted rows are at most `most`."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item of whose distinct word shingles it holds `threshold` or more.
 
@@ -68,8 +63,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     else:
         cut = F.greatest(*(F.when(F.col("n_doc") >= k["need"], F.lit(k["cut"])) for k in kinds), F.lit(None).cast("long"))
     sizes = items.agg(F.sum(F.size("sketch")).alias("sketch"), F.sum("n").alias("shingles")).first()
-    sketch = _small(items.select("item", "need", F.explode("sketch").alias("hash")), sizes["sketch"] or 0, BROADCAST_ROWS)
-    index = _small(items.select("item", "n", "need", F.explode("strings").alias("string")), sizes["shingles"] or 0, BROADCAST_ROWS)
+    sketch = small(items.select("item", "need", F.explode("sketch").alias("hash")), sizes["sketch"] or 0, BROADCAST_ROWS)
+    index = small(items.select("item", "n", "need", F.explode("strings").alias("string")), sizes["shingles"] or 0, BROADCAST_ROWS)
     given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
     probes = (
         given.select("id", "k", _words(F.col("text")).alias("words"))
@@ -79,7 +74,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
         .select("id", "k", "n_doc", F.explode(F.filter("hashes", lambda h: h <= F.col("cut"))).alias("hash"))
     )
     found = checkpointed(probes.join(sketch, "hash").where(F.col("n_doc") >= F.col("need")).select(F.col("id").alias("__id"), F.col("k").alias("__k")).distinct())
-    asked = _small(found, found.count(), BROADCAST_DOCS)
+    asked = small(found, found.count(), BROADCAST_DOCS)
     held = (
         given.join(asked, (F.col("k") == F.col("__k")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
         .select("id", "k", _words(F.col("text")).alias("words"))

@@ -2,89 +2,205 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from editlake.llm.common import checkpointed, text_of
+from editlake.llm.common import WORD, checkpointed, small, text_of
 
-#: Lines that a repeated run must have to be deleted.
-MIN_LINES = 3
+#: A repeated run is deleted if it has this many lines, or fewer lines with this many words: single short lines ("Contents", a
+#: date, an empty line) recur in texts that are no copies of each other.
+MIN_LINES, MIN_WORDS = 3, 20
+#: Suffixes of a round (about 40 bytes) up to which they are broadcast to the pairs that are compared.
+BROADCAST_ROWS = 500_000
 NO_ID = -(1 << 63)
+SUFFIX = ["id", "k", "no"]
 
 
-def _ranked(suffixes: DataFrame, keys: list[str]) -> DataFrame:
-    """Suffixes whose keys occur more than once, with `rank` in the order of the keys; equal keys, equal rank.
+def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows range-sorted by `order` and then by suffix, so that one value may fill many partitions; with `at` and `part`."""
+    keys = [*order, *SUFFIX]
+    placed = checkpointed(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    return placed.withColumn("part", F.shiftright("at", 33))
 
-    Distinct keys are counted before the shuffle, range-sorted and numbered by partition and place, which keeps their
-    order; the numbers are written down before anything reads them.
+
+def _running_start(rows: DataFrame, opens: Column, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `name`: the `pos` of the last row at or before each one (of the same `by`) for which `opens` holds, across partitions."""
+    upto = Window.partitionBy("part", *by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumn("__open", F.when(opens, F.col("pos"))).withColumn("__local", F.max("__open").over(upto))
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = marked.groupBy("part", *by).agg(F.max("__open").alias("__last"))
+    carry = carry.select(F.col("part").alias("__part"), *(F.col(c).alias(f"__by_{c}") for c in by), F.max("__last").over(earlier).alias("__carry"))
+    same = F.col("part") == F.col("__part")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"__by_{c}"))
+    return marked.join(F.broadcast(carry), same).withColumn(name, F.coalesce("__local", "__carry")).select(*rows.columns, name)
+
+
+def with_places(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sorted rows (`in_order`) with pos, their place from 0, and before, the keys and suffix of the row before each.
+
+    What is broadcast has one row for each partition.
     """
-    many = suffixes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-    order = checkpointed(many.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()))
-    return checkpointed(suffixes.join(order, keys).select("id", "k", "no", "rank"))
+    row = F.struct(*keys, *SUFFIX)
+    w, parts = Window.partitionBy("part").orderBy("at"), Window.orderBy("part")
+    edges = rows.groupBy("part").agg(F.count("*").alias("n"), F.max_by(row, "at").alias("last"))
+    edges = edges.select(
+        F.col("part").alias("__part"),
+        F.coalesce(F.sum("n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
+        F.lag("last").over(parts).alias("__last"),
+    )
+    joined = rows.join(F.broadcast(edges), F.col("part") == F.col("__part"))
+    placed = joined.withColumn("pos", F.col("__offset") + F.row_number().over(w) - 1)
+    return placed.withColumn("before", F.coalesce(F.lag(row).over(w), F.col("__last"))).drop("__part", "__offset", "__last")
+
+
+def _numbered(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct cells (keys, n) with `cell`, a number in the order of the keys; written down before anything reads it."""
+    return checkpointed(cells.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("cell", F.monotonically_increasing_id()))
+
 
+def _extended(path: Column | None, cell: Column) -> Column:
+    """A rank: the cells of all rounds as bytes, so that ranks of different rounds compare in the order of the suffixes."""
+    code = F.unhex(F.lpad(F.hex(cell), 16, "0"))
+    return code if path is None else F.concat(path, code)
 
-def repeated_runs(lines: DataFrame, least: int) -> DataFrame:
-    """lines (id, k, no, a, b) -> (id, k, no, rank): suffixes that share at least their first `least` lines with another.
 
-    (a, b) is a line's 128-bit id. Suffixes are ranked by their first line; rounds of prefix doubling rank them by
-    twice as many lines, the pair of ranks at a line and h lines further, until `least` lines count. A suffix that is
-    alone with its prefix shares no longer one and leaves. Those of one rank are an interval of the suffix array
-    in which neighbours have a longest common prefix of `least` lines or more.
+def suffix_array(lines: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, int]]]:
+    """lines (id, k, no, left, q, a, b) -> the suffixes whose first line occurs elsewhere too, with their rank, and the rounds.
+
+    (a, b) is a line's 128-bit id, `left` the lines from there to the end of the text. Prefix doubling: suffixes are
+    ranked by their first line; each round looks up the rank of the suffix as many lines further on and ranks by both,
+    which counts twice as many lines. Only distinct pairs of ranks are sorted, so a frequent line is one of them. A
+    suffix that is alone with its prefix, or ends together with its equals, keeps its rank and leaves the rounds, and
+    these go on until none is left. Round j of the list has the suffixes (id, k, no, cell) that share 2^j lines with
+    another: those of one cell; their number stands beside it.
+    """
+    keep = [*SUFFIX, "left", "q", "line"]
+    many = _numbered(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), ["a", "b"])
+    now = lines.join(many, ["a", "b"]).select(*SUFFIX, "left", "q", F.col("cell").alias("line"), "cell").distinct()
+    now = checkpointed(now.withColumn("rank", _extended(None, F.col("cell"))))
+    rounds, done, width = [], [], 1
+    while n := now.count():
+        rounds.append((now.select(*SUFFIX, "cell"), n))
+        ranks = now.select(*SUFFIX, "rank")
+        for part in done:
+            ranks = ranks.unionByName(part.select(*SUFFIX, "rank"))
+        later = ranks.where(F.col("no") >= width).select("id", "k", (F.col("no") - width).alias("no"), F.col("rank").alias("next"))
+        # the end of a text comes first, a line that occurs once is like no other
+        unlike = F.when(F.col("left") > width, F.concat(F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(F.xxhash64(*SUFFIX)), 16, "0")))).otherwise(F.unhex(F.lit("")))
+        pairs = now.drop("cell").join(later, SUFFIX, "left").withColumn("next", F.coalesce("next", unlike))
+        cells = _numbered(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"])
+        final = (F.col("n") == 1) | (F.col("left") < 2 * width)
+        ranked = checkpointed(pairs.join(cells, ["rank", "next"]).select(*keep, "cell", _extended(F.col("rank"), F.col("cell")).alias("rank"), final.alias("final")))
+        done.append(ranked.where("final").select(*keep, "rank"))
+        now, width = ranked.where("not final").select(*keep, "cell", "rank"), 2 * width
+    array = now.select(*keep, "rank")
+    for part in done:
+        array = array.unionByName(part)
+    return array, rounds
+
+
+def with_lcp(array: DataFrame, rounds: list[tuple[DataFrame, int]]) -> DataFrame:
+    """The suffix array in order: pos, before (the suffix before) and lcp, the lines that both begin with.
+
+    Where the next line's suffix follows the next line's suffix of the one before, its lcp is one less; so only the last
+    suffix of such a chain is compared, by the ranks of the rounds from the widest down, and the others count from it.
     """
-    ranked, width = _ranked(lines, ["a", "b"]), 1
-    while width < least:
-        step = min(width, least - width)
-        later = ranked.select("id", "k", (F.col("no") - step).alias("no"), F.col("rank").alias("next"))
-        pairs = ranked.withColumnRenamed("rank", "here").join(later.distinct(), ["id", "k", "no"])
-        ranked = _ranked(pairs, ["here", "next"])
-        width += step
-    return ranked
-
-
-def maximal_runs(suffixes: DataFrame, least: int) -> DataFrame:
-    """Ranked suffixes -> (id, k, start, n_lines, first_id, first_k, first_start): the later copies of repeated runs.
-
-    Each suffix but the first of its interval points to the first. Neighbouring suffixes whose firsts are neighbours too
-    are one run; with its last suffix's `least` lines it is as long as the common prefix goes. Islands are found
-    inside one document and one pair of places, never across an interval.
+    placed = with_places(in_order(array, ["rank"]), ["line"])
+    known = F.coalesce(F.col("line") == F.col("before.line"), F.lit(False))
+    placed = checkpointed(placed.withColumn("pid", F.when(known, F.col("before.id"))).withColumn("pk", F.when(known, F.col("before.k"))).withColumn("pno", F.when(known, F.col("before.no"))).drop("before", "rank"))
+    chain = ["id", "k", "pid", "pk", "shift"]
+    linked = placed.where("pno is not null").select(*SUFFIX, "pid", "pk", "pno", (F.col("no") - F.col("pno")).alias("shift"))
+    islands = linked.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy(*chain).orderBy("no")))
+    ends = islands.withColumn("end", F.max("no").over(Window.partitionBy(*chain, "island")))
+    ends = checkpointed(ends.select(*SUFFIX, "pid", "pk", "pno", "end"))
+    last = ends.where("no = end").select(*SUFFIX, "pid", "pk", "pno", F.lit(0).alias("lcp"))
+    for j in range(len(rounds) - 1, -1, -1):
+        shared, n = rounds[j]
+        mine = small(shared.select("id", "k", F.col("no").alias("here"), F.col("cell").alias("cell_a")), n, BROADCAST_ROWS)
+        other = small(shared.select(F.col("id").alias("pid"), F.col("k").alias("pk"), F.col("no").alias("there"), F.col("cell").alias("cell_b")), n, BROADCAST_ROWS)
+        both = last.withColumn("here", F.col("no") + F.col("lcp")).withColumn("there", F.col("pno") + F.col("lcp")).join(mine, ["id", "k", "here"], "left").join(other, ["pid", "pk", "there"], "left")
+        last = both.select(*SUFFIX, "pid", "pk", "pno", (F.col("lcp") + F.when(F.col("cell_a") == F.col("cell_b"), 1 << j).otherwise(0)).alias("lcp"))
+        if j % 4 == 0:
+            last = checkpointed(last)  # a plan of all levels would be large
+    found = last.select("id", "k", F.col("no").alias("end"), F.col("lcp").alias("end_lcp"))
+    every = ends.join(found, ["id", "k", "end"]).select(*SUFFIX, (F.col("end_lcp") + F.col("end") - F.col("no")).alias("lcp"))
+    return placed.join(every, SUFFIX, "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+
+
+def repeated_runs(array: DataFrame, least: int = MIN_LINES) -> DataFrame:
+    """The suffix array with lcp -> (id, k, start, n_lines, first_id, first_k, first_start): the runs that are later copies.
+
+    For each depth from q, the fewest lines that make a run worth deleting, to `least`, suffixes are an interval where
+    each shares at least so many lines with the one before. The first of an interval stays; the others are later
+    copies of these lines, and neighbours whose firsts are neighbours too are one run. An interval meets its first copy
+    by partition of the sorted array, so a line that is everywhere is not one group.
     """
-    firsts = suffixes.groupBy("rank").agg(F.min(F.struct("id", "k", "no")).alias("first"))
-    later = suffixes.join(firsts, "rank").where(F.struct("id", "k", "no") > F.col("first"))
-    pointed = later.select("id", "k", "no", F.col("first.id").alias("first_id"), F.col("first.k").alias("first_k"), (F.col("no") - F.col("first.no")).alias("shift"))
-    pair = ["id", "k", "first_id", "first_k", "shift"]
+    deep = array.where("q is not null").withColumn("depth", F.explode(F.sequence("q", F.least(F.lit(least), F.col("left")))))
+    opened = checkpointed(_running_start(deep, F.col("lcp") < F.col("depth"), "interval", ("depth",)).select(*SUFFIX, "depth", "part", "interval"))
+    parts = opened.groupBy("depth", "interval", "part").agg(F.min(F.struct(*SUFFIX)).alias("least"))
+    firsts = checkpointed(parts.join(parts.groupBy("depth", "interval").agg(F.min("least").alias("first")), ["depth", "interval"]).select("depth", "interval", "part", "first"))
+    later = opened.join(firsts, ["depth", "interval", "part"]).where(F.struct(*SUFFIX) > F.col("first"))
+    pointed = later.select(*SUFFIX, "depth", F.col("first.id").alias("first_id"), F.col("first.k").alias("first_k"), (F.col("no") - F.col("first.no")).alias("shift"))
+    pair = ["id", "k", "first_id", "first_k", "shift", "depth"]
     islands = pointed.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy(*pair).orderBy("no")))
-    runs = islands.groupBy(*pair, "island").agg(F.min("no").alias("start"), (F.count("*") + (least - 1)).cast("int").alias("n_lines"))
+    runs = islands.groupBy(*pair, "island").agg(F.min("no").alias("start"), (F.max("no") - F.min("no") + F.col("depth")).alias("n_lines"))
     return runs.select("id", "k", "start", "n_lines", "first_id", "first_k", (F.col("start") - F.col("shift")).alias("first_start"))
 
 
-def line_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents as (id, k, text), k a hash of the text, and their lines as (id, k, no, a, b)."""
-    given = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
-    split = given.where("text != ''").select("id", "k", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return given, split.select("id", "k", "no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("b"), "line").alias("b"))
+def _line_counts() -> Column:
+    """The number of words of each of `lines`."""
+    return F.transform("lines", lambda x: F.regexp_count(x, F.lit(WORD)))
+
+
+def _enough(i: Column, least: int, words: int) -> Column:
+    """Of `lines` with their `counts`: how many from line i on make a run worth deleting, null where the text ends before."""
+    found, total = F.lit(None).cast("int"), F.lit(0)
+    for m in range(1, least + 1):
+        total = total + F.coalesce(F.get("counts", i + (m - 1)), F.lit(0))
+        found = F.coalesce(found, F.when((i + m <= F.size("lines")) & ((total >= words) | F.lit(m == least)), F.lit(m)))
+    return found
+
+
+def line_ids(docs: DataFrame, least: int = MIN_LINES, words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents as (id, k, text), k a hash of the text, and their lines as (id, k, no, left, q, a, b).
+
+    q is the number of lines from there that make a run worth deleting: the fewest with `words` words, `least` at most,
+    null where the text ends before.
+    """
+    given = docs.select(F.coalesce(F.col(id_col).try_cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
+    split = given.where("text != ''").select("id", "k", F.split("text", "\n").alias("lines")).withColumn("counts", _line_counts())
+    each = F.transform("lines", lambda x, i: F.struct(i.alias("no"), (F.size("lines") - i).alias("left"), _enough(i, least, words).alias("q"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit("b"), x).alias("b")))
+    return given, split.select("id", "k", F.explode(each).alias("x")).select("id", "k", "x.*")
 
 
-def line_dedup(docs: DataFrame, least: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Deletes later copies of every run of `least` or more lines that occurs more than once.
+def line_dedup(docs: DataFrame, least: int = MIN_LINES, words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Deletes later copies of every run of lines that occurs more than once and has `least` lines or `words` words.
 
     Of a maximal repeated run the first copy stays (smallest id, then line). Lines are what stands between line feeds,
-    compared as they are; empty lines count.
+    compared as they are by 128-bit hashes; empty lines count. Runs are found in the suffix array of all lines, from its
+    longest common prefixes.
 
     Returns id, n_lines, n_removed, kept_text (kept lines joined by line feeds). Null and empty texts have no lines.
-    Null ids sort before others; rows with one id but different texts are documents of their own; of wholly equal rows
-    all but one count as copies, and lose all lines if they have `least`. No rows in, none out; other columns are
-    ignored.
+    Ids are read as whole numbers, others as null. Null ids sort before others; rows with one id but different texts
+    are documents of their own; of wholly equal rows all but one count as copies, and lose the lines of their runs. No
+    rows in, none out; other columns are ignored.
     """
-    given, lines = line_ids(docs, id_col, text_col)
-    runs = maximal_runs(repeated_runs(checkpointed(lines), least), least)
+    given, lines = line_ids(docs, least, words, id_col, text_col)
+    lines = checkpointed(lines)
+    runs = repeated_runs(with_lcp(*suffix_array(lines)), least)
     gone = runs.groupBy("id", "k").agg(F.collect_list(F.struct("start", "n_lines")).alias("runs"))
     copies = given.withColumn("copy", F.row_number().over(Window.partitionBy("id", "k").orderBy("k")))
     split = copies.join(gone, ["id", "k"], "left").withColumn("lines", F.when(F.col("text") != "", F.split("text", "\n")).otherwise(F.array().cast("array<string>")))
+    split = split.withColumn("counts", F.when(F.col("copy") > 1, _line_counts()))
     n = F.size("lines")
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    removed = F.flatten(F.transform("runs", lambda r: F.sequence(r.start, r.start + r.n_lines - 1)))
-    left = F.when((F.col("copy") > 1) & (n >= least), F.array().cast("array<int>")).when(F.col("runs").isNull(), every).otherwise(F.array_except(every, removed))
+    whole = F.transform(every, lambda i: F.struct(i.alias("start"), F.when(_enough(i, least, words).isNotNull(), F.least(F.lit(least), n - i)).alias("n_lines")))
+    starts = F.filter(whole, lambda r: r.n_lines.isNotNull())
+    mine = F.when(F.col("copy") > 1, starts).otherwise(F.col("runs"))
+    removed = F.flatten(F.transform(mine, lambda r: F.sequence(r.start, r.start + r.n_lines - 1)))
+    left = F.when(mine.isNull(), every).otherwise(F.array_except(every, removed))
     return split.withColumn("left", left).select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col),
         n.cast("long").alias("n_lines"),

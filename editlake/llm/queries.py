@@ -64,14 +64,16 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op5_quality_classifier, op6_simhash_near_dedup, op7_html_extraction, op8_benchmark_decontamination, op9_sharding, op10_source_mixing)}
 
 ORACLE_SQL = {
-    "op1_line_dedup": """
+    "op1_line_dedup": r"""
 with d as (select doc_id, case when coalesce(text, '') = '' then [] else string_split(text, chr(10)) end ls from documents),
 l as (select doc_id, unnest(range(0, len(ls))) i, unnest(ls) line from d),
+n as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) words from l),
+p as (select *, lead(line) over p b, lead(line, 2) over p c, lead(words) over p wb from n window p as (partition by doc_id order by i)),
 w as (
-  select doc_id, i, row_number() over (partition by line, b, c order by doc_id, i) r
-  from (select *, lead(line) over p b, lead(line, 2) over p c from l window p as (partition by doc_id order by i))
-  where c is not null),
-gone as (select distinct doc_id, i + unnest([0, 1, 2]) i from w where r > 1),
+  select doc_id, i, 1 size, row_number() over (partition by line order by doc_id, i) r from p where words >= 20
+  union all select doc_id, i, 2, row_number() over (partition by line, b order by doc_id, i) from p where b is not null and words + wb >= 20
+  union all select doc_id, i, 3, row_number() over (partition by line, b, c order by doc_id, i) from p where c is not null),
+gone as (select distinct doc_id, unnest(range(i, i + size)) i from w where r > 1),
 k as (
   select l.doc_id, count(*) n_lines, count(g.i) n_removed, string_agg(l.line, chr(10) order by l.i) filter (where g.i is null) kept
   from l left join gone g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id)
