@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from editlake.llm.common import WORD, checkpointed, small, text_of
+from editlake.llm.common import WORD, checkpointed, text_of
 
 #: A repeated run is deleted if it has this many lines, or fewer lines with this many words: single short lines ("Contents", a
 #: date, an empty line) recur in texts that are no copies of each other.
 MIN_LINES, MIN_WORDS = 3, 20
-#: Suffixes of a round (about 40 bytes) up to which they are broadcast to the pairs that are compared.
-BROADCAST_ROWS = 500_000
 NO_ID = -(1 << 63)
+#: Bytes of a round in a rank.
+CODE = 8
 SUFFIX = ["id", "k", "no"]
 
 
@@ -60,73 +60,81 @@ def _numbered(cells: DataFrame, keys: list[str]) -> DataFrame:
     return checkpointed(cells.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("cell", F.monotonically_increasing_id()))
 
 
-def _extended(path: Column | None, cell: Column) -> Column:
-    """A rank: the cells of all rounds as bytes, so that ranks of different rounds compare in the order of the suffixes."""
-    code = F.unhex(F.lpad(F.hex(cell), 16, "0"))
-    return code if path is None else F.concat(path, code)
+def _code(number: Column) -> Column:
+    """A number as CODE bytes that sort as it does."""
+    return F.unhex(F.lpad(F.hex(number), 2 * CODE, "0"))
 
 
-def suffix_array(lines: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, int]]]:
-    """lines (id, k, no, left, q, a, b) -> the suffixes whose first line occurs elsewhere too, with their rank, and the rounds.
+def suffix_array(lines: DataFrame) -> DataFrame:
+    """lines (id, k, no, left, q, a, b) -> the suffixes whose first line occurs elsewhere too, with their rank.
 
     (a, b) is a line's 128-bit id, `left` the lines from there to the end of the text. Prefix doubling: suffixes are
     ranked by their first line; each round looks up the rank of the suffix as many lines further on and ranks by both,
     which counts twice as many lines. Only distinct pairs of ranks are sorted, so a frequent line is one of them. A
     suffix that is alone with its prefix, or ends together with its equals, keeps its rank and leaves the rounds, and
-    these go on until none is left. Round j of the list has the suffixes (id, k, no, cell) that share 2^j lines with
-    another: those of one cell; their number stands beside it.
+    these go on until none is left. A rank has a code of CODE bytes for each round: suffixes with j codes in common
+    share 2^(j - 1) lines, those with one rank are equal to the end.
     """
-    keep = [*SUFFIX, "left", "q", "line"]
+    keep = [*SUFFIX, "left", "q", "line", "rank"]
     many = _numbered(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), ["a", "b"])
-    now = lines.join(many, ["a", "b"]).select(*SUFFIX, "left", "q", F.col("cell").alias("line"), "cell").distinct()
-    now = checkpointed(now.withColumn("rank", _extended(None, F.col("cell"))))
-    rounds, done, width = [], [], 1
-    while n := now.count():
-        rounds.append((now.select(*SUFFIX, "cell"), n))
-        ranks = now.select(*SUFFIX, "rank")
-        for part in done:
-            ranks = ranks.unionByName(part.select(*SUFFIX, "rank"))
+    first = lines.join(many, ["a", "b"]).select(*SUFFIX, "left", "q", F.col("cell").alias("line")).distinct()
+    now, done, width = checkpointed(first.withColumn("rank", _code(F.col("line")))), None, 1
+    while not now.isEmpty():
+        ranks = now.select(*SUFFIX, "rank") if done is None else now.select(*SUFFIX, "rank").unionByName(done.select(*SUFFIX, "rank"))
         later = ranks.where(F.col("no") >= width).select("id", "k", (F.col("no") - width).alias("no"), F.col("rank").alias("next"))
         # the end of a text comes first, a line that occurs once is like no other
-        unlike = F.when(F.col("left") > width, F.concat(F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(F.xxhash64(*SUFFIX)), 16, "0")))).otherwise(F.unhex(F.lit("")))
-        pairs = now.drop("cell").join(later, SUFFIX, "left").withColumn("next", F.coalesce("next", unlike))
+        unlike = F.when(F.col("left") > width, F.concat(F.unhex(F.lit("00")), _code(F.xxhash64(*SUFFIX)))).otherwise(F.unhex(F.lit("")))
+        pairs = now.join(later, SUFFIX, "left").withColumn("next", F.coalesce("next", unlike))
         cells = _numbered(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"])
         final = (F.col("n") == 1) | (F.col("left") < 2 * width)
-        ranked = checkpointed(pairs.join(cells, ["rank", "next"]).select(*keep, "cell", _extended(F.col("rank"), F.col("cell")).alias("rank"), final.alias("final")))
-        done.append(ranked.where("final").select(*keep, "rank"))
-        now, width = ranked.where("not final").select(*keep, "cell", "rank"), 2 * width
-    array = now.select(*keep, "rank")
-    for part in done:
-        array = array.unionByName(part)
-    return array, rounds
+        coded = pairs.join(cells, ["rank", "next"]).withColumns({"rank": F.concat("rank", _code(F.col("cell"))), "final": final})
+        ranked = checkpointed(coded.select(*keep, "final"))
+        gone = ranked.where("final").select(*keep)
+        now, done, width = ranked.where("not final").select(*keep), gone if done is None else done.unionByName(gone), 2 * width
+    return now.select(*keep) if done is None else done
 
 
-def with_lcp(array: DataFrame, rounds: list[tuple[DataFrame, int]]) -> DataFrame:
-    """The suffix array in order: pos, before (the suffix before) and lcp, the lines that both begin with.
+def _shared(a: Column, b: Column) -> Column:
+    """Codes that two ranks begin with in common."""
+    n = F.floor(F.least(F.octet_length(a), F.octet_length(b)) / CODE).cast("int")
+    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(a, 1, i * CODE) == F.substring(b, 1, i * CODE)))
+    return F.size(same)
+
+
+def _longer(pairs: DataFrame) -> DataFrame:
+    """Pairs with the ranks a and b of two suffixes `lcp` lines on: lcp grows by the lines known from the ranks, `open` if more may follow."""
+    equal, codes = F.col("a") == F.col("b"), _shared(F.col("a"), F.col("b"))
+    step = F.when(equal, F.col("left") - F.col("lcp")).when(codes > 0, F.pow(F.lit(2.0), codes - 1).cast("int")).otherwise(0)
+    grown = pairs.withColumns({"__step": F.coalesce(step, F.lit(0)), "open": F.coalesce(~equal & (codes > 1), F.lit(False))})
+    return grown.select(*SUFFIX, "pid", "pk", "pno", "left", (F.col("lcp") + F.col("__step")).alias("lcp"), "open")
+
+
+def with_lcp(array: DataFrame) -> DataFrame:
+    """The suffix array in order: pos and lcp, the lines that a suffix and the one before it both begin with.
 
     Where the next line's suffix follows the next line's suffix of the one before, its lcp is one less; so only the last
-    suffix of such a chain is compared, by the ranks of the rounds from the widest down, and the others count from it.
+    suffix of such a chain is compared and the others count from it. Ranks tell the largest power of two that two
+    suffixes share; what follows it is told by the ranks that many lines on, in at most as many steps as there were rounds.
     """
-    placed = with_places(in_order(array, ["rank"]), ["line"])
+    placed = with_places(in_order(array, ["rank"]), ["line", "rank"])
     known = F.coalesce(F.col("line") == F.col("before.line"), F.lit(False))
-    placed = checkpointed(placed.withColumn("pid", F.when(known, F.col("before.id"))).withColumn("pk", F.when(known, F.col("before.k"))).withColumn("pno", F.when(known, F.col("before.no"))).drop("before", "rank"))
+    placed = checkpointed(placed.select("*", *(F.when(known, F.col(f"before.{c}")).alias(n) for c, n in (("id", "pid"), ("k", "pk"), ("no", "pno"), ("rank", "b")))).drop("before"))
     chain = ["id", "k", "pid", "pk", "shift"]
-    linked = placed.where("pno is not null").select(*SUFFIX, "pid", "pk", "pno", (F.col("no") - F.col("pno")).alias("shift"))
+    linked = placed.where("pno is not null").select(*SUFFIX, "left", F.col("rank").alias("a"), "b", "pid", "pk", "pno", (F.col("no") - F.col("pno")).alias("shift"))
     islands = linked.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy(*chain).orderBy("no")))
-    ends = islands.withColumn("end", F.max("no").over(Window.partitionBy(*chain, "island")))
-    ends = checkpointed(ends.select(*SUFFIX, "pid", "pk", "pno", "end"))
-    last = ends.where("no = end").select(*SUFFIX, "pid", "pk", "pno", F.lit(0).alias("lcp"))
-    for j in range(len(rounds) - 1, -1, -1):
-        shared, n = rounds[j]
-        mine = small(shared.select("id", "k", F.col("no").alias("here"), F.col("cell").alias("cell_a")), n, BROADCAST_ROWS)
-        other = small(shared.select(F.col("id").alias("pid"), F.col("k").alias("pk"), F.col("no").alias("there"), F.col("cell").alias("cell_b")), n, BROADCAST_ROWS)
-        both = last.withColumn("here", F.col("no") + F.col("lcp")).withColumn("there", F.col("pno") + F.col("lcp")).join(mine, ["id", "k", "here"], "left").join(other, ["pid", "pk", "there"], "left")
-        last = both.select(*SUFFIX, "pid", "pk", "pno", (F.col("lcp") + F.when(F.col("cell_a") == F.col("cell_b"), 1 << j).otherwise(0)).alias("lcp"))
-        if j % 4 == 0:
-            last = checkpointed(last)  # a plan of all levels would be large
-    found = last.select("id", "k", F.col("no").alias("end"), F.col("lcp").alias("end_lcp"))
-    every = ends.join(found, ["id", "k", "end"]).select(*SUFFIX, (F.col("end_lcp") + F.col("end") - F.col("no")).alias("lcp"))
-    return placed.join(every, SUFFIX, "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+    ends = checkpointed(islands.withColumn("end", F.max("no").over(Window.partitionBy(*chain, "island"))).drop("shift", "island"))
+    ranks = array.select("id", "k", F.col("no").alias("at"), "rank")
+    step = checkpointed(_longer(ends.where("no = end").withColumn("lcp", F.lit(0))))
+    found, now = step.where("not open"), step.where("open")
+    while not now.isEmpty():
+        mine = ranks.withColumnRenamed("rank", "a")
+        other = ranks.select(F.col("id").alias("pid"), F.col("k").alias("pk"), F.col("at").alias("pat"), F.col("rank").alias("b"))
+        both = now.withColumns({"at": F.col("no") + F.col("lcp"), "pat": F.col("pno") + F.col("lcp")}).join(mine, ["id", "k", "at"], "left").join(other, ["pid", "pk", "pat"], "left")
+        step = checkpointed(_longer(both))
+        found, now = found.unionByName(step.where("not open")), step.where("open")
+    last = found.select("id", "k", F.col("no").alias("end"), F.col("lcp").alias("end_lcp"))
+    every = ends.join(last, ["id", "k", "end"]).select(*SUFFIX, (F.col("end_lcp") + F.col("end") - F.col("no")).alias("lcp"))
+    return placed.drop("pid", "pk", "pno", "b", "rank").join(every, SUFFIX, "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
 
 
 def repeated_runs(array: DataFrame, least: int = MIN_LINES) -> DataFrame:
@@ -189,7 +197,7 @@ def line_dedup(docs: DataFrame, least: int = MIN_LINES, words: int = MIN_WORDS,
     """
     given, lines = line_ids(docs, least, words, id_col, text_col)
     lines = checkpointed(lines)
-    runs = repeated_runs(with_lcp(*suffix_array(lines)), least)
+    runs = repeated_runs(with_lcp(suffix_array(lines)), least)
     gone = runs.groupBy("id", "k").agg(F.collect_list(F.struct("start", "n_lines")).alias("runs"))
     copies = given.withColumn("copy", F.row_number().over(Window.partitionBy("id", "k").orderBy("k")))
     split = copies.join(gone, ["id", "k"], "left").withColumn("lines", F.when(F.col("text") != "", F.split("text", "\n")).otherwise(F.array().cast("array<string>")))

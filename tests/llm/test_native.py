@@ -1,6 +1,7 @@
 """Exact and line dedup, chats, decontamination, sharding and mixing: odd rows and plain re-statements."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ from brute import leaks, targets, words
 from editlake.llm.chat import format_chats
 from editlake.llm.decontaminate import contaminated, decontaminated
 from editlake.llm.exact_dedup import exact_dedup, merged, run_tree
-from editlake.llm.line_dedup import line_dedup, line_ids, maximal_runs, repeated_runs
+from editlake.llm.line_dedup import line_dedup, line_ids, repeated_runs, suffix_array, with_lcp
 from editlake.llm.mixing import curriculum_mix, mixed_documents
 from editlake.llm.queries import op8_benchmark_decontamination, op9_sharding, op10_source_mixing
 from editlake.llm.sharding import interleaved_shards
@@ -65,28 +66,49 @@ def test_exact_dedup_over_many_partitions(spark):
     assert got == {d: (min(g)[1], len(g)) for g in groups.values() for _, d in g}
 
 
-def lines_left(rows, least=3):
+def lines_left(rows, least=3, enough=20):
+    """Later copies of runs of `least` lines, or of fewer with `enough` words, by a set of all runs seen."""
     seen, out = {}, {}
     for d, t in rows:
         ls = t.split("\n") if t else []
         gone = set()
-        for i in range(len(ls) - least + 1):
-            if seen.setdefault(tuple(ls[i : i + least]), (d, i)) != (d, i):
-                gone |= set(range(i, i + least))
+        for i in range(len(ls)):
+            for n in range(1, least + 1):
+                run = tuple(ls[i : i + n])
+                if len(run) == n and (n == least or len(words(" ".join(run))) >= enough) and seen.setdefault(run, (d, i)) != (d, i):
+                    gone |= set(range(i, i + n))
         out[d] = (len(ls), len(gone), "\n".join(x for i, x in enumerate(ls) if i not in gone))
     return out
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 6])
-def test_line_dedup(spark, least):
-    rows = [(i, "\n".join("abc"[(i * j * j + j // 4) % 3] for j in range(i % 23))) for i in range(1, 60)] + [(90, LONG), (91, LONG + "\nend"), (92, None), (93, "")]
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup(frame(spark, rows), least).collect()}
-    assert got == lines_left(rows, least)
+@pytest.mark.parametrize(("least", "enough"), [(1, 20), (3, 20), (6, 3), (3, 2)])
+def test_line_dedup(spark, least, enough):
+    rows = [(i, "\n".join("abc"[(i * j * j + j // 4) % 3] * (1 + j % 2) for j in range(i % 23))) for i in range(1, 50)] + [(90, LONG), (91, LONG + "\nend"), (92, None), (93, "")]
+    rows += [(94, "x\n" + "long line " * 12 + "\nshort\ny"), (95, "z\n" + "long line " * 12 + "\nshort\nw"), (96, "long line " * 12)]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup(frame(spark, rows), least, enough).collect()}
+    assert got == lines_left(rows, least, enough)
 
 
-def test_maximal_runs(spark):
+def test_suffix_array_and_lcp(spark):
+    """Each suffix stands beside one that shares most lines with it, and lcp is what neighbours share."""
+    rows = [(i, "\n".join("abc"[(i * j * j + j // 4) % 3] for j in range(i % 17))) for i in range(1, 30)] + [(90, "\n".join(f"l{i % 30}" for i in range(90))), (91, "\n".join(f"l{i % 30}" for i in range(70)))]
+    got = with_lcp(suffix_array(line_ids(frame(spark, rows))[1])).select("id", "no", "lcp", "pos").orderBy("pos").collect()
+    texts = {i: t.split("\n") for i, t in rows}
+    suffix = [texts[r.id][r.no :] for r in got]
+
+    def shared(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+    assert [r.pos for r in got] == list(range(len(got)))
+    assert [r.lcp for r in got] == [0, *(shared(a, b) for a, b in itertools.pairwise(suffix))]
+    beside = [max([shared(suffix[j], s) for j in (i - 1, i + 1) if 0 <= j < len(suffix)]) for i, s in enumerate(suffix)]
+    assert beside[::7] == [max(shared(s, t) for j, t in enumerate(suffix) if j != i) for i, s in enumerate(suffix) if i % 7 == 0]
+    assert max(r.lcp for r in got) >= 60
+
+
+def test_repeated_runs(spark):
     docs = frame(spark, [(1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\nd\ny\na\nb\nc\nd\ne"), (3, "c\nd"), (4, "z\nz\nz\nz\nz")])
-    runs = maximal_runs(repeated_runs(line_ids(docs)[1], 3), 3).collect()
+    runs = repeated_runs(with_lcp(suffix_array(line_ids(docs)[1]))).collect()
     assert {(r.id, r.start, r.n_lines, r.first_id, r.first_start) for r in runs} == {(2, 1, 3, 1, 1), (2, 5, 5, 1, 0), (4, 1, 3, 4, 0), (4, 2, 3, 4, 0)}
 
 
