@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
-KOZAK = {-6: {"G": 1.0, "A": 0.5}, -5: {"C": 1.0, "A": 0.5}, -4: {"C": 1.0, "A": 0.5}, -3: {"A": 1.0, "G": 0.8}, -2: {"C": 1.0, "A": 0.5}, -1: {"C": 1.0, "A": 0.5}, 4: {"G": 1.0, "A": 0.3}}
+KOZAK = {
+    -6: {"G": 0.5, "A": 0.3, "C": 0.1, "U": 0.1},
+    -5: {"C": 0.5, "G": 0.2, "A": 0.2, "U": 0.1},
+    -4: {"C": 0.5, "A": 0.2, "G": 0.2, "U": 0.1},
+    -3: {"A": 0.5, "G": 0.4, "C": 0.05, "U": 0.05},
+    -2: {"C": 0.4, "A": 0.2, "G": 0.2, "U": 0.2},
+    -1: {"C": 0.4, "A": 0.2, "G": 0.2, "U": 0.2},
+    4: {"G": 0.5, "A": 0.2, "C": 0.2, "U": 0.1},
+}
 BASES = "UCAG"
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 REGIONS = ((26, "FR1"), (38, "CDR1"), (55, "FR2"), (65, "CDR2"), (104, "FR3"), (117, "CDR3"), (128, "FR4"))
-ARE = {"class_I": "AUUUA", "class_II": "UUAUUUA[AU][AU]", "class_III": "U{5,}"}
+ARE = {"class_I": "AUUUA", "class_II": "AUUUAUUUA", "class_III": "U{5,}"}
 
 
 def char(s: Column, i: Column | int) -> Column:
@@ -23,6 +33,11 @@ def places(n: Column, step: int = 1) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def seq_validate(s: Column, unknown: bool = False) -> Column:
     return F.upper(s).rlike("^[ACGUTN]*$" if unknown else "^[ACGUT]*$")
 
@@ -46,7 +61,7 @@ def gc_content(s: Column, empty: float = 0.0) -> Column:
 
 def mismatches(a: Column, b: Column) -> Column:
     """Places where two sequences differ, up to the shorter length."""
-    return F.filter(places(F.least(F.length(a), F.length(b))), lambda i: char(a, i) != char(b, i))
+    return let(a, lambda x: let(b, lambda y: F.filter(places(F.least(F.length(x), F.length(y))), lambda i: char(x, i) != char(y, i))))
 
 
 def hamming_distance(a: Column, b: Column) -> Column:
@@ -65,16 +80,19 @@ def extract_edit(a: Column, b: Column, context: int = 10) -> Column:
     none; SNV; complex (several mismatches: all from the first to the last one); insertion or deletion of the surplus
     at the first difference, or at the end of the shorter one.
     """
-    m, la, lb = mismatches(a, b), F.length(a), F.length(b)
-    at = F.coalesce(F.get(m, F.lit(0)), F.least(la, lb))
-    last = F.try_element_at(m, F.lit(-1))
-    kind = F.when(a == b, "none").when(la < lb, "insertion").when(la > lb, "deletion").when(F.size(m) == 1, "SNV").otherwise("complex")
-    span = F.when(la == lb, F.coalesce(last - at + 1, F.lit(0)))
-    before = F.when(la == lb, a.substr(at + 1, span)).when(la > lb, a.substr(at + 1, la - lb)).otherwise("")
-    after = F.when(la == lb, b.substr(at + 1, span)).when(la < lb, b.substr(at + 1, lb - la)).otherwise("")
-    size = F.when(la == lb, F.size(m)).otherwise(F.abs(la - lb))
-    up = F.greatest(F.lit(0), at - context)
-    return F.struct(kind.alias("kind"), at.alias("position"), before.alias("from"), after.alias("to"), size.alias("size"), a.substr(up + 1, at - up).alias("upstream"), a.substr(at + F.length(before) + 1, F.lit(context)).alias("downstream"))
+    la, lb = F.length(a), F.length(b)
+
+    def of(m: Column, at: Column) -> Column:
+        last = F.try_element_at(m, F.lit(-1))
+        kind = F.when(a == b, "none").when(la < lb, "insertion").when(la > lb, "deletion").when(F.size(m) == 1, "SNV").otherwise("complex")
+        span = F.when(la == lb, F.coalesce(last - at + 1, F.lit(0)))
+        before = F.when(la == lb, a.substr(at + 1, span)).when(la > lb, a.substr(at + 1, la - lb)).otherwise("")
+        after = F.when(la == lb, b.substr(at + 1, span)).when(la < lb, b.substr(at + 1, lb - la)).otherwise("")
+        size = F.when(la == lb, F.size(m)).otherwise(F.abs(la - lb))
+        up = F.greatest(F.lit(0), at - context)
+        return F.struct(kind.alias("kind"), at.alias("position"), before.alias("from"), after.alias("to"), size.alias("size"), a.substr(up + 1, at - up).alias("upstream"), a.substr(at + F.length(before) + 1, F.lit(context)).alias("downstream"))
+
+    return let(mismatches(a, b), lambda m: let(F.coalesce(F.get(m, F.lit(0)), F.least(la, lb)), lambda at: of(m, at)))
 
 
 def all_differences(a: Column, b: Column) -> Column:
@@ -94,7 +112,7 @@ def change_class(before: Column, after: Column) -> Column:
 
 def find_all(s: Column, motif: str) -> Column:
     """Places of a motif, overlapping ones too."""
-    return F.filter(places(F.length(s) - (len(motif) - 1)), lambda i: s.substr(i + 1, F.lit(len(motif))) == motif)
+    return let(s, lambda x: F.filter(places(F.length(x) - (len(motif) - 1)), lambda i: x.substr(i + 1, F.lit(len(motif))) == motif))
 
 
 def kozak_score(s: Column) -> Column:
@@ -114,10 +132,56 @@ def kozak_score(s: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(find_all(s, "AUG"), at)), F.lit(0.0))
 
 
-def motif_flags(s: Column) -> Column:
-    """struct of booleans; an upstream AUG is one that is not the last."""
+def motif_flags(s: Column, gc_share: float = 0.6) -> Column:
+    """struct of booleans; an upstream AUG is one that is not the last.
+
+    kozak: an AUG three places after A or G, with four more bases behind it, or the consensus; au_rich: AUUUA (which the
+    longer element holds too); gc_rich: at least `gc_share` of G and C.
+    """
     augs = find_all(s, "AUG")
-    return F.struct(s.rlike("[AG]..AUGG").alias("kozak"), (F.size(augs) > 1).alias("uaug"), s.rlike("AUG(?:[ACGU]{3})*?(?:UAA|UAG|UGA)").alias("uorf"), s.rlike("AUUUA").alias("au_rich"), s.rlike("[GC]{6,}").alias("gc_rich"))
+    return F.struct(s.rlike("[AG]CCAUGG|[AG]..AUG.{4}").alias("kozak"), (F.size(augs) > 1).alias("uaug"), s.rlike("AUG(?:[ACGU]{3})*?(?:UAA|UAG|UGA)").alias("uorf"), s.rlike("AUUUA").alias("au_rich"), (gc_content(s) >= gc_share).alias("gc_rich"))
+
+
+def edit_vector(a: Column, b: Column) -> Column:
+    """array of 9: SNV, insertion, deletion, complex; relative place; log1p(size) / 5; change of the best Kozak score; sign of the change in AUGs; change of GC."""
+    augs = F.size(find_all(b, "AUG")) - F.size(find_all(a, "AUG"))
+
+    def of(e: Column) -> Column:
+        known = [e.kind == "SNV", e.kind == "insertion", e.kind == "deletion", ~e.kind.isin("SNV", "insertion", "deletion")]
+        return F.array(*(k.cast("double") for k in known), e.position / F.greatest(F.length(a), F.length(b), F.lit(1)), F.log1p(e.size) / 5, kozak_score(b) - kozak_score(a), F.signum(augs.cast("double")), gc_content(b) - gc_content(a))
+
+    return let(extract_edit(a, b), of)
+
+
+#: Changes of one base into another, M being a methylated A.
+CHANGES = ("AC", "AG", "AU", "AM", "CA", "CG", "CU", "GA", "GC", "GU", "UA", "UC", "UG", "MA")
+PAIR_TYPES = ("A_vs_A", "M_vs_M", "M_vs_A")
+
+
+def edit_onehot(position: Column, before: Column, after: Column, pair_type: Column, places_: int = 7) -> Column:
+    """array of ints: one-hot of the place (the last one for places beyond), of the change and of the pair type."""
+    at = F.least(position, F.lit(places_ - 1))
+    change = F.translate(F.upper(F.concat(before, after)), "T", "U")
+    flags = [at == i for i in range(places_)] + [change == c for c in CHANGES] + [pair_type == p for p in PAIR_TYPES]
+    return F.array(*(F.coalesce(f, F.lit(False)).cast("int") for f in flags))
+
+
+def edit_signature(a: Column, b: Column, bins: int = 3) -> Column:
+    """Kind of edit, its part of the longer sequence and the class of its first change, as one text.
+
+    Sequences of unlike length count from place 0 and are indels; equal ones are identical.
+    """
+    la, lb = F.length(a), F.length(b)
+
+    def of(m: Column) -> Column:
+        n, at = F.size(m), F.coalesce(F.get(m, F.lit(0)), F.lit(0))
+        kind = F.when(la < lb, "insertion").when(la > lb, "deletion").when(n == 0, "identical").when(n == 1, "snv").otherwise("multiple_snv")
+        part = F.when((la == lb) & (n > 0), F.least(F.floor(at * bins / F.greatest(la, lb, F.lit(1))), F.lit(bins - 1))).otherwise(0)
+        transition = F.concat(char(a, at), char(b, at)).isin("AG", "GA", "CU", "UC")
+        change = F.when(la != lb, "indel").when(n == 0, "none").when(transition, "transition").otherwise("transversion")
+        return F.concat_ws("|", kind, part.cast("string"), change)
+
+    return let(mismatches(a, b), of)
 
 
 def find_uorfs(s: Column, least: int = 9) -> Column:
@@ -127,8 +191,9 @@ def find_uorfs(s: Column, least: int = 9) -> Column:
         frame = F.when(F.length(s) >= i + 6, F.sequence(i + 3, F.length(s) - 3, F.lit(3))).otherwise(F.array().cast("array<int>"))
         return F.get(F.filter(frame, lambda j: s.substr(j + 1, F.lit(3)).isin("UAA", "UAG", "UGA")), F.lit(0))
 
-    found = F.transform(find_all(s, "AUG"), lambda i: F.struct(i.alias("start"), (stop(i) + 3).alias("end"), (stop(i) + 3 - i).alias("length")))
-    return F.filter(found, lambda o: o.length >= least)
+    stops = F.transform(find_all(s, "AUG"), lambda i: F.struct(i.alias("start"), (stop(i) + 3).alias("end")))
+    found = F.filter(stops, lambda o: o.end - o.start >= least)
+    return F.transform(found, lambda o: F.struct(o.start.alias("start"), o.end.alias("end"), (o.end - o.start).alias("length")))
 
 
 def find_are_motifs(s: Column) -> Column:
@@ -214,3 +279,28 @@ def parse_edit(text: Column) -> Column:
     """`a>>b` -> struct(from, to); null if it is no edit."""
     parts = F.split(text, ">>")
     return F.when(F.size(parts) == 2, F.struct(F.get(parts, F.lit(0)).alias("from"), F.get(parts, F.lit(1)).alias("to")))
+
+
+def site_features(s: Column, centre: Column, widths: tuple[int, ...], digits: int = 6) -> dict[str, Column]:
+    """Features around a 0-based place by name: shares in the whole sequence and within `widths`, neighbours, shares of neighbouring pairs."""
+    n, r = F.length(s), lambda c: F.round(c, digits)
+    share = lambda w, p: r(F.coalesce(F.try_divide(F.regexp_count(w, F.lit(f"[{p}]")), F.length(w)), F.lit(0.0)))
+    out = {f"global_{b.lower()}": share(s, b) for b in "ACGU"} | {"global_gc": share(s, "GC"), "global_purine": share(s, "AG")}
+    for w in widths:
+        first = F.greatest(F.lit(0), centre - w)
+        window = s.substr(first + 1, F.least(n, centre + w + 1) - first)
+        out |= {f"{b.lower()}_{w}": share(window, b) for b in ("A", "C", "G", "U", "GC")}
+    out |= {f"left_{b.lower()}": F.when((centre > 0) & (char(s, centre - 1) == b), 1).otherwise(0) for b in "ACGU"}
+    out |= {f"right_{b.lower()}": F.when(char(s, centre + 1) == b, 1).otherwise(0) for b in "ACGU"}
+    for pair in (a + b for a in "ACGU" for b in "ACGU"):
+        # matches by lookahead may overlap
+        out[f"pair_{pair.lower()}"] = r(F.regexp_count(s, F.lit(f"{pair[0]}(?={pair[1]})")) / F.greatest(n - 1, F.lit(1)))
+    return out
+
+
+def design_matrix(rows: DataFrame, families: list[DataFrame], key: str) -> DataFrame:
+    """(key, features): numeric columns of `rows` and of feature families joined by key, in the order of their names, gaps as 0."""
+    for family in families:
+        rows = rows.join(family, key, "left")
+    names = sorted(c for c in rows.columns if c != key)
+    return rows.select(key, F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names)).alias("features"))

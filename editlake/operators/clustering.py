@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from editlake.operators.shared import checkpointed
 
-#: Query rows of a block in the neighbour search.
-BLOCK = 2048
+#: Query rows of a block and rows of a part in the neighbour search.
+BLOCK, PART = 2048, 20_000
 
 
 def _both_ways(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -68,13 +68,13 @@ def density_series(links: DataFrame, a: str, b: str, min_samples: int, min_size:
     return every.join(every.groupBy("series").count().where(F.col("count") >= min_size).select("series"), "series", "left_semi").select("id", "series")
 
 
-def knn_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, parts: int = 16) -> DataFrame:
+def knn_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
     """(query, neighbour, similarity, rank): the k nearest rows of every query by cosine, itself left out; exact.
 
-    Queries come in blocks of about BLOCK and rows in `parts`; each (block, part) is one matrix product in a task of
-    bounded size and returns k rows a query, of which the best k of all parts stay.
+    Queries come in blocks of about BLOCK and rows in parts of about PART; each (block, part) is one matrix product in
+    a task of bounded size and returns k rows a query, of which the best k of all parts stay.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
+    blocks, parts = max(1, -(-queries.count() // BLOCK)), max(1, -(-rows.count() // PART))
     asked = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     given = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"))
 
@@ -94,3 +94,10 @@ def knn_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     kind = rows.schema[key].dataType.simpleString()
     found = asked.groupBy("block", "part").cogroup(given.groupBy("block", "part")).applyInPandas(best, f"query {kind}, neighbour {kind}, similarity double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour"))).where(F.col("rank") <= k)
+
+
+def neighbour_delta(neighbours: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(query, gap): the mean absolute difference of a value between a query row and its neighbours."""
+    own = rows.select(F.col(key).alias("query"), F.col(value).alias("__own"))
+    theirs = rows.select(F.col(key).alias("neighbour"), F.col(value).alias("__theirs"))
+    return neighbours.join(own, "query").join(theirs, "neighbour").groupBy("query").agg(F.avg(F.abs(F.col("__theirs") - F.col("__own"))).alias("gap"))

@@ -14,12 +14,21 @@ def md5_key(seed: str, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
 
 
-def exact_rank(df: DataFrame, key: Column, ties: list[str], name: str = "rank", strata: tuple[str, ...] = (), digits: int = 3) -> DataFrame:
+#: Rows that a bucket of a rank is to hold.
+BUCKET_ROWS = 50_000
+
+
+def exact_rank(df: DataFrame, key: Column, ties: list[str], name: str = "rank", strata: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """Adds the 0-based rank of rows, within `strata` if given, in the order of a hex `key` and `ties`.
 
-    Rows are ranked inside buckets of the key's leading digits, and counts per bucket give the offsets, so no task holds
-    all rows or all of a stratum. Also adds `<name>_of`, the number of rows of the stratum.
+    Rows are ranked inside buckets of the key's leading digits, as many as their number asks for, and counts per bucket
+    give the offsets, so no task holds all rows or all of a stratum. Also adds `<name>_of`, the number of rows of the
+    stratum.
     """
+    if digits is None:
+        n, digits = df.count(), 2
+        while 16**digits * BUCKET_ROWS < n:
+            digits += 1
     keyed = df.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, digits))
     counts = keyed.groupBy(*strata, "__bucket").count()
     whole = Window.partitionBy(*strata)
@@ -33,21 +42,27 @@ def exact_rank(df: DataFrame, key: Column, ties: list[str], name: str = "rank",
     return ranked.withColumn(name, F.col("__offset") + F.col("__row") - 1).select(*df.columns, name, f"{name}_of")
 
 
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds `name`: the sum of `value` over the rows that come before in `order`.
+
+    Rows are range-sorted and written down; sums per partition give the offsets, which are one row for each partition.
+    """
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__part").agg(F.sum(value).alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
+    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("__local", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(offsets), "__part")
+    return summed.withColumn(name, F.col("__offset") + F.col("__local")).select(*df.columns, name)
+
+
 def value_positions(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Distinct (keys, values) with `__n` rows and `__before`, the rows of the same keys that come before them.
 
-    Values are counted, range-sorted and numbered by partition and place; the numbers are written down before they are
-    used twice. Counts per partition give the offsets, so neither all rows nor those of a key meet in one task. Rows
-    with null keys are left out.
+    Values are counted and get running totals, so neither all rows nor those of a key meet in one task. Rows with null
+    keys are left out.
     """
     counts = df.dropna(subset=keys).groupBy(*keys, *values).agg(F.count("*").alias("__n")) if keys else df.groupBy(*values).agg(F.count("*").alias("__n"))
-    order = [*keys, *values]
-    placed = checkpointed(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("__part").agg(F.sum("__n").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("__local", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(F.broadcast(offsets), "__part")
-    summed = summed.withColumn("__all", F.col("__offset") + F.col("__local"))
+    summed = running_total(counts, [*keys, *values], "__n", "__all")
     if not keys:
         return summed.select(*values, "__n", F.col("__all").alias("__before"))
     starts = summed.groupBy(*keys).agg(F.min("__all").alias("__start"))

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlake.functions.sequence import char, hamming_distance, places
-from editlake.operators.ordering import exact_rank, md5_key
+from editlake.operators.ordering import exact_rank, md5_key, running_total
 from editlake.operators.relational import first_per_key
 
+#: Letters up to which sequences are compared by masked places.
+SHORT = 12
 #: Members of a core that one join key holds on its left side.
 CORE_PART = 1000
 
@@ -111,22 +113,48 @@ def snv_pairs(df: DataFrame, key: str, seq: str) -> DataFrame:
     return a.join(b, ["n", "at", "mask"]).where("base_a <> base_b").select(f"{key}_a", f"{key}_b", F.col("at").alias("position"), "base_a", "base_b")
 
 
+def _masks(s: Column, distance: int, first: Column | int = 0) -> Column:
+    """A sequence with every choice of `distance` places masked."""
+    at = lambda i: F.filter(places(F.length(s)), lambda j: j >= i)
+    hide = lambda x, i: F.overlay(x, F.lit("_"), i + 1, F.lit(1))
+    if distance == 1:
+        return F.transform(at(first), lambda i: hide(s, i))
+    return F.flatten(F.transform(at(first), lambda i: F.transform(_masks(s, distance - 1, i + 1), lambda x: hide(x, i))))
+
+
 def hamming_pairs(df: DataFrame, seq: str, distance: int) -> DataFrame:
     """Pairs a < b of distinct sequences of equal length with 1 .. distance mismatches.
 
-    Cut into distance + 1 segments, two such sequences agree in at least one: the join key is length, segment number
-    and segment.
+    Sequences of at most SHORT letters are keyed by themselves with every choice of `distance` places masked: those
+    that share a key differ there only, so no key is common. Longer ones are cut into distance + 1 segments, of which
+    two near sequences share at least one: the key is length, segment number and segment.
     """
     s, k = F.col(seq), distance + 1
     cut = lambda i: F.floor(F.length(s) * i / k).cast("int")
+    every = df.select(seq).where(F.length(s) >= distance).distinct().select(seq, F.length(s).alias("n"))
     parts = F.array(*(F.struct(F.lit(i).alias("no"), s.substr(cut(i) + 1, cut(i + 1) - cut(i)).alias("part")) for i in range(k)))
-    keyed = df.select(seq).distinct().select(seq, F.length(s).alias("n"), F.explode(parts).alias("p")).select(seq, "n", "p.*")
+    long = every.where(F.col("n") > SHORT).select(seq, "n", F.explode(parts).alias("p")).select(seq, "n", "p.*")
+    short = every.where(F.col("n") <= SHORT).select(seq, "n", F.lit(-1).alias("no"), F.explode(_masks(s, distance)).alias("part"))
+    keyed = long.unionByName(short)
     a, b = (keyed.select("n", "no", "part", F.col(seq).alias(f"{seq}_{x}")) for x in "ab")
     met = a.join(b, ["n", "no", "part"]).where(F.col(f"{seq}_a") < F.col(f"{seq}_b")).select(f"{seq}_a", f"{seq}_b").distinct()
     d = hamming_distance(F.col(f"{seq}_a"), F.col(f"{seq}_b"))
     return met.withColumn("distance", d).where(F.col("distance").between(1, distance))
 
 
+def loop_pairs(plain: DataFrame, marked: DataFrame, distance: int) -> DataFrame:
+    """Pairs of loops (pair_id, pair_type, loop_a, loop_b, distance): within plain, within marked, and each plain one with its marked form.
+
+    marked has (orig, loop). Numbers run through all pairs, type by type, in the order of the loops.
+    """
+    same = lambda df, no, name: hamming_pairs(df, "loop", distance).select(F.lit(no).alias("__no"), F.lit(name).alias("pair_type"), "loop_a", "loop_b", "distance")
+    cross = plain.join(marked.withColumnRenamed("loop", "m"), F.col("loop") == F.col("orig")).select(F.lit(3).alias("__no"), F.lit("M_vs_A").alias("pair_type"), F.col("loop").alias("loop_a"), F.col("m").alias("loop_b"), F.lit(1).alias("distance"))
+    every = same(plain, 1, "A_vs_A").unionByName(same(marked.select("loop"), 2, "M_vs_M")).unionByName(cross).withColumn("__one", F.lit(1))
+    numbered = running_total(every, ["__no", "loop_a", "loop_b"], "__one", "__at")
+    prefix = F.when(F.col("__no") == 1, "AA").when(F.col("__no") == 2, "MM").otherwise("MA")
+    return numbered.select(F.format_string("%s_%06d", prefix, F.col("__at")).alias("pair_id"), "pair_type", "loop_a", "loop_b", F.col("distance").cast("long").alias("distance"))
+
+
 def stack_members(pairs: DataFrame, a: list[str], b: list[str], names: list[str], more: list[str]) -> DataFrame:
     """A and B rows of a pair table as one table of single objects."""
     sides = (pairs.select(*(F.col(c).alias(n) for c, n in zip(cols, names, strict=True)), *more) for cols in (a, b))

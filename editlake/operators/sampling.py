@@ -38,7 +38,7 @@ def matched_negatives(df: DataFrame, label: str, key: list[str], n: int, strata:
     positives = df.where(F.col(label) == 1)
     quota = positives.groupBy(*strata).agg(F.count("*").alias("__k")).crossJoin(F.broadcast(positives.agg(F.count("*").alias("__all"))))
     quota = quota.withColumn("__quota", F.expr(f"{n} * __k div __all")).drop("__k", "__all")
-    negatives = df.where(F.col(label) != 1).join(F.broadcast(quota), strata)
+    negatives = df.where(F.col(label) != 1).join(quota, strata)
     return sample_count(negatives, key, F.col("__quota"), seed, tuple(strata)).select(*df.columns)
 
 

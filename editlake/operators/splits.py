@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from editlake.operators.ordering import exact_rank, md5_key, quantile_bins, value_positions
+from editlake.operators.ordering import exact_rank, md5_key, quantile_bins, running_total, value_positions
 
 FRACTIONS = (70, 15)
 
@@ -30,16 +29,16 @@ def group_allocation(df: DataFrame, group: list[str], seed: str = "split", fract
     """One row per group: size, rows before it in seeded order, and its split.
 
     Groups train until the wanted number of rows is reached, the next ones validate likewise, the rest test: in closed
-    form from running sums over the groups.
+    form from running sums over the groups, which are range-sorted, so that no task holds them all.
     """
     if max(fractions) < 1:
         fractions = tuple(round(100 * f) for f in fractions)
     sizes = df.groupBy(*group).agg(F.count("*").alias("size")).withColumn("__key", md5_key(seed, *group))
-    order = Window.orderBy("__key", *group).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    placed = sizes.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("__n", F.sum("size").over(every))
-    placed = placed.withColumn("__train", F.expr(f"__n * {fractions[0]} div 100")).withColumn("__val", F.expr(f"__n * {fractions[1]} div 100"))
-    placed = placed.withColumn("__reached", F.min(F.when(F.col("before") + F.col("size") >= F.col("__train"), F.col("before") + F.col("size"))).over(every))
+    placed = running_total(sizes, ["__key", *group], "size", "before")
+    every = placed.agg(F.sum("size").alias("__n")).withColumn("__train", F.expr(f"__n * {fractions[0]} div 100")).withColumn("__val", F.expr(f"__n * {fractions[1]} div 100"))
+    placed = placed.crossJoin(F.broadcast(every))
+    reached = placed.agg(F.min(F.when(F.col("before") + F.col("size") >= F.col("__train"), F.col("before") + F.col("size"))).alias("__reached"))
+    placed = placed.crossJoin(F.broadcast(reached))
     split = F.when(F.col("before") < F.col("__train"), "train").when(F.col("before") - F.col("__reached") < F.col("__val"), "val").otherwise("test")
     return placed.withColumn("split", split).select(*group, "size", "before", "split")
 
@@ -64,6 +63,21 @@ def holdout_split(df: DataFrame, test: Column, key: list[str], seed: str = "spli
     return ranked.withColumn("split", F.when(F.col("__test"), "test").when(F.col("__rank") < val, "val").otherwise("train")).select(*df.columns, "split")
 
 
+def listed_split(df: DataFrame, column: str, train: list, test: list, key: list[str], seed: str = "split", fractions: tuple[int, int] = FRACTIONS) -> DataFrame:
+    """Rows whose value is in one of two lists: those of `test` test, val is carved from those of `train`; all others are dropped."""
+    return holdout_split(df.where(F.col(column).isin(train + test)), F.col(column).isin(test), key, seed, fractions)
+
+
+def rare_holdout_split(df: DataFrame, column: str, key: list[str], common: int = 70, seed: str = "split", fractions: tuple[int, int] = FRACTIONS) -> DataFrame:
+    """The rarer values test: all but the first `common` percent of the values, by number of rows, then value."""
+    counts = df.groupBy(column).agg((-F.count("*")).alias("__fewer"))
+    placed = value_positions(counts, [], ["__fewer", column])
+    m = placed.agg(F.count("*").alias("__m"))
+    held = placed.crossJoin(F.broadcast(m)).where(F.expr(f"__before + 1 > __m * {common} div 100")).select(F.col(column).alias("__rare"))
+    marked = df.join(held, F.col(column) == F.col("__rare"), "left").withColumn("__held", F.col("__rare").isNotNull()).drop("__rare")
+    return holdout_split(marked, F.col("__held"), key, seed, fractions).drop("__held")
+
+
 def ordered_split(df: DataFrame, by: str, key: list[str], fractions: tuple[int, int] = FRACTIONS) -> DataFrame:
     """Rows in the order of a time column, then of the key, cut at counts."""
     order = list(dict.fromkeys([by, *key, *df.columns]))

@@ -138,7 +138,7 @@ def character_frequency(t: Tables):
     return t("seqs").select(F.explode(F.split("seq", "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
 
 
-_POS = "select doc_id, i - 1 pos, substr(loop, i, 1) ch from (select doc_id, loop, unnest(range(1, 8)) i from seq7)"
+_POS = "select doc_id, i - 1 pos, substr(loop, i, 1) ch from (select text_id doc_id, loop, unnest(range(1, 8)) i from seq7)"
 
 
 @query(f"select pos, ch, n, round(n / sum(n) over (partition by pos), 6) share from (select pos, ch, count(*) n from ({_POS}) group by 1, 2)")
@@ -148,7 +148,7 @@ def positional_frequency(t: Tables):
 
 
 def _positions(t: Tables):
-    return t("seq7").select("doc_id", F.posexplode(F.split("loop", "")).alias("pos", "ch")).where("ch <> ''").withColumn("pos", F.col("pos").cast("long"))
+    return t("seq7").select(F.col("text_id").alias("doc_id"), F.posexplode(F.split("loop", "")).alias("pos", "ch")).where("ch <> ''").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"with p as (select ch, quality from ({_POS}) join labels using (doc_id)), s as (select ch, count(*) filter (quality = 1) / (select count(*) from p where quality = 1)::double s1, count(*) filter (quality = 0) / (select count(*) from p where quality = 0)::double s0 from p group by 1) select ch, round(log2(s1 / s0), 6) log2_ratio from s where s0 > 0 and s1 > 0")
@@ -226,7 +226,7 @@ def temperature_ddg(t: Tables):
     return t("orders").where("o_totalprice > 0").select("o_orderkey", _r(0.001987 * kelvin * F.ln(F.col("o_totalprice") / 1000.0), "ddg"))
 
 
-@query("with w as (select l_suppkey, avg(l_extendedprice) kd from lineitem where l_returnflag = 'A' and l_suppkey < 90 group by 1) select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(0.001987 * 298 * ln(l_extendedprice / coalesce(kd, 100)), 6) ddg from lineitem left join w using (l_suppkey) where l_returnflag <> 'A'")
+@query("with w as (select l_suppkey, avg(l_extendedprice) kd from lineitem where l_returnflag = 'A' group by 1) select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(0.001987 * 298 * ln(l_extendedprice / coalesce(kd, 100)), 6) ddg from lineitem left join w using (l_suppkey) where l_returnflag <> 'A'")
 def reference_kd_ddg(t: Tables):
     line = t("lineitem")
     wild = line.where("l_returnflag = 'A'").groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("kd"))

@@ -99,7 +99,7 @@ def candidate_core_intersection(t: Tables):
     return both.select("mol_a", "mol_b", "prop_a", "prop_b", "delta_prop", F.substring(F.md5(F.concat("chain_a", F.lit(">"), "chain_b")), 1, 12).alias("edit_id"))
 
 
-_HAM = "len(list_filter(range(1, length(a.{0}) + 1), lambda i: substr(a.{0}, i, 1) <> substr(b.{0}, i, 1)))"
+_HAM = "hamming(a.{0}, b.{0})"
 
 
 @query("with s as (select distinct loop from seq7), k as (select loop, i, substr(loop, 1, i - 1) || '_' || substr(loop, i + 1) mask, substr(loop, i, 1) base from (select loop, unnest(range(1, 8)) i from s)) select a.loop loop_a, b.loop loop_b, a.i - 1 \"position\", a.base base_a, b.base base_b from k a join k b on a.i = b.i and a.mask = b.mask and a.base <> b.base")
@@ -157,13 +157,12 @@ def replicate_condition_pairs(t: Tables):
     return a.join(m, "id").select("id", F.round(F.col("m") - F.col("a"), 6).alias("delta"), F.round(fold, 6).alias("fold"), F.round(F.when(fold > 0, F.log2(fold)), 6).alias("log2_fold"))
 
 
-@query(f"with r as (select loop, center, min(doc_id) id from seq7 group by 1, 2), a as (select loop, id from r where center = 'A'), m as (select loop orig, substr(loop,1,3) || 'M' || substr(loop,5) loop, id from a where id % 2 = 0) select 'A_vs_A' pair_type, a.loop loop_a, b.loop loop_b from a join a b on a.loop < b.loop and {_HAM.format('loop')} = 1 union all select 'M_vs_M', a.loop, b.loop from m a join m b on a.loop < b.loop and {_HAM.format('loop')} = 1 union all select 'M_vs_A', a.loop, m.loop from a join m on m.orig = a.loop")
+@query(f"with r as (select loop, center, min(doc_id) id from seq7 group by 1, 2), a as (select loop, id from r where center = 'A'), m as (select loop orig, substr(loop,1,3) || 'M' || substr(loop,5) loop, id from a where id % 2 = 0), p as (select 1 k, 'A_vs_A' pair_type, a.loop loop_a, b.loop loop_b from a join a b on a.loop < b.loop and {_HAM.format('loop')} between 1 and 2 union all select 2, 'M_vs_M', a.loop, b.loop from m a join m b on a.loop < b.loop and {_HAM.format('loop')} between 1 and 2 union all select 3, 'M_vs_A', a.loop, m.loop from a join m on m.orig = a.loop) select printf('%s_%06d', ['AA', 'MM', 'MA'][k], row_number() over (order by k, loop_a, loop_b) - 1) pair_id, pair_type, loop_a, loop_b, {_HAM.replace('a.{0}', 'loop_a').replace('b.{0}', 'loop_b')} distance from p")
 def loop_edit_pairs(t: Tables):
+    """Pairs of loops within two changes, in both conditions and between them, numbered through."""
     a = t("seq7").where("center = 'A'").groupBy("loop").agg(F.min("doc_id").alias("id"))
     m = a.where("id % 2 = 0").select(F.col("loop").alias("orig"), F.concat(F.substring("loop", 1, 3), F.lit("M"), F.substring("loop", 5, 10)).alias("loop"))
-    same = lambda df, name: P.hamming_pairs(df, "loop", 1).select(F.lit(name).alias("pair_type"), "loop_a", "loop_b")
-    cross = a.select("loop").join(m.withColumnRenamed("loop", "m"), F.col("loop") == F.col("orig")).select(F.lit("M_vs_A").alias("pair_type"), F.col("loop").alias("loop_a"), F.col("m").alias("loop_b"))
-    return same(a, "A_vs_A").unionByName(same(m, "M_vs_M")).unionByName(cross)
+    return P.loop_pairs(a.select("loop"), m, distance=2)
 
 
 @query(f"with b as (select lang, doc_id ref_doc_id, loop, value from (select *, row_number() over (partition by lang order by value desc, doc_id) r from seq7) where r = 1), p as (select a.lang, b.ref_doc_id, a.doc_id, {_HAM.format('loop')} n_changes, round(a.value - b.value, 6) delta from seq7 a join b on a.lang = b.lang and a.doc_id <> b.ref_doc_id) select * from p where n_changes between 1 and 5")
@@ -184,17 +183,17 @@ def fixed_reference_mutations(t: Tables):
 @query(f"with w as (select lang, min(loop) wild from seq7 group by 1) select doc_id, lang, array_to_string(list_transform(list_filter(range(1, 8), lambda i: substr(wild, i, 1) <> substr(loop, i, 1)), lambda i: (i - 1) || ':' || substr(wild, i, 1) || '>' || substr(loop, i, 1)), '|') mutations from seq7 join w using (lang) where loop <> wild")
 def wildtype_table_mutations(t: Tables):
     wild = t("seq7").groupBy("lang").agg(F.min("loop").alias("wild"))
-    rows = t("seq7").join(F.broadcast(wild), "lang").where("loop <> wild")
+    rows = t("seq7").join(wild, "lang").where("loop <> wild")
     return rows.select("doc_id", "lang", Q.describe_differences(Q.all_differences(F.col("wild"), F.col("loop"))).alias("mutations"))
 
 
-@query("with p as (select site_id, row_number() over (order by md5('case|' || cast(site_id as varchar)), site_id) - 1 i from sites where is_edited = 1), c as (select site_id, row_number() over (order by md5('ctl|' || cast(site_id as varchar)), site_id) - 1 i, count(*) over () n from sites where is_edited = 0 and site_id < 500) select p.site_id case_id, c.site_id control_id from p join c on p.i % c.n = c.i")
+@query("with p as (select site_id, row_number() over (order by md5('case|' || cast(site_id as varchar)), site_id) - 1 i from sites where is_edited = 1), c as (select site_id, row_number() over (order by md5('ctl|' || cast(site_id as varchar)), site_id) - 1 i, count(*) over () n from sites where is_edited = 0) select p.site_id case_id, c.site_id control_id from p join c on p.i % c.n = c.i")
 def matched_case_control_pairs(t: Tables):
     from editlake.operators.ordering import exact_rank, md5_key
 
     s = t("sites").select("site_id", "is_edited")
     cases = exact_rank(s.where("is_edited = 1"), md5_key("case", "site_id"), ["site_id"], "i").select(F.col("site_id").alias("case_id"), "i")
-    controls = exact_rank(s.where("is_edited = 0 and site_id < 500"), md5_key("ctl", "site_id"), ["site_id"], "j").select(F.col("site_id").alias("control_id"), "j", "j_of")
+    controls = exact_rank(s.where("is_edited = 0"), md5_key("ctl", "site_id"), ["site_id"], "j").select(F.col("site_id").alias("control_id"), "j", "j_of")
     n = controls.agg(F.max("j_of").alias("n"))
     return cases.crossJoin(F.broadcast(n)).withColumn("j", F.col("i") % F.col("n")).join(controls.select("control_id", "j"), "j").select("case_id", "control_id")
 
@@ -219,7 +218,7 @@ def variant_apply_strand(t: Tables):
     return turned.select("doc_id", F.when(F.col("r1") == F.col("base"), F.col("r1")).otherwise(F.col("ref")).alias("used_ref"), F.overlay("seq", alt, F.col("p"), F.lit(1)).alias("alt_seq"))
 
 
-@query("select l_partkey variant_id, 'tax' cell_type, round(l_tax, 6) skew, coalesce(l_quantity, 0) ref_value from lineitem where nullif(l_tax, 0) is not null and l_orderkey < 500 union all select l_partkey, 'discount', round(l_discount, 6), coalesce(l_quantity, 0) from lineitem where nullif(l_discount, 0) is not null and l_orderkey < 500", name="unpivot_cell_lines")
+@query("select l_partkey variant_id, 'tax' cell_type, round(l_tax, 6) skew, coalesce(l_quantity, 0) ref_value from lineitem where nullif(l_tax, 0) is not null union all select l_partkey, 'discount', round(l_discount, 6), coalesce(l_quantity, 0) from lineitem where nullif(l_discount, 0) is not null", name="unpivot_cell_lines")
 def unpivot_cell_lines(t: Tables):
     wide = t("lineitem")
     groups = F.array(*(F.struct(F.lit(n).alias("cell_type"), F.round(F.nullif(F.col(c), F.lit(0.0)), 6).alias("skew"), F.coalesce("l_quantity", F.lit(0.0)).alias("ref_value")) for n, c in (("tax", "l_tax"), ("discount", "l_discount"))))

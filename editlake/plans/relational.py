@@ -17,7 +17,7 @@ def molecules_with_activity(t: Tables):
     return R.with_activity(parts, t("lineitem"), "l_partkey", F.col("l_returnflag").isin("A", "R") & (F.col("l_linestatus") == "F")).select(F.col("l_partkey").alias("mol_id"), "p_name", F.col("p_retailprice").alias("mw"))
 
 
-@query("select distinct p_partkey mol_id, p_name, p_retailprice mw from part join lineitem on l_partkey = p_partkey where l_suppkey < 20 order by mol_id limit 500")
+@query("select distinct p_partkey mol_id, p_name, p_retailprice mw from part join lineitem on l_partkey = p_partkey order by mol_id limit 500")
 def molecules_distinct_join(t: Tables):
     found = t("part").join(t("lineitem"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_partkey").alias("mol_id"), "p_name", F.col("p_retailprice").alias("mw")).distinct()
     return R.top_by(found, 500, F.col("mol_id"))
@@ -129,7 +129,7 @@ def molecules_by_mass_band(t: Tables):
 def valid_pairs_filter(t: Tables):
     good = t("seq_pairs").where(F.col("seq_a").rlike("^[ACGU]*$") & F.col("seq_b").rlike("^[ACGU]*$") & F.col("property_name").isin("en", "fr", "de"))
     many = good.groupBy("property_name").count().where("count >= 125")
-    return good.join(F.broadcast(many), "property_name", "left_semi").select("pair_id", "property_name", "value_a", "value_b")
+    return good.join(many, "property_name", "left_semi").select("pair_id", "property_name", "value_a", "value_b")
 
 
 @query("select p_partkey id, p_brand condition, round(avg(l_quantity), 6) mean_value, count(*) n from part join lineitem on p_partkey = l_partkey where p_brand in ('Brand#1','Brand#2') group by 1, 2")

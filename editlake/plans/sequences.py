@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from editlake.functions import sequence as Q
+from editlake.functions import tables as T
 from editlake.plans.registry import Tables, query
 
 
@@ -18,10 +19,11 @@ def _seqs(t: Tables):
     return t("seqs").select("doc_id", "seq", "value")
 
 
-@query("select doc_id, regexp_matches(upper(substr(text, 1, 5)), '^[ACGUT]*$') valid, regexp_matches(upper(substr(text, 1, 5)), '^[ACGUTN]*$') valid_n from documents")
+@query("select text_id doc_id, regexp_matches(upper(letters), '^[ACGUT]*$') valid, regexp_matches(upper(case when text_id % 2 = 0 then letters || 'n' else letters || '-' end), '^[ACGUTN]*$') valid_n, regexp_matches(upper(letters || 'n'), '^[ACGUT]*$') invalid from letters")
 def seq_validate(t: Tables):
-    head = F.substring("text", 1, 5)
-    return t("documents").select("doc_id", Q.seq_validate(head).alias("valid"), Q.seq_validate(head, True).alias("valid_n"))
+    s = F.col("letters")
+    tail = F.when(F.col("text_id") % 2 == 0, "n").otherwise("-")
+    return t("letters").select(F.col("text_id").alias("doc_id"), Q.seq_validate(s).alias("valid"), Q.seq_validate(F.concat(s, tail), True).alias("valid_n"), Q.seq_validate(F.concat(s, F.lit("n"))).alias("invalid"))
 
 
 @query("select doc_id, replace(seq, 'U', 'T') dna, replace(replace(lower(seq), 'u', 't'), 't', 'u') lower_rna, upper(replace(replace(lower(seq), 'u', 't'), 't', 'u')) rna from seqs")
@@ -85,12 +87,19 @@ def classify_change(t: Tables):
 
 
 def _kozak_sql(s: str) -> str:
-    terms = []
-    for offset, weights in Q.KOZAK.items():
-        cases = " ".join(f"when '{b}' then {w}::double" for b, w in weights.items())
-        terms.append(f"case when i + {offset} >= 1 then case substr({s}, cast(i + {offset} as int), 1) {cases} else 0.0::double end else 0.0::double end")
-    best = sum(max(w.values()) for w in Q.KOZAK.values())
-    return f"coalesce(list_max(list_transform(list_filter(range(1, length({s}) - 1), lambda i: substr({s}, i, 3) = 'AUG'), lambda i: ({' + '.join(terms)}) / {best})), 0)"
+    """The weights stand here once more, so that the SQL does not follow a wrong table."""
+    at = lambda o: f"case when i + {o} >= 1 then substr({s}, cast(i + {o} as int), 1) else '' end"
+    terms = [
+        f"case {at(-6)} when 'G' then 0.5 when 'A' then 0.3 when 'C' then 0.1 when 'U' then 0.1 else 0 end",
+        f"case {at(-5)} when 'C' then 0.5 when 'G' then 0.2 when 'A' then 0.2 when 'U' then 0.1 else 0 end",
+        f"case {at(-4)} when 'C' then 0.5 when 'A' then 0.2 when 'G' then 0.2 when 'U' then 0.1 else 0 end",
+        f"case {at(-3)} when 'A' then 0.5 when 'G' then 0.4 when 'C' then 0.05 when 'U' then 0.05 else 0 end",
+        f"case {at(-2)} when 'C' then 0.4 when 'A' then 0.2 when 'G' then 0.2 when 'U' then 0.2 else 0 end",
+        f"case {at(-1)} when 'C' then 0.4 when 'A' then 0.2 when 'G' then 0.2 when 'U' then 0.2 else 0 end",
+        f"case {at(4)} when 'G' then 0.5 when 'A' then 0.2 when 'C' then 0.2 when 'U' then 0.1 else 0 end",
+    ]
+    total = " + ".join(f"({x})::double" for x in terms)
+    return f"coalesce(list_max(list_transform(list_filter(range(1, length({s}) - 1), lambda i: substr({s}, i, 3) = 'AUG'), lambda i: ({total}) / 3.3::double)), 0)"
 
 
 @query(f"select doc_id, round({_kozak_sql('seq')}, 6) kozak from seqs")
@@ -98,7 +107,7 @@ def kozak_score(t: Tables):
     return _seqs(t).select("doc_id", F.round(Q.kozak_score(_s()), 6).alias("kozak"))
 
 
-@query("select doc_id, regexp_matches(seq, '[AG]..AUGG') kozak, len(list_filter(range(1, 49), lambda i: substr(seq, i, 3) = 'AUG')) > 1 uaug, regexp_matches(seq, 'AUG(?:[ACGU]{3})*?(?:UAA|UAG|UGA)') uorf, regexp_matches(seq, 'AUUUA') au_rich, regexp_matches(seq, '[GC]{6,}') gc_rich from seqs")
+@query("select doc_id, regexp_matches(seq, '[AG]CCAUGG|[AG]..AUG.{4}') kozak, len(list_filter(range(1, 49), lambda i: substr(seq, i, 3) = 'AUG')) > 1 uaug, regexp_matches(seq, 'AUG(?:[ACGU]{3})*?(?:UAA|UAG|UGA)') uorf, regexp_matches(seq, 'AUUUA') au_rich, length(regexp_replace(seq, '[^GC]', '', 'g')) / 50.0::double >= 0.6 gc_rich from seqs")
 def motif_flags(t: Tables):
     return _seqs(t).select("doc_id", Q.motif_flags(_s()).alias("m")).select("doc_id", "m.*")
 
@@ -113,7 +122,7 @@ def find_uorfs(t: Tables):
     return _seqs(t).select("doc_id", F.explode(Q.find_uorfs(_s())).alias("o")).select("doc_id", "o.*")
 
 
-@query("select doc_id, len(regexp_extract_all(seq, 'AUUUA')) n_i, len(regexp_extract_all(seq, 'UUAUUUA[AU][AU]')) n_ii, len(regexp_extract_all(seq, 'U{5,}')) n_iii, case when regexp_matches(seq, 'AUUUA') then strpos(seq, 'AUUUA') - 1 end first_i from seqs")
+@query("select doc_id, len(regexp_extract_all(seq, 'AUUUA')) n_i, len(regexp_extract_all(seq, 'AUUUAUUUA')) n_ii, len(regexp_extract_all(seq, 'U{5,}')) n_iii, case when regexp_matches(seq, 'AUUUA') then strpos(seq, 'AUUUA') - 1 end first_i from seqs")
 def find_are_motifs(t: Tables):
     found = _seqs(t).select("doc_id", Q.find_are_motifs(_s()).alias("m"))
     n = lambda k: F.size(F.filter("m", lambda x: x.kind == k))
@@ -125,7 +134,8 @@ def cap_accessibility(t: Tables):
     return _seqs(t).select("doc_id", F.round(Q.cap_accessibility(_s()), 6).alias("access"))
 
 
-_CODON = "case substr({0}, i, 3) " + " ".join(f"when '{a}{b}{c}' then '{Q.AMINO[16 * i + 4 * j + k]}'" for i, a in enumerate(Q.BASES) for j, b in enumerate(Q.BASES) for k, c in enumerate(Q.BASES)) + " else 'X' end"
+_CODONS = {"F": "UUU UUC", "L": "UUA UUG CUU CUC CUA CUG", "I": "AUU AUC AUA", "M": "AUG", "V": "GUU GUC GUA GUG", "S": "UCU UCC UCA UCG AGU AGC", "P": "CCU CCC CCA CCG", "T": "ACU ACC ACA ACG", "A": "GCU GCC GCA GCG", "Y": "UAU UAC", "*": "UAA UAG UGA", "H": "CAU CAC", "Q": "CAA CAG", "N": "AAU AAC", "K": "AAA AAG", "D": "GAU GAC", "E": "GAA GAG", "C": "UGU UGC", "W": "UGG", "R": "CGU CGC CGA CGG AGA AGG", "G": "GGU GGC GGA GGG"}
+_CODON = "case " + " ".join(f"when substr({{0}}, i, 3) in ({', '.join(repr(c) for c in cs.split())}) then '{aa}'" for aa, cs in _CODONS.items()) + " else 'X' end"
 
 
 def _translated(s: str) -> str:
@@ -211,18 +221,19 @@ def parse_edit_string(t: Tables):
     return t("part").select("p_partkey", Q.parse_edit(text).alias("e")).select("p_partkey", "e.from", "e.to")
 
 
-# Names of edits and the words that put an unnamed one into a category, first match first.
-EDIT_NAMES = {"small ring": "ring closure", "large ring": "ring growth"}
-CATEGORIES = (("de", "removal"), ("halo", "halogenation"), ("ring", "ring change"), ("pro", "promotion"))
+_SIDES = "['[H]','C','CC','CCC','C(C)C','F','Cl','Br','I','O','N','S','C(=O)','C(F)(F)F','c1ccccc1','c1ccncc1']"
+_NAMED = """('[H]>>C','methylation','alkylation'),('[H]>>CC','ethylation','alkylation'),('[H]>>C(C)C','isopropylation','other'),('C>>CC','homologation_C1_to_C2','chain_extension'),('CC>>CCC','homologation_C2_to_C3','chain_extension'),('C>>C(C)C','branching_methyl_to_isopropyl','chain_extension'),
+('[H]>>F','fluorination','halogenation'),('[H]>>Cl','chlorination','halogenation'),('[H]>>Br','bromination','other'),('[H]>>I','iodination','other'),('F>>Cl','F_to_Cl_exchange','halogen_exchange'),('Cl>>Br','Cl_to_Br_exchange','halogen_exchange'),('Br>>I','Br_to_I_exchange','halogen_exchange'),('F>>Br','F_to_Br_exchange','halogen_exchange'),('Cl>>F','Cl_to_F_exchange','halogen_exchange'),
+('O>>N','OH_to_NH2','functional_group_interconversion'),('N>>O','NH2_to_OH','functional_group_interconversion'),('O>>S','O_to_S_bioisostere','bioisosteric_replacement'),('S>>O','S_to_O_bioisostere','bioisosteric_replacement'),('C>>N','aza_substitution','heteroatom_substitution'),('N>>C','deaza_substitution','heteroatom_substitution'),('C>>O','hydroxylation','other'),('O>>[H]','dehydroxylation','other'),('C>>C(=O)','carbonyl_formation','other'),('C(=O)>>C','carbonyl_reduction','other'),
+('C(F)(F)F>>C','CF3_removal','other'),('C>>C(F)(F)F','CF3_addition','other'),('c1ccccc1>>c1ccncc1','phenyl_to_pyridyl','bioisosteric_replacement'),('c1ccncc1>>c1ccccc1','pyridyl_to_phenyl','other'),('F>>[H]','defluorination','dehalogenation'),('Cl>>[H]','dechlorination','dehalogenation'),('Br>>[H]','debromination','other'),('I>>[H]','deiodination','other')"""
 
 
-@query("select p_partkey, case p_name when 'small ring' then 'ring closure' when 'large ring' then 'ring growth' else case when p_name like '%de%' then 'removal' when p_name like '%halo%' then 'halogenation' when p_name like '%ring%' then 'ring change' when p_name like '%pro%' then 'promotion' else 'other' end end category from part")
+@query(f"with e as (select p_partkey, {_SIDES}[p_partkey % 16 + 1] || '>>' || {_SIDES}[p_partkey // 16 % 16 + 1] edit from part), n(edit, named, category) as (values {_NAMED}) select p_partkey, edit, coalesce(named, edit) named, coalesce(category, 'other') category from e left join n using (edit)")
 def edit_name_category(t: Tables):
-    names = t.spark.createDataFrame(list(EDIT_NAMES.items()), "p_name string, named string")
-    by_word = None
-    for word, category in CATEGORIES:
-        by_word = (F if by_word is None else by_word).when(F.col("p_name").contains(word), category)
-    return t("part").join(F.broadcast(names), "p_name", "left").select("p_partkey", F.coalesce("named", by_word.otherwise("other")).alias("category"))
+    sides = F.array(*map(F.lit, ("[H]", "C", "CC", "CCC", "C(C)C", "F", "Cl", "Br", "I", "O", "N", "S", "C(=O)", "C(F)(F)F", "c1ccccc1", "c1ccncc1")))
+    side = lambda i: F.get(sides, F.expr(i).cast("int"))
+    edits = t("part").select("p_partkey", F.concat(side("p_partkey % 16"), F.lit(">>"), side("p_partkey div 16 % 16")).alias("edit"))
+    return edits.select("p_partkey", "edit", T.edit_name(F.col("edit")).alias("named"), T.edit_category(F.col("edit")).alias("category"))
 
 
 @query("select mol_id, core, greatest(len(regexp_extract_all(chain || '[*:1]' || case when mol_id % 2 = 0 then '[*]' else '' end, '\\[\\*(:[0-9]+)?\\]')), 1) n_marks from fragments")
@@ -270,7 +281,7 @@ def kmer_features(t: Tables):
     return shares(3).unionByName(shares(4))
 
 
-@query("with c as (select doc_id, seq, length(regexp_replace(seq, '[^A]', '', 'g')) a, length(regexp_replace(seq, '[^C]', '', 'g')) c, length(regexp_replace(seq, '[^G]', '', 'g')) g, length(regexp_replace(seq, '[^U]', '', 'g')) u from seqs) select doc_id, round((g + c) / 50.0::double, 6) gc, round((a + u) / 50.0::double, 6) au, round(ln(50.0::double) / 10, 6) log_length, round(least(5, (a + g) / greatest(c + u, 1)::double), 6) purine_ratio, round(list_max(list_transform(regexp_extract_all(seq, '(A+|C+|G+|U+)'), lambda x: length(x))) / 20.0::double, 6) longest_run, len(regexp_extract_all(seq, 'CG')) cpg, len(regexp_extract_all(seq, 'UA')) upa, round(length(regexp_replace(substr(seq, 1, 10), '[^A]', '', 'g')) / 10.0::double, 6) a_head from c")
+@query("with c as (select doc_id, seq, length(regexp_replace(seq, '[^A]', '', 'g')) a, length(regexp_replace(seq, '[^C]', '', 'g')) c, length(regexp_replace(seq, '[^G]', '', 'g')) g, length(regexp_replace(seq, '[^U]', '', 'g')) u from seqs) select doc_id, round((g + c) / 50.0::double, 6) gc, round((a + u) / 50.0::double, 6) au, round(ln(50.0::double) / 10, 6) log_length, round(least(5, (a + g) / greatest(c + u, 1)::double), 6) purine_ratio, round(list_max(list_transform(regexp_extract_all(seq, '(A+|C+|G+|U+)'), lambda x: length(x))) / 20.0::double, 6) longest_run, len(regexp_extract_all(seq, 'CG')) cpg, len(regexp_extract_all(seq, 'UA')) upa, round(length(regexp_replace(substr(seq, 1, 10), '[^A]', '', 'g')) / 10.0::double, 6) a_head, [round(a / 50.0::double, 6), round(c / 50.0::double, 6), round(g / 50.0::double, 6), round(u / 50.0::double, 6)] mean_onehot from c")
 def composition_features(t: Tables):
     n = lambda p, s=_s(): F.regexp_count(s, F.lit(p))
     runs = F.transform(F.regexp_extract_all(_s(), F.lit("(A+|C+|G+|U+)"), F.lit(1)), F.length)
@@ -285,6 +296,7 @@ def composition_features(t: Tables):
         n("CG").alias("cpg"),
         n("UA").alias("upa"),
         r(n("A", F.substring(_s(), 1, 10)) / 10).alias("a_head"),
+        F.array(*(r(n(b) / F.length(_s())) for b in "ACGU")).alias("mean_onehot"),
     )
 
 
@@ -295,13 +307,36 @@ def positional_bins(t: Tables):
     return counts.select("doc_id", "bin", "ch", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id", "bin")), 6).alias("share"))
 
 
-@query("select doc_id, " + ", ".join(f"round(length(regexp_replace(substr(seq, greatest(1, 26 - {w}), {2 * w + 1} - greatest(0, {w} - 25)), '[^{b}]', '', 'g')) / length(substr(seq, greatest(1, 26 - {w}), {2 * w + 1} - greatest(0, {w} - 25)))::double, 6) {b.lower()}_{w}" for w in (5, 10, 20) for b in "ACGU") + ", substr(seq, 25, 1) left_base, substr(seq, 27, 1) right_base, " + ", ".join(f"len(list_filter(range(1, 50), lambda i: substr(seq, i, 2) = '{d}')) n_{d.lower()}" for d in ("AA", "AC", "CG", "UA")) + " from seqs")
+_WIDTHS = (5, 10, 20, 50)
+_PAIRS = [a + b for a in "ACGU" for b in "ACGU"]
+
+
+def _site_window(w: int) -> str:
+    return f"substr(letters, cast(greatest(0, c - {w}) + 1 as int), cast(least(n, c + {w} + 1) - greatest(0, c - {w}) as int))"
+
+
+_SITES = "(select *, length(letters) n, length(letters) // 2 c from letters where length(letters) > 0)"
+_SITE_COLUMNS = (
+    [f"round(length(regexp_replace(letters, '[^{b}]', '', 'g')) / n::double, 6) global_{b.lower()}" for b in "ACGU"]
+    + ["round(length(regexp_replace(letters, '[^GC]', '', 'g')) / n::double, 6) global_gc", "round(length(regexp_replace(letters, '[^AG]', '', 'g')) / n::double, 6) global_purine"]
+    + [f"round(length(regexp_replace({_site_window(w)}, '[^{b}]', '', 'g')) / length({_site_window(w)})::double, 6) {name}_{w}" for w in _WIDTHS for b, name in (("A", "a"), ("C", "c"), ("G", "g"), ("U", "u"), ("GC", "gc"))]
+    + [f"(c > 0 and substr(letters, cast(c as int), 1) = '{b}')::int left_{b.lower()}" for b in "ACGU"]
+    + [f"(substr(letters, cast(c + 2 as int), 1) = '{b}')::int right_{b.lower()}" for b in "ACGU"]
+    + [f"round(coalesce(d['{p}'], 0) / greatest(n - 1, 1)::double, 6) pair_{p.lower()}" for p in _PAIRS]
+)
+_PAIR_COUNTS = "(select text_id, histogram(substr(letters, i, 2)) d from (select text_id, letters, unnest(range(1, length(letters))) i from letters) group by 1)"
+
+
+@query(f"select text_id, {', '.join(_SITE_COLUMNS)} from {_SITES} left join {_PAIR_COUNTS} using (text_id)")
 def site_sequence_features(t: Tables):
-    cols = []
-    for w in (5, 10, 20):
-        window = F.substring(_s(), max(1, 26 - w), 2 * w + 1 - max(0, w - 25))
-        cols += [F.round(F.regexp_count(window, F.lit(b)) / F.length(window), 6).alias(f"{b.lower()}_{w}") for b in "ACGU"]
-    return _seqs(t).select("doc_id", *cols, F.substring(_s(), 25, 1).alias("left_base"), F.substring(_s(), 27, 1).alias("right_base"), *(F.size(Q.find_all(_s(), d)).alias(f"n_{d.lower()}") for d in ("AA", "AC", "CG", "UA")))
+    return _site_features(t)
+
+
+def _site_features(t: Tables):
+    """The centre of a whole text stands for the site."""
+    rows = t("letters").where("length(letters) > 0").select("text_id", "letters", F.floor(F.length("letters") / 2).cast("int").alias("c"))
+    features = Q.site_features(F.col("letters"), F.col("c"), _WIDTHS)
+    return rows.select("text_id", *(v.alias(k) for k, v in features.items()))
 
 
 @query("with b as (select doc_id, structure s, list_filter(range(1, 51), lambda i: substr(structure, i, 1) <> '.') p from brackets) select doc_id, substr(s, 26, 1) <> '.' center_paired, round(len(p) / 50.0::double, 6) paired_share, round(len(list_filter(p, lambda i: i between 21 and 31)) / 11.0::double, 6) paired_5, length(regexp_extract(substr(s, 1, 26), '([()]*)$', 1)) + length(regexp_extract(substr(s, 27), '^([()]*)', 1)) stem, list_min(list_transform(p, lambda i: abs(i - 26))) nearest from b")
@@ -312,10 +347,15 @@ def site_structure_features(t: Tables):
     return t("brackets").select("doc_id", (F.substring(s, 26, 1) != ".").alias("center_paired"), F.round(F.size(paired) / F.length(s), 6).alias("paired_share"), F.round(F.size(F.filter(paired, lambda i: i.between(20, 30))) / 11, 6).alias("paired_5"), stem.alias("stem"), F.array_min(F.transform(paired, lambda i: F.abs(i - 25))).alias("nearest"))
 
 
-@query("select site_id, round(ln(1 + coverage), 6) log_coverage, round(coalesce(length(regexp_replace(seq, '[^GC]', '', 'g')) / 50.0::double, 0), 6) gc, coalesce(value, 0) \"value\" from sites left join seqs on site_id = doc_id")
+_MATRIX_SEQ = ["global_gc", "gc_5", "left_a", "right_g", "pair_ua"]
+
+
+@query(f"with f as (select text_id site_id, {', '.join(c for c in _SITE_COLUMNS if c.split()[-1] in ('global_gc', 'gc_5', 'left_a', 'right_g', 'pair_ua'))} from {_SITES} left join {_PAIR_COUNTS} using (text_id)), b as (select site_id, count(*) filter (structure <> '.') / count(*)::double paired from (select text_id site_id, unnest(string_split(translate(letters, 'ACGU', '.(.)'), '')) structure from letters) group by 1) select s.site_id, [round(ln(1 + coverage), 6), coalesce(gc_5, 0), coalesce(global_gc, 0), coalesce(left_a, 0), coalesce(pair_ua, 0), coalesce(round(paired, 6), 0), coalesce(right_g, 0)]::double[] features from sites s left join f using (site_id) left join b using (site_id)")
 def design_matrix(t: Tables):
-    seqs = t("seqs").select(F.col("doc_id").alias("site_id"), Q.gc_content(_s()).alias("gc"), "value")
-    return t("sites").join(seqs, "site_id", "left").na.fill(0.0, ["gc", "value"]).select("site_id", F.round(F.log1p("coverage"), 6).alias("log_coverage"), F.round("gc", 6).alias("gc"), "value")
+    """Coverage, sequence and structure features of a site, by name, gaps as 0."""
+    sequence = _site_features(t).select(F.col("text_id").alias("site_id"), *_MATRIX_SEQ)
+    structure = t("letters").where("length(letters) > 0").select(F.col("text_id").alias("site_id"), F.round(F.regexp_count("letters", F.lit("[CU]")) / F.length("letters"), 6).alias("paired_share"))
+    return Q.design_matrix(t("sites").select("site_id", F.round(F.log1p("coverage"), 6).alias("coverage")), [sequence, structure], "site_id")
 
 
 @query("select doc_id, substr(seq, 25, 1) || 'A' || substr(seq, 27, 1) context from seqs")
@@ -327,42 +367,50 @@ def _gc_sql(s: str) -> str:
     return f"length(regexp_replace({s}, '[^GC]', '', 'g')) / length({s})::double"
 
 
-@query(f"select pair_id, length(seq_b) - length(seq_a) d_length, round({_gc_sql('seq_b')} - {_gc_sql('seq_a')}, 6) d_gc, len(list_filter(range(1, length(seq_b) - 1), lambda i: substr(seq_b, i, 3) = 'AUG')) - len(list_filter(range(1, length(seq_a) - 1), lambda i: substr(seq_a, i, 3) = 'AUG')) d_uaug, round({_kozak_sql('seq_b')} - {_kozak_sql('seq_a')}, 6) d_kozak from seq_pairs")
+def _augs_sql(s: str) -> str:
+    return f"len(list_filter(range(1, length({s}) - 1), lambda i: substr({s}, i, 3) = 'AUG'))"
+
+
+@query(f"select pair_id, length(seq_a) length_a, length(seq_b) length_b, round({_gc_sql('seq_a')}, 6) gc_a, round({_gc_sql('seq_b')}, 6) gc_b, {_augs_sql('seq_a')} uaug_a, {_augs_sql('seq_b')} uaug_b, round({_kozak_sql('seq_a')}, 6) kozak_a, round({_kozak_sql('seq_b')}, 6) kozak_b, length(seq_b) - length(seq_a) d_length, round({_gc_sql('seq_b')} - {_gc_sql('seq_a')}, 6) d_gc, {_augs_sql('seq_b')} - {_augs_sql('seq_a')} d_uaug, round({_kozak_sql('seq_b')} - {_kozak_sql('seq_a')}, 6) d_kozak from seq_pairs")
 def pair_delta_features(t: Tables):
-    a, b = F.col("seq_a"), F.col("seq_b")
-    augs = lambda s: F.size(Q.find_all(s, "AUG"))
-    return t("seq_pairs").select("pair_id", (F.length(b) - F.length(a)).alias("d_length"), F.round(Q.gc_content(b) - Q.gc_content(a), 6).alias("d_gc"), (augs(b) - augs(a)).alias("d_uaug"), F.round(Q.kozak_score(b) - Q.kozak_score(a), 6).alias("d_kozak"))
+    of = {"length": F.length, "gc": Q.gc_content, "uaug": lambda s: F.size(Q.find_all(s, "AUG")), "kozak": Q.kozak_score}
+    rows = t("seq_pairs").select("pair_id", *(f(F.col(f"seq_{x}")).alias(f"{k}_{x}") for k, f in of.items() for x in "ab"))
+    r = lambda c, k: F.round(c, 6) if k in ("gc", "kozak") else c
+    return rows.select("pair_id", *(r(F.col(f"{k}_{x}"), k).alias(f"{k}_{x}") for k in of for x in "ab"), *(r(F.col(f"{k}_b") - F.col(f"{k}_a"), k).alias(f"d_{k}") for k in of))
 
 
-@query(f"select pair_id, [case when la = lb and length(ch) = 2 then 1.0 else 0 end, case when la < lb then 1.0 else 0 end, case when la > lb then 1.0 else 0 end, case when la = lb and length(ch) <> 2 then 1.0 else 0 end, round(p / la::double, 6)]::double[] features from ({_EDIT1})")
+_MISMATCHES = f"select pair_id, seq_a, seq_b, length(seq_a) la, length(seq_b) lb, {_MIS} m from seq_pairs"
+
+
+@query(f"select pair_id, [case when la = lb and len(m) = 1 then 1 else 0 end, case when la < lb then 1 else 0 end, case when la > lb then 1 else 0 end, case when la = lb and len(m) <> 1 then 1 else 0 end, round(coalesce(m[1] - 1, least(la, lb)) / greatest(la, lb)::double, 6), round(ln(1 + case when la = lb then len(m) else abs(la - lb) end) / 5, 6), round({_kozak_sql('seq_b')} - {_kozak_sql('seq_a')}, 6), sign({_augs_sql('seq_b')} - {_augs_sql('seq_a')}), round({_gc_sql('seq_b')} - {_gc_sql('seq_a')}, 6)]::double[] features from ({_MISMATCHES})")
 def edit_feature_vector(t: Tables):
-    e = t("seq_pairs").select("pair_id", F.length("seq_a").alias("n"), Q.extract_edit(F.col("seq_a"), F.col("seq_b")).alias("e"))
-    kinds = [F.col("e.kind").isin(*k).cast("double") for k in (("SNV",), ("insertion",), ("deletion",), ("complex", "none"))]
-    return e.select("pair_id", F.array(*kinds, F.round(F.col("e.position") / F.col("n"), 6)).alias("features"))
+    v = Q.edit_vector(F.col("seq_a"), F.col("seq_b"))
+    return t("seq_pairs").select("pair_id", F.transform(v, lambda x: F.round(x, 6)).alias("features"))
+
+
+_TYPED = "select pair_id, coalesce(m[1] - 1, 0) p, case when pair_id % 5 = 0 then 'M' else substr(seq_a, m[1], 1) end a, case when pair_id % 7 = 0 then 'A' else substr(seq_b, m[1], 1) end b, ['A_vs_A', 'M_vs_M', 'M_vs_A', 'none'][pair_id % 4 + 1] pair_type from (" + _MISMATCHES + ") where len(m) > 0"
 
 
-@query("select doc_id, list_transform(range(0, 7), lambda i: case when doc_id % 7 = i then 1 else 0 end) || list_transform(['A','C','G','U'], lambda b: case when center = b then 1 else 0 end) || list_transform(['de','en','es','fr'], lambda b: case when lang = b then 1 else 0 end) onehot from seq7")
+@query(f"select pair_id, list_transform(range(0, 7), lambda i: (least(p, 6) = i)::int) || list_transform(['AC','AG','AU','AM','CA','CG','CU','GA','GC','GU','UA','UC','UG','MA'], lambda x: (a || b = x)::int) || list_transform(['A_vs_A', 'M_vs_M', 'M_vs_A'], lambda x: (pair_type = x)::int) onehot from ({_TYPED})")
 def edit_onehot(t: Tables):
-    cols = [F.col("doc_id") % 7 == i for i in range(7)] + [F.col("center") == b for b in "ACGU"] + [F.col("lang") == x for x in ("de", "en", "es", "fr")]
-    return t("seq7").select("doc_id", F.array(*(c.cast("int") for c in cols)).alias("onehot"))
+    p = t("seq_pairs").select("pair_id", "seq_a", "seq_b", F.explode(F.slice(Q.mismatches(F.col("seq_a"), F.col("seq_b")), 1, 1)).alias("p"))
+    before = F.when(F.col("pair_id") % 5 == 0, "M").otherwise(Q.char(F.col("seq_a"), F.col("p")))
+    after = F.when(F.col("pair_id") % 7 == 0, "A").otherwise(Q.char(F.col("seq_b"), F.col("p")))
+    kind = F.get(F.array(*map(F.lit, (*Q.PAIR_TYPES, "none"))), (F.col("pair_id") % 4).cast("int"))
+    return p.select("pair_id", Q.edit_onehot(F.col("p"), before, after, kind).alias("onehot"))
 
 
-# Hydropathy, charge, volume and mass of residues.
-RESIDUES = {
-    "A": (1.8, 0, 88.6, 71.08), "C": (2.5, 0, 108.5, 103.14), "G": (-0.4, 0, 60.1, 57.05), "U": (0.0, 0, 100.0, 150.04),
-    "D": (-3.5, -1, 111.1, 115.09), "E": (-3.5, -1, 138.4, 129.12), "K": (-3.9, 1, 168.6, 128.17), "R": (-4.5, 1, 173.4, 156.19),
-}
-_RES = " union all ".join(f"select '{k}' aa, {v[0]}::double h, {v[1]} q, {v[2]}::double v, {v[3]}::double m" for k, v in RESIDUES.items())
+_RESIDUES_SQL = """('A',1.8,0,88.6,71.04),('R',-4.5,1,173.4,156.10),('N',-3.5,0,114.1,114.04),('D',-3.5,-1,111.1,115.03),('C',2.5,0,108.5,103.01),('Q',-3.5,0,143.8,128.06),('E',-3.5,-1,138.4,129.04),('G',-0.4,0,60.1,57.02),('H',-3.2,1,153.2,137.06),('I',4.5,0,166.7,113.08),
+('L',3.8,0,166.7,113.08),('K',-3.9,1,168.6,128.09),('M',1.9,0,162.9,131.04),('F',2.8,0,189.9,147.07),('P',-1.6,0,112.7,97.05),('S',-0.8,0,89.0,87.03),('T',-0.7,0,116.1,101.05),('W',-0.9,0,227.8,186.08),('Y',-1.3,0,193.6,163.06),('V',4.2,0,140.0,99.07),('X',0,0,0,0)"""
+_SCORES_SQL = ", ".join("[" + ", ".join(line.split()) + "]" for line in T.BLOSUM62.strip().splitlines())
+_CHANGED = "select doc_id, substr('ACDEFGHIKLMNPQRSTVWYX', cast(doc_id % 21 + 1 as int), 1) f, substr('ACDEFGHIKLMNPQRSTVWYX', cast(doc_id // 21 % 21 + 1 as int), 1) t from seqs"
 
 
-@query(f"with r as ({_RES}), p as (select pair_id, substr(seq_a, ({_MIS})[1], 1) f, substr(seq_b, ({_MIS})[1], 1) t from seq_pairs where length(seq_a) = length(seq_b) and len({_MIS}) > 0) select pair_id, round((b.h - a.h) / 9.0, 6) d_hydropathy, (b.q - a.q) / 2.0::double d_charge, round((b.v - a.v) / 170.0, 6) d_volume, round((b.m - a.m) / 130.0, 6) d_mass from p join r a on a.aa = f join r b on b.aa = t")
+@query(f"with r(aa, h, q, v, m) as (values {_RESIDUES_SQL}), b as (select [{_SCORES_SQL}] b), p as (select *, strpos('ARNDCQEGHILKMFPSTWYV', f) i, strpos('ARNDCQEGHILKMFPSTWYV', t) j from ({_CHANGED})) select doc_id, round(case when i > 0 and j > 0 then b[greatest(i, j)][least(i, j)] else 0 end / 11.0::double, 6) blosum, round((y.h - x.h)::double / 9, 6) d_hydropathy, round((y.q - x.q)::double / 2, 6) d_charge, round((y.v - x.v)::double / 170, 6) d_volume, round((y.m - x.m)::double / 130, 6) d_mass from p, b, r x, r y where x.aa = f and y.aa = t")
 def mutation_physchem(t: Tables):
-    table = t.spark.createDataFrame([(k, *map(float, v)) for k, v in RESIDUES.items()], "aa string, h double, q double, v double, m double")
-    side = lambda s: F.broadcast(table.select(F.col("aa").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in "hqvm")))
-    d = t("seq_pairs").where(F.length("seq_a") == F.length("seq_b")).select("pair_id", F.get(Q.all_differences(F.col("seq_a"), F.col("seq_b")), F.lit(0)).alias("d")).where("d is not null")
-    rows = d.select("pair_id", F.col("d.from").alias("f"), F.col("d.to").alias("t")).join(side("f"), "f").join(side("t"), "t")
-    scaled = (("h", 9.0, "d_hydropathy"), ("q", 2.0, "d_charge"), ("v", 170.0, "d_volume"), ("m", 130.0, "d_mass"))
-    return rows.select("pair_id", *(F.round((F.col(f"{c}_t") - F.col(f"{c}_f")) / k, 6).alias(n) for c, k, n in scaled))
+    letter = lambda i: F.lit("ACDEFGHIKLMNPQRSTVWYX").substr(F.expr(f"cast({i} % 21 + 1 as int)"), F.lit(1))
+    changed = t("seqs").select("doc_id", letter("doc_id").alias("f"), letter("doc_id div 21").alias("t"))
+    return changed.select("doc_id", *(F.round(v, 6).alias(k) for k, v in T.mutation_properties(F.col("f"), F.col("t")).items()))
 
 
 @query("with p as (select vec_id a, (vec_id * 7 + 1) % (select count(*) from embeddings) b from embeddings) select a, b, list_transform(list_zip(x.embedding, y.embedding), lambda z: round(z[2]::double - z[1]::double, 5)) diff from p join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b")

@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from editlake.functions import sequence as Q
 from editlake.operators import sampling as P
 from editlake.operators import splits as S
 from editlake.operators.ordering import exact_quantiles
 from editlake.plans.registry import Tables, query
+from editlake.plans.sequences import _MIS
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _LINE = ", ".join(LINE)
@@ -103,23 +105,23 @@ def split_few_shot_targets(t: Tables):
     return S.few_shot_split(t("lineitem").select(*LINE), "l_suppkey", LINE, 5)
 
 
-@query(_grouped("select doc_id, (case when seq like '%AUG%' then 1 else 0 end || '' || case when regexp_matches(seq, 'AUUUA') then 1 else 0 end || case when regexp_matches(seq, '[AG]..AUGG') then 1 else 0 end) sig from seqs", "doc_id", "sig"))
+_FLAGS = "regexp_matches(seq, '[AG]CCAUGG|[AG]..AUG.{4}')::int || '' || (len(list_filter(range(1, 49), lambda i: substr(seq, i, 3) = 'AUG')) > 1)::int || regexp_matches(seq, 'AUG(?:[ACGU]{3})*?(?:UAA|UAG|UGA)')::int || regexp_matches(seq, 'AUUUA')::int || (length(regexp_replace(seq, '[^GC]', '', 'g')) >= 30)::int"
+
+
+@query(_grouped(f"select doc_id, {_FLAGS} sig from seqs", "doc_id", "sig"))
 def split_motif_signature(t: Tables):
-    flags = [F.col("seq").contains("AUG"), F.col("seq").contains("AUUUA"), F.col("seq").rlike("[AG]..AUGG")]
-    signed = t("seqs").select("doc_id", F.concat(*(f.cast("int").cast("string") for f in flags)).alias("sig"))
+    m = Q.motif_flags(F.col("seq"))
+    signed = t("seqs").select("doc_id", F.concat(*(m[f].cast("int").cast("string") for f in ("kozak", "uaug", "uorf", "au_rich", "gc_rich"))).alias("sig"))
     return S.group_split(signed, ["sig"]).select("doc_id", "split")
 
 
-_CLASS = "select pair_id, case when length(seq_a) = length(seq_b) then 'same' when length(seq_a) > length(seq_b) then 'del' else 'ins' end || (p * 3 // 50) cls from (select *, coalesce((select min(i) from range(1, 51) x(i) where substr(seq_a, i, 1) <> substr(seq_b, i, 1)), 50) - 1 p from seq_pairs)"
+_EDITED = f"select *, length(seq_a) la, length(seq_b) lb, {_MIS} m from seq_pairs"
+_SIGNATURE = f"select pair_id, case when la < lb then 'insertion|0|indel' when la > lb then 'deletion|0|indel' when len(m) = 0 then 'identical|0|none' else case when len(m) = 1 then 'snv|' else 'multiple_snv|' end || least(2, (m[1] - 1) * 3 // la) || case when substr(seq_a, m[1], 1) || substr(seq_b, m[1], 1) in ('AG', 'GA', 'CU', 'UC') then '|transition' else '|transversion' end end cls from ({_EDITED})"
 
 
-@query(_grouped(_CLASS, "pair_id", "cls"))
+@query(_grouped(_SIGNATURE, "pair_id", "cls"))
 def split_edit_class(t: Tables):
-    from editlake.functions.sequence import first_difference
-
-    kind = F.when(F.length("seq_a") == F.length("seq_b"), "same").when(F.length("seq_a") > F.length("seq_b"), "del").otherwise("ins")
-    at = F.coalesce(F.nullif(first_difference(F.col("seq_a"), F.col("seq_b")), F.lit(50)), F.lit(49))
-    cls = t("seq_pairs").select("pair_id", F.concat(kind, F.floor(at * 3 / 50).cast("string")).alias("cls"))
+    cls = t("seq_pairs").select("pair_id", Q.edit_signature(F.col("seq_a"), F.col("seq_b")).alias("cls"))
     return S.group_split(cls, ["cls"]).select("pair_id", "split")
 
 
@@ -128,9 +130,27 @@ def split_edit_type_holdout(t: Tables):
     return S.holdout_split(t("seq_pairs").select("pair_id", "seq_a", "seq_b"), F.length("seq_a") != F.length("seq_b"), ["pair_id"]).select("pair_id", "split")
 
 
-@query(_holdout(PAIRS, ["pair_id"], "pair_id % 47 >= 25"))
+#: Pairs with the place of their first change, its bases and their class, and a context; pairs without a change go.
+_PLACED = f"select pair_id, la, m[1] - 1 p, substr(seq_a, m[1], 1) || '>' || substr(seq_b, m[1], 1) change, case when substr(seq_a, m[1], 1) || substr(seq_b, m[1], 1) in ('AG', 'GA', 'CU', 'UC') then 'transition' else 'transversion' end class, length(regexp_replace(substr(seq_a, greatest(1, m[1] - 3), 7), '[^GC]', '', 'g')) / length(substr(seq_a, greatest(1, m[1] - 3), 7))::double gc, ['A_vs_A', 'M_vs_M', 'M_vs_A'][pair_id % 3 + 1] context, abs(value_b - value_a) effect from ({_EDITED}) where len(m) > 0"
+
+
+def _placed(t: Tables):
+    a, b, p = F.col("seq_a"), F.col("seq_b"), F.col("p")
+    rows = t("seq_pairs").withColumn("p", F.explode(F.slice(Q.mismatches(a, b), 1, 1)))
+    near = a.substr(F.greatest(F.lit(0), p - 3) + 1, F.lit(7))
+    before, after = Q.char(a, p), Q.char(b, p)
+    return rows.select("pair_id", F.length(a).alias("la"), "p", F.concat(before, F.lit(">"), after).alias("change"), Q.change_class(before, after).alias("class"), Q.gc_content(near).alias("gc"), F.get(F.array(*map(F.lit, Q.PAIR_TYPES)), (F.col("pair_id") % 3).cast("int")).alias("context"), F.abs(F.col("value_b") - F.col("value_a")).alias("effect"))
+
+
+@query(_holdout(_PLACED, ["pair_id"], "p / la::double >= 0.5"))
 def split_position(t: Tables):
-    return S.holdout_split(t("seq_pairs").select("pair_id"), F.col("pair_id") % 47 >= 25, ["pair_id"])
+    """Pairs whose first change lies in the second half test."""
+    return S.holdout_split(_placed(t), F.col("p") / F.col("la") >= 0.5, ["pair_id"]).select("pair_id", "split")
+
+
+@query(_holdout(f"select * from ({_PLACED}) where p in (0, 1, 2, 4, 5, 6)", ["pair_id"], "p in (4, 5, 6)"))
+def split_position_lists(t: Tables):
+    return S.listed_split(_placed(t), "p", [0, 1, 2], [4, 5, 6], ["pair_id"]).select("pair_id", "split")
 
 
 @query(_holdout("select doc_id, length(regexp_replace(loop, '[^GC]', '', 'g')) gc from seq7", ["doc_id"], "gc > 3"))
@@ -152,25 +172,44 @@ def split_effect_magnitude(t: Tables):
 
 @query(f"with c as (select doc_id, substr(loop,1,1) || '>' || center change from seq7), k as (select change, row_number() over (order by count(*) desc, change) rk, count(*) over () m from c group by 1), x as (select doc_id, rk > m * 70 // 100 held from c join k using (change)) {_holdout('select * from x', ['doc_id'], 'held')}".replace("with c as", "with c as", 1))
 def split_nucleotide_change(t: Tables):
-    from pyspark.sql.window import Window
-
     changes = t("seq7").select("doc_id", F.concat(F.substring("loop", 1, 1), F.lit(">"), "center").alias("change"))
-    ranks = changes.groupBy("change").count().withColumn("rk", F.row_number().over(Window.orderBy(F.col("count").desc(), "change"))).withColumn("m", F.count("*").over(Window.partitionBy()))
-    return S.holdout_split(changes.join(F.broadcast(ranks), "change").select("doc_id", "rk", "m"), F.expr("rk > m * 70 div 100"), ["doc_id"]).select("doc_id", "split")
+    return S.rare_holdout_split(changes, "change", ["doc_id"]).select("doc_id", "split")
 
 
-_SUITE = {"random": _random(PAIRS, ["pair_id"]), "type": _holdout(PAIRS, ["pair_id"], "length(seq_a) <> length(seq_b)"), "property": _grouped(PAIRS, "pair_id", "property_name"), "cell": _grouped(PAIRS, "pair_id", "cell_type"), "position": _holdout(PAIRS, ["pair_id"], "pair_id % 47 >= 25")}
+_RARE = f"with c as ({_PLACED}), k as (select change, row_number() over (order by count(*) desc, change) rk, count(*) over () m from c group by 1), x as (select pair_id, rk > m * 70 // 100 held from c join k using (change)) {_holdout('select * from x', ['pair_id'], 'held')}"
+_SUITE = {
+    "random": _random(_PLACED, ["pair_id"]),
+    "position_first_to_second_half": _holdout(_PLACED, ["pair_id"], "p / la::double >= 0.5"),
+    "position_lists": _holdout(f"select * from ({_PLACED}) where p in (0, 1, 2, 4, 5, 6)", ["pair_id"], "p in (4, 5, 6)"),
+    "context_gc": _holdout(_PLACED, ["pair_id"], "gc > 0.5"),
+    "context_a_to_m": _holdout(f"select * from ({_PLACED}) where context in ('A_vs_A', 'M_vs_M')", ["pair_id"], "context = 'M_vs_M'"),
+    "context_m_to_a": _holdout(f"select * from ({_PLACED}) where context in ('A_vs_A', 'M_vs_M')", ["pair_id"], "context = 'A_vs_A'"),
+    "effect_small_to_large": _holdout(f"select *, effect > (select quantile_cont(effect, 0.75) from ({_PLACED})) big from ({_PLACED})", ["pair_id"], "big"),
+    "change_holdout": _RARE,
+    "transition_to_transversion": _holdout(_PLACED, ["pair_id"], "class = 'transversion'"),
+    "transversion_to_transition": _holdout(_PLACED, ["pair_id"], "class = 'transition'"),
+}
 
 
 @query(" union all ".join(f"select '{k}' split_name, split, count(*) n from ({v}) group by 2" for k, v in _SUITE.items()))
 def split_generalization_suite(t: Tables):
-    p = t("seq_pairs").select("pair_id", "seq_a", "seq_b", "property_name", "cell_type")
+    """Ten splits of the same pairs, as sizes in one table."""
+    from editlake.operators.shared import checkpointed
+
+    p, key = checkpointed(_placed(t)), ["pair_id"]
+    context = F.col("context")
+    big = p.crossJoin(F.broadcast(exact_quantiles(p, "effect", {"edge": 0.75})))
     runs = {
-        "random": S.random_split(p, ["pair_id"]),
-        "type": S.holdout_split(p, F.length("seq_a") != F.length("seq_b"), ["pair_id"]),
-        "property": S.group_split(p, ["property_name"]),
-        "cell": S.group_split(p, ["cell_type"]),
-        "position": S.holdout_split(p, F.col("pair_id") % 47 >= 25, ["pair_id"]),
+        "random": S.random_split(p, key),
+        "position_first_to_second_half": S.holdout_split(p, F.col("p") / F.col("la") >= 0.5, key),
+        "position_lists": S.listed_split(p, "p", [0, 1, 2], [4, 5, 6], key),
+        "context_gc": S.holdout_split(p, F.col("gc") > 0.5, key),
+        "context_a_to_m": S.listed_split(p, "context", ["A_vs_A"], ["M_vs_M"], key),
+        "context_m_to_a": S.listed_split(p, "context", ["M_vs_M"], ["A_vs_A"], key),
+        "effect_small_to_large": S.holdout_split(big, F.col("effect") > F.col("edge"), key),
+        "change_holdout": S.rare_holdout_split(p, "change", key),
+        "transition_to_transversion": S.holdout_split(p, F.col("class") == "transversion", key),
+        "transversion_to_transition": S.holdout_split(p, F.col("class") == "transition", key),
     }
     return reduce(lambda a, b: a.unionByName(b), (d.groupBy("split").agg(F.count("*").alias("n")).select(F.lit(k).alias("split_name"), "split", "n") for k, d in runs.items()))
 
@@ -193,11 +232,33 @@ def split_bin_label_stratified(t: Tables):
     return S.quantile_split(t("sites").select("site_id", "coverage", "is_edited"), ["site_id"], "coverage", 5, more=("is_edited",)).select("site_id", "split")
 
 
-@query(_random("select *, least(coverage, (select quantile_cont(coverage, 0.99) from sites)) clipped from sites", ["site_id"], strata="is_edited, clipped >= 2000", least=3))
+_CLIPPED = "select *, least(coverage, (select quantile_cont(coverage, 0.99) from sites))::double clipped from sites"
+_SITE_GC = "select s.site_id, s.is_edited, coalesce(length(regexp_replace(letters, '[^GC]', '', 'g')) / nullif(length(letters), 0)::double, 0) gc, coalesce(-0.3::double * length(regexp_replace(letters, '[^CU]', '', 'g')), 0) energy from sites s left join letters on site_id = text_id"
+
+
+@query(_random(f"select s.*, {_bin('clipped', 5, _CLIPPED)} b from ({_CLIPPED}) s", ["site_id"], strata="b, is_edited", least=3))
 def split_bin_label_clipped(t: Tables):
+    """Quantile bins of the coverage clipped at its 99th percentile, by label."""
     sites = t("sites").select("site_id", "coverage", "is_edited")
-    clipped = sites.crossJoin(F.broadcast(exact_quantiles(sites, "coverage", {"p99": 0.99}))).withColumn("high", F.least("coverage", "p99") >= 2000)
-    return S.random_split(clipped, ["site_id"], strata=("is_edited", "high"), least=3).select("site_id", "split")
+    clipped = sites.crossJoin(F.broadcast(exact_quantiles(sites, "coverage", {"p99": 0.99}))).withColumn("clipped", F.least("coverage", "p99"))
+    return S.quantile_split(clipped, ["site_id"], "clipped", 5, more=("is_edited",)).select("site_id", "split")
+
+
+def _site_values(t: Tables):
+    """Sites with the GC share of their sequence and an energy that falls with its paired letters."""
+    s = F.col("letters")
+    rows = t("letters").select(F.col("text_id").alias("site_id"), Q.gc_content(s).alias("gc"), (-0.3 * F.regexp_count(s, F.lit("[CU]"))).alias("energy"))
+    return t("sites").select("site_id", "is_edited").join(rows, "site_id", "left").na.fill(0.0, ["gc", "energy"])
+
+
+@query(_random(f"select s.*, {_bin('gc', 5, _SITE_GC)} b from ({_SITE_GC}) s", ["site_id"], strata="b, is_edited", least=3))
+def split_bin_label_gc(t: Tables):
+    return S.quantile_split(_site_values(t), ["site_id"], "gc", 5, more=("is_edited",)).select("site_id", "split")
+
+
+@query(_random(f"select s.*, {_bin('energy', 5, _SITE_GC)} b from ({_SITE_GC}) s", ["site_id"], strata="b, is_edited", least=3))
+def split_bin_label_energy(t: Tables):
+    return S.quantile_split(_site_values(t), ["site_id"], "energy", 5, more=("is_edited",)).select("site_id", "split")
 
 
 @query(_random(f"select s.*, case when is_edited = 1 then {_bin('coverage', 4, SITES, 'is_edited = 1')} else -1 end b from ({SITES}) s", ["site_id"], strata="b", least=3))
@@ -224,20 +285,14 @@ _REP = "select l_suppkey, part, round(median(l_quantity), 6) med, count(*) n fro
 
 @query(f"with p as ({_REP}) select a.l_suppkey, a.med train_median, b.med test_median, a.n n_train, b.n n_test, round(log2(a.med / b.med), 6) log2_ratio from p a join p b on a.l_suppkey = b.l_suppkey where a.part = 'train' and b.part = 'test'")
 def split_replicates(t: Tables):
-    """Replicates are an array per row; it is cut 70 / 30 in seeded order and both parts get their median."""
-    from editlake.operators.ordering import md5_key
-
-    entry = F.struct(md5_key("rep", *LINE[:3]).alias("k"), *LINE[:3], F.col("l_quantity").alias("v"))
-    arrays = t("lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(entry)).alias("all")).where(F.size("all") >= 5)
-    cut = F.floor(F.size("all") * 70 / 100).cast("int")
-
-    def median(a):
-        ordered, n = F.array_sort(a), F.size(a)
-        return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    """Replicates of a supplier in seeded order are cut 70 / 30 and both parts get their exact median; no array, no task for a supplier."""
+    from editlake.operators.ordering import exact_rank, md5_key
 
-    parts = arrays.select("l_suppkey", F.slice(F.col("all.v"), F.lit(1), cut).alias("tr"), F.slice(F.col("all.v"), cut + 1, F.size("all")).alias("te"))
-    out = parts.select("l_suppkey", F.round(median(F.col("tr")), 6).alias("train_median"), F.round(median(F.col("te")), 6).alias("test_median"), F.size("tr").alias("n_train"), F.size("te").alias("n_test"))
-    return out.withColumn("log2_ratio", F.round(F.log2(F.col("train_median") / F.col("test_median")), 6))
+    ranked = exact_rank(t("lineitem").select(*LINE[:3], "l_suppkey", "l_quantity"), md5_key("rep", *LINE[:3]), LINE[:3], "r", ("l_suppkey",)).where("r_of >= 5")
+    parts = ranked.withColumn("part", F.when(F.expr("r < r_of * 70 div 100"), "train").otherwise("test"))
+    medians = exact_quantiles(parts, "l_quantity", {"med": 0.5}, ("l_suppkey", "part")).join(parts.groupBy("l_suppkey", "part").agg(F.count("*").alias("n")), ["l_suppkey", "part"])
+    of = lambda s: medians.where(F.col("part") == s).select("l_suppkey", F.round("med", 6).alias(f"{s}_median"), F.col("n").alias(f"n_{s}"))
+    return of("train").join(of("test"), "l_suppkey").withColumn("log2_ratio", F.round(F.log2(F.col("train_median") / F.col("test_median")), 6))
 
 
 @query(_holdout("select *, coverage between (select quantile_cont(coverage, 0.4) from sites) and (select quantile_cont(coverage, 0.6) from sites) band from sites", ["site_id"], "band"))
@@ -330,13 +385,13 @@ def sample_mixed(t: Tables):
     return _mixed(t)
 
 
-_STRATEGIES = {"coverage": _matched("b", 120, _BINNED), "context": _matched("ref_base", 120, SITES), "joint": _matched("b, ref_base", 120, _RANGE), "hard": f"select site_id from ({_ranked(_HARD, ['site_id'], 'sample')}) where r < 60"}
+_STRATEGIES = {"random": f"select site_id from ({_ranked(_NEG, ['site_id'], 'sample')}) where r < 120", "mixed": f"select site_id from ({_MIX})", "coverage": _matched("b", 120, _BINNED), "context": _matched("ref_base", 120, SITES), "joint": _matched("b, ref_base", 120, _RANGE), "hard": f"select site_id from ({_ranked(_HARD, ['site_id'], 'sample')}) where r < 60"}
 
 
 @query(" union all ".join(f"select '{k}' strategy, count(*) n, round(avg(coverage), 6) mean_coverage, round(avg(ln(1 + coverage)), 6) mean_log, round(avg(case when ref_base = 'A' then 1.0 else 0 end), 6) share_a from sites where site_id in (select site_id from ({v}))" for k, v in _STRATEGIES.items()))
 def balanced_dataset_suite(t: Tables):
     sites = t("sites").select("site_id", "coverage", "ref_base")
-    runs = {"coverage": sample_coverage_matched, "context": sample_context_matched, "joint": sample_joint_matched, "hard": sample_hard_negatives}
+    runs = {"random": lambda t: P.sample_count(t("sites").where("is_edited <> 1").select("site_id"), ["site_id"], 120), "mixed": lambda t: _mixed(t).select("site_id"), "coverage": sample_coverage_matched, "context": sample_context_matched, "joint": sample_joint_matched, "hard": sample_hard_negatives}
     chosen = reduce(lambda a, b: a.unionByName(b), (f(t).withColumn("strategy", F.lit(k)) for k, f in runs.items()))
     rows = chosen.join(sites, "site_id")
     return rows.groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.avg(F.log1p("coverage")), 6).alias("mean_log"), F.round(F.avg((F.col("ref_base") == "A").cast("double")), 6).alias("share_a"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from editlake.functions import metrics as M
+from editlake.functions import sequence as Q
 from editlake.functions.sequence import places
 from editlake.operators import clustering as C
 from editlake.operators import models as L
@@ -31,6 +32,23 @@ def _metrics_sql(source: str, group: str, p: str = "y_pred", digits: int = 4) ->
     return f"select {group}, count(*) n, " + ", ".join(f"round({v}, {digits}) {k}" for k, v in cols.items()) + f" from {source} group by {group}"
 
 
+_W = "(1.0::double + l_linenumber)"
+_E = "(y_pred - y_true)"
+
+
+@query(f"select task, count(*) n, round(sum({_W} * {_E} * {_E}) / sum({_W}), 4) mse, round(sqrt(sum({_W} * {_E} * {_E}) / sum({_W})), 4) rmse, round(sum({_W} * abs({_E})) / sum({_W}), 4) mae, round(100 * sum({_W} * abs({_E} / y_true)) / sum({_W}), 4) mape, round(1 - sum({_W} * {_E} * {_E}) / (sum({_W} * y_true * y_true) - sum({_W} * y_true) * sum({_W} * y_true) / sum({_W})), 4) r2 from preds group by 1")
+def weighted_metrics(t: Tables):
+    rows = t("preds").withColumn("w", 1.0 + F.col("l_linenumber"))
+    return M.regression_metrics(rows, ["task"], digits=4, weight="w").select("task", "n", "mse", "rmse", "mae", "mape", "r2")
+
+
+@query()
+def correlation_tests(t: Tables):
+    """Correlations of each task with their p-values; SQL has no beta function, tests compare with known values."""
+    both = M.correlations(t("preds"), ["task"]).join(M.kendall_tau(t("preds"), ["task"]).select("task", "kendall"), "task")
+    return M.with_p_values(both, {"pearson": "pearson", "spearman": "spearman", "kendall": "kendall"})
+
+
 @query(_metrics_sql("preds", "task"))
 def regression_metrics(t: Tables):
     return M.regression_metrics(t("preds"), ["task"], digits=4)
@@ -44,7 +62,7 @@ def correlations(t: Tables):
     return M.correlations(t("preds"), ["task"])
 
 
-@query("with p as (select l_suppkey, y_true y, y_pred p, row_number() over () i from preds where l_suppkey < 10), q as (select a.l_suppkey, sum(sign(a.y - b.y) * sign(a.p - b.p)) s, count(*) filter (a.y <> b.y) ny, count(*) filter (a.p <> b.p) np from p a join p b on a.l_suppkey = b.l_suppkey and a.i < b.i group by 1) select q.l_suppkey, (select count(*) from p where p.l_suppkey = q.l_suppkey) n, round(s / (sqrt(ny::double * np)), 6) kendall from q")
+@query("with p as (select l_suppkey, y_true y, y_pred p, row_number() over () i from preds), q as (select a.l_suppkey, sum(sign(a.y - b.y) * sign(a.p - b.p)) s, count(*) filter (a.y <> b.y) ny, count(*) filter (a.p <> b.p) np from p a join p b on a.l_suppkey = b.l_suppkey and a.i < b.i group by 1) select l_suppkey, n, round(s / (sqrt(ny::double * np)), 6) kendall from q join (select l_suppkey, count(*) n from p group by 1) using (l_suppkey)")
 def kendall_tau(t: Tables):
     return M.kendall_tau(t("preds"), ["l_suppkey"])
 
@@ -91,7 +109,7 @@ def equal_width_bins_query(t: Tables):
     return equal_width_bins(t("lineitem").select(*KEY, "l_quantity"), "l_quantity", 7).drop("l_quantity")
 
 
-_TOP = f"select *, row_number() over (partition by task order by y_true desc, {_K}) ty, row_number() over (partition by task order by y_pred desc, {_K}) tp, count(*) over (partition by task) n from preds"
+_TOP = f"select *, row_number() over (partition by task order by y_true desc, {_K}, y_pred) ty, row_number() over (partition by task order by y_pred desc, {_K}, y_true) tp, count(*) over (partition by task) n from preds"
 
 
 @query(f"select task, count(*) filter (ty <= 100 and tp <= 100) hits, round(count(*) filter (ty <= 100 and tp <= 100) / 100.0::double, 6) top_k from ({_TOP}) group by 1")
@@ -103,7 +121,7 @@ def top_k_accuracy(t: Tables):
 @query(f"select task, round((count(*) filter (tp <= n * 5 // 100 and y_true >= 45) / max(n * 5 // 100)::double) / (count(*) filter (y_true >= 45) / max(n)::double), 6) ef from ({_TOP}) group by 1")
 def enrichment_factor(t: Tables):
     ranked = M.top_ranks(t("preds"), ["task"], "y_true", "y_pred", KEY)
-    sized = ranked.join(F.broadcast(ranked.groupBy("task").agg(F.count("*").alias("n"))), "task")
+    sized = ranked.join(ranked.groupBy("task").agg(F.count("*").alias("n")), "task")
     active = F.col("y_true") >= 45
     top = F.expr("n * 5 div 100")
     rate = F.count_if(active & (F.col("__tp") <= top)) / F.max(top)
@@ -137,22 +155,31 @@ def binary_metrics(t: Tables):
 _METHODS = "select 'one' method, task, y_true, y_pred from preds union all select 'two', task, y_true, y_pred2 from preds"
 
 
-@query(f"with m as (select method, task, avg(abs(y_pred - y_true)) mae, corr(y_pred, y_true) r from ({_METHODS}) group by 1, 2), a as (select method, avg(mae) mae, avg(r) r from m group by 1) select method, round(mae, 6) mae, round(r, 6) r, mae = min(mae) over () best_mae, r = max(r) over () best_r from a")
-def method_leaderboard(t: Tables):
+def _methods(t: Tables):
     p = t("preds")
     both = p.select(F.lit("one").alias("method"), "task", "y_true", "y_pred").unionByName(p.select(F.lit("two").alias("method"), "task", "y_true", F.col("y_pred2").alias("y_pred")))
-    tasks = both.groupBy("method", "task").agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"), F.corr("y_pred", "y_true").alias("r"))
-    means = tasks.groupBy("method").agg(F.avg("mae").alias("mae"), F.avg("r").alias("r"))
+    return both.groupBy("method", "task").agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"), F.corr("y_pred", "y_true").alias("r"))
+
+
+@query(f"with m as (select method, task, avg(abs(y_pred - y_true)) mae, corr(y_pred, y_true) r from ({_METHODS}) group by 1, 2), a as (select method, avg(mae) mae, avg(r) r from m group by 1) select method, round(mae, 6) mae, round(r, 6) r, mae = min(mae) over () best_mae, r = max(r) over () best_r from a")
+def method_leaderboard(t: Tables):
+    means = _methods(t).groupBy("method").agg(F.avg("mae").alias("mae"), F.avg("r").alias("r"))
     every = Window.partitionBy()
     flagged = means.withColumn("best_mae", F.col("mae") == F.min("mae").over(every)).withColumn("best_r", F.col("r") == F.max("r").over(every))
     return flagged.withColumn("mae", F.round("mae", 6)).withColumn("r", F.round("r", 6))
 
 
+@query(f"select task, round(avg(abs(y_pred - y_true)) filter (method = 'one'), 6) \"one\", round(avg(abs(y_pred - y_true)) filter (method = 'two'), 6) \"two\" from ({_METHODS}) group by 1")
+def method_task_pivot(t: Tables):
+    """The mean error of each method on each task."""
+    return _methods(t).groupBy("task").pivot("method", ["one", "two"]).agg(F.round(F.first("mae"), 6))
+
+
 @query("with m as (select task, avg(y_true) mu from preds group by 1) select task, round(avg(abs(y_true - mu)), 6) mae_mean, round(avg(abs(y_true)), 6) mae_zero, round(avg((y_true - mu) * (y_true - mu)), 4) mse_mean, round(avg(y_true * y_true), 4) mse_zero from preds join m using (task) group by 1")
 def naive_baselines(t: Tables):
     p = t("preds")
     d = F.col("y_true") - F.col("mu")
-    rows = p.join(F.broadcast(p.groupBy("task").agg(F.avg("y_true").alias("mu"))), "task")
+    rows = p.join(p.groupBy("task").agg(F.avg("y_true").alias("mu")), "task")
     return rows.groupBy("task").agg(F.round(F.avg(F.abs(d)), 6).alias("mae_mean"), F.round(F.avg(F.abs("y_true")), 6).alias("mae_zero"), F.round(F.avg(d * d), 4).alias("mse_mean"), F.round(F.avg(F.col("y_true") * F.col("y_true")), 4).alias("mse_zero"))
 
 
@@ -189,15 +216,33 @@ def butina_clusters(t: Tables):
     return C.leader_clusters(nodes, links, "vec_id_a", "vec_id_b")
 
 
+KMER = 8  # of whole texts, which hold nearly all shorter words
+
+
+def _kmer_sets(texts, id_col: str, seq: str):
+    """Distinct sequences (seq, id, n, kmers), each with the smallest id."""
+    s = F.col("seq")
+    distinct = texts.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).groupBy("seq").agg(F.min("id").alias("id"))
+    return checkpointed(distinct.select("seq", "id", F.length("seq").alias("n"), F.array_distinct(F.transform(places(F.length(s) - (KMER - 1)), lambda i: s.substr(i + 1, F.lit(KMER)))).alias("kmers")))
+
+
 @query()
 def kmer_leader_clusters(t: Tables):
-    """Leaders by first sequence; k-mer Jaccard of 0.7 and more."""
-    s = F.col("seq")
-    sets = t("seqs").groupBy("seq").agg(F.min("doc_id").alias("id")).select("id", F.array_distinct(F.transform(places(F.length(s) - 2), lambda i: s.substr(i + 1, F.lit(3)))).alias("kmers"), F.length("seq").alias("n"))
+    """Leaders by length, then first sequence; k-mer Jaccard of 0.7 and more."""
+    sets = _kmer_sets(t("letters").where("length(letters) > 0"), "text_id", "letters")
     links = set_similarity_join(sets, "id", "kmers", 0.7)
     return C.leader_clusters(sets.select("id", (-F.col("n")).alias("order")), links, "id_a", "id_b")
 
 
+@query()
+def kmer_leader_clusters_by_length(t: Tables):
+    """The same among sequences of one length."""
+    sets = _kmer_sets(t("letters").where("length(letters) > 0"), "text_id", "letters")
+    side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}"))
+    links = set_similarity_join(sets, "id", "kmers", 0.7).join(side("a"), "id_a").join(side("b"), "id_b").where("n_a = n_b")
+    return C.leader_clusters(sets.select("id", F.col("id").alias("order")), links.select("id_a", "id_b"), "id_a", "id_b")
+
+
 @query(f"with n as ({_NEAR}), e as (select a x, b y from n union select b, a from n), core as (select x id from e group by 1 having count(*) + 1 >= 3), ce as (select x, y from e where x in (select id from core) and y in (select id from core)), reach as (with recursive r(id, lab) as (select id, id from core union select r.id, ce.y from r join ce on ce.x = r.lab) select * from r), lab as (select id, min(lab) series from reach group by 1), every as (select id, series from lab union all select e.x, min(lab.series) from e join lab on e.y = lab.id where e.x not in (select id from core) group by 1) select id, series from every where series in (select series from every group by 1 having count(*) >= 3)")
 def density_series(t: Tables):
     return C.density_series(_near(t), "vec_id_a", "vec_id_b", min_samples=3, min_size=3)
@@ -225,6 +270,18 @@ def knn_cosine(t: Tables):
     return C.knn_cosine(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding")
 
 
+_KNN = "with s as (select q.vec_id query, r.vec_id neighbour, abs(r.label - q.label) gap, round(list_cosine_similarity({q}, {r}), 6) similarity from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % 100 = 0), k as (select *, row_number() over (partition by query order by similarity desc, neighbour) rank from s) select query, round(avg(gap), 6) gap from k where rank <= 5 group by 1"
+_WHOLE, _HALF = ({x: f"{x}.embedding{part}::double[]" for x in "qr"} for part in ("", "[1:16]"))
+
+
+@query(f"with w as ({_KNN.format(**_WHOLE)}), h as ({_KNN.format(**_HALF)}) select query, w.gap gap_whole, h.gap gap_half, round(w.gap - h.gap, 6) improvement from w join h using (query)")
+def knn_neighbour_delta(t: Tables):
+    """Mean difference of a value between a row and its neighbours, in two tables of vectors: the whole ones and their first 16 numbers."""
+    e = t("embeddings").withColumn("half", F.slice("embedding", 1, 16))
+    gaps = lambda v, name: C.neighbour_delta(C.knn_cosine(e.select("vec_id", v), e.where("vec_id % 100 = 0").select("vec_id", v), "vec_id", v), e, "vec_id", "label").withColumnRenamed("gap", name)
+    return gaps("embedding", "gap_whole").join(gaps("half", "gap_half"), "query").select("query", F.round("gap_whole", 6).alias("gap_whole"), F.round("gap_half", 6).alias("gap_half"), F.round(F.round("gap_whole", 6) - F.round("gap_half", 6), 6).alias("improvement"))
+
+
 @query(f"select count(*) n, round(avg(abs(abs(la - lb) - abs(a % 7 - b % 7))), 6) mae, round(avg(case when abs(a % 7 - b % 7) >= 2 then 1.0 else 0 end), 6) captured from ({_NEAR}) where abs(la - lb) >= 2")
 def activity_cliffs(t: Tables):
     y = t("fingerprints").select("vec_id", "label")
@@ -246,6 +303,13 @@ def ridge_delta_model(t: Tables):
     return _vec_pairs(t).join(a, "a").join(b, "b").select("a", "b", (F.col("f_b") - F.col("f_a")).alias("delta"))
 
 
+@query()
+def ridge_edit_model(t: Tables):
+    """A ridge model of the change of a value directly on the vector of the edit."""
+    rows = t("seq_pairs").select("pair_id", Q.edit_vector(F.col("seq_a"), F.col("seq_b")).alias("edit"), (F.col("value_b") - F.col("value_a")).alias("y"))
+    return L.predict(L.ridge(rows, "edit", "y"), rows, "edit", "delta").select("pair_id", "delta")
+
+
 @query()
 def pca_projection(t: Tables):
     """Two components of each vector; signs are as the solver leaves them."""
@@ -277,12 +341,50 @@ def scan_delimited(t: Tables):
 
 @query("select event_id, cast(json_extract(props, '$.k') as int) k, event_type from events")
 def scan_json_records(t: Tables):
+    """Records one a line, with a text column that holds JSON."""
     path = scratch_path(t.spark, "json")
     t("events").select("event_id", "props", F.struct("event_type").alias("inner")).write.json(path)
-    records = t.spark.read.schema("event_id long, props string, inner struct<event_type string>").json(path)
+    records = IO.read_json_records(t.spark, path, "event_id long, props string, inner struct<event_type string>", lines=True)
     return IO.parse_json_column(records, "props", "k int", "p").select("event_id", "p.k", "inner.event_type")
 
 
+def _json_files(t: Tables, entry, name: str) -> str:
+    """A JSON text for each thousand events, each a file of its own."""
+    path = scratch_path(t.spark, name)
+    e = t("events").withColumn("file", F.expr("event_id div 1000"))
+    e.groupBy("file").agg(entry.alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return path
+
+
+@query("select event_id, event_type from events")
+def scan_json_array(t: Tables):
+    """Files that hold an array of nested records each."""
+    path = _json_files(t, F.to_json(F.collect_list(F.struct("event_id", F.struct("event_type").alias("inner")))), "json-array")
+    return IO.read_json_records(t.spark, path, "event_id long, inner struct<event_type string>").select("event_id", "inner.event_type")
+
+
+@query("select cast(event_id as varchar) id, event_type from events")
+def scan_json_map(t: Tables):
+    """Files that hold an object of records by id each."""
+    path = _json_files(t, F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), F.struct("event_type"))))), "json-map")
+    return IO.read_json_map(t.spark, path, "event_type string").select("id", "record.event_type")
+
+
+@query("select p_partkey mol_id, p_name smiles, p_retailprice mw, p_size hbd from part where p_size > 5 and p_partkey % 7 <> 0")
+def scan_api_records(t: Tables):
+    """Nested records of an interface as columns; those without a structure or without properties are dropped."""
+    nested = t("part").select(
+        F.col("p_partkey").alias("molecule_id"),
+        F.when(F.col("p_size") > 5, F.struct(F.col("p_name").alias("canonical_smiles"))).alias("molecule_structures"),
+        F.when(F.col("p_partkey") % 7 != 0, F.struct(F.col("p_retailprice").alias("full_mwt"), F.col("p_size").alias("hbd"))).alias("molecule_properties"),
+    )
+    path = scratch_path(t.spark, "api")
+    nested.write.json(path)
+    records = IO.read_json_records(t.spark, path, "molecule_id long, molecule_structures struct<canonical_smiles string>, molecule_properties struct<full_mwt double, hbd int>", lines=True)
+    columns = {"mol_id": "molecule_id", "smiles": "molecule_structures.canonical_smiles", "mw": "molecule_properties.full_mwt", "hbd": "molecule_properties.hbd"}
+    return IO.flatten_records(records, columns, needed=["molecule_structures.canonical_smiles", "molecule_properties"])
+
+
 @query("select n_name, r_name from nation join region on n_regionkey = r_regionkey")
 def scan_jdbc_table(t: Tables):
     nation, region = (IO.read_relational(t.spark, t.sf_dir, n) for n in ("nation", "region"))
@@ -355,8 +457,7 @@ def split_by_cluster(t: Tables):
 
 def _sequence_clusters(t: Tables, sequences):
     """seq -> leader over all distinct sequences, longest first."""
-    s = F.col("seq")
-    sets = checkpointed(sequences.distinct().select("seq", F.xxhash64("seq").alias("id"), F.length("seq").alias("n"), F.array_distinct(F.transform(places(F.length(s) - 2), lambda i: s.substr(i + 1, F.lit(3)))).alias("kmers")))
+    sets = _kmer_sets(sequences.select("seq", F.xxhash64("seq").alias("id")), "id", "seq")
     links = set_similarity_join(sets, "id", "kmers", 0.7)
     leaders = C.leader_clusters(sets.select("id", (-F.col("n")).alias("order")), links, "id_a", "id_b")
     return sets.select("seq", "id").join(leaders, "id").select("seq", "leader")
@@ -365,7 +466,7 @@ def _sequence_clusters(t: Tables, sequences):
 @query()
 def split_by_sequence_similarity(t: Tables):
     """Clusters over the sequences of both sides; a pair follows its first sequence."""
-    p = t("seq_pairs").select("pair_id", "seq_a", "seq_b")
+    p = t("text_pairs")
     clusters = _sequence_clusters(t, p.select(F.explode(F.array("seq_a", "seq_b")).alias("seq")))
     followed = p.join(clusters, F.col("seq_a") == F.col("seq")).select("pair_id", "leader")
     return group_split(followed, ["leader"]).select("pair_id", "split")
@@ -374,7 +475,7 @@ def split_by_sequence_similarity(t: Tables):
 @query()
 def split_pairs_by_cluster_priority(t: Tables):
     """Clusters are allotted; a pair trains if either sequence does, else validates if either does, else tests."""
-    p = t("seq_pairs").select("pair_id", "seq_a", "seq_b")
+    p = t("text_pairs")
     clusters = _sequence_clusters(t, p.select(F.explode(F.array("seq_a", "seq_b")).alias("seq")))
     members = group_split(clusters, ["leader"]).select("seq", "split")
     return member_split(p, members, "seq_a", "seq_b", "seq").select("pair_id", "split")

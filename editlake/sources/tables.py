@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from editlake.operators.ordering import running_total
+
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header, plain or gzip, by a declared schema."""
@@ -18,9 +20,31 @@ def read_delimited(spark: SparkSession, path: str, sep: str, comment: str | None
     return df.toDF(*(c.strip() for c in df.columns))
 
 
-def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of records, or one record a line."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_records(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Records of files that hold a JSON array (or one object) each, or with `lines` of files with one record a line.
+
+    Only files with `lines` can be split between tasks.
+    """
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
+def read_json_map(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(id, record) of files that hold one object of records by id each."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", f"map<string, struct<{_typed(schema)}>>")).alias("id", "record"))
+
+
+def _typed(schema: str) -> str:
+    """`a int, b string` as the inside of a struct type."""
+    return ", ".join(": ".join(part.strip().split(" ", 1)) for part in schema.split(","))
+
+
+def flatten_records(records: DataFrame, columns: dict[str, str], needed: list[str]) -> DataFrame:
+    """Nested fields as columns; records that lack one of the `needed` fields are dropped."""
+    kept = records
+    for path in needed:
+        kept = kept.where(F.col(path).isNotNull())
+    return kept.select(*(F.col(path).alias(name) for name, path in columns.items()))
 
 
 def parse_json_column(df: DataFrame, column: str, schema: str, to: str) -> DataFrame:
@@ -58,11 +82,26 @@ def read_pileup(spark: SparkSession, path: str, min_coverage: int = 10) -> DataF
 
 
 def read_genome_chunks(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """FASTA text as (chrom, chunk_no, chunk): the name up to the first blank, upper case, chunks of `width` bases."""
-    records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("r")).where("r <> ''")
-    name = F.regexp_extract("r", r"^(\S+)", 1)
-    bases = F.upper(F.regexp_replace(F.regexp_replace("r", r"^[^\n]*", ""), r"\s", ""))
-    return records.select(name.alias("chrom"), F.posexplode(F.regexp_extract_all(bases, F.lit(f"(.{{1,{width}}})"), F.lit(1))).alias("chunk_no", "chunk"))
+    """FASTA text as (chrom, chunk_no, chunk): the name up to the first blank, upper case, chunks of `width` bases.
+
+    Lines keep their order by file, block and place. Running totals give each line its record and its offset there, and
+    a line gives its part of each chunk that it reaches, so that no row ever holds a record.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where("value <> ''")
+    header = F.startswith("value", F.lit(">"))
+    sized = lines.withColumns({"head": header.cast("long"), "bases": F.when(header, 0).otherwise(F.length("value")).cast("long")})
+    placed = running_total(running_total(sized, ["file", "block", "at"], "head", "heads"), ["file", "block", "at"], "bases", "offset")
+    records = placed.where("head = 1").select((F.col("heads") + 1).alias("record"), F.regexp_extract("value", r"^>(\S+)", 1).alias("chrom"), F.col("offset").alias("start"))
+    body = placed.where("head = 0").withColumn("record", F.col("heads")).join(records, "record")
+    at = F.col("offset") - F.col("start")
+    body = body.select("record", "chrom", F.upper("value").alias("line"), at.alias("first"))
+    spread = body.withColumn("chunk_no", F.explode(F.sequence(F.expr(f"first div {width}"), F.expr(f"(first + length(line) - 1) div {width}"))))
+    begin = F.greatest(F.col("first"), F.col("chunk_no") * width)
+    end = F.least(F.col("first") + F.length("line"), (F.col("chunk_no") + 1) * width)
+    part = F.col("line").substr((begin - F.col("first") + 1).cast("int"), (end - begin).cast("int"))
+    pieces = spread.select("record", "chrom", "chunk_no", F.struct(begin.alias("begin"), part.alias("part")).alias("piece"))
+    chunks = pieces.groupBy("record", "chrom", "chunk_no").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    return chunks.select("chrom", F.col("chunk_no").cast("int").alias("chunk_no"), F.array_join(F.col("pieces.part"), "").alias("chunk"))
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", partition: str | None = None, mode: str = "error") -> None:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def incremental_totals(spark: SparkSession, source: str, schema, key: list[str], sums: list[str], out: str, checkpoint: str) -> DataFrame:
-    """Sums by key over files that arrive one by one, the same as over all at once; state is kept in the checkpoint."""
+    """Sums by key over files that arrive one by one, the same as over all at once; state is kept in the checkpoint.
+
+    A run without new files gives what the last one gave; without any file there are no rows.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     totals = stream.groupBy(*key).agg(*(F.sum(c).alias(c) for c in sums), F.count("*").alias("n"))
 
@@ -16,8 +20,19 @@ def incremental_totals(spark: SparkSession, source: str, schema, key: list[str],
 
     query = totals.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else None
-    return spark.read.parquet(f"{out}/batch={last}")
+    return _newest(spark, out, totals.schema)
+
+
+def _newest(spark: SparkSession, out: str, schema) -> DataFrame:
+    """The rows of the newest batch folder."""
+    try:
+        batches = spark.read.parquet(out)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    last = batches.agg(F.max("batch")).first()[0]
+    return batches.where(F.col("batch") == last).drop("batch")
 
 
 def incremental_pairs(spark: SparkSession, source: str, schema, out: str, checkpoint: str) -> DataFrame:
