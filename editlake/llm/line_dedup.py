@@ -17,6 +17,11 @@ CODE = 8
 SUFFIX = ["id", "k", "no"]
 
 
+def _merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join: rounds that each broadcast a small side would fill the driver's memory with their tables."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
     """Rows range-sorted by `order` and then by suffix, so that one value may fill many partitions; with `at` and `part`."""
     keys = [*order, *SUFFIX]
@@ -77,17 +82,17 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     """
     keep = [*SUFFIX, "left", "q", "line", "rank"]
     many = _numbered(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), ["a", "b"])
-    first = lines.join(many, ["a", "b"]).select(*SUFFIX, "left", "q", F.col("cell").alias("line")).distinct()
+    first = _merged(lines, many, ["a", "b"]).select(*SUFFIX, "left", "q", F.col("cell").alias("line")).distinct()
     now, done, width = checkpointed(first.withColumn("rank", _code(F.col("line")))), None, 1
     while not now.isEmpty():
         ranks = now.select(*SUFFIX, "rank") if done is None else now.select(*SUFFIX, "rank").unionByName(done.select(*SUFFIX, "rank"))
         later = ranks.where(F.col("no") >= width).select("id", "k", (F.col("no") - width).alias("no"), F.col("rank").alias("next"))
         # the end of a text comes first, a line that occurs once is like no other
         unlike = F.when(F.col("left") > width, F.concat(F.unhex(F.lit("00")), _code(F.xxhash64(*SUFFIX)))).otherwise(F.unhex(F.lit("")))
-        pairs = now.join(later, SUFFIX, "left").withColumn("next", F.coalesce("next", unlike))
+        pairs = _merged(now, later, SUFFIX, "left").withColumn("next", F.coalesce("next", unlike))
         cells = _numbered(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"])
         final = (F.col("n") == 1) | (F.col("left") < 2 * width)
-        coded = pairs.join(cells, ["rank", "next"]).withColumns({"rank": F.concat("rank", _code(F.col("cell"))), "final": final})
+        coded = _merged(pairs, cells, ["rank", "next"]).withColumns({"rank": F.concat("rank", _code(F.col("cell"))), "final": final})
         ranked = checkpointed(coded.select(*keep, "final"))
         gone = ranked.where("final").select(*keep)
         now, done, width = ranked.where("not final").select(*keep), gone if done is None else done.unionByName(gone), 2 * width
@@ -129,12 +134,13 @@ def with_lcp(array: DataFrame) -> DataFrame:
     while not now.isEmpty():
         mine = ranks.withColumnRenamed("rank", "a")
         other = ranks.select(F.col("id").alias("pid"), F.col("k").alias("pk"), F.col("at").alias("pat"), F.col("rank").alias("b"))
-        both = now.withColumns({"at": F.col("no") + F.col("lcp"), "pat": F.col("pno") + F.col("lcp")}).join(mine, ["id", "k", "at"], "left").join(other, ["pid", "pk", "pat"], "left")
+        at = now.withColumns({"at": F.col("no") + F.col("lcp"), "pat": F.col("pno") + F.col("lcp")})
+        both = _merged(_merged(at, mine, ["id", "k", "at"], "left"), other, ["pid", "pk", "pat"], "left")
         step = checkpointed(_longer(both))
         found, now = found.unionByName(step.where("not open")), step.where("open")
     last = found.select("id", "k", F.col("no").alias("end"), F.col("lcp").alias("end_lcp"))
-    every = ends.join(last, ["id", "k", "end"]).select(*SUFFIX, (F.col("end_lcp") + F.col("end") - F.col("no")).alias("lcp"))
-    return placed.drop("pid", "pk", "pno", "b", "rank").join(every, SUFFIX, "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+    every = _merged(ends, last, ["id", "k", "end"]).select(*SUFFIX, (F.col("end_lcp") + F.col("end") - F.col("no")).alias("lcp"))
+    return _merged(placed.drop("pid", "pk", "pno", "b", "rank"), every, SUFFIX, "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
 
 
 def repeated_runs(array: DataFrame, least: int = MIN_LINES) -> DataFrame:
@@ -148,8 +154,8 @@ def repeated_runs(array: DataFrame, least: int = MIN_LINES) -> DataFrame:
     deep = array.where("q is not null").withColumn("depth", F.explode(F.sequence("q", F.least(F.lit(least), F.col("left")))))
     opened = checkpointed(_running_start(deep, F.col("lcp") < F.col("depth"), "interval", ("depth",)).select(*SUFFIX, "depth", "part", "interval"))
     parts = opened.groupBy("depth", "interval", "part").agg(F.min(F.struct(*SUFFIX)).alias("least"))
-    firsts = checkpointed(parts.join(parts.groupBy("depth", "interval").agg(F.min("least").alias("first")), ["depth", "interval"]).select("depth", "interval", "part", "first"))
-    later = opened.join(firsts, ["depth", "interval", "part"]).where(F.struct(*SUFFIX) > F.col("first"))
+    firsts = checkpointed(_merged(parts, parts.groupBy("depth", "interval").agg(F.min("least").alias("first")), ["depth", "interval"]).select("depth", "interval", "part", "first"))
+    later = _merged(opened, firsts, ["depth", "interval", "part"]).where(F.struct(*SUFFIX) > F.col("first"))
     pointed = later.select(*SUFFIX, "depth", F.col("first.id").alias("first_id"), F.col("first.k").alias("first_k"), (F.col("no") - F.col("first.no")).alias("shift"))
     pair = ["id", "k", "first_id", "first_k", "shift", "depth"]
     islands = pointed.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy(*pair).orderBy("no")))

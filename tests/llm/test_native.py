@@ -19,6 +19,7 @@ from editlake.llm.sharding import interleaved_shards
 
 SCHEMA = "doc_id long, text string, source string, size long, run int, id string, lines int, key string, taken int"
 LONG = "\n".join(f"line {i} of a very long text" for i in range(20_000))
+MANY = "\n".join(f"line {i}" for i in range(130))
 ROWS = [(None, "a b"), (1, "ab"), (2, "a  b "), (2, "a  b "), (3, None), (4, ""), (5, " \t\n"), (6, LONG), (7, LONG), (8, "AB"), (9, "é b"), (10, "éb")]
 
 
@@ -83,7 +84,7 @@ def lines_left(rows, least=3, enough=20):
 
 @pytest.mark.parametrize(("least", "enough"), [(1, 20), (3, 20), (6, 3), (3, 2)])
 def test_line_dedup(spark, least, enough):
-    rows = [(i, "\n".join("abc"[(i * j * j + j // 4) % 3] * (1 + j % 2) for j in range(i % 23))) for i in range(1, 50)] + [(90, LONG), (91, LONG + "\nend"), (92, None), (93, "")]
+    rows = [(i, "\n".join("abc"[(i * j * j + j // 4) % 3] * (1 + j % 2) for j in range(i % 23))) for i in range(1, 30)] + [(90, MANY), (91, MANY + "\nend"), (92, None), (93, "")]
     rows += [(94, "x\n" + "long line " * 12 + "\nshort\ny"), (95, "z\n" + "long line " * 12 + "\nshort\nw"), (96, "long line " * 12)]
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup(frame(spark, rows), least, enough).collect()}
     assert got == lines_left(rows, least, enough)
