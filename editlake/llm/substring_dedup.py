@@ -281,6 +281,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, minimiser: int | None
     sent = given.mapInArrow(_send(window, size, frequent, groups), _ROW)
     spans = sent.repartition(int(tasks), "group").sortWithinPartitions("group").mapInArrow(_count(window), _ROW)
     spans = spans.groupBy("id", "k").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    copies = given.withColumn("copy", F.row_number().over(Window.partitionBy("id", "k").orderBy("k")))
+    texts = given.repartition(int(max(docs.sparkSession.sparkContext.defaultParallelism, (total["bytes"] or 0) // TASK_BYTES)), "id", "k")
+    copies = texts.withColumn("copy", F.row_number().over(Window.partitionBy("id", "k").orderBy("k")))
     kept = copies.join(spans, ["id", "k"], "left").select("id", "copy", "spans", "text").mapInArrow(_keep(window), "id long, n_words long, n_removed long, kept_text string")
     return kept.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text")
