@@ -83,20 +83,17 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     keep = [*SUFFIX, "left", "q", "line", "rank"]
     many = _numbered(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), ["a", "b"])
     first = _merged(lines, many, ["a", "b"]).select(*SUFFIX, "left", "q", F.col("cell").alias("line")).distinct()
-    now, done, width = checkpointed(first.withColumn("rank", _code(F.col("line")))), None, 1
-    while not now.isEmpty():
-        ranks = now.select(*SUFFIX, "rank") if done is None else now.select(*SUFFIX, "rank").unionByName(done.select(*SUFFIX, "rank"))
-        later = ranks.where(F.col("no") >= width).select("id", "k", (F.col("no") - width).alias("no"), F.col("rank").alias("next"))
+    every, width = checkpointed(first.select("*", _code(F.col("line")).alias("rank"), F.lit(False).alias("final"))), 1
+    while not every.where("not final").isEmpty():
+        later = every.where(F.col("no") >= width).select("id", "k", (F.col("no") - width).alias("no"), F.col("rank").alias("next"))
         # the end of a text comes first, a line that occurs once is like no other
         unlike = F.when(F.col("left") > width, F.concat(F.unhex(F.lit("00")), _code(F.xxhash64(*SUFFIX)))).otherwise(F.unhex(F.lit("")))
-        pairs = _merged(now, later, SUFFIX, "left").withColumn("next", F.coalesce("next", unlike))
+        pairs = _merged(every.where("not final").select(*keep), later, SUFFIX, "left").withColumn("next", F.coalesce("next", unlike))
         cells = _numbered(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"])
         final = (F.col("n") == 1) | (F.col("left") < 2 * width)
         coded = _merged(pairs, cells, ["rank", "next"]).withColumns({"rank": F.concat("rank", _code(F.col("cell"))), "final": final})
-        ranked = checkpointed(coded.select(*keep, "final"))
-        gone = ranked.where("final").select(*keep)
-        now, done, width = ranked.where("not final").select(*keep), gone if done is None else done.unionByName(gone), 2 * width
-    return now.select(*keep) if done is None else done
+        every, width = checkpointed(every.where("final").unionByName(coded.select(*keep, "final"))), 2 * width
+    return every.select(*keep)
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -129,16 +126,14 @@ def with_lcp(array: DataFrame) -> DataFrame:
     islands = linked.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy(*chain).orderBy("no")))
     ends = checkpointed(islands.withColumn("end", F.max("no").over(Window.partitionBy(*chain, "island"))).drop("shift", "island"))
     ranks = array.select("id", "k", F.col("no").alias("at"), "rank")
-    step = checkpointed(_longer(ends.where("no = end").withColumn("lcp", F.lit(0))))
-    found, now = step.where("not open"), step.where("open")
-    while not now.isEmpty():
+    state = checkpointed(_longer(ends.where("no = end").withColumn("lcp", F.lit(0))))
+    while not state.where("open").isEmpty():
         mine = ranks.withColumnRenamed("rank", "a")
         other = ranks.select(F.col("id").alias("pid"), F.col("k").alias("pk"), F.col("at").alias("pat"), F.col("rank").alias("b"))
-        at = now.withColumns({"at": F.col("no") + F.col("lcp"), "pat": F.col("pno") + F.col("lcp")})
+        at = state.where("open").withColumns({"at": F.col("no") + F.col("lcp"), "pat": F.col("pno") + F.col("lcp")})
         both = _merged(_merged(at, mine, ["id", "k", "at"], "left"), other, ["pid", "pk", "pat"], "left")
-        step = checkpointed(_longer(both))
-        found, now = found.unionByName(step.where("not open")), step.where("open")
-    last = found.select("id", "k", F.col("no").alias("end"), F.col("lcp").alias("end_lcp"))
+        state = checkpointed(state.where("not open").unionByName(_longer(both)))
+    last = state.select("id", "k", F.col("no").alias("end"), F.col("lcp").alias("end_lcp"))
     every = _merged(ends, last, ["id", "k", "end"]).select(*SUFFIX, (F.col("end_lcp") + F.col("end") - F.col("no")).alias("lcp"))
     return _merged(placed.drop("pid", "pk", "pno", "b", "rank"), every, SUFFIX, "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
 
