@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from editlake.llm.centroids import centroid_clusters
 from editlake.llm.chat import format_chats
 from editlake.llm.common import table
 from editlake.llm.decontaminate import contaminated
+from editlake.llm.divergence import source_divergence
 from editlake.llm.exact_dedup import exact_dedup
 from editlake.llm.html_main import extract_main_text
 from editlake.llm.line_dedup import line_dedup
+from editlake.llm.minhash import minhash_groups
 from editlake.llm.mixing import curriculum_mix
 from editlake.llm.quality import quality_scores
 from editlake.llm.sharding import interleaved_shards
@@ -61,7 +64,38 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "position", F.col("uses.position").alias("positions"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op5_quality_classifier, op6_simhash_near_dedup, op7_html_extraction, op8_benchmark_decontamination, op9_sharding, op10_source_mixing)}
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_substring_dedup, op4_exact_dedup, op5_quality_classifier, op6_simhash_near_dedup, op7_html_extraction, op8_benchmark_decontamination, op9_sharding, op10_source_mixing, op11_minhash_near_dedup, op12_source_divergence, op13_centroid_clustering)}
+
+def _centroids_sql(rounds: int = 5) -> str:
+    """Each round is two steps: the nearest centroid of each vector, and the new centroids."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} as materialized (select vec_id, any_value(x) x, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint, 'k': k}}) m from x, c{k} group by vec_id)")
+        if k < rounds:
+            moved = f"select k, i, ((s - ((s % n) + n) % n) // n)::bigint v from (select m.k k, i, sum(x[i]) s, count(*)::hugeint n from a{k}, range(1, 65) r(i) group by 1, 2)"
+            steps.append(f"c{k + 1} as materialized (select k, list(v order by i) c from ({moved}) group by k union all select k, c from c{k} where k not in (select m.k from a{k}))")
+    return f"""
+with x as materialized (
+  select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)::bigint) x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+c0 as materialized (select row_number() over (order by sha256('2:' || vec_id)) - 1 k, x c from x qualify k < 40),
+{", ".join(steps)}
+select vec_id, m.k::int "cluster", m.d distance, (sum(m.d) over (partition by m.k))::bigint cluster_inertia, (sum(m.d) over ())::bigint inertia,
+       sha256(array_to_string(c, ',')) centroid_sha256
+from a{rounds} join c{rounds} on k = m.k"""
+
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
@@ -154,4 +188,42 @@ v as (
   select *, list_transform(ys, lambda y: round(case when a = 0 then least(1.0::double, y)
          else (sqrt((1 - a) * (1 - a) + 4 * a * least(1.0::double, y)) - (1 - a)) / (2 * a) end, 9)) positions from u)
 select doc_id, size, source_size, target, (passes * size + part)::bigint taken, positions[1] "position", positions from v""",
+    "op11_minhash_near_dedup": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws
+  from documents),
+s as (select distinct doc_id, array_to_string(ws[i + 1:i + 2], ' ') g
+      from (select *, unnest(range(0, greatest(len(ws) - 1, least(len(ws), 1)))) i from w)),
+n as (select doc_id, count(*) n from s group by 1),
+h as (select a.doc_id a, b.doc_id b, count(*) shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from h join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select a x, b y from l union select b, a from l),
+reach(id, lab) as (select doc_id, doc_id from documents union select r.id, e.y from reach r join e on e.x = r.lab),
+c as (select id, min(lab) component_id from reach group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, component_id, component_id = d.doc_id kept
+from documents d left join n using (doc_id) join c on c.id = d.doc_id""",
+    "op12_source_divergence": r"""
+with d as (
+  select doc_id, coalesce(lang, '') lang, coalesce(source, '') source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') ws
+  from documents),
+t as (select doc_id, lang, source, unnest(ws) term from d),
+kept as (select lang, term from (select distinct doc_id, lang, term from t) group by 1, 2 having count(*) >= 3),
+v as (select lang, count(*) v from kept group by 1),
+g as (select distinct lang, source from d),
+o as (select lang, source, term, count(*) n from t join kept using (lang, term) group by 1, 2, 3),
+gn as (select g.lang, g.source, coalesce(sum(o.n), 0)::hugeint total from g left join o on o.lang = g.lang and o.source = g.source group by 1, 2),
+p as (
+  select gn.lang, gn.source, k.term, coalesce(o.n, 0) n, (1 + 1000000000::hugeint * (coalesce(o.n, 0) + 1) // (total + v))::hugeint p
+  from gn join kept k on k.lang = gn.lang join v on v.lang = gn.lang left join o on o.lang = gn.lang and o.source = gn.source and o.term = k.term),
+f as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0)::bigint value
+          from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+ln as (select lang, term, sum(n) n from o group by 1, 2),
+q as (select lang, term, (1 + 1000000000::hugeint * (n + 1) // (sum(n) over (partition by lang) + v))::hugeint q from ln join v using (lang)),
+terms as (select lang, source, 'term' part, term item, ((p - q) * (p - q) // q)::bigint value from p join q using (lang, term) where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) rank from (from pairs union all from terms))
+select lang, source, part, item, value, rank::int rank from r where part = 'pair' or rank <= 200""",
+    "op13_centroid_clustering": _centroids_sql(),
 }
