@@ -142,6 +142,21 @@ def motif_flags(s: Column, gc_share: float = 0.6) -> Column:
     return F.struct(s.rlike("[AG]CCAUGG|[AG]..AUG.{4}").alias("kozak"), (F.size(augs) > 1).alias("uaug"), s.rlike("AUG(?:[ACGU]{3})*?(?:UAA|UAG|UGA)").alias("uorf"), s.rlike("AUUUA").alias("au_rich"), (gc_content(s) >= gc_share).alias("gc_rich"))
 
 
+def kmer_shares(seq: Column, k: int) -> Column:
+    """array of (kmer, share): each k-mer of A, C, G, U and its share of all of them.
+
+    The k-mers of a row are sorted; where one ends in that order, the distance to the end before it is its count.
+    """
+    mers = F.filter(F.transform(places(F.length(seq) - (k - 1)), lambda i: seq.substr(i + 1, F.lit(k))), lambda m: m.rlike("^[ACGU]+$"))
+
+    def counted(m: Column) -> Column:
+        ends = F.filter(places(F.size(m)), lambda i: F.get(m, i) != F.coalesce(F.get(m, i + 1), F.lit("")))
+        shares = lambda e: F.transform(e, lambda end, at: F.struct(F.get(m, end).alias("kmer"), ((end - F.coalesce(F.get(e, at - 1), F.lit(-1))) / F.size(m)).alias("share")))
+        return let(ends, shares)
+
+    return let(F.sort_array(mers), counted)
+
+
 def edit_vector(a: Column, b: Column) -> Column:
     """array of 9: SNV, insertion, deletion, complex; relative place; log1p(size) / 5; change of the best Kozak score; sign of the change in AUGs; change of GC."""
     augs = F.size(find_all(b, "AUG")) - F.size(find_all(a, "AUG"))

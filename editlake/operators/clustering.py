@@ -21,27 +21,30 @@ def _both_ways(links: DataFrame, a: str, b: str) -> DataFrame:
 def leader_clusters(nodes: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
     """nodes (id, order) and links -> (id, leader): sequential leader clustering, in rounds.
 
-    The node that is first in `order` (then id) leads, its unassigned neighbours join it, and so on. In a round every
-    undecided node that comes before all its undecided neighbours leads and its neighbours become members, which gives
-    the same leaders as going through them one by one. A member ends with the first leader among its neighbours.
+    The node that is first in `order` (then id) leads, its unassigned neighbours join it, and so on. Each link points
+    from the earlier to the later node. In a round the nodes that no open link points to lead and the nodes that
+    they point to become members, which gives the same leaders as going through them one by one; the links of both are
+    closed, so a round reads and writes only what is still open. A member ends with the first leader among its neighbours.
     """
     both = checkpointed(_both_ways(links, a, b))
     ranked = nodes.select("id", F.struct("order", "id").alias("r"))
-    state = checkpointed(ranked.withColumn("state", F.lit("open")))
-    while True:
-        still = state.where("state = 'open'").select("id", "r")
-        rival = both.join(still.select(F.col("id").alias("y"), F.col("r").alias("other")), "y").groupBy(F.col("x").alias("id")).agg(F.min("other").alias("best"))
-        leads = still.join(rival, "id", "left").where("best is null or r < best").select("id")
-        taken = both.join(leads.select(F.col("id").alias("x")), "x").select(F.col("y").alias("id")).distinct().withColumn("taken", F.lit(True))
-        marked = state.join(leads.withColumn("lead", F.lit(True)), "id", "left").join(taken, "id", "left")
-        new = F.when(F.col("state") != "open", F.col("state")).when(F.col("lead"), "leader").when(F.col("taken"), "member").otherwise("open")
-        state = checkpointed(marked.select("id", "r", new.alias("state")))
-        if state.where("state = 'open'").isEmpty():
-            break
-    leaders = state.where("state = 'leader'").select(F.col("id").alias("y"), "r")
-    joined = both.join(leaders, "y").groupBy(F.col("x").alias("id")).agg(F.min("r").alias("first"))
-    own = state.where("state = 'leader'").select("id", F.col("id").alias("leader"))
-    return own.unionByName(state.where("state = 'member'").join(joined, "id").select("id", F.col("first.id").alias("leader")))
+    side = lambda s: ranked.select(F.col("id").alias(s), F.col("r").alias(f"r_{s}"))
+    open_links = checkpointed(both.join(side("x"), "x").join(side("y"), "y").where("r_x < r_y").select("x", "y"))
+    ids = lambda df, s: df.select(F.col(s).alias("id"))
+    taken = None
+    while not open_links.isEmpty():
+        leads = ids(open_links, "x").distinct().join(ids(open_links, "y"), "id", "left_anti")
+        members = checkpointed(ids(open_links.join(leads.withColumnRenamed("id", "x"), "x", "left_semi"), "y").distinct())
+        taken = members if taken is None else taken.unionByName(members)
+        left = open_links.join(leads.withColumnRenamed("id", "x"), "x", "left_anti")
+        for s in ("x", "y"):
+            left = left.join(members.withColumnRenamed("id", s), s, "left_anti")
+        open_links = checkpointed(left.select("x", "y"))
+    if taken is None:
+        return ranked.select("id", F.col("id").alias("leader"))
+    own = ranked.join(taken, "id", "left_anti")
+    first = both.join(own.select(F.col("id").alias("y"), "r"), "y").groupBy(F.col("x").alias("id")).agg(F.min("r").alias("first"))
+    return own.select("id", F.col("id").alias("leader")).unionByName(taken.join(first, "id").select("id", F.col("first.id").alias("leader")))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from editlake.functions.sequence import char, hamming_distance, places
 from editlake.operators.ordering import exact_rank, md5_key, running_total
-from editlake.operators.relational import first_per_key
+from editlake.operators.relational import dictionary, first_per_key
+from editlake.operators.shared import checkpointed
 
 #: Letters up to which sequences are compared by masked places.
 SHORT = 12
 #: Members of a core that one join key holds on its left side.
 CORE_PART = 1000
+#: Buckets in which items are counted for their order (16 bits), and the share of the least overlap that is asked for among the first ones.
+BUCKETS, EXTRA = 1 << 16, 0.1
 
 
 def capped_cores(fragments: DataFrame, cap: int, seed: str = "cap") -> DataFrame:
@@ -23,24 +31,43 @@ def capped_cores(fragments: DataFrame, cap: int, seed: str = "cap") -> DataFrame
     return ranked.where(F.col("__r") < cap).select(*fragments.columns)
 
 
-def mmp_pairs(fragments: DataFrame, molecules: DataFrame, max_mw_delta: float = 200, min_mols: int = 10, cap: int | None = 1000) -> DataFrame:
+def mmp_pairs(fragments: DataFrame, molecules: DataFrame, max_mw_delta: float = 200, min_mols: int = 10, cap: int | None = 1000, once: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Unordered pairs of molecules with a common core and nearly the same mass.
 
     Cores with fewer than `min_mols` members are left out, larger ones than `cap` sampled down. The join is on the core
     and a mass band: bins of the band's width make neighbours meet in one bin or the next. Where the band is wide, a large
     core is spread over join keys by parts of about CORE_PART members, each of which meets all members.
+
+    `once`: each pair only with its smallest core and the first chain of each molecule in it (see smallest_core), without
+    a shuffle of pairs: a member knows the hashes of its molecule's smaller cores, and two members that share one of
+    them make no pair here. Columns of `molecules` named in `carry` come with both sides, as <name>_a and <name>_b.
     """
-    members = fragments.join(molecules.where("mw is not null").select("mol_id", "mw"), "mol_id")
+    known = molecules.where("mw is not null").select("mol_id", "mw", *carry)
     counts = fragments.groupBy("core").count().where(F.col("count") >= min_mols)
-    sized = members.join(counts.select("core", F.ceil(F.col("count") / CORE_PART).cast("int").alias("parts")), "core")
+    sized = fragments.join(known.select("mol_id"), "mol_id", "left_semi").join(counts.select("core", F.ceil(F.col("count") / CORE_PART).cast("int").alias("parts")), "core")
     if cap:
         sized = capped_cores(sized, cap)
-    binned = sized.withColumn("bin", F.floor(F.col("mw") / max_mw_delta))
-    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("mol_id", "chain", "mw")]
+    more = ["smaller", "parts_of"] if once else []
+    members = (_smaller_cores(sized) if once else sized).join(known, "mol_id")
+    binned = members.withColumn("bin", F.floor(F.col("mw") / max_mw_delta))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("mol_id", "chain", "mw", *more, *carry)]
     left = binned.select("core", F.pmod(F.xxhash64("mol_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), *side("a"))
     right = binned.select("core", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "bin", *side("b"))
     close = (F.col("mol_id_a") < F.col("mol_id_b")) & (F.abs(F.col("mw_a") - F.col("mw_b")) <= max_mw_delta)
-    return left.join(right, ["core", "part", "bin"]).where(close).select("core", F.col("mol_id_a").alias("mol_a"), F.col("mol_id_b").alias("mol_b"), "chain_a", "chain_b")
+    if once:
+        close = close & ~F.arrays_overlap("smaller_a", "smaller_b")
+    found = left.join(right, ["core", "part", "bin"]).where(close)
+    returned = [F.col(f"{c}_{s}") for c in ("chain", *more[1:], *carry) for s in "ab"]
+    return found.select("core", F.col("mol_id_a").alias("mol_a"), F.col("mol_id_b").alias("mol_b"), *returned)
+
+
+def _smaller_cores(members: DataFrame) -> DataFrame:
+    """Each molecule once in each of its cores, with its first chain there, the parts of it in order, and hashes of its smaller cores."""
+    each = members.groupBy("mol_id", "core", "parts").agg(F.min("chain").alias("chain"))
+    listed = each.groupBy("mol_id").agg(F.sort_array(F.collect_list(F.struct("core", "chain", "parts"))).alias("all"))
+    one = listed.select("mol_id", "all", F.posexplode("all").alias("k", "c"))
+    before = F.transform(F.slice("all", F.lit(1), F.col("k")), lambda c: F.xxhash64(c["core"]))
+    return one.select("mol_id", "c.*", before.alias("smaller"), F.sort_array(F.array_distinct(F.split("c.chain", "\\."))).alias("parts_of"))
 
 
 def smallest_core(pairs: DataFrame) -> DataFrame:
@@ -50,23 +77,76 @@ def smallest_core(pairs: DataFrame) -> DataFrame:
 
 
 def edit_columns(a: Column, b: Column) -> list[Column]:
-    """edit (from>>to) and num_cuts of two chains of parts; parts they share are no edit."""
-    pa, pb = F.split(a, "\\."), F.split(b, "\\.")
-    before, after = F.array_sort(F.array_except(pa, pb)), F.array_sort(F.array_except(pb, pa))
+    """edit (from>>to) and num_cuts of two sorted lists of parts; parts they share are no edit."""
+    before, after = F.array_except(a, b), F.array_except(b, a)
     return [F.concat(F.array_join(before, "."), F.lit(">>"), F.array_join(after, ".")).alias("edit"), F.greatest(F.size(before), F.size(after)).alias("num_cuts")]
 
 
 def with_edits(pairs: DataFrame, max_cuts: int | None = None) -> DataFrame:
     """Pairs that differ, with their edit; at most `max_cuts` parts on a side."""
-    out = pairs.where("chain_a <> chain_b").select("*", *edit_columns(F.col("chain_a"), F.col("chain_b"))).where("edit <> '>>'")
-    return out.where(F.col("num_cuts") <= max_cuts) if max_cuts else out
+    if "parts_of_a" not in pairs.columns:
+        pairs = pairs.withColumns({f"parts_of_{s}": F.sort_array(F.array_distinct(F.split(f"chain_{s}", "\\."))) for s in "ab"})
+    differ = pairs.where("chain_a <> chain_b")
+    if max_cuts:
+        differ = differ.where((F.size(F.array_except("parts_of_a", "parts_of_b")) <= max_cuts) & (F.size(F.array_except("parts_of_b", "parts_of_a")) <= max_cuts))
+    out = differ.select("*", *edit_columns(F.col("parts_of_a"), F.col("parts_of_b"))).drop("parts_of_a", "parts_of_b")
+    return out.where("edit <> '>>'")
+
+
+def value_maps(values: DataFrame, on: list[str], value: str = "value") -> DataFrame:
+    """mol_id, values: for each molecule a map from what `on` names to its one value there; nulls are left out."""
+    key = F.col(on[0]) if len(on) == 1 else F.struct(*on)
+    known = values.where(F.col(value).isNotNull() & key.isNotNull())
+    return known.groupBy("mol_id").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("key"), F.col(value).alias("value")))).alias("values"))
+
+
+def expand_values(pairs: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs with both members' maps (values_a, values_b) -> one row per pair and property that both have, delta = b - a."""
+    rest = [c for c in pairs.columns if c not in ("values_a", "values_b")]
+    rows = pairs.select(*rest, "values_b", F.explode("values_a").alias("__key", "value_a")).withColumn("value_b", F.try_element_at("values_b", F.col("__key"))).where("value_b is not null")
+    names = [F.col("__key").alias(on[0])] if len(on) == 1 else [F.col(f"__key.{c}").alias(c) for c in on]
+    return rows.select(*rest, *names, "value_a", "value_b", (F.col("value_b") - F.col("value_a")).alias("delta"))
 
 
 def with_values(pairs: DataFrame, values: DataFrame, on: list[str], value: str = "value") -> DataFrame:
-    """One row per pair and property that both members have: value_a, value_b, delta = b - a; nulls are dropped."""
-    known = values.where(F.col(value).isNotNull())
-    side = lambda s: known.select(F.col("mol_id").alias(f"mol_{s}"), *on, F.col(value).alias(f"value_{s}"))
-    return pairs.join(side("a"), "mol_a").join(side("b"), ["mol_b", *on]).withColumn("delta", F.col("value_b") - F.col("value_a"))
+    """One row per pair and property that both members have: value_a, value_b, delta = b - a; nulls are dropped.
+
+    A molecule has one value for each `on`. Its values travel as one map, so pairs are joined on molecules alone and
+    expanded last; where pairs are made from molecules that carry the map (mmp_pairs), expand_values needs no join.
+    """
+    maps = value_maps(values, on, value)
+    side = lambda s: maps.select(F.col("mol_id").alias(f"mol_{s}"), F.col("values").alias(f"values_{s}"))
+    return expand_values(pairs.join(side("a"), "mol_a").join(side("b"), "mol_b"), on)
+
+
+def membership_masks(df: DataFrame, item: str, group: str) -> tuple[DataFrame, list[str], DataFrame]:
+    """(masks, names of their columns, groups): each item's groups as bits of longs, bit i of word w being group 64 w + i.
+
+    groups has (value, id), ids in the order of values; there are as many columns as 64 goes into their number.
+    """
+    groups = checkpointed(dictionary(df, group))
+    words = [f"mask_{w}" for w in range(max(1, -(-groups.count() // 64)))]
+    bits = df.select(item, F.col(group).alias("value")).join(groups, "value").select(item, F.expr("id div 64").alias("w"), F.expr("shiftleft(1L, cast(id % 64 as int))").alias("bit"))
+    masks = bits.groupBy(item).agg(*(F.coalesce(F.bit_or(F.when(F.col("w") == k, F.col("bit"))), F.lit(0)).cast("long").alias(name) for k, name in enumerate(words)))
+    return masks, words, groups
+
+
+def shared_groups(words: list[str]) -> list[Column]:
+    """The groups that both members of a pair have, as masks under the same names."""
+    return [F.col(f"{w}_a").bitwiseAND(F.col(f"{w}_b")).alias(w) for w in words]
+
+
+def mask_size(words: list[str]) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(w) for w in words))
+
+
+def mask_ids(words: list[str]) -> Column:
+    """The ids of the groups in a mask."""
+
+    def ids(word: str, base: int) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col(word), i) == 1), lambda i: i + base)
+
+    return F.concat(*(ids(w, 64 * k) for k, w in enumerate(words)))
 
 
 def dedup_pairs(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
@@ -82,35 +162,114 @@ def band_join(left: DataFrame, right: DataFrame, value: str, width: float, key:
     return a.join(b, "__bin").where(near).drop("__bin")
 
 
+def set_tokens(sets: DataFrame, key: str, items: str) -> DataFrame:
+    """key, size, tokens: the distinct items of each set as numbers in one global order, rare ones first.
+
+    Items are counted in BUCKETS by their 64-bit hash; a token is the rank of its bucket and the rest of the hash, so it is
+    both the item's place in the order and the item itself. Only the ranks, of a fixed number, pass the driver.
+    """
+    hashed = sets.select(key, F.transform(F.array_distinct(items), lambda i: F.xxhash64(i)).alias("tokens")).where(F.size("tokens") > 0)
+    hashed = checkpointed(hashed)
+    counts = hashed.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(BUCKETS - 1).alias("bucket")).count().collect()
+    seen = np.zeros(BUCKETS, np.int64)
+    for r in counts:
+        seen[r["bucket"]] = r["count"]
+    rank = np.empty(BUCKETS, np.int64)
+    rank[np.lexsort((np.arange(BUCKETS), seen))] = np.arange(BUCKETS) - BUCKETS // 2
+    high = rank << 48
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            at = at - at[0]
+            made = high[flat & (BUCKETS - 1)] | (flat.view(np.uint64) >> np.uint64(16)).view(np.int64)
+            made = made[np.lexsort((made, np.repeat(np.arange(len(at) - 1), np.diff(at))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(made))], [key, "size", "tokens"])
+
+    kind = sets.schema[key].dataType.simpleString()
+    return hashed.mapInArrow(ordered, f"{key} {kind}, size int, tokens array<long>")
+
+
+def similar_candidates(tokens: DataFrame, key: str, threshold: float) -> DataFrame:
+    """Pairs (x, y) of token sets that may have Jaccard >= threshold; a superset of all that do.
+
+    Sets of sizes m and n share at least o = ceil(threshold (m + n) / (1 + threshold)) tokens then, so among their first
+    m - o + l and n - o + l ones they share l: these are joined on the token, matches behind those places are left out
+    and pairs with fewer than l matches too. l is EXTRA of o and one more: longer prefixes, far fewer candidates. Sizes
+    are dealt into bins of the ratio 1 / threshold, so that sets of unlike sizes do not meet.
+    """
+    n, rank = F.col("size"), F.log("size") / math.log(1 / threshold) if threshold < 1 else F.col("size").cast("double")
+    overlap = lambda size: F.ceil(threshold / (1 + threshold) * size - 1e-9).cast("int")
+    wanted = lambda o: (F.floor(EXTRA * o) + 1).cast("int")
+    first = lambda least: F.posexplode(F.slice("tokens", F.lit(1), F.least(n, n - least + wanted(least))))
+    small = tokens.select(F.col(key).alias("x"), n.alias("m"), F.explode(F.sequence(F.floor(rank), F.floor(rank + 1 + 1e-9))).alias("bin"), first(overlap(2 * n)).alias("i", "token"))
+    large = tokens.select(F.col(key).alias("y"), n, F.floor(rank).alias("bin"), first(F.ceil(threshold * n - 1e-9).cast("int")).alias("j", "token"))
+    both = overlap(F.col("m") + n)
+    fits = (F.struct("m", "x") < F.struct("size", "y")) & (F.col("m") >= threshold * n - 1e-9)
+    early = (F.col("i") < F.col("m") - both + wanted(both)) & (F.col("j") < n - both + wanted(both))
+    met = small.join(large, ["token", "bin"]).where(fits & early)
+    return met.groupBy("x", "y").agg(F.count("*").alias("matches"), F.max(wanted(both)).alias("least")).where("matches >= least").select("x", "y")
+
+
 def set_similarity_join(sets: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
-    """Pairs key_a < key_b of item sets with Jaccard (Tanimoto) >= threshold, exact.
+    """Pairs key_a < key_b of item sets with Jaccard (Tanimoto) >= threshold, exact up to equal 64-bit hashes of items.
 
-    Items are ordered from rare to frequent; two sets that similar share an item among the first
-    n - ceil(threshold n) + 1 of each, so only these are joined, with the bound on sizes, and then verified.
+    Candidates come from counted prefix matches; only for them the tokens are read again and counted in full. Empty and
+    null sets are in no pair; a null item is an item. Keys are distinct.
     """
-    clean = sets.select(key, F.array_distinct(items).alias("items")).where(F.size("items") > 0)
-    long = clean.select(key, F.explode("items").alias("item"))
-    counts = long.groupBy("item").agg(F.count("*").alias("n"))
-    ordered = long.join(counts, "item").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("o")).select(key, F.col("o.item").alias("items"), F.size("o").alias("size"))
-    prefix = F.slice("items", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1)
-    index = ordered.select(key, "size", F.explode(prefix).alias("item"))
-    a, b = (index.select("item", F.col(key).alias(f"{key}_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
-    fits = (F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("size_a") >= threshold * F.col("size_b") - 1e-9) & (F.col("size_b") >= threshold * F.col("size_a") - 1e-9)
-    found = a.join(b, "item").where(fits).select(f"{key}_a", f"{key}_b").distinct()
-    full = lambda s: ordered.select(F.col(key).alias(f"{key}_{s}"), F.col("items").alias(f"items_{s}"))
-    shared, union = F.size(F.array_intersect("items_a", "items_b")), F.size(F.array_union("items_a", "items_b"))
-    return found.join(full("a"), f"{key}_a").join(full("b"), f"{key}_b").select(f"{key}_a", f"{key}_b", (shared / union).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    tokens = checkpointed(set_tokens(sets, key, items))
+    full = lambda s: tokens.select(F.col(key).alias(s), F.col("tokens").alias(f"tokens_{s}"), F.col("size").alias(f"size_{s}"))
+    found = similar_candidates(tokens, key, threshold).join(full("x"), "x").join(full("y"), "y")
+    counted = found.withColumn("shared", F.size(F.array_intersect("tokens_x", "tokens_y")))
+    similarity = F.col("shared") / (F.col("size_x") + F.col("size_y") - F.col("shared"))
+    return counted.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+
+
+def coded(seq: Column) -> Column:
+    """A sequence of up to 31 letters A, C, G, U as a number, two bits a letter, in the order of letters; null for any other."""
+    return F.when(seq.rlike("^[ACGU]{1,31}$"), F.conv(F.translate(seq, "ACGU", "0123"), 4, 10).cast("long"))
+
+
+def decoded(code: Column, length: Column) -> Column:
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), length, F.lit("0")), "0123", "ACGU")
+
+
+def code_distance(a: Column, b: Column) -> Column:
+    """Places in which two codes of one length differ."""
+    x = a.bitwiseXOR(b)
+    return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+
+def _place_masks(n: Column, distance: int, most: int) -> Column:
+    """Every choice of `distance` of n places (at most `most`) as a mask of their bits."""
+    made = sorted(sum(3 << 2 * i for i in places_) for places_ in itertools.combinations(range(most), distance))
+    return F.filter(F.array(*map(F.lit, made)).cast("array<long>"), lambda m: m < F.call_function("shiftleft", F.lit(1).cast("long"), 2 * n))
 
 
 def snv_pairs(df: DataFrame, key: str, seq: str) -> DataFrame:
     """Pairs of rows, in both directions, whose sequences of equal length differ in exactly one place.
 
     Each sequence is keyed by its length and itself with one place masked; rows that share a mask differ there only.
+    Sequences of up to SHORT letters A, C, G, U are keyed by numbers, others by strings.
     """
+    rows = checkpointed(df.select(key, seq).withColumn("n", F.length(seq)).withColumn("code", F.when(F.col("n") <= SHORT, coded(F.col(seq)))))
+    parts = rows.where("code is not null").select(key, "n", "code", F.explode(places(F.col("n"))).alias("at"))
+    shift = 2 * (F.col("n") - 1 - F.col("at"))
+    bits = F.call_function("shiftleft", F.lit(3).cast("long"), shift)
+    short = parts.select(key, "n", "at", F.col("code").bitwiseAND(F.bitwise_not(bits)).alias("mask"), F.call_function("shiftright", "code", shift).bitwiseAND(F.lit(3)).cast("int").alias("base"))
+
+    def met(masked: DataFrame, apart: Column) -> DataFrame:
+        a, b = (masked.select("n", "at", "mask", *(F.col(c).alias(f"{c}_{x}") for c in (key, "base", "known"))) for x in "ab")
+        return a.join(b, ["n", "at", "mask"]).where(apart & (F.col("base_a") != F.col("base_b"))).select(f"{key}_a", f"{key}_b", F.col("at").alias("position"), "base_a", "base_b")
+
+    letter = lambda x: F.substring(F.lit("ACGU"), F.col(x) + 1, F.lit(1)).alias(x)
+    numbers = met(short.withColumn("known", F.lit(True)), F.lit(True)).select(f"{key}_a", f"{key}_b", "position", letter("base_a"), letter("base_b"))
+    if rows.where("code is null").isEmpty():
+        return numbers
     s = F.col(seq)
-    masked = df.select(key, seq, F.explode(places(F.length(s))).alias("at")).select(F.col(key), F.col(seq), "at", F.length(s).alias("n"), F.concat(s.substr(F.lit(1), F.col("at")), F.lit("_"), s.substr(F.col("at") + 2, F.length(s))).alias("mask"), char(s, F.col("at")).alias("base"))
-    a, b = (masked.select("n", "at", "mask", F.col(key).alias(f"{key}_{x}"), F.col("base").alias(f"base_{x}")) for x in "ab")
-    return a.join(b, ["n", "at", "mask"]).where("base_a <> base_b").select(f"{key}_a", f"{key}_b", F.col("at").alias("position"), "base_a", "base_b")
+    spelled = rows.select(key, seq, "n", F.col("code").isNotNull().alias("known"), F.explode(places(F.col("n"))).alias("at"))
+    masked = spelled.select(key, "n", "at", "known", F.concat(s.substr(F.lit(1), F.col("at")), F.lit("_"), s.substr(F.col("at") + 2, F.length(s))).alias("mask"), char(s, F.col("at")).alias("base"))
+    return numbers.unionByName(met(masked, ~(F.col("known_a") & F.col("known_b"))))
 
 
 def _masks(s: Column, distance: int, first: Column | int = 0) -> Column:
@@ -122,24 +281,42 @@ def _masks(s: Column, distance: int, first: Column | int = 0) -> Column:
     return F.flatten(F.transform(at(first), lambda i: F.transform(_masks(s, distance - 1, i + 1), lambda x: hide(x, i))))
 
 
+def _coded_pairs(codes: DataFrame, seq: str, distance: int) -> DataFrame:
+    """Pairs of distinct (n, code) within `distance` places: those that differ in exactly d places share the key that masks them."""
+    found = None
+    for d in range(1, distance + 1):
+        masked = codes.where(F.col("n") >= d).select("n", "code", F.explode(_place_masks(F.col("n"), d, SHORT)).alias("mask")).withColumn("rest", F.col("code").bitwiseAND(F.bitwise_not("mask")))
+        a, b = (masked.select("n", "mask", "rest", F.col("code").alias(s)) for s in "ab")
+        met = a.join(b, ["n", "mask", "rest"]).where("a < b").where(code_distance(F.col("a"), F.col("b")) == d)
+        pairs = met.select(decoded(F.col("a"), F.col("n")).alias(f"{seq}_a"), decoded(F.col("b"), F.col("n")).alias(f"{seq}_b"), F.lit(d).alias("distance"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
 def hamming_pairs(df: DataFrame, seq: str, distance: int) -> DataFrame:
     """Pairs a < b of distinct sequences of equal length with 1 .. distance mismatches.
 
-    Sequences of at most SHORT letters are keyed by themselves with every choice of `distance` places masked: those
-    that share a key differ there only, so no key is common. Longer ones are cut into distance + 1 segments, of which
-    two near sequences share at least one: the key is length, segment number and segment.
+    The distinct sequences are written down once. Those of at most SHORT letters are keyed by themselves with every
+    choice of places masked, so no key is common: as numbers of two bits a letter where all letters are A, C, G, U.
+    Longer ones are cut into distance + 1 segments, of which two near sequences share at least one: the key is
+    length, segment number and segment.
     """
     s, k = F.col(seq), distance + 1
     cut = lambda i: F.floor(F.length(s) * i / k).cast("int")
-    every = df.select(seq).where(F.length(s) >= distance).distinct().select(seq, F.length(s).alias("n"))
+    every = checkpointed(df.select(seq).where(F.length(s) >= 1).distinct().select(seq, F.length(s).alias("n")).withColumn("code", F.when(F.col("n") <= SHORT, coded(s))))
+    of_codes = _coded_pairs(every.where("code is not null"), seq, distance)
+    plain = every.where("code is null").where(F.col("n") >= distance)
+    if plain.isEmpty():
+        return of_codes
     parts = F.array(*(F.struct(F.lit(i).alias("no"), s.substr(cut(i) + 1, cut(i + 1) - cut(i)).alias("part")) for i in range(k)))
-    long = every.where(F.col("n") > SHORT).select(seq, "n", F.explode(parts).alias("p")).select(seq, "n", "p.*")
+    long = plain.where(F.col("n") > SHORT).select(seq, "n", F.explode(parts).alias("p")).select(seq, "n", "p.*")
     short = every.where(F.col("n") <= SHORT).select(seq, "n", F.lit(-1).alias("no"), F.explode(_masks(s, distance)).alias("part"))
     keyed = long.unionByName(short)
     a, b = (keyed.select("n", "no", "part", F.col(seq).alias(f"{seq}_{x}")) for x in "ab")
     met = a.join(b, ["n", "no", "part"]).where(F.col(f"{seq}_a") < F.col(f"{seq}_b")).select(f"{seq}_a", f"{seq}_b").distinct()
     d = hamming_distance(F.col(f"{seq}_a"), F.col(f"{seq}_b"))
-    return met.withColumn("distance", d).where(F.col("distance").between(1, distance))
+    both_coded = coded(F.col(f"{seq}_a")).isNotNull() & coded(F.col(f"{seq}_b")).isNotNull() & (F.length(f"{seq}_a") <= SHORT)
+    return met.where(~both_coded).withColumn("distance", d).where(F.col("distance").between(1, distance)).unionByName(of_codes)
 
 
 def loop_pairs(plain: DataFrame, marked: DataFrame, distance: int) -> DataFrame:

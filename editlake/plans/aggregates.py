@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from editlake.operators import aggregates as A
+from editlake.operators import pairs as P
 from editlake.operators.ordering import equal_width_bins, exact_quantiles
 from editlake.operators.relational import top_by, top_per_group
-from editlake.plans.pairs import _VALUED, _valued
+from editlake.plans.pairs import _VALUED, _masked, _valued
 from editlake.plans.registry import Tables, query
 
 _SNV = "select pair_id, property_name, cell_type, p, substr(seq_a, p + 1, 1) base_a, substr(seq_b, p + 1, 1) base_b, value_b - value_a delta from (select *, cast(pair_id % 47 as int) p from seq_pairs where length(seq_a) = length(seq_b))"
@@ -73,9 +74,10 @@ def pivot_tasks_first(t: Tables):
 
 @query(f"with v as {_VALUED}, p as (select property_name from v group by 1 having count(*) >= 100 order by 1 limit 8) select edit, count(distinct property_name) n_properties, count(*) n from v where property_name in (select property_name from p) group by 1 having count(distinct property_name) >= 3")
 def multi_property_edits(t: Tables):
-    v = _valued(t).select("edit", "property_name")
-    kept = v.groupBy("property_name").count().where("count >= 100").orderBy("property_name").limit(8)
-    return v.join(F.broadcast(kept), "property_name", "left_semi").groupBy("edit").agg(F.countDistinct("property_name").alias("n_properties"), F.count("*").alias("n")).where("n_properties >= 3")
+    pairs, words, groups = _masked(t)
+    counts = A.group_counts(pairs, words, []).where("n >= 100")
+    kept = [r["id"] for r in counts.join(groups, "id").orderBy("value").limit(8).select("id").collect()]
+    return A.counts_of_groups(pairs, words, "edit", kept).where("n_properties >= 3")
 
 
 @query("with p as (select property_name from measurements group by 1 order by count(*) desc, 1 limit 6), d as (select distinct mol_id, property_name from measurements where property_name in (select property_name from p)), c as (select a.property_name x, b.property_name y, c.property_name z from p a join p b on a.property_name < b.property_name join p c on b.property_name < c.property_name) select concat_ws(',', x, y, z) names, count(*) shared from c join d a on a.property_name = x join d b on b.property_name = y and b.mol_id = a.mol_id join d e on e.property_name = z and e.mol_id = a.mol_id group by 1 order by 2 desc, 1 limit 1")
@@ -85,19 +87,21 @@ def best_shared_property_combo(t: Tables):
 
 @query(f"select edit, n, round(100.0 * n / sum(n) over (), 6) percent, rank from (select edit, count(*) n, row_number() over (order by count(*) desc, edit) rank from {_VALUED} group by 1) qualify rank <= 20")
 def frequency_table(t: Tables):
-    return A.frequency(_valued(t), "edit", 20).withColumn("percent", F.round("percent", 6))
+    pairs, _, _ = _masked(t)
+    return A.frequency(pairs, "edit", 20, weight="rows").withColumn("percent", F.round("percent", 6))
 
 
 @query(f"with v as {_VALUED}, e as (select edit from v group by 1 order by count(*) desc, edit limit 3), c as (select edit, property_name, count(*) n, row_number() over (partition by edit order by count(*) desc, property_name) rank from v where edit in (select edit from e) group by 1, 2) select * from c where rank <= 5")
 def top_values_per_top_group(t: Tables):
-    counts = _valued(t).groupBy("edit", "property_name").agg(F.count("*").alias("n"))
-    top = counts.groupBy("edit").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "edit").limit(3)
-    return top_per_group(counts.join(F.broadcast(top), "edit", "left_semi"), ["edit"], 5, F.col("n").desc(), F.col("property_name"))
+    pairs, words, groups = _masked(t)
+    top = pairs.groupBy("edit").agg(F.sum("rows").alias("all")).orderBy(F.col("all").desc(), "edit").limit(3).select("edit")
+    counts = A.group_counts(pairs.join(F.broadcast(top), "edit", "left_semi"), words, ["edit"]).join(groups, "id")
+    return top_per_group(counts.select("edit", F.col("value").alias("property_name"), "n"), ["edit"], 5, F.col("n").desc(), F.col("property_name"))
 
 
 @query(f"select mol_a, count(distinct edit) n_edits, count(*) n_pairs from {_VALUED} group by 1 order by 2 desc, 3 desc, 1 limit 10")
 def object_edit_diversity(t: Tables):
-    return top_by(_valued(t).groupBy("mol_a").agg(F.countDistinct("edit").alias("n_edits"), F.count("*").alias("n_pairs")), 10, F.col("n_edits").desc(), F.col("n_pairs").desc(), F.col("mol_a"))
+    return top_by(_masked(t)[0].groupBy("mol_a").agg(F.countDistinct("edit").alias("n_edits"), F.sum("rows").alias("n_pairs")), 10, F.col("n_edits").desc(), F.col("n_pairs").desc(), F.col("mol_a"))
 
 
 @query(f"select base_a || '>' || base_b change, round(avg(delta), 6) mean, round(stddev_samp(delta), 6) std, count(*) n from ({_SNV}) where base_a <> base_b group by 1")

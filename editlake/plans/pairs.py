@@ -16,9 +16,14 @@ def _core_pairs(t: Tables):
     return P.mmp_pairs(t("fragments"), t("molecules"), max_mw_delta=200, min_mols=5, cap=None)
 
 
-def _pairs(t: Tables):
+def _once(t: Tables, molecules=None, carry: tuple[str, ...] = ()):
+    """PAIR1 and PAIR6: each pair with its smallest core; members can carry columns of a table of molecules."""
+    return P.mmp_pairs(t("fragments"), t("molecules") if molecules is None else molecules, max_mw_delta=200, min_mols=5, cap=None, once=True, carry=carry)
+
+
+def _pairs(t: Tables, molecules=None, carry: tuple[str, ...] = ()):
     """PAIR1, PAIR6 and PAIR5: distinct pairs with their edit."""
-    return P.with_edits(P.smallest_core(_core_pairs(t)))
+    return P.with_edits(_once(t, molecules, carry))
 
 
 _MEDIANS = "(select mol_id, property_name, target_id, median(value) value from measurements where relation = 'F' group by 1, 2, 3)"
@@ -31,8 +36,21 @@ _VALUED = f"(select e.mol_a, e.mol_b, e.edit, a.property_name, a.value value_a,
 
 
 def _valued(t: Tables):
+    """Members carry their medians as a map, so that the pairs need no join with the values."""
     medians = t("measurements").groupBy("mol_id", "property_name").agg(F.percentile("value", 0.5).alias("value"))
-    return P.with_values(_pairs(t).select("mol_a", "mol_b", "edit"), medians, ["property_name"])
+    maps = P.value_maps(medians, ["property_name"])
+    pairs = _pairs(t, t("molecules").join(maps, "mol_id"), ("values",))
+    return P.expand_values(pairs.select("mol_a", "mol_b", "edit", "values_a", "values_b"), ["property_name"])
+
+
+def _masked(t: Tables):
+    """(pairs with the properties that both members have as masks, names of the mask columns, properties with ids).
+
+    What counts rows of the pair table needs no more than this: a pair stands for as many rows as its masks have bits.
+    """
+    masks, words, groups = P.membership_masks(t("measurements").where("value is not null"), "mol_id", "property_name")
+    pairs = _pairs(t, t("molecules").join(masks, "mol_id"), tuple(words)).select("mol_a", "mol_b", "edit", *P.shared_groups(words))
+    return pairs.withColumn("rows", P.mask_size(words)).where("rows > 0"), words, groups
 
 
 @query("select core, mol_a, mol_b from core_pairs")
@@ -54,13 +72,13 @@ def pair_property_expand(t: Tables):
 def pair_measurement_join_m2m(t: Tables):
     m = t("measurements").select("mol_id", "property_name", "target_id", "value", "doc_id").where("value is not null")
     side = lambda s: m.select(F.col("mol_id").alias(f"mol_{s}"), "property_name", "target_id", F.col("value").alias(f"v_{s}"), F.col("doc_id").alias(f"doc_{s}"))
-    joined = P.smallest_core(_core_pairs(t)).select("mol_a", "mol_b").join(side("a"), "mol_a").join(side("b"), ["mol_b", "property_name", "target_id"])
+    joined = _once(t).select("mol_a", "mol_b").join(side("a"), "mol_a").join(side("b"), ["mol_b", "property_name", "target_id"])
     return joined.groupBy("mol_a", "mol_b", "property_name", "target_id", "doc_a", "doc_b").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v_b") - F.col("v_a")), 6).alias("delta"))
 
 
 @query(f"select mol_a, mol_b, edit, num_cuts from {_EDITS} where edit <> '>>' and num_cuts = 1")
 def mmp_edit_string(t: Tables):
-    return P.with_edits(P.smallest_core(_core_pairs(t)), max_cuts=1).select("mol_a", "mol_b", "edit", "num_cuts")
+    return P.with_edits(_once(t), max_cuts=1).select("mol_a", "mol_b", "edit", "num_cuts")
 
 
 @query(f"select mol_a, mol_b, core from {_ONCE}")
@@ -95,7 +113,7 @@ def tanimoto_join(t: Tables):
 def candidate_core_intersection(t: Tables):
     mass = t("molecules").select("mol_id", "mw")
     near = P.band_join(mass, mass, "mw", 0.5, "mol_id").select(F.col("mol_id_a").alias("mol_a"), F.col("mol_id_b").alias("mol_b"), F.round("mw_a", 6).alias("prop_a"), F.round("mw_b", 6).alias("prop_b"), F.round(F.col("mw_b") - F.col("mw_a"), 6).alias("delta_prop"))
-    both = near.join(P.smallest_core(_core_pairs(t)).where("chain_a <> chain_b"), ["mol_a", "mol_b"])
+    both = near.join(_once(t).where("chain_a <> chain_b"), ["mol_a", "mol_b"])
     return both.select("mol_a", "mol_b", "prop_a", "prop_b", "delta_prop", F.substring(F.md5(F.concat("chain_a", F.lit(">"), "chain_b")), 1, 12).alias("edit_id"))
 
 
@@ -236,7 +254,7 @@ def pairs_by_entity(t: Tables):
 def pairs_by_target(t: Tables):
     m = t("measurements").where("target_id = 11").select("mol_id", "target_id")
     a, b = (m.withColumnRenamed("mol_id", f"mol_{s}") for s in "ab")
-    rows = P.smallest_core(_core_pairs(t)).select("mol_a", "mol_b").join(a, "mol_a").join(b, ["mol_b", "target_id"]).groupBy("mol_a", "mol_b", "target_id").agg(F.count("*").alias("n"))
+    rows = _once(t).select("mol_a", "mol_b").join(a, "mol_a").join(b, ["mol_b", "target_id"]).groupBy("mol_a", "mol_b", "target_id").agg(F.count("*").alias("n"))
     return top_by(rows.join(t("targets").select("target_id", "target_name"), "target_id").select("mol_a", "mol_b", "target_name", "n"), 100, F.col("mol_a"), F.col("mol_b"))
 
 
@@ -316,7 +334,7 @@ def _vec_pairs(t: Tables):
 
 @query(f"select distinct entity from (select cast(mol_a as varchar) entity from {_EDITS} union all select cast(mol_b as varchar) from {_EDITS} union all select unnest(string_split(edit, '>>')) from {_EDITS} where edit <> '>>')")
 def distinct_entities_union(t: Tables):
-    p = P.with_edits(P.smallest_core(_core_pairs(t))).select("mol_a", "mol_b", "edit")
+    p = P.with_edits(_once(t)).select("mol_a", "mol_b", "edit")
     every = F.concat(F.array(F.col("mol_a").cast("string"), F.col("mol_b").cast("string")), F.split("edit", ">>"))
     return p.select(F.explode(every).alias("entity")).distinct()
 
@@ -330,7 +348,7 @@ def compute_missing_only(t: Tables):
 
 @query(f"with f as (select distinct x part, length(x) n from (select unnest(string_split(edit, '>>')) x from {_EDITS} where edit <> '>>')) select mol_a, mol_b, a.n n_from, b.n n_to from {_EDITS} e join f a on a.part = string_split(e.edit, '>>')[1] join f b on b.part = string_split(e.edit, '>>')[2] where e.edit <> '>>'")
 def fragment_lookup_pairs(t: Tables):
-    p = P.with_edits(P.smallest_core(_core_pairs(t))).select("mol_a", "mol_b", Q.parse_edit(F.col("edit")).alias("e")).select("mol_a", "mol_b", F.col("e.from").alias("f"), F.col("e.to").alias("t"))
+    p = P.with_edits(_once(t)).select("mol_a", "mol_b", Q.parse_edit(F.col("edit")).alias("e")).select("mol_a", "mol_b", F.col("e.from").alias("f"), F.col("e.to").alias("t"))
     parts = p.select(F.explode(F.array("f", "t")).alias("part")).distinct().withColumn("n", F.length("part"))
     return J.lookup_pairs(p, parts, "f", "t", "part", "n").select("mol_a", "mol_b", F.col("n_a").alias("n_from"), F.col("n_b").alias("n_to"))
 

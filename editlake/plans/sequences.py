@@ -273,11 +273,8 @@ def structure_id_from_name(t: Tables):
 
 @query(" union all ".join(f"select doc_id, kmer, round(count(*) / {50 - k + 1}.0::double, 6) share from (select doc_id, substr(seq, i, {k}) kmer from (select doc_id, seq, unnest(range(1, {52 - k})) i from seqs)) group by 1, 2" for k in (3, 4)))
 def kmer_features(t: Tables):
-    def shares(k: int):
-        mers = F.transform(Q.places(F.length(_s()) - (k - 1)), lambda i: _s().substr(i + 1, F.lit(k)))
-        counts = _seqs(t).select("doc_id", F.explode(mers).alias("kmer")).where(F.col("kmer").rlike("^[ACGU]+$")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
-        return counts.select("doc_id", "kmer", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")), 6).alias("share"))
-
+    """Counted inside the row: no k-mer is shuffled."""
+    shares = lambda k: _seqs(t).select("doc_id", F.explode(Q.kmer_shares(_s(), k)).alias("s")).select("doc_id", "s.kmer", F.round("s.share", 6).alias("share"))
     return shares(3).unionByName(shares(4))
 
 
@@ -382,10 +379,24 @@ def pair_delta_features(t: Tables):
 _MISMATCHES = f"select pair_id, seq_a, seq_b, length(seq_a) la, length(seq_b) lb, {_MIS} m from seq_pairs"
 
 
-@query(f"select pair_id, [case when la = lb and len(m) = 1 then 1 else 0 end, case when la < lb then 1 else 0 end, case when la > lb then 1 else 0 end, case when la = lb and len(m) <> 1 then 1 else 0 end, round(coalesce(m[1] - 1, least(la, lb)) / greatest(la, lb)::double, 6), round(ln(1 + case when la = lb then len(m) else abs(la - lb) end) / 5, 6), round({_kozak_sql('seq_b')} - {_kozak_sql('seq_a')}, 6), sign({_augs_sql('seq_b')} - {_augs_sql('seq_a')}), round({_gc_sql('seq_b')} - {_gc_sql('seq_a')}, 6)]::double[] features from ({_MISMATCHES})")
+_VECTOR = (
+    ("is_snv", "case when la = lb and len(m) = 1 then 1 else 0 end"),
+    ("is_insertion", "case when la < lb then 1 else 0 end"),
+    ("is_deletion", "case when la > lb then 1 else 0 end"),
+    ("is_complex", "case when la = lb and len(m) <> 1 then 1 else 0 end"),
+    ("relative_place", "coalesce(m[1] - 1, least(la, lb)) / greatest(la, lb)::double"),
+    ("log_size", "ln(1 + case when la = lb then len(m) else abs(la - lb) end) / 5"),
+    ("kozak_change", f"{_kozak_sql('seq_b')} - {_kozak_sql('seq_a')}"),
+    ("aug_change", f"sign({_augs_sql('seq_b')} - {_augs_sql('seq_a')})"),
+    ("gc_change", f"{_gc_sql('seq_b')} - {_gc_sql('seq_a')}"),
+)
+
+
+@query(f"select pair_id, {', '.join(f'round(({sql})::double, 6) + 0.0::double {name}' for name, sql in _VECTOR)} from ({_MISMATCHES})")
 def edit_feature_vector(t: Tables):
-    v = Q.edit_vector(F.col("seq_a"), F.col("seq_b"))
-    return t("seq_pairs").select("pair_id", F.transform(v, lambda x: F.round(x, 6)).alias("features"))
+    """The nine numbers as columns of their own; + 0.0 leaves no negative zero."""
+    v = t("seq_pairs").select("pair_id", Q.edit_vector(F.col("seq_a"), F.col("seq_b")).alias("v"))
+    return v.select("pair_id", *((F.round(F.get("v", F.lit(i)), 6) + F.lit(0.0)).alias(name) for i, (name, _) in enumerate(_VECTOR)))
 
 
 _TYPED = "select pair_id, coalesce(m[1] - 1, 0) p, case when pair_id % 5 = 0 then 'M' else substr(seq_a, m[1], 1) end a, case when pair_id % 7 = 0 then 'A' else substr(seq_b, m[1], 1) end b, ['A_vs_A', 'M_vs_M', 'M_vs_A', 'none'][pair_id % 4 + 1] pair_type from (" + _MISMATCHES + ") where len(m) > 0"

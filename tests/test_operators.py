@@ -1,5 +1,6 @@
 """Operators against plain loops, properties of splits and samples, and plans."""
 
+import hashlib
 import itertools
 import random
 
@@ -178,7 +179,7 @@ GOLD = [
     (lambda: Q.is_drach(F.col("s")), "UGGMCUU", True),
     (lambda: F.size(Q.find_uorfs(F.col("s"))), "AUGAAAUAA", 1),
     (lambda: F.size(Q.find_uorfs(F.col("s"))), "AUGUAA", 0),
-    (lambda: F.size(Q.find_are_motifs(F.col("s"))), "AUUUAUUUA", 1),
+    (lambda: F.size(Q.find_are_motifs(F.col("s"))), "AUUUAUUUA", 2),
     (lambda: F.array_join(F.transform(Q.find_are_motifs(F.col("s")), lambda m: F.concat(m.kind, F.lit("@"), m.position.cast("string"))), ","), "CCAUUUACAUUUAUUUUUU", "class_I@2,class_I@8,class_III@13"),
     (lambda: Q.parse_edit(F.col("s")).isNull(), "a>b", True),
     (lambda: Q.region_label(F.col("s").cast("int")), "105", "CDR3"),
@@ -261,7 +262,130 @@ def test_cluster_splits_share_no_cluster(spark):
     run = lambda n: all_queries()[0][n](spark, "/root/testdata/sf0.001")
     both = run("split_by_cluster").join(run("butina_clusters").withColumnRenamed("id", "vec_id"), "vec_id")
     assert both.groupBy("leader").agg(F.countDistinct("split").alias("n")).where("n > 1").isEmpty()
-    pairs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
-    for name in ("split_by_sequence_similarity", "split_pairs_by_cluster_priority"):
-        got = run(name).collect()
-        assert 0 < len(got) <= pairs and len({r.pair_id for r in got}) == len(got) and {r.split for r in got} <= {"train", "val", "test"}
+
+
+def whole_sequences(spark):
+    """pair_id -> (a, b) of the view text_pairs, by plain string work."""
+    out = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect():
+        letters = "".join("ACGU"[(ord(c) - 97) % 4] for c in (r.text or "").lower() if "a" <= c <= "z")
+        if letters:
+            p = r.doc_id % 47
+            out[r.doc_id] = letters, letters[:p] + ("G" + letters[p + 1 :] if r.doc_id % 2 == 0 else letters[p + 1 :])
+    return out
+
+
+def leaders_by_loop(spark, seqs):
+    """Sequence -> its leader: longest first, then by the hash that stands for it, one by one."""
+    hashed = spark.createDataFrame([(s,) for s in sorted(seqs)], "seq string").select("seq", F.xxhash64("seq").alias("id")).collect()
+    order = sorted(((-len(r.seq), r.id, r.seq) for r in hashed))
+    mers = {s: {s[i : i + 8] for i in range(len(s) - 7)} for s in seqs}
+    leader = {}
+    for _, name, s in order:
+        if s not in leader:
+            leader[s] = name
+            for _, _, other in order:
+                if other not in leader and mers[s] and mers[other] and jaccard(mers[s], mers[other]) >= 0.7 - 1e-12:
+                    leader[other] = name
+    return leader
+
+
+def split_by_loop(groups):
+    """group -> split of a list of groups, one for each row: 70 and 15 percent of the rows, whole groups in md5 order."""
+    sizes = {g: groups.count(g) for g in set(groups)}
+    n, out, before, reached = len(groups), {}, 0, None
+    for g in sorted(sizes, key=lambda g: (hashlib.md5(f"split|{g}".encode()).hexdigest(), g)):
+        if before < n * 70 // 100:
+            out[g] = "train"
+        else:
+            reached = before if reached is None else reached
+            out[g] = "val" if before - reached < n * 15 // 100 else "test"
+        before += sizes[g]
+    return out
+
+
+def test_cluster_splits_against_loops(spark):
+    from editlake.plans import all_queries
+
+    run = lambda n: all_queries()[0][n](spark, "/root/testdata/sf0.001").collect()
+    led = {r.id: r.leader for r in run("butina_clusters")}
+    want = split_by_loop(list(led.values()))
+    assert {r.vec_id: r.split for r in run("split_by_cluster")} == {i: want[k] for i, k in led.items()}
+    pairs = whole_sequences(spark)
+    leader = leaders_by_loop(spark, {s for two in pairs.values() for s in two if s})
+    followed = split_by_loop([leader[a] for a, _ in pairs.values()])
+    assert {r.pair_id: r.split for r in run("split_by_sequence_similarity")} == {i: followed[leader[a]] for i, (a, _) in pairs.items()}
+    alone = split_by_loop(list(leader.values()))
+    first = lambda a, b: min((alone[leader[s]] for s in (a, b)), key=["train", "val", "test"].index)
+    assert {r.pair_id: r.split for r in run("split_pairs_by_cluster_priority")} == {i: first(a, b) for i, (a, b) in pairs.items() if b}
+
+
+@pytest.mark.parametrize("least", [0.4, 0.7, 0.9])
+def test_similar_candidates_are_few_and_complete(spark, least):
+    """Long sets over few items: the counted prefix leaves little more than the true pairs, and all of them."""
+    draw = random.Random(8)
+    base = [draw.sample(range(3000), draw.randint(150, 400)) for _ in range(30)]
+    sets = {}
+    for s in base:
+        for share in (0.0, 0.05, 0.15, 0.3):
+            sets[len(sets)] = frozenset(x for x in s if draw.random() >= share) | frozenset(draw.sample(range(3000), int(len(s) * share)))
+    true = {(a, b) for a, b in itertools.combinations(sets, 2) if jaccard(sets[a], sets[b]) >= least - 1e-12}
+    tokens = P.set_tokens(as_df(spark, sets), "id", "items")
+    found = {(min(r.x, r.y), max(r.x, r.y)) for r in P.similar_candidates(tokens, "id", least).collect()}
+    assert true <= found and len(found) <= 3 * len(true)
+    got = {(r.id_a, r.id_b): r.similarity for r in P.set_similarity_join(as_df(spark, sets), "id", "items", least).collect()}
+    assert got == {p: pytest.approx(jaccard(sets[p[0]], sets[p[1]])) for p in true}
+
+
+def test_pairs_once_equal_the_smallest_core(spark):
+    draw = random.Random(6)
+    mols = spark.createDataFrame([(i, draw.uniform(0, 30), None if i % 11 == 0 else [i]) for i in range(60)], "mol_id long, mw double, more array<int>")
+    frags = spark.createDataFrame(sorted({(draw.randrange(60), f"c{draw.randrange(12)}", f"{draw.choice('xyz')}.{draw.choice('uvw')}") for _ in range(400)}), "mol_id long, core string, chain string")
+    for cap in (None, 12):
+        frags = frags.groupBy("mol_id", "core").agg(F.max("chain").alias("chain")) if cap else frags
+        every = P.mmp_pairs(frags, mols, 10, 3, cap)
+        want = sorted(map(tuple, P.smallest_core(every).select("mol_a", "mol_b", "core", "chain_a", "chain_b").collect()))
+        once = P.mmp_pairs(frags, mols, 10, 3, cap, once=True, carry=("more",))
+        assert sorted(map(tuple, once.select("mol_a", "mol_b", "core", "chain_a", "chain_b").collect())) == want and len(want) > 100
+        edits = lambda df: sorted(map(tuple, P.with_edits(df).select("mol_a", "mol_b", "edit", "num_cuts").collect()))
+        assert edits(once) == edits(P.smallest_core(every))
+        assert all(r.more_a in (None, [r.mol_a]) and r.more_b in (None, [r.mol_b]) for r in once.collect())
+
+
+def test_masks_count_what_expanded_rows_count(spark):
+    """130 groups are three words; counts over masks equal counts over the expanded rows."""
+    from editlake.operators import aggregates as A
+
+    draw = random.Random(7)
+    member = {i: {f"g{draw.randrange(130):03d}" for _ in range(draw.randint(1, 60))} for i in range(40)}
+    df = spark.createDataFrame([(i, g) for i, gs in member.items() for g in gs] + [(0, None)], "mol_id long, g string")
+    masks, words, groups = P.membership_masks(df, "mol_id", "g")
+    ids = {r.id: r.value for r in groups.collect()}
+    assert len(words) == -(-len(ids) // 64) == 3
+    two = [(a, b, f"e{(a + b) % 5}") for a, b in itertools.combinations(member, 2)]
+    side = lambda s: masks.select(F.col("mol_id").alias(s), *(F.col(w).alias(f"{w}_{s}") for w in words))
+    pairs = spark.createDataFrame(two, "a long, b long, edit string").join(side("a"), "a").join(side("b"), "b").select("edit", *P.shared_groups(words)).withColumn("rows", P.mask_size(words))
+    rows = [(e, g) for a, b, e in two for g in member[a] & member[b]]
+    assert {r.edit: r.n for r in A.frequency(pairs, "edit", weight="rows").collect()} == {e: sum(x == e for x, _ in rows) for e in {e for e, _ in rows}}
+    got = {(r.edit, ids[r.id]): r.n for r in A.group_counts(pairs, words, ["edit"]).collect()}
+    assert got == {k: rows.count(k) for k in set(rows)}
+    some = [3, 63, 64, 127, 129]
+    got = {r.edit: (r.n_properties, r.n) for r in A.counts_of_groups(pairs, words, "edit", some).collect()}
+    names = {ids[i] for i in some if i in ids}
+    assert got == {e: (len({g for x, g in rows if x == e and g in names}), sum(x == e and g in names for x, g in rows)) for e in {x for x, g in rows if g in names}}
+
+
+def test_codes_and_strings_mix(spark):
+    """Short sequences of known letters are numbers, others strings; both find the same pairs."""
+    draw = random.Random(9)
+    seqs = sorted({"".join(draw.choice("ACGU" if draw.random() < 0.97 else "N") for _ in range(draw.choice((5, 14)))) for _ in range(200)} | {"A", "C", "AC"})
+    near = {s: "".join(draw.choice("ACGU") if draw.random() < 0.1 else c for c in s) for s in seqs}
+    seqs = sorted({*seqs, *near.values()})
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    distance = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True)) if len(a) == len(b) else 99
+    for d in (1, 2):
+        got = sorted((r.seq_a, r.seq_b, r.distance) for r in P.hamming_pairs(df, "seq", d).collect())
+        assert got == sorted((a, b, distance(a, b)) for a, b in itertools.combinations(seqs, 2) if distance(a, b) <= d and (len(a) >= d or distance(a, b) < 99))
+    snv = sorted((r.key_a, r.key_b, r.position, r.base_a, r.base_b) for r in P.snv_pairs(df.withColumn("key", F.col("seq")), "key", "seq").collect())
+    want = [(a, b, next(i for i in range(len(a)) if a[i] != b[i])) for a in seqs for b in seqs if distance(a, b) == 1]
+    assert snv == sorted((a, b, i, a[i], b[i]) for a, b, i in want)
