@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -48,12 +49,12 @@ class Words:
     """Words of a list of texts (UTF-8 bytes), each text's words joined by one space.
 
     buffer: all words, each followed by one space; start, end: of each word in it; first: index of the first word of
-    each text, with the number of words at the end.
+    each text, with the number of words at the end. `between` tells for each byte whether it parts words; a space does.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, between: np.ndarray = _SPACE):
         raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-        space = _SPACE[raw]
+        space = between[raw]
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         at = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
         keep = ~space
@@ -70,6 +71,12 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n)), self.n)
 
+    def spelled(self, some: np.ndarray) -> pa.Array:
+        """The words with these numbers, as strings."""
+        begins = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.end[some] - self.start[some])])
+        at = np.arange(begins[-1]) + np.repeat(self.start[some] - begins[:-1], np.diff(begins))
+        return pa.Array.from_buffers(pa.large_string(), len(some), [None, pa.py_buffer(begins), pa.py_buffer(self.buffer[at])])
+
     def hashes(self, step: int = 1 << 14) -> np.ndarray:
         """A hash of each word; computed for `step` words at a time, as eight bytes are needed for each byte of text."""
         out = np.empty(len(self.start), np.uint64)

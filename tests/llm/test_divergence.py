@@ -56,8 +56,9 @@ def test_against_brute_force(spark):
 def test_forgotten_digests_and_flushed_counters_change_nothing(spark, monkeypatch):
     rows = drawn(300, 2)
     monkeypatch.setattr(divergence, "HELD", 3)
-    monkeypatch.setattr(divergence, "COUNTERS", 5)
+    monkeypatch.setattr(divergence, "COUNTS", 5)
     monkeypatch.setattr(divergence, "BROADCAST", 0)
+    monkeypatch.setattr(divergence, "TEXTS", 0)
     assert result(spark.createDataFrame(rows, SCHEMA).repartition(2), top=7) == brute(rows, top=7)
 
 
@@ -75,9 +76,8 @@ def test_a_language_without_kept_terms_has_its_pairs(spark):
 
 
 def test_copies_travel_once_from_a_partition(spark):
-    """A third of all rows is one text: it is sent once from each partition, with counts for each source."""
+    """A third of all rows is one text: it leaves each partition once, and texts without copies do not move."""
     rows = spark.range(0, 3000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same words").otherwise(F.concat(F.lit("w"), F.col("id") % 50)).alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"))
-    sent = rows.select("lang", "source", "text").mapInArrow(divergence._collapse, "lang string, digest binary, source string, copies long, text binary")
-    assert sent.where("text = cast('the same words' as binary)").count() == 4
-    assert sent.agg(F.sum("copies")).first()[0] == 3000
+    sent = rows.select("lang", F.md5("text").cast("binary").alias("digest"), "text").mapInArrow(divergence._once, "lang string, digest binary, text string")
+    assert sent.where("text = 'the same words'").count() == 4 and sent.count() == 4 * 51
     assert result(rows) == brute([tuple(r) for r in rows.collect()])
