@@ -437,13 +437,13 @@ def _files(t: Tables, df, name: str, n: int = 3) -> str:
 def incremental_pileup_totals(t: Tables):
     sites = t("sites").select("chrom", "pos", "ref_base", "coverage", "a", "g")
     source = _files(t, sites, "sites")
-    return I.incremental_totals(t.spark, source, sites.schema, ["chrom", "pos", "ref_base"], ["coverage", "a", "g"], scratch_path(t.spark, "totals"), scratch_path(t.spark, "totals-state"))
+    return I.incremental_totals(t.spark, source, sites.schema, ["chrom", "pos", "ref_base"], ["coverage", "a", "g"], scratch_path(t.spark, "totals"), scratch_path(t.spark, "totals-state"), files_per_batch=1, compact=2)
 
 
 @query("select a.core, a.mol_id mol_a, b.mol_id mol_b from fragments a join fragments b on a.core = b.core and a.mol_id < b.mol_id")
 def incremental_pair_build(t: Tables):
     fragments = t("fragments").select("mol_id", "core")
-    return I.incremental_pairs(t.spark, _files(t, fragments, "fragments"), fragments.schema, scratch_path(t.spark, "pairs"), scratch_path(t.spark, "pairs-state"))
+    return I.incremental_pairs(t.spark, _files(t, fragments, "fragments"), fragments.schema, scratch_path(t.spark, "pairs"), scratch_path(t.spark, "pairs-state"), files_per_batch=1)
 
 
 # Splits by clusters

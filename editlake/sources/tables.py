@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType, StructType
 
 from editlake.operators.ordering import running_total
 
@@ -21,22 +24,54 @@ def read_delimited(spark: SparkSession, path: str, sep: str, comment: str | None
 
 
 def read_json_records(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
-    """Records of files that hold a JSON array (or one object) each, or with `lines` of files with one record a line.
+    """Records of files that hold a JSON array of objects (or one object) each, or with `lines` of files with one record a line.
 
-    Only files with `lines` can be split between tasks.
+    A file of either form is read by as many tasks as it has blocks; a record has to fit into one. A record that is
+    no JSON has null fields.
     """
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+    if lines:
+        return spark.read.schema(schema).json(path)
+    kind = StructType.fromDDL(schema)
+    return json_texts(spark, path, maps=False).select(F.from_json("text", kind).alias("r")).select("r.*")
 
 
 def read_json_map(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(id, record) of files that hold one object of records by id each."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", f"map<string, struct<{_typed(schema)}>>")).alias("id", "record"))
+    """(id, record) of files that hold one object of records (objects too) by id each, read by as many tasks as they have blocks."""
+    kind = MapType(StringType(), StructType.fromDDL(schema))
+    texts = json_texts(spark, path, maps=True).select(F.concat(F.lit("{"), "text", F.lit("}")).alias("text"))
+    return texts.select(F.explode(F.from_json("text", kind)).alias("id", "record"))
+
 
+def json_texts(spark: SparkSession, path: str, maps: bool) -> DataFrame:
+    """text: each object of the arrays in some files (or the one object of a file), or with `maps` each entry `"id": {...}` of an object.
 
-def _typed(schema: str) -> str:
-    """`a int, b string` as the inside of a struct type."""
-    return ", ".join(": ".join(part.strip().split(" ", 1)) for part in schema.split(","))
+    Files are read in pieces that end with a closing brace, which Spark splits between tasks. A running count of
+    unescaped quotes says whether a piece begins inside a string, a running sum of brackets outside strings how deep it
+    ends; the pieces between two ends at the depth of the records are one record. An escape is never cut, since no
+    brace is escaped in JSON.
+    """
+    order = ["file", "block", "at"]
+    pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    bare = F.regexp_replace("value", r"\\.", "")
+    parts = F.split(bare, '"', -1)
+    outside = lambda first: F.array_join(F.transform(parts, lambda x, i: F.when((i % 2) == first, x).otherwise("")), "")
+    count = lambda text, chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    quotes = (F.size(parts) - 1).cast("long")
+    quoted = running_total(pieces.withColumn("quotes", quotes), order, "quotes", "before")
+    files = quoted.groupBy("file").agg(F.min("before").alias("start"), F.min_by(F.regexp_extract("value", r"^\s*(.)", 1), F.struct("block", "at")).alias("opens"))
+    placed = quoted.join(files, "file").withColumn("inside", (F.col("before") - F.col("start")) % 2)
+    plain = outside(F.col("inside"))
+    closes = F.when((F.col("inside") + F.col("quotes")) % 2 == 0, 1).otherwise(0)
+    sized = placed.withColumn("step", (count(plain, "{[") - count(plain, "]") - closes).cast("long")).withColumn("closes", closes)
+    deep = running_total(sized, order, "step", "above")
+    least = deep.groupBy("file").agg(F.min_by("above", F.struct("block", "at")).alias("first"))
+    level = F.lit(1) if maps else F.when(F.col("opens") == "[", 1).otherwise(0)
+    ended = deep.join(least, "file").withColumn("ends", ((F.col("closes") == 1) & (F.col("above") + F.col("step") - F.col("first") == level)).cast("long"))
+    numbered = running_total(ended, order, "ends", "record")
+    whole = numbered.groupBy("file", "record").agg(F.max("ends").alias("ends"), F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("p")).where("ends = 1")
+    text = F.concat(F.array_join(F.col("p.value"), "}"), F.lit("}"))
+    lead = r"^\s*[{,]?\s*" if maps else r"^\s*[\[,]?\s*"
+    return whole.select(F.regexp_replace(text, lead, "").alias("text"))
 
 
 def flatten_records(records: DataFrame, columns: dict[str, str], needed: list[str]) -> DataFrame:
@@ -62,6 +97,23 @@ def read_relational(spark: SparkSession, location: str, table: str, key: str | N
     return reader.load()
 
 
+def embedded_database(spark: SparkSession, name: str) -> str:
+    """The address of an empty database in the memory of this JVM, made by the driver that Spark brings along.
+
+    It serves one JVM, so reading it needs a local master.
+    """
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("an embedded database serves one JVM; on a cluster give the address of a server")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    return f"jdbc:derby:memory:{name}-{uuid.uuid4().hex};create=true"
+
+
+def write_relational(df: DataFrame, url: str, table: str, types: dict[str, str] | None = None, mode: str = "error") -> None:
+    """A table of a database; `types` gives columns their database types (text that is compared needs varchar(n))."""
+    writer = df.write.mode(mode).format("jdbc").option("url", url).option("dbtable", table)
+    (writer.option("createTableColumnTypes", ", ".join(f"{c} {t}" for c, t in types.items())) if types else writer).save()
+
+
 def read_annotation(spark: SparkSession, path: str, features: tuple[str, ...] = ("transcript", "exon")) -> DataFrame:
     """Tab-separated interval annotation: comment lines and short lines are skipped, ids come from the attribute text."""
     parts = F.split("value", "\t")

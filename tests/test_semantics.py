@@ -1,5 +1,7 @@
 """Values worked out by hand, readers, restarts and repeated rows."""
 
+import decimal
+import itertools
 import json
 import math
 import random
@@ -116,35 +118,67 @@ def test_json_forms(spark, tmp_path):
     assert [tuple(r) for r in IO.flatten_records(nested, {"id": "id", "smiles": "s.smiles", "mw": "p.mw"}, ["s.smiles", "p"]).collect()] == [(1, "C", 2.0)]
 
 
-def test_jdbc_is_read_in_ranges():
-    """The reader of a database gets its ranges; no database is at hand."""
-
-    class Reader:
-        def __init__(self):
-            self.given = {}
-
-        def format(self, name):
-            self.given["format"] = name
-            return self
-
-        def option(self, key, v):
-            self.given[key] = v
-            return self
-
-        def options(self, **more):
-            self.given |= more
-            return self
-
-        def load(self):
-            return self.given
-
-    class Session:
-        read = Reader()
-
-    got = IO.read_relational(Session(), "jdbc:sqlite:x.db", "activities", key="activity_id", bounds=(1, 900), partitions=12, fetchsize="5000")
-    assert got == {"format": "jdbc", "url": "jdbc:sqlite:x.db", "dbtable": "activities", "fetchsize": "5000", "partitionColumn": "activity_id", "lowerBound": 1, "upperBound": 900, "numPartitions": 12}
-    Session.read = Reader()
-    assert "partitionColumn" not in IO.read_relational(Session(), "jdbc:sqlite:x.db", "targets")
+def test_large_json_files_are_split(spark, tmp_path):
+    """Braces, quotes and backslashes inside strings are no structure; one file is read by many tasks."""
+    odd = ["}", "{", "[", '"', "\\", '\\"', '}\\"{', "\\\\", "a,b]", "", "é}", "line\n}"]
+    records = [{"a": i, "b": {"c": odd[i % len(odd)] * (i % 4), "d": [{"e": i}] * (i % 3)}} for i in range(3000)]
+    (tmp_path / "arrays").mkdir(), (tmp_path / "maps").mkdir()
+    (tmp_path / "arrays" / "one.json").write_text(json.dumps(records, ensure_ascii=False))
+    (tmp_path / "arrays" / "two.json").write_text("\n" + json.dumps(records[:5], indent=2) + "\n")
+    (tmp_path / "arrays" / "three.json").write_text("[]")
+    (tmp_path / "maps" / "one.json").write_text(json.dumps({f"k{i}}}": r for i, r in enumerate(records)}))
+    (tmp_path / "maps" / "two.json").write_text(json.dumps({"x": records[7]}, indent=1) + "\n")
+    schema = "a int, b struct<c: string, d: array<struct<e: int>>>"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        texts = IO.json_texts(spark, str(tmp_path / "arrays" / "one.json"), maps=False)
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "arrays" / "one.json")).rdd.getNumPartitions() > 4 and texts.count() == 3000
+        plain = lambda r: {"a": r.a, "b": {"c": r.b.c, "d": [{"e": x.e} for x in r.b.d]}}
+        key = lambda r: json.dumps(r, sort_keys=True)
+        got = IO.read_json_records(spark, str(tmp_path / "arrays"), schema).collect()
+        assert sorted(map(key, map(plain, got))) == sorted(map(key, records + records[:5]))
+        got = IO.read_json_map(spark, str(tmp_path / "maps"), schema).collect()
+        assert sorted((r.id, key(plain(r.record))) for r in got) == sorted([(f"k{i}}}", key(r)) for i, r in enumerate(records)] + [("x", key(records[7]))])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "single.json").write_text('{"a": 1, "b": {"c": "}"}}')
+    assert [(r.a, r.b.c) for r in IO.read_json_records(spark, str(tmp_path / "single.json"), schema).collect()] == [(1, "}")]
+    (tmp_path / "deep.json").write_text('{"k": {"a": 1, "b": {"y": 2}, "p": 1.25}}')
+    assert [tuple(r.record) for r in IO.read_json_map(spark, str(tmp_path / "deep.json"), "a int, b struct<x: int, y: int>, p decimal(10,2)").collect()] == [(1, (None, 2), decimal.Decimal("1.25"))]
+
+
+def test_a_database_is_read_in_ranges(spark):
+    """Tables in an embedded database: ranges of a key, and filters that the database applies."""
+    url = IO.embedded_database(spark, "ranges")
+    rows = spark.range(1000).selectExpr("id activity_id", "id % 7 target", "concat('n', id) name", "id / 8 value")
+    IO.write_relational(rows, url, "activities", {"name": "varchar(40)"})
+    got = IO.read_relational(spark, url, "activities", key="activity_id", bounds=(0, 1000), partitions=5, fetchsize="50")
+    assert got.rdd.getNumPartitions() == 5 and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    sizes = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sorted(r["count"] for r in sizes) == [200] * 5
+    asked = got.where("target = 3 and activity_id > 500").select("name")
+    text = asked._jdf.queryExecution().executedPlan().toString()
+    assert "*EqualTo(target,3)" in text and "*GreaterThan(activity_id,500)" in text and "ReadSchema: struct<name:string>" in text
+    assert sorted(r.name for r in asked.collect()) == sorted(f"n{i}" for i in range(501, 1000) if i % 7 == 3)
+    assert IO.read_relational(spark, url, "activities").rdd.getNumPartitions() == 1
+
+
+def test_long_intervals_have_few_bins(spark):
+    from editlake.operators.joins import interval_bins, points_in_intervals
+
+    draw = random.Random(5)
+    spans = [(c, lo := draw.randrange(-5000, 10**7), lo + draw.choice((0, 1, 999, 1000, 8001, 10**5, 2 * 10**6, 9 * 10**8)), i) for i, c in enumerate(draw.choices("xyz", k=300))] + [("x", 5, 3, 999)]
+    intervals = spark.createDataFrame(spans, "chrom string, lo long, hi long, i int")
+    assert interval_bins(intervals, "lo", "hi").groupBy("i").count().agg(F.max("count")).first()[0] <= 2
+    points = [(k, draw.choice("xyz"), draw.choice([draw.randrange(-5000, 10**7), draw.choice(spans)[draw.choice((1, 2))]])) for k in range(400)]
+    df = spark.createDataFrame(points + points[:3], "k int, chrom string, pos long")
+    want = sorted((k, i) for k, c, p in points + points[:3] for d, lo, hi, i in spans if c == d and lo <= p <= hi)
+    got = points_in_intervals(df, intervals)
+    assert sorted((r.k, r.i) for r in got.collect()) == want and got.columns == ["k", "chrom", "pos", "lo", "hi", "i"]
+    held = {k for k, _ in want}
+    assert sorted(r.k for r in points_in_intervals(df, intervals, how="left_semi").collect()) == sorted(k for k, _, _ in points + points[:3] if k in held)
+    assert sorted(r.k for r in points_in_intervals(df, intervals, how="left_anti").collect()) == sorted(k for k, _, _ in points + points[:3] if k not in held)
+    assert points_in_intervals(df, intervals.limit(0)).count() == 0
 
 
 def test_totals_go_on_where_they_ended(spark, tmp_path):
@@ -159,6 +193,44 @@ def test_totals_go_on_where_they_ended(spark, tmp_path):
     assert run() == {"a": (6, 2), "b": (2, 1), "c": (1, 1)}
 
 
+def test_totals_write_changed_keys_and_merge(spark, tmp_path):
+    """A batch writes as many rows as it changes keys; after three batches one table replaces their folders."""
+    out = tmp_path / "out"
+    put = lambda rows: spark.createDataFrame(rows, "k string, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda: {r.k: (r.v, r.n) for r in incremental_totals(spark, str(tmp_path / "in"), "k string, v long", ["k"], ["v"], str(out), str(tmp_path / "state"), compact=3).collect()}
+    want = {f"k{i}": (i, 1) for i in range(500)}
+    put([(k, v) for k, (v, _) in want.items()])
+    assert run() == want and sorted(p.name for p in out.iterdir()) == ["changed=0"]
+    for number in (1, 2, 3):
+        put([("k7", 1), (f"new{number}", 5)])
+        want |= {"k7": (want["k7"][0] + 1, want["k7"][1] + 1), f"new{number}": (5, 1)}
+        assert run() == want == run()
+        names = sorted(p.name for p in out.iterdir())
+        assert names == {1: ["changed=0", "changed=1"], 2: ["upto=2"], 3: ["changed=3", "upto=2"]}[number]
+        if number != 2:
+            assert spark.read.parquet(str(out / f"changed={number}")).count() == 2
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_a_batch_of_fragments_reads_its_own_buckets(spark, tmp_path):
+    """Files of buckets that a batch does not touch may even be broken."""
+    from editlake.streaming.incremental import incremental_pairs
+
+    source, out = str(tmp_path / "in"), tmp_path / "out"
+    put = lambda rows: spark.createDataFrame(rows, "mol_id long, core string").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: sorted(tuple(r) for r in incremental_pairs(spark, source, "mol_id long, core string", str(out), str(tmp_path / "state"), buckets=8).collect())
+    put([(i, f"c{i % 20}") for i in range(60)])
+    want = sorted((f"c{a % 20}", a, b) for a in range(60) for b in range(a + 1, 60) if a % 20 == b % 20)
+    assert run() == want
+    touched = spark.sql("select pmod(xxhash64('c3'), 8) b").first().b
+    for file in (out / "seen").rglob("*.parquet"):
+        if f"bucket={touched}" not in str(file):
+            file.write_bytes(b"broken")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    put([(100, "c3"), (101, "c3")])
+    assert run() == sorted(want + [("c3", a, b) for a, b in itertools.combinations([3, 23, 43, 100, 101], 2) if b >= 100]) == run()
+
+
 def test_genome_chunks_cross_lines(spark, tmp_path):
     draw = random.Random(2)
     want = {}
