@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +15,9 @@ from editlake.operators.shared import checkpointed
 
 #: Query rows of a block and rows of a part in the neighbour search.
 BLOCK, PART = 2048, 20_000
+#: Rows to which the centres of an inverted file are fitted, points whose neighbours are found exactly to choose the number of lists, and
+#: the share of them that the lists have to hold.
+FIT, PROBE, RECALL = 20_000, 256, 0.95
 
 
 def _both_ways(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -99,6 +105,94 @@ def knn_cosine(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour"))).where(F.col("rank") <= k)
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _sample(rows: DataFrame, key: str, seed: str, most: int) -> list:
+    """The first rows in a seeded order of keys, at most `most`."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(most).collect()
+
+
+def centres_of(rows: DataFrame, key: str, vector: str, lists: int, rounds: int = 5) -> np.ndarray:
+    """Unit vectors for an inverted file, by spherical k-means on a sample of at most FIT rows."""
+    x = _unit(np.array([r[vector] for r in _sample(rows, key, "lists", max(FIT, lists))], float))
+    centres = x[:lists].copy()
+    for _ in range(rounds):
+        home = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, x)
+        met = np.bincount(home, minlength=len(centres)) > 0
+        centres[met] = _unit(sums[met])
+    return centres
+
+
+def knn_cosine_all(rows: DataFrame, key: str, vector: str, k: int = 5, recall: float = RECALL) -> DataFrame:
+    """(query, neighbour, similarity, rank): k near rows of every row by cosine, itself left out; similarities are exact.
+
+    Equal vectors are one point with their k + 1 smallest keys, so a vector that many rows have costs one. Points are
+    filed under the nearest of about sqrt(n) centres; each looks into the lists of its nearest centres and is compared
+    with all points there, in blocks and parts of bounded size. How many lists is measured: for PROBE points the exact
+    neighbours are found over all points, and as many lists are taken as hold `recall` of them. Vectors of one length
+    with neighbourhoods need few lists; where vectors lie at random, nearly half of them have to be searched.
+    """
+    keyed = checkpointed(rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")))
+    first = keyed.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("r") <= k + 1)
+    points = checkpointed(first.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"), F.min_by("v", "id").alias("v")))
+    n = points.count()
+    centres = centres_of(points, "id", "v", math.ceil(math.sqrt(n))) if n else np.zeros((1, 1))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def filed(lists: int):
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                near = np.argsort(-(_unit(np.array(batch["v"].tolist(), float)) @ centres.T), axis=1, kind="stable")[:, :lists] if len(batch) else np.zeros((0, 1), int)
+                yield batch.assign(near=near.astype(np.int32).tolist())
+
+        return points.select("id", "v").mapInPandas(of, f"id {kind}, v array<double>, near array<int>")
+
+    asked = points.sparkSession.createDataFrame([(r["id"], r["v"]) for r in _sample(points.select("id", "v"), "id", "probe", PROBE)], f"id {kind}, v array<double>")
+    truth = knn_cosine(points.select("id", "v"), asked, "id", "v", k)
+    homes = filed(1).select(F.col("id").alias("neighbour"), F.col("near")[0].alias("home"))
+    wanted = truth.join(homes, "neighbour").join(asked.select(F.col("id").alias("query"), "v"), "query").select("v", "home").collect()  # k rows for each of PROBE points
+    probes = 1
+    if wanted:
+        order = np.argsort(-(_unit(np.array([r["v"] for r in wanted])) @ centres.T), axis=1, kind="stable")
+        places = np.sort((order == np.array([r["home"] for r in wanted])[:, None]).argmax(axis=1))
+        probes = int(places[min(len(places) - 1, math.ceil(recall * len(places)) - 1)]) + 1
+    dealt = checkpointed(filed(probes))
+    looks = dealt.select("id", "v", F.posexplode("near").alias("no", "list"))
+    sizes = looks.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.count_if(F.col("no") == 0) / PART)).alias("parts"))
+    sized = looks.join(F.broadcast(sizes), "list")  # a row for each list, sqrt(n)
+    spread = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    queries = sized.select("id", "v", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), spread("parts").alias("part"))
+    renewed = [F.col(c).alias(c) for c in ("id", "v", "list")]  # columns of their own: both sides come from one frame
+    members = sized.where("no = 0").select(*renewed, spread("blocks").alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            r = r.sort_values("id", ignore_index=True)
+            ids = r["id"].to_numpy()
+            for i in range(0, len(q), 256):
+                scores = np.round(_unit(np.array(q["v"][i : i + 256].tolist())) @ _unit(np.array(r["v"].tolist())).T, 6)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+                out.append(pd.DataFrame({"query": np.repeat(q["id"].to_numpy()[i : i + 256], top.shape[1]), "other": ids[top].reshape(-1), "similarity": np.take_along_axis(scores, top, 1).reshape(-1)}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "other": [], "similarity": []})
+
+    at = ["list", "block", "part"]
+    met = queries.groupBy(*at).cogroup(members.groupBy(*at)).applyInPandas(best, f"query {kind}, other {kind}, similarity double")
+    apart = met.where("query <> other").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "other"))).where(F.col("r") <= k)
+    named = apart.join(points.select(F.col("id").alias("other"), "ids"), "other").select("query", "similarity", "ids")
+    own = points.select(F.col("id").alias("query"), F.lit(1.0).alias("similarity"), "ids")
+    listed = named.unionByName(own).select("query", "similarity", F.explode("ids").alias("neighbour"))
+    ranked = listed.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "neighbour"))).where(F.col("r") <= k + 1)
+    of_point = ranked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "neighbour", "similarity"))).alias("near"))
+    row_of = keyed.select("id", "h1", "h2").join(points.select("h1", "h2", F.col("id").alias("query")), ["h1", "h2"]).select("id", "query")
+    others = row_of.join(of_point, "query").select(F.col("id").alias("query"), F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("near"))
+    return others.select("query", F.posexplode("near").alias("i", "x")).select("query", "x.neighbour", "x.similarity", (F.col("i") + 1).alias("rank"))
+
+
 def neighbour_delta(neighbours: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
     """(query, gap): the mean absolute difference of a value between a query row and its neighbours."""
     own = rows.select(F.col(key).alias("query"), F.col(value).alias("__own"))

@@ -302,14 +302,17 @@ def exclude_positive_sites(t: Tables):
     return s.where("is_edited = 0").join(s.where("is_edited = 1").select("chrom", "pos"), ["chrom", "pos"], "left_anti").select("site_id")
 
 
-@query("with g as (select source chrom, text from (select source, text, row_number() over (partition by source order by doc_id) r from documents) where r = 1), c as (select chrom, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGUACGUACGUACGUACGUACGUAC') s from g), p as (select site_id, pos % 400 + 1 pos, strand, repeat('N', 20) || s || repeat('N', 2000) s from sites join c using (chrom)), w as (select site_id, strand, substr(s, pos, 41) w from p) select site_id, case when strand = '-' then reverse(translate(w, 'ACGU', 'UGCA')) else w end \"window\" from w")
+_ANY_PLACE = "select text_id * 10 + k site_id, text_id, (text_id * 7919 + k * 104729) % length(letters) + 1 pos, case when (text_id + k) % 2 = 0 then '+' else '-' end strand"
+
+
+@query(f"with w as (select *, substr(repeat('N', 20) || letters || repeat('N', 20), pos::bigint, 41) w from ({_ANY_PLACE}, letters from letters, range(0, 3) r(k) where length(letters) > 0)) select site_id, case when strand = '-' then reverse(translate(w, 'ACGU', 'UGCA')) else w end \"window\" from w")
 def window_extract(t: Tables):
-    first = t("documents").groupBy(F.col("source").alias("chrom")).agg(F.min_by("text", "doc_id").alias("text"))
-    s = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGUACGUACGUACGUACGUACGUAC")
-    chunks = first.select("chrom", F.posexplode(F.regexp_extract_all(s, F.lit("(.{1,100})"), F.lit(1))).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
-    sites = t("sites").select("site_id", "chrom", (F.col("pos") % 400 + 1).alias("pos"), "strand")
-    got = J.window_from_chunks(sites, chunks, 100, 20)
-    return sites.join(got, "site_id", "left").select("site_id", F.coalesce("window", F.lit("N" * 41)).alias("window"))
+    """Three places of every text, anywhere in its whole length; the texts are the chromosomes."""
+    letters = t("letters").where("length(letters) > 0").select("text_id", "letters")
+    pieces = F.expr("transform(sequence(0, (length(letters) - 1) div 100), i -> substr(letters, cast(i * 100 + 1 as int), 100))")
+    chunks = letters.select(F.col("text_id").alias("chrom"), F.posexplode(pieces).alias("chunk_no", "chunk")).withColumn("chunk_no", F.col("chunk_no").cast("long"))
+    sites = letters.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).selectExpr("text_id * 10 + k site_id", "text_id chrom", "(text_id * 7919 + k * 104729) % length(letters) + 1 pos", "case when (text_id + k) % 2 = 0 then '+' else '-' end strand")
+    return J.window_from_chunks(sites, chunks, 100, 20)
 
 
 @query("select site_id, case when starts_with(chrom, 'src1') then chrom else 'chr' || chrom end chrom from sites")

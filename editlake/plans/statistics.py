@@ -270,6 +270,12 @@ def knn_cosine(t: Tables):
     return C.knn_cosine(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding")
 
 
+@query()
+def knn_cosine_all(t: Tables):
+    """Neighbours of all rows from an inverted file; tests hold them against all pairs."""
+    return C.knn_cosine_all(t("embeddings").select("vec_id", "embedding"), "vec_id", "embedding")
+
+
 _KNN = "with s as (select q.vec_id query, r.vec_id neighbour, abs(r.label - q.label) gap, round(list_cosine_similarity({q}, {r}), 6) similarity from embeddings q join embeddings r on q.vec_id <> r.vec_id where q.vec_id % 100 = 0), k as (select *, row_number() over (partition by query order by similarity desc, neighbour) rank from s) select query, round(avg(gap), 6) gap from k where rank <= 5 group by 1"
 _WHOLE, _HALF = ({x: f"{x}.embedding{part}::double[]" for x in "qr"} for part in ("", "[1:16]"))
 
@@ -387,8 +393,15 @@ def scan_api_records(t: Tables):
 
 @query("select n_name, r_name from nation join region on n_regionkey = r_regionkey")
 def scan_jdbc_table(t: Tables):
-    nation, region = (IO.read_relational(t.spark, t.sf_dir, n) for n in ("nation", "region"))
-    return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    """Read from a database where one JVM does all the work, else from the folder of tables: no server is at hand."""
+    location = t.sf_dir
+    if t.spark.sparkContext.master.startswith("local["):
+        location = IO.embedded_database(t.spark, "tables")
+        for name, text in (("nation", "n_name"), ("region", "r_name")):
+            IO.write_relational(t(name).select(*(c for c in t(name).columns if not c.endswith("_comment"))), location, name, {text: "varchar(100)"})
+    nation = IO.read_relational(t.spark, location, "nation", key="n_nationkey", bounds=(0, 25), partitions=4) if location != t.sf_dir else t("nation")
+    region = IO.read_relational(t.spark, location, "region")
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
 
 
 @query("select chrom, 'transcript' feature, lo, hi, strand, gene_id, null::varchar gene_name, 't' || tx_id transcript_id from intervals")

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,3 +390,47 @@ def test_codes_and_strings_mix(spark):
     snv = sorted((r.key_a, r.key_b, r.position, r.base_a, r.base_b) for r in P.snv_pairs(df.withColumn("key", F.col("seq")), "key", "seq").collect())
     want = [(a, b, next(i for i in range(len(a)) if a[i] != b[i])) for a in seqs for b in seqs if distance(a, b) == 1]
     assert snv == sorted((a, b, i, a[i], b[i]) for a, b, i in want)
+
+
+def exact_neighbours(rows, k):
+    x = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    out = {}
+    for i, scores in zip(ids, np.round(u @ u.T, 6), strict=True):
+        order = [j for j in np.lexsort((ids, -scores)) if ids[j] != i][:k]
+        out[int(i)] = [(int(ids[j]), scores[j]) for j in order]
+    return out
+
+
+def near(df):
+    out = {}
+    for r in df.orderBy("query", "rank").collect():
+        out.setdefault(r.query, []).append((r.neighbour, r.similarity))
+        assert r["rank"] == len(out[r.query])
+    return out
+
+
+def test_neighbours_of_all_rows_against_all_pairs(spark):
+    """The registered query: every row has its five neighbours, and at least nine of ten are those of all pairs."""
+    from editlake.plans import all_queries
+
+    folder = "/root/testdata/sf0.01"
+    got = near(all_queries()[0]["knn_cosine_all"](spark, folder))
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    want = exact_neighbours(rows, 5)
+    assert set(got) == set(want) and all(len(n) == 5 for n in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in n}) for q, n in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_neighbours_with_neighbourhoods_need_few_lists(spark):
+    """Clustered vectors, a third of the rows one vector, and a null length: nearly exact, and copies are neighbours by id."""
+    draw = np.random.default_rng(3)
+    middle = draw.normal(size=(20, 16))
+    rows = [(i, (middle[0] if i % 3 == 0 else middle[i % 20] + draw.normal(scale=0.1, size=16)).tolist()) for i in range(900)]
+    got, want = near(C.knn_cosine_all(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 4)), exact_neighbours(rows, 4)
+    assert [got[0], got[3], got[897]] == [want[0], want[3], want[897]]
+    assert sum(got[q] == n for q, n in want.items()) >= 0.95 * len(want)
+    assert C.knn_cosine_all(spark.createDataFrame([], "id long, v array<double>"), "id", "v").count() == 0
+    assert near(C.knn_cosine_all(spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>"), "id", "v")) == {1: [(2, 0.0)], 2: [(1, 0.0)]}

@@ -12,7 +12,7 @@ from editlake.plans.fixtures import TABLES
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES, SQL = all_queries()
-NO_SQL = {"butina_clusters", "kmer_leader_clusters", "kmer_leader_clusters_by_length", "kmeans_edit_clusters", "correlation_tests", "ridge_delta_model", "ridge_edit_model", "pca_projection", "split_by_cluster", "split_by_sequence_similarity", "split_pairs_by_cluster_priority"}
+NO_SQL = {"butina_clusters", "kmer_leader_clusters", "kmer_leader_clusters_by_length", "kmeans_edit_clusters", "knn_cosine_all", "correlation_tests", "ridge_delta_model", "ridge_edit_model", "pca_projection", "split_by_cluster", "split_by_sequence_similarity", "split_pairs_by_cluster_priority"}
 
 
 def plain(v):
