@@ -88,6 +88,23 @@ def curriculum_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHA
     )
 
 
+def curriculum_times(uses: DataFrame, slopes: tuple = SLOPES) -> DataFrame:
+    """Adds `position`, the time (0 to 1) at which the curriculum comes to each row of an already mixed table.
+
+    uses has source, key (the seeded order of a stream), copy (0 for the first use of a row, 1 for the next, ...) and
+    words. A source's stream is its rows by copy and key; the use in whose middle it stands at a share y of its words
+    gets the position t with D(t) = y, as in curriculum_mix. Streams are running sums over buckets: no task holds a source.
+    """
+    digits = hex_digits(uses.count())
+    bucketed = uses.withColumn("__piece", F.concat(F.lpad(F.col("copy").cast("string"), 10, "0"), F.substring("key", 1, digits)))
+    streams = running_sum(bucketed, ["source"], "__piece", [F.col("copy"), F.col("key")], F.col("words"), "__before")
+    totals = uses.groupBy(F.col("source").alias("__source")).agg(F.sum("words").alias("__total")).withColumn("__place", F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1)
+    sloped = totals.withColumn("__slope", F.element_at(F.array(*map(F.lit, slopes)), (F.col("__place") % len(slopes) + 1).cast("int")))
+    a, y = F.col("__slope"), F.least(F.lit(1.0), (F.col("__before") + F.col("words") / 2) / F.greatest("__total", F.lit(1)))
+    time = F.when(a == 0, y).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * y) - (1 - a)) / (2 * a))
+    return streams.join(sloped, F.col("source").eqNullSafe(F.col("__source"))).select(*uses.columns, F.round(time, 9).alias("position"))
+
+
 def mixed_documents(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents as the mix uses them: a row for each use, range-sorted by position; a use in part counts from one half on.
 

@@ -1,9 +1,11 @@
-from collections import Counter
+from collections import Counter, defaultdict
 
 from brute import leaks, simhash_components, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from editlake.llm.mixing import SLOPES, curriculum_mix, mixed_documents
+from editlake.llm.sharding import interleaved_shards
 
 
 def test_stages(spark, data, tmp_path):
@@ -27,6 +29,29 @@ def test_stages(spark, data, tmp_path):
     assert abs(sum(n * len(words(rows[3][d])) for d, n in uses.items()) - 1.5 * total) < 0.1 * total
     last = held[5].groupBy("shard").agg(F.count("*").alias("n")).collect()
     assert sum(r.n for r in last) == sum(uses.values()) and len(last) == 40 and max(r.n for r in last) - min(r.n for r in last) <= 1
+    inside, sources = defaultdict(list), {r.doc_id: r.source for r in held[4].select("doc_id", "source").collect()}
+    for r in held[5].collect():
+        inside[r.shard].append((r.slot, r.position, r.doc_id))
+    for rows_of in inside.values():
+        rows_of.sort()
+        assert [s for s, _, _ in rows_of] == list(range(len(rows_of))) and [p for _, p, _ in rows_of] == sorted(p for _, p, _ in rows_of)
+    places = {s: i for i, s in enumerate(sorted(set(sources.values()), key=str.encode))}
+    late = {k: [p for rows_of in inside.values() for _, p, d in rows_of if places[sources[d]] % 3 == k] for k in range(3)}
+    mean = {k: sum(v) / len(v) for k, v in late.items()}
+    assert mean[0] > 0.54 > mean[1] > 0.46 > mean[2]  # slopes 0.5, 0 and -0.5: a mean of 1/2 and a sixth of the slope
+
+
+def test_positions_are_those_of_the_mix(spark, data):
+    """Uses that the mixing stage writes get the positions that the mix gave them, as near as whole uses can: one in part counts with all its words, which moves the rest of a small source."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").dropDuplicates(["text"])
+    mix = curriculum_mix(docs)
+    given = {(r.doc_id, i): u.position for r in mix.select("doc_id", "uses").collect() for i, u in enumerate(r.uses)}
+    got = defaultdict(list)
+    for r in interleaved_shards(mixed_documents(docs, mix), slopes=SLOPES).collect():
+        got[r.doc_id].append(r.position)
+    pairs = [(p, given[d, i]) for d, some in got.items() for i, p in enumerate(sorted(some))]
+    apart = sorted(abs(a - b) for a, b in pairs)
+    assert len(apart) > 500 and apart[len(apart) * 9 // 10] < 0.02 and apart[-1] < 0.2
 
 
 def test_no_documents(spark, data, tmp_path):
