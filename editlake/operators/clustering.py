@@ -53,15 +53,21 @@ def leader_clusters(nodes: DataFrame, links: DataFrame, a: str, b: str) -> DataF
     return own.select("id", F.col("id").alias("leader")).unionByName(taken.join(first, "id").select("id", F.col("first.id").alias("leader")))
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(id, label): the smallest id that each linked node reaches; minima travel and paths halve in each round."""
+def components(links: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
+    """(id, label): the smallest id that each linked node reaches; minima travel and paths halve in each round.
+
+    With `rounds` it ends early: a label is then some node that the id reaches, and most ids of a dense group share one.
+    Joins are by merging: rounds that each broadcast a small side would leave their tables in the driver.
+    """
     both = checkpointed(_both_ways(links, a, b))
     label = checkpointed(both.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.col("x")).alias("label")))
+    done = 0
     while True:
-        near = both.join(label.select(F.col("id").alias("y"), "label"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("least"))
-        step = label.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "least").alias("via"))
-        label = checkpointed(step.join(label.select(F.col("id").alias("via"), F.col("label").alias("far")), "via", "left").select("id", "old", F.least("via", "far").alias("label")))
-        if label.where("label <> old").isEmpty():
+        near = both.join(label.select(F.col("id").alias("y"), "label").hint("merge"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("least"))
+        step = label.join(near.hint("merge"), "id", "left").select("id", F.col("label").alias("old"), F.least("label", "least").alias("via"))
+        label = checkpointed(step.join(label.select(F.col("id").alias("via"), F.col("label").alias("far")).hint("merge"), "via", "left").select("id", "old", F.least("via", "far").alias("label")))
+        done += 1
+        if done == rounds or label.where("label <> old").isEmpty():
             return label.select("id", "label")
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as on one machine in tests."""
+    """The folder in spark.checkpoint.dir, or the one that the session has; a temporary one only on a local master that has none."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not given and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("executors need a shared folder: set spark.checkpoint.dir")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return given or sc.getCheckpointDir()
 

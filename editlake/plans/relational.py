@@ -63,7 +63,7 @@ def select_targets_specific(t: Tables):
 def select_targets_mix(t: Tables):
     words = t.spark.createDataFrame([("asia",), ("ame",), ("EU",)], "word string")
     classes = t("targets").select("target_class").distinct().join(F.broadcast(words), F.contains(F.lower("target_class"), F.lower("word")))
-    counts = R.target_counts(t("measurements"), ["target_id"], "mol_id").join(t("targets").select("target_id", "target_class"), "target_id").join(F.broadcast(classes), "target_class")
+    counts = R.target_counts(t("measurements"), ["target_id"], "mol_id").join(t("targets").select("target_id", "target_class"), "target_id").join(classes, "target_class")
     return R.top_per_group(counts.select(F.col("word").alias("target_class"), "target_id", "n_molecules"), ["target_class"], 3, F.col("n_molecules").desc(), F.col("target_id"))
 
 

@@ -224,7 +224,7 @@ def split_chromosome(t: Tables):
     from editlake.operators.ordering import exact_rank, md5_key
 
     chroms = exact_rank(t("sites").select("chrom").distinct(), md5_key("chrom", "chrom"), ["chrom"], "g").withColumn("held", F.expr("g < greatest(1, g_of * 15 div 100)"))
-    return S.holdout_split(t("sites").select("site_id", "chrom").join(F.broadcast(chroms.select("chrom", "held")), "chrom"), F.col("held"), ["site_id"]).select("site_id", "split")
+    return S.holdout_split(t("sites").select("site_id", "chrom").join(chroms.select("chrom", "held"), "chrom"), F.col("held"), ["site_id"]).select("site_id", "split")
 
 
 @query(_random(f"select s.*, {_bin('coverage', 5, SITES)} b from ({SITES}) s", ["site_id"], strata="b, is_edited", least=3))

@@ -414,12 +414,12 @@ def scan_annotation_gtf(t: Tables):
     return IO.read_annotation(t.spark, path)
 
 
-@query("select chrom, pos, ref_base, coverage, a, c, g, t from sites where coverage >= 500")
+@query("select chrom, pos, ref_base, coverage, a, c, g, t from sites where coverage >= 10")
 def scan_pileup(t: Tables):
     line = F.concat_ws("\t", "chrom", F.lit("."), F.lit("."), "pos", F.lower("ref_base"), "coverage", "a", "c", "g", "t", F.lit("end"))
     path = scratch_path(t.spark, "pileup")
     t("sites").select(line.alias("value")).write.text(path)
-    return IO.read_pileup(t.spark, path, 500)
+    return IO.read_pileup(t.spark, path)
 
 
 @query("select 'd' || doc_id chrom, i chunk_no, substr(seq, i * 20 + 1, 20) chunk from (select doc_id, seq, unnest(range(0, 3)) i from seqs)")
