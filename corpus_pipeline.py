@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from editlake.llm.common import table, with_row_key
 from editlake.llm.decontaminate import contaminated, decontaminated
-from editlake.llm.mixing import curriculum_mix, mixed_documents
+from editlake.llm.mixing import SLOPES, curriculum_mix, mixed_documents
 from editlake.llm.quality import quality_scores
 from editlake.llm.sharding import interleaved_shards
 from editlake.llm.simhash import near_duplicates_removed, simhash_groups
@@ -45,8 +45,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each use of a document."""
-    return interleaved_shards(docs)
+    """Shard and slot of each use of a document; the slots of a shard follow the order of training, which comes as `position`."""
+    return interleaved_shards(docs, slopes=SLOPES)
 
 
 STAGES = [
