@@ -28,6 +28,8 @@ VIEWS = {
     "brackets": "select doc_id, translate(seq,'ACGU','.(.)') structure from seqs",
 }
 _STRETCH = "case when length(letters) < {n} then rpad(letters, {n}, letters) else substr(letters, cast(least(i * {n}, length(letters) - {n}) + 1 as int), {n}) end"
+#: The same by bytes, as letters are ASCII: a place in a text is found at once, not by counting characters up to it.
+_BYTES = "case when octet_length(letters) < {n} then rpad(letters, {n}, letters) else cast(substr(cast(letters as binary), cast(least(i * {n}, octet_length(letters) - {n}) + 1 as int), {n}) as string) end"
 SPARK_BITS = "select vec_id, label, filter(transform(embedding, (x,i) -> case when x > 0.1 then i else -1 end), b -> b >= 0) bits from embeddings"
 DUCK_BITS = "select vec_id, label, list_filter(list_transform(embedding, lambda x, i: case when x > 0.1 then i-1 else -1 end), lambda b: b >= 0) bits from embeddings"
 #: Derived in the queries by operators, in SQL by these.
@@ -44,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = SPARK_BITS if name == "fingerprints" else VIEWS[name].replace("{STR}", "string").replace("{G}", "")
     for n in (50, 7):
-        sql = sql.replace(f"{{PIECES{n}}}", f"explode(transform(sequence(0, cast((length(letters) - 1) div {n} as int)), i -> named_struct('piece', i, 's', {_STRETCH.format(n=n)})))")
+        sql = sql.replace(f"{{PIECES{n}}}", f"explode(transform(sequence(0, cast((length(letters) - 1) div {n} as int)), i -> named_struct('piece', i, 's', {_BYTES.format(n=n)})))")
     inner = {n: table(spark, sf_dir, n) for n in _uses(sql)}
     if name == "letters":  # a few files are too few tasks for what texts are cut into
         docs, tasks = inner["documents"], spark.sparkContext.defaultParallelism

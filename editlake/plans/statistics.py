@@ -7,7 +7,6 @@ from pyspark.sql.window import Window
 
 from editlake.functions import metrics as M
 from editlake.functions import sequence as Q
-from editlake.functions.sequence import places
 from editlake.operators import clustering as C
 from editlake.operators import models as L
 from editlake.operators.aggregates import frequency
@@ -221,9 +220,8 @@ KMER = 8  # of whole texts, which hold nearly all shorter words
 
 def _kmer_sets(texts, id_col: str, seq: str):
     """Distinct sequences (seq, id, n, kmers), each with the smallest id."""
-    s = F.col("seq")
     distinct = texts.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).groupBy("seq").agg(F.min("id").alias("id"))
-    return checkpointed(distinct.select("seq", "id", F.length("seq").alias("n"), F.array_distinct(F.transform(places(F.length(s) - (KMER - 1)), lambda i: s.substr(i + 1, F.lit(KMER)))).alias("kmers")))
+    return checkpointed(distinct.select("seq", "id", F.length("seq").alias("n"), F.array_distinct(F.regexp_extract_all("seq", F.lit(f"(?=(.{{{KMER}}}))"), F.lit(1))).alias("kmers")))  # one pass, at any length
 
 
 @query()
