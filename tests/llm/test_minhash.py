@@ -66,10 +66,29 @@ def test_one_large_family_below_the_threshold(spark):
     assert 1 < len({c for _, c, _ in want.values()}) < 150
 
 
-def test_rounds_find_the_same_without_neighbour_rounds(spark, monkeypatch):
-    rows = near_copies(random.Random(5), 3, 40, 9)
-    monkeypatch.setattr(minhash, "WINDOWS", (1,))
-    assert groups(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+def test_labels_of_paths_and_stars(spark):
+    links = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(90)] + [("s0", f"s{i}") for i in range(1, 9)] + [("b", "a"), ("a", "c")]
+    got = {r.name: r.label for r in minhash.dense_labels(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {x: {"p": "p000", "s": "s0"}.get(x[0], "a") for two in links for x in two}
+
+
+def test_sets_with_too_many_own_shingles_go(spark):
+    live = spark.createDataFrame([(b"a", 10), (b"b", 10), (b"c", 10), (b"d", 1)], "name binary, n long")
+    sets = spark.createDataFrame([(b"a", [*range(10)]), (b"b", [*range(8), 20, 21]), (b"c", [*range(7), 30, 31, 32]), (b"d", [40]), (b"other", [30, 31])], "name binary, made array<long>")
+    assert sorted(bytes(r.name) for r in minhash._unlike(live, sets, 80).collect()) == [b"c", b"d"]
+
+
+def test_bits_leave_out_no_similar_pair(spark):
+    draw = np.random.default_rng(2)
+    rows = []
+    for k in range(400):
+        a = np.unique(draw.integers(0, 1 << 63, draw.integers(1, 3000))).astype(np.uint64)
+        b = np.unique(np.concatenate([a[draw.random(len(a)) > 0.15 * draw.random()], draw.integers(0, 1 << 63, int(0.15 * draw.random() * len(a))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        rows.append((k, len(a), len(b), minhash.bits_of(a).tolist(), minhash.bits_of(b).tolist(), bool(100 * both >= 80 * (len(a) + len(b) - both))))
+    df = spark.createDataFrame(rows, "k int, n long, its_n long, bits array<long>, its_bits array<long>, similar boolean")
+    got = df.select("n", "similar", minhash._may_be_similar(80).alias("may")).collect()
+    assert all(r.may for r in got if r.similar) and sum(not r.may for r in got if not r.similar and r.n < 500) > 0
 
 
 def test_threshold_is_exact(spark):
