@@ -12,14 +12,14 @@ from editlake.llm.common import WORD, checkpointed, text_of
 #: date, an empty line) recur in texts that are no copies of each other.
 MIN_LINES, MIN_WORDS = 3, 20
 NO_ID = -(1 << 63)
-#: Bytes of a round in a rank.
-CODE = 8
+#: A round of ranks makes five doublings at once: each counts 32 times as many lines as the one before.
+STEP = 32
 SUFFIX = ["id", "k", "no"]
 
 
-def _merged(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def _merged(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """A sort-merge join: rounds that each broadcast a small side would fill the driver's memory with their tables."""
-    return left.join(right.hint("merge"), on, how)
+    return left.join(right.hint("merge"), on)
 
 
 def in_order(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -60,82 +60,101 @@ def with_places(rows: DataFrame, keys: list[str]) -> DataFrame:
     return placed.withColumn("before", F.coalesce(F.lag(row).over(w), F.col("__last"))).drop("__part", "__offset", "__last")
 
 
-def _numbered(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct cells (keys, n) with `cell`, a number in the order of the keys; written down before anything reads it."""
-    return checkpointed(cells.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("cell", F.monotonically_increasing_id()))
+def _keys(columns: list[str]) -> list[str]:
+    """The keys of a suffix, one for each round."""
+    return [f"key{j}" for j in range(sum(c.startswith("key") for c in columns))]
 
 
-def _code(number: Column) -> Column:
-    """A number as CODE bytes that sort as it does."""
-    return F.unhex(F.lpad(F.hex(number), 2 * CODE, "0"))
+def _suffixes(stretches: DataFrame, rounds: int) -> DataFrame:
+    """One row for each line of a stretch: SUFFIX, start, rest (lines to the end of the stretch), q, line, key0, key1, ...
+
+    Key 0 is the next STEP lines, key j the ranks of round j - 1 there, STEP^j lines further on, and so on, STEP in all.
+    """
+    each = stretches.select("id", "k", "start", "n", "ranks0", *(f"ranks{j}" for j in range(1, rounds)), F.posexplode("qs").alias("i", "q"))
+    keys = [F.slice("ranks0", F.col("i") + 1, STEP).alias("key0")]
+    for j in range(1, rounds):
+        ahead = F.array(*(F.get(f"ranks{j}", F.col("i") + m * STEP**j) for m in range(STEP)))
+        keys.append(F.slice(ahead, F.lit(1), F.least(F.lit(STEP), F.floor((F.col("n") - F.col("i") - 1) / STEP**j).cast("int") + 1)).alias(f"key{j}"))
+    return each.select("id", "k", (F.col("start") + F.col("i")).alias("no"), "start", (F.col("n") - F.col("i")).alias("rest"), "q", F.get("ranks0", "i").alias("line"), *keys)
+
+
+def _stretches(lines: DataFrame) -> DataFrame:
+    """lines (id, k, no, q, a, b) -> (id, k, start, n, ranks0, qs): the longest stretches of lines that each occur elsewhere too.
+
+    A line that occurs once is like no other and ends what two suffixes share, as the end of a text does. ranks0 are the
+    numbers of the lines. Wholly equal rows of documents are one.
+    """
+    many = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b", F.monotonically_increasing_id().alias("line"))
+    known = _merged(lines, checkpointed(many), ["a", "b"]).select(*SUFFIX, "q", "line")
+    gap = F.col("no") - F.dense_rank().over(Window.partitionBy("id", "k").orderBy("no"))
+    cells = F.sort_array(F.collect_set(F.struct("no", "line", "q")))
+    grouped = known.withColumn("gap", gap).groupBy("id", "k", "gap").agg(cells.alias("cells"))
+    return checkpointed(grouped.select("id", "k", F.col("cells")[0]["no"].alias("start"), F.size("cells").alias("n"), F.col("cells.line").alias("ranks0"), F.col("cells.q").alias("qs")))
 
 
 def suffix_array(lines: DataFrame) -> DataFrame:
-    """lines (id, k, no, left, q, a, b) -> the suffixes whose first line occurs elsewhere too, with their rank.
-
-    (a, b) is a line's 128-bit id, `left` the lines from there to the end of the text. Prefix doubling: suffixes are
-    ranked by their first line; each round looks up the rank of the suffix as many lines further on and ranks by both,
-    which counts twice as many lines. Only distinct pairs of ranks are sorted, so a frequent line is one of them. A
-    suffix that is alone with its prefix, or ends together with its equals, keeps its rank and leaves the rounds, and
-    these go on until none is left. A rank has a code of CODE bytes for each round: suffixes with j codes in common
-    share 2^(j - 1) lines, those with one rank are equal to the end.
+    """lines (id, k, no, q, a, b) -> the suffixes whose first line occurs elsewhere too, with the keys that order them.
+
+    (a, b) is a line's 128-bit id. Prefix doubling, STEP-fold in a round: in the first, the suffixes of a stretch
+    (`_stretches`) are ranked by their next STEP lines; each further round takes the ranks of the suffixes once, twice, ...
+    as many lines further on from the array of ranks of the stretch, and ranks by these. Only distinct keys are sorted, so
+    a frequent line is one of them. A stretch leaves when its length is counted, and rounds go on until none is left.
     """
-    keep = [*SUFFIX, "left", "q", "line", "rank"]
-    many = _numbered(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), ["a", "b"])
-    first = _merged(lines, many, ["a", "b"]).select(*SUFFIX, "left", "q", F.col("cell").alias("line")).distinct()
-    every, width = checkpointed(first.select("*", _code(F.col("line")).alias("rank"), F.lit(False).alias("final"))), 1
-    while not every.where("not final").isEmpty():
-        later = every.where(F.col("no") >= width).select("id", "k", (F.col("no") - width).alias("no"), F.col("rank").alias("next"))
-        # the end of a text comes first, a line that occurs once is like no other
-        unlike = F.when(F.col("left") > width, F.concat(F.unhex(F.lit("00")), _code(F.xxhash64(*SUFFIX)))).otherwise(F.unhex(F.lit("")))
-        pairs = _merged(every.where("not final").select(*keep), later, SUFFIX, "left").withColumn("next", F.coalesce("next", unlike))
-        cells = _numbered(pairs.groupBy("rank", "next").agg(F.count("*").alias("n")), ["rank", "next"])
-        final = (F.col("n") == 1) | (F.col("left") < 2 * width)
-        coded = _merged(pairs, cells, ["rank", "next"]).withColumns({"rank": F.concat("rank", _code(F.col("cell"))), "final": final})
-        every, width = checkpointed(every.where("final").unionByName(coded.select(*keep, "final"))), 2 * width
-    return every.select(*keep)
-
-
-def _shared(a: Column, b: Column) -> Column:
-    """Codes that two ranks begin with in common."""
-    n = F.floor(F.least(F.octet_length(a), F.octet_length(b)) / CODE).cast("int")
-    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(a, 1, i * CODE) == F.substring(b, 1, i * CODE)))
-    return F.size(same)
-
-
-def _longer(pairs: DataFrame) -> DataFrame:
-    """Pairs with the ranks a and b of two suffixes `lcp` lines on: lcp grows by the lines known from the ranks, `open` if more may follow."""
-    equal, codes = F.col("a") == F.col("b"), _shared(F.col("a"), F.col("b"))
-    step = F.when(equal, F.col("left") - F.col("lcp")).when(codes > 0, F.pow(F.lit(2.0), codes - 1).cast("int")).otherwise(0)
-    grown = pairs.withColumns({"__step": F.coalesce(step, F.lit(0)), "open": F.coalesce(~equal & (codes > 1), F.lit(False))})
-    return grown.select(*SUFFIX, "pid", "pk", "pno", "left", (F.col("lcp") + F.col("__step")).alias("lcp"), "open")
+    open_, done, rounds = _stretches(lines), [], 1
+    while True:
+        done.append(_suffixes(open_.where(F.col("n") <= STEP**rounds), rounds))
+        open_ = open_.where(F.col("n") > STEP**rounds)
+        if open_.isEmpty():
+            break
+        key = f"key{rounds - 1}"
+        each = _suffixes(open_, rounds).select("id", "k", "start", "no", key)
+        ranks = checkpointed(each.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("rank", F.monotonically_increasing_id()))
+        ranked = _merged(each, ranks, [key]).groupBy("id", "k", "start").agg(F.sort_array(F.collect_list(F.struct("no", "rank"))).alias("x"))
+        open_ = checkpointed(_merged(open_, ranked.select("id", "k", "start", F.col("x.rank").alias(f"ranks{rounds}")), ["id", "k", "start"]))
+        rounds += 1
+    every = done[-1]
+    for rows in done[:-1]:
+        every = every.unionByName(rows, allowMissingColumns=True)
+    return every.drop("start")
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Elements that two arrays begin with in common."""
+    other = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+    return F.when(other == 0, F.size(a)).otherwise(other - 1)
 
 
 def with_lcp(array: DataFrame) -> DataFrame:
     """The suffix array in order: pos and lcp, the lines that a suffix and the one before it both begin with.
 
-    Where the next line's suffix follows the next line's suffix of the one before, its lcp is one less; so only the last
-    suffix of such a chain is compared and the others count from it. Ranks tell the largest power of two that two
-    suffixes share; what follows it is told by the ranks that many lines on, in at most as many steps as there were rounds.
+    The last of the keys that both have, those before it being equal, tells the lines in common up to a block that
+    differs; its rank leads to the key by which that block was ranked, and so on down to single lines.
     """
-    placed = with_places(in_order(array, ["rank"]), ["line", "rank"])
-    known = F.coalesce(F.col("line") == F.col("before.line"), F.lit(False))
-    placed = checkpointed(placed.select("*", *(F.when(known, F.col(f"before.{c}")).alias(n) for c, n in (("id", "pid"), ("k", "pk"), ("no", "pno"), ("rank", "b")))).drop("before"))
-    chain = ["id", "k", "pid", "pk", "shift"]
-    linked = placed.where("pno is not null").select(*SUFFIX, "left", F.col("rank").alias("a"), "b", "pid", "pk", "pno", (F.col("no") - F.col("pno")).alias("shift"))
-    islands = linked.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy(*chain).orderBy("no")))
-    ends = checkpointed(islands.withColumn("end", F.max("no").over(Window.partitionBy(*chain, "island"))).drop("shift", "island"))
-    ranks = array.select("id", "k", F.col("no").alias("at"), "rank")
-    state = checkpointed(_longer(ends.where("no = end").withColumn("lcp", F.lit(0))))
-    while not state.where("open").isEmpty():
-        mine = ranks.withColumnRenamed("rank", "a")
-        other = ranks.select(F.col("id").alias("pid"), F.col("k").alias("pk"), F.col("at").alias("pat"), F.col("rank").alias("b"))
-        at = state.where("open").withColumns({"at": F.col("no") + F.col("lcp"), "pat": F.col("pno") + F.col("lcp")})
-        both = _merged(_merged(at, mine, ["id", "k", "at"], "left"), other, ["pid", "pk", "pat"], "left")
-        state = checkpointed(state.where("not open").unionByName(_longer(both)))
-    last = state.select("id", "k", F.col("no").alias("end"), F.col("lcp").alias("end_lcp"))
-    every = _merged(ends, last, ["id", "k", "end"]).select(*SUFFIX, (F.col("end_lcp") + F.col("end") - F.col("no")).alias("lcp"))
-    return _merged(placed.drop("pid", "pk", "pno", "b", "rank"), every, SUFFIX, "left").withColumn("lcp", F.coalesce("lcp", F.lit(0)))
+    keys = _keys(array.columns)
+    ordered = in_order(array, ["line", *keys])
+    placed = with_places(ordered, ["rest", *keys])
+    lcp, level, a, b = _alike(F.col("key0"), F.col("before.key0")), F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")
+    for j in range(1, len(keys)):
+        mine, other = F.col(keys[j]), F.col(f"before.{keys[j]}")
+        deeper = mine.isNotNull() & other.isNotNull() & (F.col(keys[j - 1]) == F.col(f"before.{keys[j - 1]}"))
+        same = _alike(mine, other)
+        differ = deeper & (same < F.least(F.size(mine), F.size(other)))
+        lcp = F.when(differ, same * STEP**j).when(deeper, F.least("rest", "before.rest")).otherwise(lcp)
+        level = F.when(differ, F.lit(j)).when(~deeper, level)
+        a, b = F.when(differ, F.get(mine, same)).when(~deeper, a), F.when(differ, F.get(other, same)).when(~deeper, b)
+    known = placed.select(*SUFFIX, "rest", "q", "at", "part", "pos", F.coalesce(lcp, F.lit(0)).alias("lcp"), level.alias("level"), a.alias("a"), b.alias("b"))
+    for j in range(len(keys) - 1, 0, -1):
+        known = checkpointed(known)
+        block = ordered.where(F.col(keys[j]).isNotNull()).groupBy(F.col(keys[j])[0].alias("rank")).agg(F.min(F.struct(F.least("rest", F.lit(STEP**j)).alias("span"), F.col(keys[j - 1]).alias("key"))).alias("x"))
+        block = block.select("rank", "x.*")
+        first = block.select(F.col("rank").alias("a"), F.col("span").alias("a_span"), F.col("key").alias("a_key"))
+        second = block.select(F.col("rank").alias("b"), F.col("span").alias("b_span"), F.col("key").alias("b_key"))
+        pairs = _merged(_merged(known.where(F.col("level") == j), first, ["a"]), second, ["b"]).withColumn("same", _alike(F.col("a_key"), F.col("b_key")))
+        differ = F.col("same") < F.least(F.size("a_key"), F.size("b_key"))
+        more = F.when(differ, F.col("same") * STEP ** (j - 1)).otherwise(F.least("a_span", "b_span"))
+        told = pairs.withColumns({"lcp": F.col("lcp") + more, "level": F.when(differ & F.lit(j > 1), F.lit(j - 1)), "a": F.when(differ, F.get("a_key", "same")), "b": F.when(differ, F.get("b_key", "same"))})
+        known = known.where(F.coalesce(F.col("level"), F.lit(0)) != j).unionByName(told.select(*known.columns))
+    return known.drop("level", "a", "b")
 
 
 def repeated_runs(array: DataFrame, least: int = MIN_LINES) -> DataFrame:
@@ -146,10 +165,11 @@ def repeated_runs(array: DataFrame, least: int = MIN_LINES) -> DataFrame:
     copies of these lines, and neighbours whose firsts are neighbours too are one run. An interval meets its first copy
     by partition of the sorted array, so a line that is everywhere is not one group.
     """
-    deep = array.where("q is not null").withColumn("depth", F.explode(F.sequence("q", F.least(F.lit(least), F.col("left")))))
+    most = F.least(F.lit(least), F.col("rest"))
+    deep = array.where(F.col("q") <= most).withColumn("depth", F.explode(F.sequence("q", most)))
     opened = checkpointed(_running_start(deep, F.col("lcp") < F.col("depth"), "interval", ("depth",)).select(*SUFFIX, "depth", "part", "interval"))
     parts = opened.groupBy("depth", "interval", "part").agg(F.min(F.struct(*SUFFIX)).alias("least"))
-    firsts = checkpointed(_merged(parts, parts.groupBy("depth", "interval").agg(F.min("least").alias("first")), ["depth", "interval"]).select("depth", "interval", "part", "first"))
+    firsts = _merged(parts, parts.groupBy("depth", "interval").agg(F.min("least").alias("first")), ["depth", "interval"]).select("depth", "interval", "part", "first")
     later = _merged(opened, firsts, ["depth", "interval", "part"]).where(F.struct(*SUFFIX) > F.col("first"))
     pointed = later.select(*SUFFIX, "depth", F.col("first.id").alias("first_id"), F.col("first.k").alias("first_k"), (F.col("no") - F.col("first.no")).alias("shift"))
     pair = ["id", "k", "first_id", "first_k", "shift", "depth"]
@@ -173,14 +193,14 @@ def _enough(i: Column, least: int, words: int) -> Column:
 
 
 def line_ids(docs: DataFrame, least: int = MIN_LINES, words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents as (id, k, text), k a hash of the text, and their lines as (id, k, no, left, q, a, b).
+    """The documents as (id, k, text), k a hash of the text, and their lines as (id, k, no, q, a, b).
 
     q is the number of lines from there that make a run worth deleting: the fewest with `words` words, `least` at most,
     null where the text ends before.
     """
     given = docs.select(F.coalesce(F.col(id_col).try_cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_of(text_col)).alias("k"), text_of(text_col).alias("text"))
     split = given.where("text != ''").select("id", "k", F.split("text", "\n").alias("lines")).withColumn("counts", _line_counts())
-    each = F.transform("lines", lambda x, i: F.struct(i.alias("no"), (F.size("lines") - i).alias("left"), _enough(i, least, words).alias("q"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit("b"), x).alias("b")))
+    each = F.transform("lines", lambda x, i: F.struct(i.alias("no"), _enough(i, least, words).alias("q"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit("b"), x).alias("b")))
     return given, split.select("id", "k", F.explode(each).alias("x")).select("id", "k", "x.*")
 
 

@@ -107,6 +107,34 @@ def test_suffix_array_and_lcp(spark):
     assert max(r.lcp for r in got) >= 60
 
 
+def test_long_copies_take_few_rounds(spark, monkeypatch):
+    """Copies of 1,100 lines are ranked in three rounds: few frames are written down, whose plans the driver holds; lcp counts all lines."""
+    import editlake.llm.line_dedup as module
+
+    written, real = [], module.checkpointed
+
+    def counted(df):
+        written.append(df)
+        assert len(written) <= 10
+        return real(df)
+
+    monkeypatch.setattr(module, "checkpointed", counted)
+    a = [f"l{i % 7}" if i % 50 else f"m{i // 50 % 3}" for i in range(1_100)]
+    b = [*a[:600], "only here", *a[601:]]
+    rows = [(1, "\n".join(a)), (2, "\n".join(b)), (3, "\n".join(["x", *a[40:], "y"])), (4, "\n".join(a))]
+    got = with_lcp(suffix_array(line_ids(frame(spark, rows))[1])).select("id", "no", "lcp", "pos").orderBy("pos").collect()
+    texts = {i: t.split("\n") for i, t in rows}
+    assert [r.pos for r in got] == list(range(len(got))) and {(r.id, r.no) for r in got} == {(i, j) for i, t in texts.items() for j, x in enumerate(t) if x not in ("x", "y", "only here")}
+
+    def shared(p, q):
+        x, y = texts[p.id], texts[q.id]
+        n = next((i for i in range(min(len(x) - p.no, len(y) - q.no)) if x[p.no + i] != y[q.no + i]), None)
+        return min(len(x) - p.no, len(y) - q.no) if n is None else n
+
+    assert [r.lcp for r in got] == [0, *(shared(p, q) for p, q in itertools.pairwise(got))]
+    assert max(r.lcp for r in got) == 1_100
+
+
 def test_repeated_runs(spark):
     docs = frame(spark, [(1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\nd\ny\na\nb\nc\nd\ne"), (3, "c\nd"), (4, "z\nz\nz\nz\nz")])
     runs = repeated_runs(with_lcp(suffix_array(line_ids(docs)[1]))).collect()
