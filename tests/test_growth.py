@@ -18,7 +18,7 @@ def spread(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-@pytest.mark.parametrize("name", ["knn_cosine"])
+@pytest.mark.parametrize("name", ["knn_cosine", "knn_neighbour_delta"])
 def test_parts_and_blocks_of_the_search_meet(spread, monkeypatch, name):
     monkeypatch.setattr(C, "PART", 60)
     monkeypatch.setattr(C, "BLOCK", 2)
