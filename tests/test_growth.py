@@ -6,7 +6,7 @@ import pytest
 from editlake.operators import clustering as C
 from editlake.plans import all_queries
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES, SQL = all_queries()
 
 
@@ -51,3 +51,21 @@ def test_design_matrix_rounds_as_sql_and_keeps_texts_without_letters(spark, tmp_
     got = QUERIES["design_matrix"](spark, str(tmp_path)).select("site_id", "features").collect()
     want = con.execute(f"select site_id, features from ({SQL['design_matrix']})").fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def written(spark, run):
+    """Rows that the shuffles of a run write."""
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+    sc.setJobGroup("written", "written")
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("written") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return out, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+@pytest.mark.parametrize("name", ["pair_measurement_join_m2m"])
+def test_no_row_for_each_pair_is_shuffled(spark, name):
+    rows, moved = written(spark, lambda: QUERIES[name](spark, MIDDLE).collect())
+    assert len(rows) > 70_000 and moved < 230_000
