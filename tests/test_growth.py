@@ -65,7 +65,7 @@ def written(spark, run):
     return out, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
 
 
-@pytest.mark.parametrize("name", ["pair_measurement_join_m2m"])
+@pytest.mark.parametrize("name", ["pair_measurement_join_m2m", "pivot_tasks_first"])
 def test_no_row_for_each_pair_is_shuffled(spark, name):
     rows, moved = written(spark, lambda: QUERIES[name](spark, MIDDLE).collect())
     assert len(rows) > 70_000 and moved < 230_000
