@@ -1,9 +1,12 @@
 """Results that were wrong or partial on larger or odd tables, against plain loops and SQL."""
 
+import random
+
 import duckdb
 import pytest
 
 from editlake.operators import clustering as C
+from editlake.operators import pairs as P
 from editlake.plans import all_queries
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -69,3 +72,20 @@ def written(spark, run):
 def test_no_row_for_each_pair_is_shuffled(spark, name):
     rows, moved = written(spark, lambda: QUERIES[name](spark, MIDDLE).collect())
     assert len(rows) > 70_000 and moved < 230_000
+
+
+@pytest.mark.parametrize("items", [5, 70, 600])
+def test_sets_as_bits_lose_no_pair(spark, monkeypatch, items):
+    monkeypatch.setattr(P, "BIT_BLOCK", 50)
+    draw = random.Random(items)
+    sets = [(i * 3, [draw.randrange(items) for _ in range(draw.choice((0, 1, 3, 12, 30)))]) for i in range(300)]
+    sets += [(10_000 + k, v[:]) for k, v in sets[:40]]
+    rows = spark.createDataFrame(sets, "k long, v array<int>")
+    got = {(r.k_a, r.k_b): r.similarity for r in P.bit_similarity_join(rows, "k", "v", 0.4).collect()}
+    pairs = ((a, b, len(set(x) & set(y)), len(set(x) | set(y))) for a, x in sets for b, y in sets if a < b)
+    assert got == pytest.approx({(a, b): n / u for a, b, n, u in pairs if u and n >= 0.4 * u})
+
+
+def test_few_items_make_no_candidates(spark):
+    rows, moved = written(spark, lambda: QUERIES["tanimoto_join"](spark, MIDDLE).collect())
+    assert len(rows) == 56 and moved < 2000
