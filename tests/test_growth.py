@@ -4,10 +4,13 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from editlake.operators import clustering as C
+from editlake.operators import joins as J
 from editlake.operators import pairs as P
 from editlake.plans import all_queries
+from editlake.plans import pairs as plans
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES, SQL = all_queries()
@@ -89,3 +92,42 @@ def test_sets_as_bits_lose_no_pair(spark, monkeypatch, items):
 def test_few_items_make_no_candidates(spark):
     rows, moved = written(spark, lambda: QUERIES["tanimoto_join"](spark, MIDDLE).collect())
     assert len(rows) == 56 and moved < 2000
+
+
+def count_rows_of(monkeypatch, module, name):
+    """Counts what a function returns from now on."""
+    made, f = [], getattr(module, name)
+
+    def counted(*a, **b):
+        out = f(*a, **b)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, name, counted)
+    return made
+
+
+@pytest.mark.parametrize(("name", "most"), [("pairs_by_target", 10_000), ("pairs_by_entity", 2000), ("pairs_by_property", 5000), ("candidate_core_intersection", 1000)])
+def test_only_pairs_that_can_be_asked_for_are_made(spark, monkeypatch, name, most):
+    made = count_rows_of(monkeypatch, P, "mmp_pairs")
+    assert QUERIES[name](spark, MIDDLE).count() > 0 and sum(made) <= most
+
+
+@pytest.mark.parametrize("name", ["unambiguous_strand", "split_by_gene", "point_to_interval_map"])
+def test_equal_intervals_and_places_are_matched_once(spark, monkeypatch, tmp_path, name):
+    for table in ("documents", "labels", "orders"):
+        rows = spark.read.parquet(f"{SMALL}/{table}.parquet")
+        rows = rows.unionByName(rows.withColumn("o_orderkey", F.col("o_orderkey") + 120_000)) if table == "orders" else rows
+        rows.write.parquet(str(tmp_path / f"{table}.parquet"))
+    made = count_rows_of(monkeypatch, J, "points_in_intervals")
+    once, twice = QUERIES[name](spark, SMALL).count(), QUERIES[name](spark, str(tmp_path)).count()
+    assert once == twice and made[0] == made[1]
+
+
+def test_first_rows_go_on_until_there_are_enough(spark, monkeypatch):
+    monkeypatch.setattr(plans, "FEW", 2)
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"create view {t} as select * from read_parquet('{MIDDLE}/{t}.parquet')")
+    got = QUERIES["pairs_by_property"](spark, MIDDLE).select("mol_a", "mol_b", "edit", "delta").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"select mol_a, mol_b, edit, delta from ({SQL['pairs_by_property']})").fetchall())
