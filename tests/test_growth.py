@@ -11,6 +11,7 @@ from editlake.operators import joins as J
 from editlake.operators import pairs as P
 from editlake.plans import all_queries
 from editlake.plans import pairs as plans
+from editlake.plans import registry
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES, SQL = all_queries()
@@ -131,3 +132,50 @@ def test_first_rows_go_on_until_there_are_enough(spark, monkeypatch):
         con.execute(f"create view {t} as select * from read_parquet('{MIDDLE}/{t}.parquet')")
     got = QUERIES["pairs_by_property"](spark, MIDDLE).select("mol_a", "mol_b", "edit", "delta").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(f"select mol_a, mol_b, edit, delta from ({SQL['pairs_by_property']})").fetchall())
+
+
+@pytest.mark.parametrize("items", [4, 400])
+def test_sets_that_agree_in_a_column_lose_no_pair(spark, items):
+    """Many pairs of small sets go by shared items, few pairs of large ones are counted as they meet."""
+    draw = random.Random(items)
+    sets = [(i, draw.randrange(2 if items == 4 else 40), sorted({draw.randrange(items) for _ in range(draw.choice((1, 2, items // 2, items)))})) for i in range(200)]
+    sets += [(1000 + k, n, v[:-1] or v) for k, n, v in sets[:100]]
+    rows = spark.createDataFrame(sets, "k long, n int, v array<int>")
+    got = {(r.k_a, r.k_b) for r in P.set_similarity_join(rows, "k", "v", 0.7, within="n").collect()}
+    want = {(a, b) for a, m, x in sets for b, n, y in sets if a < b and m == n and len(set(x) & set(y)) >= 0.7 * len(set(x) | set(y))}
+    assert got == want
+
+
+def test_only_sequences_of_one_length_meet(spark, monkeypatch):
+    made = count_rows_of(monkeypatch, P, "set_tokens")
+    QUERIES["kmer_leader_clusters_by_length"](spark, SMALL).collect()
+    texts = [r.letters for r in registry.Tables(spark, SMALL)("letters").where("length(letters) > 0").select("letters").distinct().collect()]
+    lengths = [len(s) for s in texts]
+    assert sum(made) <= sum(lengths.count(n) > 1 for n in lengths) < len(texts)
+
+
+def test_bins_are_counted_inside_the_row(spark):
+    rows, moved = written(spark, lambda: QUERIES["positional_bins"](spark, SMALL).count())
+    assert rows > 100_000 and moved < 2000
+
+
+def test_entities_follow_classes_not_pairs(spark, monkeypatch, tmp_path):
+    """Ten copies of each molecule make a hundred times the pairs, and as many pairs of classes; masses outside the band part them."""
+    part = spark.read.parquet(f"{SMALL}/part.parquet").withColumn("p_retailprice", F.when(F.col("p_brand") < "Brand#2", F.col("p_retailprice")).otherwise(F.col("p_partkey") % 7 * 90.0))
+    part.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("p_partkey", F.col("p_partkey") + 1000 * F.col("k")).drop("k").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made, f = [], P.with_edits
+    monkeypatch.setattr(P, "with_edits", lambda pairs, *a: made.append(pairs.count()) or f(pairs, *a))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got = [r.entity for r in QUERIES["distinct_entities_union"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(r[0] for r in con.execute(SQL["distinct_entities_union"]).fetchall()) and sum(made) < 5000
+
+
+def test_reference_distance_of_short_and_long_sequences(spark):
+    draw = random.Random(5)
+    rows = [(g, i, float(i), "".join(draw.choice("ACGU") if draw.random() < 0.1 else c for c in base)) for g, base in enumerate(("ACGUACG", "ACGUACGUACGU", "ACGUACGUACGUA" * 3)) for i in range(60)]
+    rows.append((0, 99, -1.0, "ACG"))
+    got = {(r.g, r.k): r.n_changes for r in P.reference_pairs(spark.createDataFrame(rows, "g int, k int, v double, s string"), ["g"], "v", "k", "s").collect()}
+    best = {g: s for g, k, _, s in rows if k == 59}
+    apart = {(g, k): sum(x != y for x, y in zip(s, best[g], strict=True)) for g, k, _, s in rows if k != 59 and len(s) == len(best[g])}
+    assert got == {k: n for k, n in apart.items() if 1 <= n <= 5}
